@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, lines, packing, quality, secrets, simhash
+from tidewell.llm import bpe, embeddings, lines, packing, quality, secrets, simhash
 
-MODULES = (simhash, bpe, lines, packing, quality, secrets)
+MODULES = (simhash, bpe, lines, embeddings, packing, quality, secrets)
 
 
 def queries() -> dict:
