@@ -39,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that no later failure recomputes it."""
     spark = df.sparkSession
+    spark.sparkContext._jvm.System.gc()  # shuffle files of earlier steps go once the driver has collected their plans
     path = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, embeddings, lines, packing, quality, secrets, simhash, substrings, suffixes
+from tidewell.llm import bpe, embeddings, lines, lm, packing, quality, secrets, simhash, substrings, suffixes
 
-MODULES = (simhash, bpe, substrings, suffixes, lines, embeddings, packing, quality, secrets)
+MODULES = (simhash, bpe, substrings, suffixes, lines, embeddings, packing, lm, quality, secrets)
 
 
 def queries() -> dict:
