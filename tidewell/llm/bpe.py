@@ -15,7 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -70,10 +70,23 @@ class Table:
         return out
 
 
+class Places(dict):
+    """Keys with their places in a store, given out as they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = k = len(self)
+        self.fresh.append(key)
+        return k
+
+
 class BpeCodec:
     """Encoder and decoder for one vocabulary file; memory for memos is bounded by ``memo`` entries."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 1_200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["normalizer"] is not None or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
@@ -115,9 +128,8 @@ class BpeCodec:
         self._forget()
 
     def _forget(self) -> None:
-        self.parts: dict[str, int] = {}  # keys of pieces to their place in the store
-        self.words: dict[str, list[int]] = {}
-        self.fresh: list[list[int]] = []  # not yet in the arrays of the store
+        self.parts = Places()  # keys of pieces, see keys()
+        self.unfit: list[int] = []  # places of keys that are no pieces
         self.flat, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     # ------------------------------------------------------------ words
@@ -273,25 +285,46 @@ class BpeCodec:
             out[k] = x
         return out
 
-    def _learn(self, keys: set[str]) -> None:
-        """Tokens of pieces that aren't in the store; a key is the piece after its space, or after a line break the piece."""
-        find, words = self.pattern.findall, self.words
-        found = [(k, find(k[1:] if k[0] == "\n" else " " + k)) for k in keys]
-        new = list(set(chain.from_iterable(x for _, x in found)).difference(words))
-        words.update(zip(new, self.encode_words([w.encode() for w in new])))
-        for k, x in found:
-            self._put(k, words[x[0]] if len(x) == 1 else [t for w in x for t in words[w]])
-
-    def _put(self, key: str, tokens: list[int]) -> None:
-        self.parts[key] = len(self.parts)
-        self.fresh.append(tokens)
-
-    def _index(self) -> None:
-        if self.fresh:
-            count = np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))
-            start = len(self.flat) + np.cumsum(count) - count
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(self.fresh), np.int32, int(count.sum()))])
-            self.start, self.count, self.fresh = np.concatenate([self.start, start]), np.concatenate([self.count, count]), []
+    def _learn(self) -> None:
+        """Tokens of the keys that the store has no tokens of yet."""
+        parts, first = self.parts, len(self.count)
+        words, word_at, joined, special = [], [], [], []
+        at = first
+        while parts.fresh:  # pretokens of a piece are keys themselves
+            fresh, parts.fresh = parts.fresh, []
+            for k in fresh:
+                if k.isalpha():
+                    words.append(" " + k)
+                    word_at.append(at)
+                elif k[:-1].isalpha() and k[-1] in ".,":
+                    joined.append((at, (parts[k[:-1]], parts["\n" + k[-1]])))
+                elif k[:1] == "\n" and k[1:] in self.special:
+                    special.append((at, self.special[k[1:]]))
+                elif k[:1] != "\n" and (not k or k[0].isspace() or k[-1].isspace()):
+                    self.unfit.append(at)
+                else:
+                    got = self.pattern.findall(k[1:] if k[0] == "\n" else " " + k)
+                    if len(got) == 1:
+                        words.append(got[0])
+                        word_at.append(at)
+                    else:
+                        joined.append((at, tuple(map(parts.__getitem__, map(self._key, got)))))
+                at += 1
+        tokens: list[list[int]] = [[]] * (at - first)
+        for k, x in zip(word_at, self.encode_words([w.encode() for w in words])):
+            tokens[k - first] = x
+        for k, x in special:
+            tokens[k - first] = [x]
+        for k, x in joined:
+            tokens[k - first] = [t for i in x for t in (tokens[i - first] if i >= first else self.flat[self.start[i] : self.start[i] + self.count[i]].tolist())]
+        count = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        start = len(self.flat) + np.cumsum(count) - count
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(tokens), np.int32, int(count.sum()))])
+        self.start, self.count = np.concatenate([self.start, start]), np.concatenate([self.count, count])
+
+    @staticmethod
+    def _key(pretoken: str) -> str:
+        return pretoken[1:] if pretoken[0] == " " and pretoken[1:2].strip() else "\n" + pretoken
 
     # ------------------------------------------------------------ texts
 
@@ -299,51 +332,55 @@ class BpeCodec:
         """The text cut where a pretoken must begin, as keys of the store.
 
         A single space or line break between characters that aren't white space always
-        begins a pretoken, and after the line break another begins.
+        begins a pretoken, and after the line break another begins.  A key is the piece
+        after its space, or a line break and the piece.
         """
         out: list[str] = []
         for line in text.split("\n"):
             first, *rest = line.split(" ")
             if not first or first[0].isspace() or first[-1].isspace():
-                return ["\n" + w for w in self.pattern.findall(text)]
+                return self._exact(text)
             out += ("\n\n", "\n" + first)
             out += rest
-        for p in set(out).difference(self.parts):
-            if not p or p[0] != "\n" and (p[0].isspace() or p[-1].isspace()):
-                return ["\n" + w for w in self.pattern.findall(text)]
         return out[1:]
 
+    def _exact(self, text: str) -> list[str]:
+        return ["\n" + w for w in self.pattern.findall(text)]
+
+    def _keys(self, text: str, cut: Callable) -> list[str]:
+        if self.cut is None or not any(s in text for s in self.special):
+            return cut(text) if text else []
+        out: list[str] = []
+        for k, x in enumerate(self.cut.split(text)):
+            if k % 2:
+                out.append("\n" + x)
+            elif x:
+                out += cut(x)
+        return out
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other (int32), and where each text's begin and end."""
         if len(self.parts) > self.memo:
             self._forget()
-        lists: list[list[str]] = []
-        for t in texts:
-            if self.cut is not None and any(s in t for s in self.special):
-                got: list[str] = []
-                for k, x in enumerate(self.cut.split(t)):
-                    if k % 2:
-                        got.append("\t" + x)
-                        if got[-1] not in self.parts:
-                            self._put(got[-1], [self.special[x]])
-                    elif x:
-                        got += self.keys(x)
-                lists.append(got)
-            else:
-                lists.append(self.keys(t) if t else [])
-        parts = self.parts
-        fresh = set(chain.from_iterable(lists)).difference(parts)
-        if fresh:
-            self._learn(fresh)
-        self._index()
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        at = np.fromiter(map(parts.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
+        lists = [self._keys(t, self.keys) for t in texts]
+        at, n = self._places(lists)
+        if self.unfit and (unfit := np.isin(at, self.unfit)).any():  # other runs of white space in these texts
+            for k in np.unique(np.repeat(np.arange(len(lists)), n)[unfit]).tolist():
+                lists[k] = self._keys(texts[k], self._exact)
+            at, n = self._places(lists)
         count = self.count[at]
         ends = np.cumsum(count)
         flat = self.flat[np.repeat(self.start[at] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
         return flat, bounds
 
+    def _places(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        at = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
+        if self.parts.fresh:
+            self._learn()
+        return at, n
+
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
