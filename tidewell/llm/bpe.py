@@ -324,7 +324,8 @@ class BpeCodec:
 
     @staticmethod
     def _key(pretoken: str) -> str:
-        return pretoken[1:] if pretoken[0] == " " and pretoken[1:2].strip() else "\n" + pretoken
+        fit = pretoken[0] == " " and len(pretoken) > 1 and not pretoken[1].isspace() and not pretoken[-1].isspace()
+        return pretoken[1:] if fit else "\n" + pretoken
 
     # ------------------------------------------------------------ texts
 
