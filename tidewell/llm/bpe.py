@@ -130,7 +130,7 @@ class BpeCodec:
     def _forget(self) -> None:
         self.parts = Places()  # keys of pieces, see keys()
         self.unfit: list[int] = []  # places of keys that are no pieces
-        self.flat, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
 
     # ------------------------------------------------------------ words
 
@@ -317,10 +317,10 @@ class BpeCodec:
             tokens[k - first] = [x]
         for k, x in joined:
             tokens[k - first] = [t for i in x for t in (tokens[i - first] if i >= first else self.flat[self.start[i] : self.start[i] + self.count[i]].tolist())]
-        count = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        count = np.fromiter(map(len, tokens), np.int32, len(tokens))
         start = len(self.flat) + np.cumsum(count) - count
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(tokens), np.int32, int(count.sum()))])
-        self.start, self.count = np.concatenate([self.start, start]), np.concatenate([self.count, count])
+        self.start, self.count = np.concatenate([self.start, start.astype(np.int32)]), np.concatenate([self.count, count])
 
     @staticmethod
     def _key(pretoken: str) -> str:
@@ -370,8 +370,14 @@ class BpeCodec:
                 lists[k] = self._keys(texts[k], self._exact)
             at, n = self._places(lists)
         count = self.count[at]
-        ends = np.cumsum(count)
-        flat = self.flat[np.repeat(self.start[at] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ends = np.cumsum(count, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        step = np.ones(total, np.int32)  # places in the store, as steps from one token to the next
+        some = np.flatnonzero(count)
+        begin, last = self.start[at[some]], self.start[at[some]] + count[some]
+        if total:
+            step[(ends - count)[some]] = begin - np.concatenate([[0], last[:-1] - 1])
+        flat = self.flat[np.cumsum(step, dtype=np.int32)] if total else self.flat[:0]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
         return flat, bounds
 
@@ -401,7 +407,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+def slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of about ``size`` characters (null: empty), with the first one's row."""
     first, held, total = 0, [], 0
     for k, t in enumerate(batch.column(column).to_pylist()):

@@ -185,14 +185,16 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, pat
             for first, texts in slices(b, 1):
                 flat, at = c.encode(texts)
                 ids = b.column(0).slice(first, len(texts)).to_pylist()
+                raw = memoryview(np.insert(flat.astype("<u4"), at[1:], end_id).tobytes())
+                at = (at + np.arange(len(at))).tolist()
                 out = []
                 for k, i in enumerate(ids):
-                    own = np.append(flat[at[k] : at[k + 1]], np.int32(end_id)).astype("<u4")
-                    n = len(own)
+                    n = at[k + 1] - at[k]
                     start, length = 0, n if n <= capacity else n % capacity or capacity
                     piece = 0
                     while start < n:
-                        out.append((i, piece, start, length, zlib.crc32(own[start : start + length].tobytes()), task, seen[length]))
+                        a = 4 * (at[k] + start)
+                        out.append((i, piece, start, length, zlib.crc32(raw[a : a + 4 * length]), task, seen[length]))
                         seen[length] += 1
                         start, length, piece = start + length, capacity, piece + 1
                 cols = list(zip(*out))
