@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm.common import _R2, attach, buckets, each_chunk, materialise, mix, powers, reduce_buckets, rolling, scatter, snapshot, split_sorted, unpack
 from tidewell.llm.substrings import _bits, _flags, _gather, _tagged
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 GRAM = 18
 NO_DOC = np.iinfo(np.int64).max
 
