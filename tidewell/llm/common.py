@@ -83,7 +83,13 @@ def unpack(blob: bytes) -> tuple[list, list]:
 
 
 def snapshot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, blob): all documents, about chunk_bytes of text to a chunk; a longer text has its own."""
+    """(chunk, blob): all documents, about chunk_bytes of text to a chunk; a longer text has its own.
+
+    Written once to the shared folder as a table bucketed by chunk, so that later joins with
+    replies move the replies only.  A file holds one task's chunks of one bucket; on large
+    inputs choose chunk_bytes so that these files have a good size.
+    """
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -104,7 +110,13 @@ def snapshot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
         if ids:
             yield out()
 
-    return materialise(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "chunk long, blob binary"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "chunk long, blob binary")
+    name = f"tidewell_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(n, "chunk").saveAsTable(name)
+    _written.append((spark, path))
+    return spark.table(name)
 
 
 # ---------------------------------------------------------------- questions to hash buckets
