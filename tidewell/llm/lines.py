@@ -120,7 +120,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = materialise(base.mapInArrow(suspects, "id long, key binary"))
     # a row for each document and key; without repeated ids the count of rows is that of documents
-    counted = found.where("id is not null").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= documents).drop("n")
+    counted = materialise(found.where("id is not null").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= documents).drop("n"))
+    # with both sides straight from a table, a very common key's partition of the join is split at run time
     drop = found.join(counted, "key").where("id is null or id < last").select("id", "key")
     drop = drop.groupBy("id").agg(F.collect_list("key").alias("drop"))
     extra = [c for c in docs.columns if c not in (id_col, text_col)] if keep_text else []
