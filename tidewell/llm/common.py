@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -39,7 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that no later failure recomputes it."""
     spark = df.sparkSession
-    spark.sparkContext._jvm.System.gc()  # shuffle files of earlier steps go once the driver has collected their plans
+    gc.collect()  # shuffle files of earlier steps go once the driver has collected their plans
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
@@ -82,10 +84,10 @@ def unpack(blob: bytes) -> tuple[list, list]:
     return batch.column(0).to_pylist(), batch.column(1).to_pylist()
 
 
-def snapshot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def snapshot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, packed: Callable[[list, list], bytes] = pack) -> DataFrame:
     """(chunk, blob): all documents, about chunk_bytes of text to a chunk; a longer text has its own.
 
-    Written once to the shared folder as a table bucketed by chunk, so that later joins with
+    ``packed`` makes the blob of ids and texts.  Written once to the shared folder as a table bucketed by chunk, so that later joins with
     replies move the replies only.  A file holds one task's chunks of one bucket; on large
     inputs choose chunk_bytes so that these files have a good size.
     """
@@ -97,7 +99,7 @@ def snapshot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
         base, n, size, ids, texts = TaskContext.get().partitionId() << 32, 0, 0, [], []
 
         def out():
-            return pa.record_batch([pa.array([base + n], pa.int64()), pa.array([pack(ids, texts)], pa.binary())], ["chunk", "blob"])
+            return pa.record_batch([pa.array([base + n], pa.int64()), pa.array([packed(ids, texts)], pa.binary())], ["chunk", "blob"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
