@@ -64,8 +64,12 @@ def sort_directly(packed: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return at
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes of ``text`` (symbols 0 to 511) in order of at least their first ``depth`` symbols."""
+def suffix_array(text: np.ndarray, depth: int, want: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of ``text`` (symbols 0 to 511) in order of at least their first ``depth`` symbols.
+
+    All, or those that ``want`` marks and what their order is induced from: for each, the
+    suffixes up to the next one that is smaller than its successor.
+    """
     n = len(text)
     if not n:
         return np.empty(0, np.int64)
@@ -74,7 +78,16 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     run = np.searchsorted(change, np.arange(n))
     rises = np.concatenate([text[change[:-1]] < text[change[:-1] + 1], [False]])
     small = rises[run]
-    direct = sort_directly(pack_symbols(text), np.flatnonzero(small), depth)
+    need = np.ones(n, bool)
+    if want is not None:
+        at = np.flatnonzero(want)
+        place = np.append(np.flatnonzero(small), n - 1)
+        stop = place[np.searchsorted(place, at)]
+        mark = np.zeros(n + 1, np.int32)
+        np.add.at(mark, at, 1)
+        np.add.at(mark, stop + 1, -1)
+        need = np.cumsum(mark[:-1]) > 0
+    direct = sort_directly(pack_symbols(text), np.flatnonzero(small & need), depth)
     size = np.bincount(text[direct], minlength=512)
     stop = np.cumsum(size)
     waiting: list[list[np.ndarray]] = [[] for _ in range(512)]
@@ -82,7 +95,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
     def induce(scanned: np.ndarray, above: int) -> None:
         before = scanned[scanned > 0] - 1
-        before = before[(text[before] > above) & ~small[before]]
+        before = before[(text[before] > above) & ~small[before] & need[before]]
         first = text[before]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]
@@ -96,7 +109,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
             out.append(new)
             induce(new, c)
             before = new[new > 0] - 1
-            new = before[(text[before] == c) & ~small[before]]
+            new = before[(text[before] == c) & ~small[before] & need[before]]
         rest = direct[stop[c] - size[c] : stop[c]]
         if len(rest):
             out.append(rest)
@@ -152,7 +165,7 @@ class Contexts:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1 if len(at) else first
         self.first, self.last = at[first], at[last]  # starts of a context's first and last window
-        self.gram = gram[own[first]]
+        self.gram = mix(gram[own[first]])  # least hashes are small; mixed they spread over the buckets
         self.doc = np.searchsorted(self.end, self.first, "right")
         self.sum = None
         self.value = value
@@ -243,7 +256,7 @@ def _answer_contexts(width: int):
         text[body] = np.frombuffer(b"".join(known), np.uint8).astype(np.uint16) + 1
         owner = np.repeat(np.arange(len(known)), length + 1)
         room = stop[owner] - 1 - np.arange(len(text))  # bytes left in the context
-        order = suffix_array(text, width)
+        order = suffix_array(text, width, room >= width)
         order = order[room[order] >= width]
         group = np.cumsum(~common_prefix_reaches(pack_symbols(text), text, order, width)) - 1
         low = np.full(int(group[-1]) + 1 if len(group) else 0, NO_DOC)
