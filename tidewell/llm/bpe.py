@@ -86,7 +86,7 @@ class Places(dict):
 class BpeCodec:
     """Encoder and decoder for one vocabulary file; memory for memos is bounded by ``memo`` entries."""
 
-    def __init__(self, path: str, memo: int = 1_200_000):
+    def __init__(self, path: str, memo: int = 800_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["normalizer"] is not None or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
@@ -114,7 +114,9 @@ class BpeCodec:
             if self.order[m] < 0:
                 self.order[m], self.left[m], self.right[m] = k, i, j
         self.pairs = Table(np.array([i * size + j for i, j in self.rank], np.uint64))
-        self.merge_rank, self.merge_token = np.array(list(self.rank.values()), np.int64).T
+        self.merge_rank, merged = np.array(list(self.rank.values()), np.int64).T
+        self.token_of = np.zeros(int(self.merge_rank.max(initial=0)) + 1, np.int64)  # by rank of the merge
+        self.token_of[self.merge_rank] = merged
         self.byte_ids = np.array([vocab[bytes([k])] for k in range(256)], np.int64)
         short = [t for t in vocab if len(t) <= 8]
         eight = np.array([int.from_bytes(t, "little") for t in short], np.uint64)
@@ -131,6 +133,22 @@ class BpeCodec:
         self.parts = Places()  # keys of pieces, see keys()
         self.unfit: list[int] = []  # places of keys that are no pieces
         self.flat, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.used = np.empty(0, np.int32)  # in how many calls each piece was seen; halved when the store is pruned
+
+    def _prune(self) -> None:
+        """Keep the pieces that come again and again, at most half of the memo."""
+        self.used[self.unfit] = 0
+        least = 2
+        while (keep := self.used >= least).sum() > self.memo // 2:
+            least += 1
+        place, kept = np.cumsum(keep) - 1, keep.tolist()
+        old, self.parts = self.parts, Places()
+        self.parts.update((k, int(place[i])) for k, i in old.items() if kept[i])
+        rows = np.flatnonzero(keep)
+        count = self.count[rows]
+        ends = np.cumsum(count, dtype=np.int64)
+        self.flat = self.flat[np.repeat(self.start[rows] - (ends - count), count) + np.arange(int(count.sum()))]
+        self.start, self.count, self.used, self.unfit = (ends - count).astype(np.int32), count, self.used[rows] // 2, []
 
     # ------------------------------------------------------------ words
 
@@ -215,49 +233,49 @@ class BpeCodec:
         return out
 
     def _merge_block(self, words: list[bytes], place: np.ndarray, wide: int, out: list) -> None:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in words), np.uint8).reshape(len(words), wide)
-        ids = self.byte_ids[raw]
-        col = np.arange(wide)
-        rank = self._rank_of(ids[:, :-1], ids[:, 1:])[0]
-        rank[col[None, : wide - 1] >= (size - 1)[:, None]] = NEVER
-        rows = np.arange(len(words))
+        """Words of up to ``wide`` bytes; pieces are chained, so that a merge touches its neighbours only."""
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        raw = np.frombuffer(b"".join([w.ljust(wide, b"\0") for w in words]), np.uint8).reshape(n, wide)
+        ids, col = self.byte_ids[raw], np.arange(wide)
+        alive = col[None, :] < size[:, None]
+        rank = np.full((n, wide), NEVER)
+        rank[:, :-1] = np.where(alive[:, 1:], self._rank_of(ids[:, :-1], ids[:, 1:]), NEVER)
+        after, before = np.tile(col + 1, (n, 1)), np.tile(col - 1, (n, 1))
+        rows = np.arange(n)
         while len(rows):
             sub = rank[rows]
             k = sub.argmin(axis=1)
-            go = sub[np.arange(len(rows)), k] < NEVER
-            rows, k = rows[go], k[go]
-            if not len(rows):
-                break
-            token = self._rank_of(ids[rows, k], ids[rows, k + 1])[1]
-            take = np.minimum(col[None, :] + (col[None, :] > k[:, None]), wide - 1)
-            moved = np.take_along_axis(ids[rows], take, 1)
-            moved[np.arange(len(rows)), k] = token
-            ids[rows] = moved
-            size[rows] -= 1
-            new = np.take_along_axis(rank[rows], np.minimum(take[:, :-1], wide - 2), 1)
-            n = size[rows]
-            for d in (-1, 0):  # the pairs that the new token begins or ends
-                j = k + d
-                ok = (j >= 0) & (j + 1 < n)
-                r, j = np.flatnonzero(ok), j[ok]
-                new[r, j] = self._rank_of(moved[r, j], moved[r, j + 1])[0]
-            new[col[None, : wide - 1] >= (n - 1)[:, None]] = NEVER
-            rank[rows] = new
-        flat = ids.tolist()
-        for i, x, n in zip(place.tolist(), flat, size.tolist()):
-            out[i] = x[:n]
-
-    def _rank_of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            low = sub[np.arange(len(rows)), k]
+            go = low < NEVER
+            rows, k, low = rows[go], k[go], low[go]
+            token, r = self.token_of[low], after[rows, k]
+            ids[rows, k] = token
+            alive[rows, r] = False
+            rank[rows, r] = NEVER
+            rank[rows, k] = NEVER
+            nxt = after[rows, r]
+            after[rows, k] = nxt
+            x = np.flatnonzero(nxt < size[rows])
+            before[rows[x], nxt[x]] = k[x]
+            rank[rows[x], k[x]] = self._rank_of(token[x], ids[rows[x], nxt[x]])
+            prev = before[rows, k]
+            x = np.flatnonzero(prev >= 0)
+            rank[rows[x], prev[x]] = self._rank_of(ids[rows[x], prev[x]], token[x])
+        flat, at = ids[alive].tolist(), [0, *np.cumsum(alive.sum(axis=1)).tolist()]
+        for i, a, b in zip(place.tolist(), at, at[1:]):
+            out[i] = flat[a:b]
+
+    def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         at = self.pairs.get((a * self.size + b).astype(np.uint64).ravel()).reshape(a.shape)
-        return np.where(at >= 0, self.merge_rank[at], NEVER), self.merge_token[at]
+        return np.where(at >= 0, self.merge_rank[at], NEVER)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the border of each pair of tokens stays when their bytes are merged together."""
         ok = np.ones(len(a), bool)
         at, x, y, limit = np.arange(len(a)), a.astype(np.int64), b.astype(np.int64), np.full(len(a), NEVER)
         while len(at):
-            joined = self._rank_of(x, y)[0] < limit
+            joined = self._rank_of(x, y) < limit
             ok[at[joined]] = False
             ox, oy = self.order[x], self.order[y]
             undo_x = ox > oy  # of equal merges the left one came first
@@ -269,7 +287,8 @@ class BpeCodec:
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Propose, verify all adjacent pairs at once, merge what fails."""
         tokens, count, left = self.propose_all(words)
-        col = np.arange(WIDE)
+        col = np.arange(max(1, int(count.max(initial=0))))
+        tokens = tokens[:, : len(col)]
         real = (col[None, :] < count[:, None]) & ~left[:, None]
         bad = (~self.sound[tokens] & real).any(axis=1)
         row, at = np.nonzero(real[:, 1:])
@@ -292,24 +311,25 @@ class BpeCodec:
         at = first
         while parts.fresh:  # pretokens of a piece are keys themselves
             fresh, parts.fresh = parts.fresh, []
-            for k in fresh:
-                if k.isalpha():
-                    words.append(" " + k)
-                    word_at.append(at)
-                elif k[:-1].isalpha() and k[-1] in ".,":
-                    joined.append((at, (parts[k[:-1]], parts["\n" + k[-1]])))
+            plain = [k.isalpha() for k in fresh]  # mostly words, which are one pretoken each
+            words += [" " + k for k, p in zip(fresh, plain) if p]
+            word_at += [at + i for i, p in enumerate(plain) if p]
+            others = [(at + i, k) for i, (k, p) in enumerate(zip(fresh, plain)) if not p]
+            at += len(fresh)
+            for at_, k in others:
+                if k[:-1].isalpha() and k[-1] in ".,":
+                    joined.append((at_, (parts[k[:-1]], parts["\n" + k[-1]])))
                 elif k[:1] == "\n" and k[1:] in self.special:
-                    special.append((at, self.special[k[1:]]))
+                    special.append((at_, self.special[k[1:]]))
                 elif k[:1] != "\n" and (not k or k[0].isspace() or k[-1].isspace()):
-                    self.unfit.append(at)
+                    self.unfit.append(at_)
                 else:
                     got = self.pattern.findall(k[1:] if k[0] == "\n" else " " + k)
                     if len(got) == 1:
                         words.append(got[0])
-                        word_at.append(at)
+                        word_at.append(at_)
                     else:
-                        joined.append((at, tuple(map(parts.__getitem__, map(self._key, got)))))
-                at += 1
+                        joined.append((at_, tuple(map(parts.__getitem__, map(self._key, got)))))
         tokens: list[list[int]] = [[]] * (at - first)
         for k, x in zip(word_at, self.encode_words([w.encode() for w in words])):
             tokens[k - first] = x
@@ -362,7 +382,7 @@ class BpeCodec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other (int32), and where each text's begin and end."""
         if len(self.parts) > self.memo:
-            self._forget()
+            self._prune()
         lists = [self._keys(t, self.keys) for t in texts]
         at, n = self._places(lists)
         if self.unfit and (unfit := np.isin(at, self.unfit)).any():  # other runs of white space in these texts
@@ -386,6 +406,8 @@ class BpeCodec:
         at = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
         if self.parts.fresh:
             self._learn()
+            self.used = np.concatenate([self.used, np.zeros(len(self.count) - len(self.used), np.int32)])
+        self.used += np.bincount(at, minlength=len(self.used)) > 0
         return at, n
 
     def decode_bytes(self, ids: list[int]) -> bytes:
@@ -407,16 +429,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[tuple[int, list[str]]]:
+def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of about ``size`` characters (null: empty), with the first one's row."""
     first, held, total = 0, [], 0
-    for k, t in enumerate(batch.column(column).to_pylist()):
-        t = t or ""
-        if held and total + len(t) > size:
-            yield first, held
-            first, held, total = k, [], 0
-        held.append(t)
-        total += len(t)
+    for start in range(0, batch.num_rows, 256):  # not the whole batch at once: its strings are as large as itself
+        for k, t in enumerate(batch.column(column).slice(start, 256).to_pylist(), start):
+            t = t or ""
+            if held and total + len(t) > size:
+                yield first, held
+                first, held, total = k, [], 0
+            held.append(t)
+            total += len(t)
     if held:
         yield first, held
 
