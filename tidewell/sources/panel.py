@@ -12,14 +12,14 @@ from tidewell.plans.expr import plan
 
 BASE = """
 select l_suppkey as code, cast(date_trunc('week', l_shipdate) as date) as date, any_value(s_nationkey) as industry,
-       round(avg(l_extendedprice / l_quantity) / 1e3, 6) as close,
-       round(sum(l_extendedprice) / sum(l_quantity) / 1e3, 6) as open,
-       round(max(l_extendedprice / l_quantity) / 1e3 + 1e-3, 6) as high,
-       round(min(l_extendedprice / l_quantity) / 1e3 - 1e-3, 6) as low,
-       round(sum(l_quantity) / 1e2, 6) as volume, round(sum(l_extendedprice) / 1e5, 9) as amount,
-       round(avg(l_discount) * 1e1 + 1e-2 * count(*), 6) as turnover_rate,
-       round(avg(l_tax), 6) as tax, round(avg(l_discount), 9) as disc,
-       round(avg(case when l_returnflag = 'R' then 1e0 else 0e0 end), 6) as ret_share
+       round(avg(l_extendedprice / l_quantity) / 1e3 + 3e-10, 6) as close,
+       round(sum(l_extendedprice) / sum(l_quantity) / 1e3 + 3e-10, 6) as open,
+       round(max(l_extendedprice / l_quantity) / 1e3 + 1e-3 + 3e-10, 6) as high,
+       round(min(l_extendedprice / l_quantity) / 1e3 - 1e-3 + 3e-10, 6) as low,
+       round(sum(l_quantity) / 1e2 + 3e-10, 6) as volume, round(sum(l_extendedprice) / 1e5, 9) as amount,
+       round(avg(l_discount) * 1e1 + 1e-2 * count(*) + 3e-10, 6) as turnover_rate,
+       round(avg(l_tax) + 3e-10, 6) as tax, round(avg(l_discount), 9) as disc,
+       round(avg(case when l_returnflag = 'R' then 1e0 else 0e0 end) + 3e-10, 6) as ret_share
 from lineitem join supplier on l_suppkey = s_suppkey
 where l_quantity > 0 group by 1, 2
 """
