@@ -33,7 +33,7 @@ def ic_summary(ic: DataFrame, by: list[str] | None = None) -> DataFrame:
     cols = []
     for c in ("ic", "rank_ic"):
         mean, std = F.avg(c), F.stddev_samp(c)
-        cols += [mean.alias(f"{c}_mean"), std.alias(f"{c}_std"), (mean / (std + 1e-9)).alias(f"{c}_ir"), F.avg((F.col(c) > 0).cast("double")).alias(f"{c}_positive")]
+        cols += [mean.alias(f"{c}_mean"), std.alias(f"{c}_std"), (mean / (std + 1e-9)).alias(f"{c}_ir"), F.avg((F.round(c, 12) > 0).cast("double")).alias(f"{c}_positive")]
     return ic.groupBy(*(by or ["factor"])).agg(F.count(F.lit(1)).alias("days"), *cols)
 
 

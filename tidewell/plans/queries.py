@@ -177,7 +177,7 @@ def _ic(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.daily_ic(_factors(spark, sf), ["f_mom", "f_vol", "f_turn"])
 
 
-@_register("evaluate_ic_summary", f"with i as ({_IC}) select factor, count(*) as days, avg(ic) as ic_mean, stddev_samp(ic) as ic_std, avg(ic) / (stddev_samp(ic) + 1e-9) as ic_ir, avg(case when ic > 0 then 1.0 else 0.0 end) as ic_positive, avg(rank_ic) as rank_ic_mean, stddev_samp(rank_ic) as rank_ic_std, avg(rank_ic) / (stddev_samp(rank_ic) + 1e-9) as rank_ic_ir, avg(case when rank_ic > 0 then 1.0 else 0.0 end) as rank_ic_positive from i group by factor", ("ic_mean", "ic_std", "ic_ir", "ic_positive", "rank_ic_mean", "rank_ic_std", "rank_ic_ir", "rank_ic_positive"))
+@_register("evaluate_ic_summary", f"with i as ({_IC}) select factor, count(*) as days, avg(ic) as ic_mean, stddev_samp(ic) as ic_std, avg(ic) / (stddev_samp(ic) + 1e-9) as ic_ir, avg(case when round(ic, 12) > 0 then 1.0 else 0.0 end) as ic_positive, avg(rank_ic) as rank_ic_mean, stddev_samp(rank_ic) as rank_ic_std, avg(rank_ic) / (stddev_samp(rank_ic) + 1e-9) as rank_ic_ir, avg(case when round(rank_ic, 12) > 0 then 1.0 else 0.0 end) as rank_ic_positive from i group by factor", ("ic_mean", "ic_std", "ic_ir", "ic_positive", "rank_ic_mean", "rank_ic_std", "rank_ic_ir", "rank_ic_positive"))
 def _ic_summary(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.ic_summary(_ic(spark, sf))
 
