@@ -46,7 +46,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences and offsets."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, memo=150_000, at_once=1 << 20)  # executors also hold what earlier stages left
 
 
 STAGES = [

@@ -28,6 +28,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 NEVER = 1 << 40
 #: Words of more bytes are encoded one by one.
 WIDE = 40
+#: Words that are encoded at once.
+BLOCK = 16_384
+#: Pieces that a task remembers, and characters that it encodes at once: together some 300 MB of a Python worker.
+MEMO, SLICE = 800_000, 4 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -86,7 +90,7 @@ class Places(dict):
 class BpeCodec:
     """Encoder and decoder for one vocabulary file; memory for memos is bounded by ``memo`` entries."""
 
-    def __init__(self, path: str, memo: int = 800_000):
+    def __init__(self, path: str, memo: int = MEMO):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["normalizer"] is not None or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
@@ -285,6 +289,10 @@ class BpeCodec:
         return ok
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Tokens of each word, in blocks that bound the arrays."""
+        return [x for k in range(0, len(words), BLOCK) for x in self._encode_block(words[k : k + BLOCK])]
+
+    def _encode_block(self, words: list[bytes]) -> list[list[int]]:
         """Propose, verify all adjacent pairs at once, merge what fails."""
         tokens, count, left = self.propose_all(words)
         col = np.arange(max(1, int(count.max(initial=0))))
@@ -418,9 +426,9 @@ class BpeCodec:
 
 
 @functools.cache
-def codec(path: str) -> BpeCodec:
+def codec(path: str, memo: int = MEMO) -> BpeCodec:
     """One codec for each Python worker."""
-    return BpeCodec(path)
+    return BpeCodec(path, memo)
 
 
 def tokenizer_path() -> str:
@@ -429,7 +437,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of about ``size`` characters (null: empty), with the first one's row."""
     first, held, total = 0, [], 0
     for start in range(0, batch.num_rows, 256):  # not the whole batch at once: its strings are as large as itself

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.bpe import codec, slices, tokenizer_path
+from tidewell.llm.bpe import MEMO, SLICE, codec, slices, tokenizer_path
 from tidewell.llm.common import materialise
 
 CAPACITY = 2048
@@ -174,15 +174,15 @@ class Places:
 # ---------------------------------------------------------------- the operator
 
 
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str, end_id: int) -> DataFrame:
+def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str, end_id: int, memo: int, at_once: int) -> DataFrame:
     """Pieces of each document's ids and final ``end_id``, with (task, rank) among the task's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        c, task, seen = codec(path), TaskContext.get().partitionId(), Counter()
+        c, task, seen = codec(path, memo), TaskContext.get().partitionId(), Counter()
         for b in batches:
-            for first, texts in slices(b, 1):
+            for first, texts in slices(b, 1, at_once):
                 flat, at = c.encode(texts)
                 ids = b.column(0).slice(first, len(texts)).to_pylist()
                 raw = memoryview(np.insert(flat.astype("<u4"), at[1:], end_id).tobytes())
@@ -205,15 +205,16 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, pat
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, end_id: int = 0, memo: int = MEMO, at_once: int = SLICE) -> DataFrame:
     """One row per piece: (id_col, piece, start, length, ids_crc32, sequence_id, offset).
 
     A document is its ids and ``end_id``; only one longer than ``capacity`` is cut, the
     remainder first.  Null or empty text: the end id alone.  Null and repeated ids keep
     their rows.  Equal lengths are interchangeable; ties go by task and row.  An empty table
-    gives an empty one.  Sequences are numbered from 0 and filled from offset 0 without gaps.
+    gives an empty one.  ``memo`` and ``at_once`` trade a task's memory for speed, with the same
+    result.  Sequences are numbered from 0 and filled from offset 0 without gaps.
     """
-    pieces = materialise(token_pieces(docs, id_col, text_col, capacity, path or tokenizer_path(), end_id))
+    pieces = materialise(token_pieces(docs, id_col, text_col, capacity, path or tokenizer_path(), end_id, memo, at_once))
     counts = materialise(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     places = Places(improve(best_fit(histogram, capacity), capacity))
