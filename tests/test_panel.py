@@ -327,3 +327,44 @@ def test_entry_and_oracles(spark):
             if want[x].dtype == float:
                 assert np.allclose(a[x].astype(float), b[x], atol=2e-4, equal_nan=True), (name, x)
     assert e.entry(spark).columns == ["date", "factor", "n", "ic", "rank_ic"]
+
+
+def test_co_momentum(spark):
+    from tidewell.operators import extremes
+
+    rng = np.random.default_rng(5)
+    rows = [("a", d, float(rng.normal()), float(rng.integers(0, 6)), float(rng.normal()), float(rng.normal())) for d in days(30)]
+    got = extremes.co_momentum(spark.createDataFrame(rows, "code string, date date, ret double, turnover_key double, group_ret double, market_ret double")).orderBy("date").collect()
+    assert got[18]["icm"] is None
+
+    def extreme(win, key, value, n, sign):
+        best = sorted(win, key=lambda r: (-sign * r[key], r[1]))[:n]
+        return sum(r[value] * 2 ** (-i / n) for i, r in enumerate(best))
+
+    for k in (19, 29):
+        win = rows[k - 19 : k + 1]
+        assert math.isclose(got[k]["icm"], extreme(win, 2, 4, 5, 1)) and math.isclose(got[k]["vicr"], extreme(win, 3, 4, 15, -1))
+        assert math.isclose(got[k]["mcmc"], extreme(win, 3, 5, 5, 1) - extreme(win, 3, 5, 15, -1)) and math.isclose(got[k]["imax20"], extreme(win, 2, 4, 1, 1))
+
+
+def test_rolling_poly_resid(spark, panel, pdf):
+    from tidewell.operators import extremes
+
+    got = extremes.rolling_poly_resid(panel, "x", "y", 12, 2, 6).toPandas()
+    e = pdf[["code", "date"]].merge(got, on=["code", "date"])["resid"].astype(float).to_numpy()
+    g = pdf[pdf.code == "c0"].reset_index(drop=True)
+    for k in (15, 30):
+        d = g.iloc[k - 11 : k + 1].dropna(subset=["x", "y"])
+        want = g.x[k] - np.polyval(np.polyfit(d.y, d.x, 2), g.y[k]) if len(d) >= 6 and not np.isnan(g.x[k]) else np.nan
+        assert np.isclose(e[k], want, equal_nan=True)
+
+
+def test_tree_model(spark):
+    from tidewell.operators import models
+
+    rng = np.random.default_rng(6)
+    rows = [(d, float(a), float(b), None, float(2 * a)) for d in days(20) for a, b in rng.normal(size=(20, 2))]
+    p = spark.createDataFrame(rows, "date date, a double, b double, c double, label double")
+    out, importance = models.train_and_predict(p, ["a", "b", "c"], "label", "2024-01-15", trees=5)
+    assert importance["a"] > 0.8 and out.where("prediction_rank is null").count() == 0
+    assert out.stat.corr("prediction", "label") > 0.8

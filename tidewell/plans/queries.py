@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import evaluate, joins, monitor, portfolio, risk
+from tidewell.functions import rules
+from tidewell.operators import evaluate, extremes, joins, monitor, portfolio, risk
 from tidewell.plans import catalog
 from tidewell.plans.expr import plan
 from tidewell.sources.panel import BASE, base_panel, full_panel, full_sql
@@ -249,6 +250,36 @@ def _decisions(spark: SparkSession, sf: str) -> DataFrame:
     return monitor.decision_status(r)
 
 
+_CO = "select code, date, close / lag(close) over (partition by code order by date) - 1 as ret, amount as turnover_key, avg(disc) over (partition by date, industry) as group_ret, avg(tax) over (partition by date) as market_ret from panel"
+
+
+@_register("co_momentum_extremes")
+def _co_momentum(spark: SparkSession, sf: str) -> DataFrame:
+    base_panel(spark, sf).createOrReplaceTempView("panel")
+    return extremes.co_momentum(spark.sql(_CO))
+
+
+@_register("rolling_poly_resid")
+def _poly(spark: SparkSession, sf: str) -> DataFrame:
+    return extremes.rolling_poly_resid(base_panel(spark, sf), "close", "volume", 20, 2, 10)
+
+
+_TEXTS = "select p_partkey as id, case p_partkey % 7 when 0 then 'BUY now' when 1 then 'Overweight' when 2 then 'hold' when 3 then 'Sell' when 4 then 'reduce' when 5 then null else p_name end as rating from part"
+
+
+@_register("rating_scores", f"select id, case when lower(trim(rating)) similar to '.*(buy|outperform).*' then 1.0 when lower(rating) similar to '.*(overweight|add).*' then 0.5 when lower(rating) similar to '.*(neutral|hold|market perform).*' then 0.0 when lower(rating) like '%sell%' then -1.0 when lower(rating) similar to '.*(underweight|reduce|underperform).*' then -0.5 end::double as score from ({_TEXTS})")
+def _ratings(spark: SparkSession, sf: str) -> DataFrame:
+    spark.read.parquet(f"{sf}/part.parquet").createOrReplaceTempView("part")
+    return spark.sql(_TEXTS).select("id", rules.rating_score(F.col("rating")).alias("score"))
+
+
+@_register("index_drift_weights", "with s as (select code, date, amount as weight from panel where date in (select min(date) from panel group by date_trunc('quarter', date))), sp as (select distinct date as since, lead(date) over (order by date) as until from (select distinct date from s)), d as (select distinct p.date, since from panel p join sp on p.date >= since and (until is null or p.date < until)), x as (select d.date, d.since, s.code, s.weight as base, p.close from d join s on s.date = d.since left join panel p on p.code = s.code and p.date = d.date), y as (select *, last_value(close ignore nulls) over w as p, first_value(close ignore nulls) over w as b from x window w as (partition by since, code order by date rows between unbounded preceding and current row)) select code, date, base * p / b / sum(base * p / b) over (partition by date) * 100 as weight from y where p is not null and b > 0", ("weight",))
+def _drift(spark: SparkSession, sf: str) -> DataFrame:
+    p = base_panel(spark, sf)
+    first = p.groupBy(F.date_trunc("quarter", "date")).agg(F.min("date").alias("date")).select("date")
+    return extremes.drift_weights(p.join(first, "date", "left_semi").select("code", "date", F.col("amount").alias("weight")), p.select("code", "date", "close"))
+
+
 # Kernels without SQL: their tests compare them with NumPy.
 
 
