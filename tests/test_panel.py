@@ -368,3 +368,24 @@ def test_tree_model(spark):
     out, importance = models.train_and_predict(p, ["a", "b", "c"], "label", "2024-01-15", trees=5)
     assert importance["a"] > 0.8 and out.where("prediction_rank is null").count() == 0
     assert out.stat.corr("prediction", "label") > 0.8
+
+
+def test_linear_weights_are_optimal():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        score, group, bench = rng.normal(size=6), np.array(list("aabbcc")), rng.random(6)
+        w = portfolio.linear_weights(score, group, bench, 0.3, 0.1)
+        b = bench / bench.sum()
+        t = {g: b[group == g].sum() for g in "abc"}
+        ok = lambda v: all(abs(v[group == g].sum() - t[g]) <= 0.1 + 1e-6 for g in "abc")
+        if w is None:
+            continue
+        assert math.isclose(w.sum(), 1) and w.max() <= 0.3 + 1e-9 and w.min() >= 0 and ok(w)
+        for i, j in itertools.permutations(range(6), 2):  # no shift between two codes is better
+            v = w.copy()
+            e = min(1e-3, v[i], 0.3 - v[j])
+            v[i] -= e
+            v[j] += e
+            assert e <= 1e-12 or not ok(v) or score @ v <= score @ w + 1e-12

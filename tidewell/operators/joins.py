@@ -110,3 +110,10 @@ def event_windows(keys: DataFrame, events: DataFrame, code: str, date: str, even
     w = Window.partitionBy("_c").orderBy(F.datediff("_d", F.lit("1970-01-01").cast("date"))).rangeBetween(-days, 0)
     out = k.unionByName(e).select("_c", "_d", "_key", F.sum(F.when(~F.col("_key"), 1).otherwise(0)).over(w).alias("n_events"), F.size(F.collect_set("_o").over(w)).alias("n_orgs"), F.avg("_v").over(w).alias("mean_value"))
     return out.where("_key").select(F.col("_c").alias(code), F.col("_d").alias(date), "n_events", "n_orgs", "mean_value")
+
+
+def month_turns(frame: DataFrame, date: str) -> DataFrame:
+    """(date, effective): each last trading date of a month and the next trading date."""
+    dates = frame.select(date).where(F.col(date).isNotNull()).distinct()
+    out = dates.withColumn("effective", F.lead(date).over(Window.orderBy(date)))  # one row per date
+    return out.where(F.date_trunc("month", date) != F.date_trunc("month", "effective"))

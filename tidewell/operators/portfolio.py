@@ -100,6 +100,56 @@ def optimise(panel: DataFrame, alpha: str, bench: str, group: str, styles: Seque
     return panel.select(F.col(date).alias("date"), *cols).groupBy("date").applyInPandas(run, f"code {kind}, date date, w double")
 
 
+def linear_weights(score: np.ndarray, group: np.ndarray, bench: np.ndarray, cap: float = 0.02, deviation: float = 0.03) -> np.ndarray | None:
+    """The weights of largest score: sum one, each from 0 to ``cap``, each group within ``deviation`` of its benchmark; None if there are none.
+
+    Boxes, group bounds and the sum are nested sets, so the greedy order is optimal: groups
+    are filled to their lower bounds by their best scores, then the rest by score.
+    """
+    b = np.clip(np.nan_to_num(bench.astype(float)), 0, None)
+    b = b / b.sum() if b.sum() > 0 else np.full(len(b), 1 / max(1, len(b)))
+    names, at = np.unique(group.astype(str), return_inverse=True)
+    target = np.bincount(at, b, len(names))
+    low, high = np.maximum(target - deviation, 0), np.minimum(target + deviation, 1)
+    order = np.lexsort((np.arange(len(score)), -np.nan_to_num(score.astype(float), nan=-np.inf)))
+    w, used = np.zeros(len(score)), np.zeros(len(names))
+    for k in order:
+        give = min(cap, low[at[k]] - used[at[k]])
+        if give > 0:
+            w[k] = give
+            used[at[k]] += give
+    if (used < low - 1e-12).any() or used.sum() > 1 + 1e-12:
+        return None
+    left = 1 - used.sum()
+    for k in order:
+        give = min(cap - w[k], high[at[k]] - used[at[k]], left)
+        if give > 0:
+            w[k] += give
+            used[at[k]] += give
+            left -= give
+    return w if left <= 1e-9 else None
+
+
+def optimise_linear(panel: DataFrame, score: str, bench: str, group: str, cap: float = 0.02, deviation: float = 0.03, date: str = "date", code: str = "code") -> DataFrame:
+    """(code, date, w) of linear_weights by date; dates without a solution give null weights."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        d = pdf.sort_values(code)
+        w = linear_weights(d[score].to_numpy(float), d[group].to_numpy(), d[bench].to_numpy(float), cap, deviation)
+        return pd.DataFrame({"code": d[code], "date": d["date"], "w": [None] * len(d) if w is None else w})
+
+    kind = panel.schema[code].dataType.simpleString()
+    return panel.select(F.col(date).alias("date"), *dict.fromkeys([code, score, bench, group])).groupBy("date").applyInPandas(run, f"code {kind}, date date, w double")
+
+
+def active_exposure(panel: DataFrame, weight: str, bench: str, styles: Sequence[str], date: str = "date") -> DataFrame:
+    """Per date, sums of (weight less normalised benchmark) times each style; missing styles count as zero."""
+    b = F.greatest(F.coalesce(bench, F.lit(0.0)), F.lit(0.0))
+    total = F.sum(b).over(Window.partitionBy(date))
+    p = panel.withColumn("_a", F.coalesce(weight, F.lit(0.0)) - F.when(total > 0, b / total).otherwise(b))
+    return p.groupBy(date).agg(*[F.sum(F.col("_a") * F.coalesce(s, F.lit(0.0))).alias(s) for s in styles])
+
+
 def rebalance_dates(dates: DataFrame, frequency: str = "month", date: str = "date") -> DataFrame:
     """The last date of each period."""
     return dates.groupBy(F.date_trunc(frequency, date).alias("_p")).agg(F.max(date).alias(date)).drop("_p")

@@ -365,6 +365,37 @@ DESCRIPTORS_V2 = {
 }
 
 
+#: Technical features of a model's input.
+FEATURES = {
+    "returns_1d": "ts_pct(close, 1)",
+    "volatility_5d": "ts_std(ts_pct(close, 1), 5)",
+    "sma_5": "ts_mean(close, 5)",
+    "sma_10": "ts_mean(close, 10)",
+    "sma_20": "ts_mean(close, 20)",
+    "ema_12": "ewm(close, 12)",
+    "ema_26": "ewm(close, 26)",
+    "macd": "macd(close)",
+    "macd_signal": "ewm(macd(close), 9)",
+    "rsi_14": "rsi(close, 14)",
+    "close_sma5_ratio": "close / ts_mean(close, 5)",
+    "close_sma20_ratio": "close / ts_mean(close, 20)",
+    "volume_change": "ts_pct(volume, 1)",
+    "label": "ts_lead(close, 10) / ts_lead(close, 1) - 1",
+    "label_rank": "cs_rank(ts_lead(close, 10) / ts_lead(close, 1) - 1)",
+}
+
+#: Style exposures of the portfolio tools; what is missing counts as zero.
+STYLES = {
+    "style_size": "coalesce(cs_winsor_zscore(log_mv), 0)",
+    "style_value": "coalesce(cs_winsor_zscore(1 / pe_ttm + 1 / pb), 0)",
+    "style_momentum": "coalesce(cs_winsor_zscore(0.5 * ts_pct(close, 20) + 0.5 * ts_pct(close, 60)), 0)",
+    "style_volatility": "coalesce(cs_winsor_zscore(0.5 * ts_std(ret1, 20, 10) + 0.5 * ts_std(ret1, 60, 30)), 0)",
+    "style_liquidity": "coalesce(cs_winsor_zscore(log1p(max0(amount)) + turnover_rate), 0)",
+    "style_quality": "coalesce(cs_winsor_zscore(roe_ttm + cashflow_to_profit), 0)",
+    "style_leverage": "coalesce(cs_winsor_zscore(debt_to_assets), 0)",
+}
+
+
 def descriptors() -> dict[str, str]:
     return {f"d_{k}": f for k, (_, f) in DESCRIPTORS.items()}
 

@@ -35,6 +35,8 @@ _expressions("catalog_atoms", catalog.atoms(), True)
 _expressions("catalog_combinations", catalog.combinations(), True)
 _expressions("catalog_descriptors", catalog.descriptors(), True)
 _expressions("catalog_descriptors_v2", catalog.descriptors_v2(), True)
+_expressions("catalog_features", catalog.FEATURES, False)
+_expressions("catalog_styles", catalog.STYLES, True)
 _public = list(catalog.PUBLIC.items())
 for _i in range(0, len(_public), 13):
     _expressions(f"catalog_public_{_i + 1:02d}", dict(_public[_i : _i + 13]), True)
@@ -230,6 +232,12 @@ def _periods(spark: SparkSession, sf: str) -> DataFrame:
     return risk.complete_periods(base_panel(spark, sf), "close").select("code", "period", "total", "n", "days", "completeness")
 
 
+@_register("portfolio_style_exposure", f"with f as ({_FSQL}), w as (select *, amount / sum(amount) over (partition by date) as b, 1.0 / count(*) over (partition by date) as w from f) select date, sum((w - b) * coalesce(f_mom, 0)) as f_mom, sum((w - b) * coalesce(f_vol, 0)) as f_vol from w group by date", ("f_mom", "f_vol"))
+def _style_exposure(spark: SparkSession, sf: str) -> DataFrame:
+    f = _factors(spark, sf).withColumn("w", F.expr("1e0 / count(1) over (partition by date)"))
+    return portfolio.active_exposure(f, "w", "amount", ["f_mom", "f_vol"])
+
+
 @_register("portfolio_rebalance_dates", "select max(date) as date from panel group by date_trunc('month', date)")
 def _rebalances(spark: SparkSession, sf: str) -> DataFrame:
     return portfolio.rebalance_dates(base_panel(spark, sf).select("date").distinct())
@@ -306,6 +314,11 @@ def _backtest(spark: SparkSession, sf: str) -> DataFrame:
     return portfolio.backtest(w, f.select("code", "date", (F.col("label") / 50).alias("ret")))
 
 
+@_register("portfolio_linear_program")
+def _linear(spark: SparkSession, sf: str) -> DataFrame:
+    return portfolio.optimise_linear(_factors(spark, sf), "f_mom", "amount", "industry")
+
+
 @_register("portfolio_optimise")
 def _optimise(spark: SparkSession, sf: str) -> DataFrame:
     return portfolio.optimise(_factors(spark, sf), "f_mom", "amount", "industry", ["f_vol"])
