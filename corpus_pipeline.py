@@ -21,13 +21,21 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """A worker gets 1,000 documents at once, as executors also hold what earlier stages left."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
+    _small_batches(spark)
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that another one keeps; one that loses all its lines stays, empty."""
+    _small_batches(spark)
     return _counted(lines.dedup_lines(docs, keep_text=True).select(*docs.columns))
 
 
@@ -46,7 +54,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences and offsets."""
-    return packing.pack_documents(docs, memo=150_000, at_once=1 << 20)  # executors also hold what earlier stages left
+    _small_batches(spark)
+    return packing.pack_documents(docs, memo=150_000, at_once=1 << 20)
 
 
 STAGES = [

@@ -200,6 +200,8 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, pat
                 cols = list(zip(*out))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, kinds)], ["id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+        if memo < MEMO:  # memory matters more than the time to load the vocabulary again
+            codec.cache_clear()
 
     schema = "id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -119,25 +119,36 @@ def posterior(patterns: np.ndarray, prior: float, accuracy: np.ndarray) -> np.nd
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
+def _texts(b: pa.RecordBatch, first: int) -> Iterator[bytes]:
+    """Texts of a batch from a row on, a few rows at a time."""
+    for k in range(first, b.num_rows, 256):
+        for t in b.column(1).slice(k, 256).field("text").cast(pa.binary()).to_pylist():
+            yield t or b""
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, figures..., pattern, and the columns to keep as one struct)."""
-    held = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), held.alias("held"))
+    own = F.col(text_col).cast("string").alias("text")
+    rest = [F.col(f"`{c}`") for c in keep if c != text_col]
+    held = F.struct(own, F.struct(*rest).alias("rest") if rest else F.lit(None).cast("int").alias("rest")) if keep else F.struct(own)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held"))  # a text to keep is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             first = 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last]) <= 4 << 20):
-                    size += len(texts[last])
+            while first < b.num_rows:
+                last, size, texts = first, 0, []
+                for t in _texts(b, first):
+                    if texts and size + len(t) > 4 << 20:
+                        break
+                    texts.append(t)
+                    size += len(t)
                     last += 1
-                x = figures(texts[first:last])
-                yield pa.record_batch([b.column(0).slice(first, last - first), *(pa.array(x[k]) for k in FIGURES), pa.array(votes(x)), b.column(2).slice(first, last - first)], ["id", *FIGURES, "pattern", "held"])
+                x = figures(texts)
+                yield pa.record_batch([b.column(0).slice(first, last - first), *(pa.array(x[k]) for k in FIGURES), pa.array(votes(x)), b.column(1).slice(first, last - first) if keep else pa.nulls(last - first, pa.int32())], ["id", *FIGURES, "pattern", "held"])
                 first = last
 
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"{k} long" for k in FIGURES) + f", pattern long, held {rows.schema['held'].dataType.simpleString()}")
+    return rows.mapInArrow(run, "id long, " + ", ".join(f"{k} long" for k in FIGURES) + f", pattern long, held {rows.schema['held'].dataType.simpleString() if keep else 'int'}")
 
 
 def learn(rows: DataFrame) -> dict[int, float]:
@@ -170,7 +181,9 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of docs that judge() keeps, with their columns."""
     good = learn(measured(docs, id_col, text_col).drop("held"))
     rows = _judged(measured(docs, id_col, text_col, tuple(docs.columns)), good).where("kept")
-    return rows.select(*[F.col("held").getField(c).alias(c) for c in docs.columns])
+    held = F.col("held")
+    kind = docs.schema[text_col].dataType
+    return rows.select(*[held["text"].cast(kind).alias(c) if c == text_col else held["rest"].getField(c).alias(c) for c in docs.columns])
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
