@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
@@ -66,6 +67,20 @@ def buckets(spark: SparkSession, per_partition: int = 4) -> int:
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trimmed(run: Callable) -> Callable:
+    """run, giving what it has freed back to the system at its end: Spark keeps workers for later tasks."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim is not None:
+            trim(0)
+
+    return inner
+
+
 # ---------------------------------------------------------------- chunks of documents
 
 

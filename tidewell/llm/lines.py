@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialise, mix
+from tidewell.llm.common import materialise, mix, trimmed
 
 FILTER_BYTES = 16 << 20
 SEGMENTS = 64
@@ -75,7 +75,7 @@ def twice_seen(docs: DataFrame, least: int, filter_bytes: int, segments: int = S
                 twice[_bits(np.frombuffer(again, np.uint32).astype(np.uint64), size)] = True
         yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["segment", "bits"])
 
-    rows = docs.mapInArrow(send, "segment int, keys binary, again binary").groupBy("segment").applyInArrow(fill, "segment int, bits binary")
+    rows = docs.mapInArrow(trimmed(send), "segment int, keys binary, again binary").groupBy("segment").applyInArrow(fill, "segment int, bits binary")
     return {r["segment"]: bytes(r["bits"]) for r in rows.collect()}  # at most ``filter_bytes``
 
 
@@ -118,7 +118,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pick = np.flatnonzero(hit).tolist()
             yield pa.record_batch([pa.array([ids[k] for k in pick], pa.int64()), pa.array([xxhash.xxh3_128_digest(keys[k]) for k in pick], pa.binary())], ["id", "key"])
 
-    found = materialise(base.mapInArrow(suspects, "id long, key binary"))
+    found = materialise(base.mapInArrow(trimmed(suspects), "id long, key binary"))
     # a row for each document and key; without repeated ids the count of rows is that of documents
     counted = materialise(found.where("id is not null").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= documents).drop("n"))
     # with both sides straight from a table, a very common key's partition of the join is split at run time
@@ -145,7 +145,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.record_batch([*cols, pa.array(text, pa.string()), b.column(2)] if keep_text else cols, ["id", "n_lines", "n_dropped", "kept_sha256", *(["text", "extra"] if keep_text else [])])
 
     kind = joined.schema["extra"].dataType.simpleString() if keep_text else ""
-    out = joined.mapInArrow(cut, "id long, n_lines long, n_dropped long, kept_sha256 string" + (f", text string, extra {kind}" if keep_text else ""))
+    out = joined.mapInArrow(trimmed(cut), "id long, n_lines long, n_dropped long, kept_sha256 string" + (f", text string, extra {kind}" if keep_text else ""))
     if not keep_text:
         return out.withColumnRenamed("id", id_col)
     back = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col("extra").getField(c) for c in extra}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import MEMO, SLICE, codec, slices, tokenizer_path
-from tidewell.llm.common import materialise
+from tidewell.llm.common import materialise, trimmed
 
 CAPACITY = 2048
 SEARCH_STEPS = 20_000
@@ -204,7 +204,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, pat
             codec.cache_clear()
 
     schema = "id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, end_id: int = 0, memo: int = MEMO, at_once: int = SLICE) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialise, mix, rolling
+from tidewell.llm.common import materialise, mix, rolling, trimmed
 
 WINDOW = 8
 GOOD, BAD, ABSTAIN = 0, 1, 2
@@ -148,7 +148,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
                 yield pa.record_batch([b.column(0).slice(first, last - first), *(pa.array(x[k]) for k in FIGURES), pa.array(votes(x)), b.column(1).slice(first, last - first) if keep else pa.nulls(last - first, pa.int32())], ["id", *FIGURES, "pattern", "held"])
                 first = last
 
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"{k} long" for k in FIGURES) + f", pattern long, held {rows.schema['held'].dataType.simpleString() if keep else 'int'}")
+    return rows.mapInArrow(trimmed(run), "id long, " + ", ".join(f"{k} long" for k in FIGURES) + f", pattern long, held {rows.schema['held'].dataType.simpleString() if keep else 'int'}")
 
 
 def learn(rows: DataFrame) -> dict[int, float]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import components, forest, local_components, materialise
+from tidewell.llm.common import components, forest, local_components, materialise, trimmed
 
 SEGMENTS = (11, 11, 11, 11, 10, 10)
 BLOCK = 16384
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = np.array([fingerprint(t, width) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), "id long, fp long")
 
 
 # ---------------------------------------------------------------- the index
@@ -205,7 +205,7 @@ def link_fingerprints(fps: DataFrame, distance: int = 4, block: int = BLOCK) ->
     rows = rows.join(hot, ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(fp), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "rep")
-    return rows.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi").mapInArrow(_search(distance), "u long, v long")
+    return rows.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi").mapInArrow(trimmed(_search(distance)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
