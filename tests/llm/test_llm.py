@@ -342,6 +342,72 @@ def test_scoring_beats_base_on_held_out_text(spark):
     assert all(r["score"] <= 0 for r in rows)
 
 
+def brute_tree(rows, depth):
+    """Scores under the tree with contexts of up to depth words, counted in dictionaries; all states' contexts."""
+    texts = [[b"\n"] + (t or "").encode().lower().split() + [b"\n"] for _, t in rows]
+    train = [lm.in_training(i) for i, _ in rows]
+    c = Counter(w for x, ok in zip(texts, train) if ok for w in x[1:])
+    n, v, model = sum(c.values()), len(c), {}
+
+    def p(history, w, d):
+        if d == 0:
+            return (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        x, parent = tuple(history[-d:]), p(history, w, d - 1)
+        if len(history) < d or x not in model:
+            return parent
+        return (model[x][w] + len(model[x]) * parent) / (sum(model[x].values()) + len(model[x]))
+
+    often = {(w,) for w in c if c[w] >= 32}
+    for d in range(1, depth + 1):
+        follow, places = {}, {}
+        for x, ok in zip(texts, train):
+            for k in range(d, len(x)) if ok else ():
+                if (h := tuple(x[k - d : k])) in often and c[x[k]] >= 4:
+                    follow.setdefault(h, Counter())[x[k]] += 1
+                    places.setdefault(h, []).append((x[:k], x[k]))
+        won = {}
+        for h, f in follow.items():
+            gain = sum(math.log((f[w] - 1 + 4 * q) / q) for past, w in places[h] for q in [p(past, w, d - 1)])
+            if gain - sum(f.values()) * math.log(sum(f.values()) + 4) >= 3:
+                won[h] = f
+        model |= won
+        often = {(*h, w) for h, f in follow.items() for w in f if f[w] >= 32}
+    return [sum(math.log10(p(x[:k], x[k], depth)) for k in range(1, len(x))) for x in texts], set(model)
+
+
+def phrases(seed=5, n=150):
+    """Texts of phrases whose last word only the whole phrase tells, among other words."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        w = []
+        for _ in range(25):
+            a, b = rng.choice("pqrs"), rng.choice("uv")
+            w += rng.choices("abcdefghijklmnop", k=rng.randint(0, 2)) + [a, "of", b, "the", a + b if rng.random() < 0.9 else "Zed"]
+        rows.append((k, " ".join(w)))
+    return rows + [(None, "p of u the pu"), (3, None), (n, "once twice")]
+
+
+def test_scores_are_the_trees(spark):
+    rows = phrases()
+    want, states = brute_tree(rows, lm.DEPTH)
+    assert {len(x) for x in states} == set(range(1, max(map(len, states)) + 1))
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert np.allclose(sorted(r["score"] for r in got.collect()), sorted(want), rtol=1e-9)
+
+
+def test_contexts_and_words_need_the_same_counts_in_any_corpus():
+    text = " ".join(["one two"] * 40 + ["four"] * 4).encode()
+    t = lm.Tree(lm.tokens_packed([0], [text]))
+    tally = t.words()
+    replies = {}
+    for bucket, payload in tally.messages(0, 2, [tally.sums(t.train.astype(float))]):
+        (replies[bucket],) = lm._answer(1, 2)(bucket, [0], [payload])
+    t.learn_words(2, replies, 4_000_000_000, 1000)
+    word = t.token[t.rows - 1]
+    assert len(set(word.tolist())) == 2 and len(t.rows) == 80 and t.countable.all()
+
+
 # ---------------------------------------------------------------- 9 and 10
 
 

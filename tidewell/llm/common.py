@@ -50,14 +50,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``materialise`` wrote for df, which nothing reads any more."""
+    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    for spark, path in [x for x in _written if x[1].rsplit("/", 1)[-1] in names]:
+        _delete(spark, path)
+        _written.remove((spark, path))
+
+
 @atexit.register
 def _clean() -> None:
     """Best effort: intermediate tables go when the driver's Python ends."""
     for spark, path in _written:
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             return
 

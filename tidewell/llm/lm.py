@@ -1,16 +1,17 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-The tree's states are contexts of no word, one word or two words, among those that make up
-a least share of the training tokens.  A context is a state if a divergence test favours it:
-over its training occurrences, its own next-word counts, each with the occurrence itself
-left out, must predict better than its parent's distribution.
+The tree's states are contexts of up to ``DEPTH`` words, among those with ``CONTEXT`` training
+occurrences or more.  A context is a state if a divergence test favours it: over its training
+occurrences, its own next-word counts, each with the occurrence itself left out, must predict
+better than its parent's distribution.
 Next-word distributions are smoothed towards the parent's by the number of different next
 words (Witten-Bell), and a word is scored in the longest suffix state of its history.
 
 Words and contexts are known by 64-bit hashes, pairs of context and word by 40 bits within
 their bucket.  Counts live in hash buckets: chunks send their distinct keys with local sums
 and get the corpus totals back, so a word, context or pair that fills a third of the corpus
-sends one entry per chunk.
+sends one entry per chunk.  After each depth a chunk keeps the probabilities of the tokens
+that have a longer context to test, and the replies so far are deleted.
 """
 
 from __future__ import annotations
@@ -24,15 +25,17 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm.common import attach, buckets, each_chunk, materialise, mix, reduce_buckets, scatter, snapshot, split_sorted
+from tidewell.llm.common import attach, buckets, discard, each_chunk, materialise, mix, reduce_buckets, scatter, snapshot, split_sorted
 
 CHUNK = 4 << 20
-#: Contexts are tested from a share of the training tokens on, and words counted after them
-#: from another; on small corpora from as many occurrences (contexts of one word, of two; words).
-CONTEXT_SHARE, SYMBOL_SHARE = 2e-6, 5e-7
-CONTEXT, SYMBOL = (32, 64), 4
+#: Training occurrences that a context needs to be tested, and a word to be counted after
+#: contexts; the same for every corpus.
+CONTEXT, SYMBOL = 32, 4
+#: Words of the longest context.
+DEPTH = 2
 #: Weight of the parent in the divergence test, and the gain (natural log) that makes a state.
 PRIOR, GAIN = 4.0, 3.0
+STATE = -1  # stands for a bucket where a chunk's state is among its replies
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # not a word
 
 
@@ -134,7 +137,12 @@ def tokens_packed(ids: list, texts: list) -> bytes:
 
 
 class Tree:
-    """A chunk's tokens and what the replies so far tell about them."""
+    """A chunk's tokens and what is known of them at one depth.
+
+    ``rows`` are the tokens whose context of ``depth`` words occurs often enough to be tested;
+    ``p`` are their probabilities under shorter contexts.  The others are settled: only the
+    sum of their logs by document is kept.
+    """
 
     def __init__(self, blob: bytes):
         raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -155,77 +163,110 @@ class Tree:
         self.before[self.first] = np.searchsorted(self.key, END)
         self.previous = self.key[self.before]
 
+    def by_doc(self, x: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return np.bincount(self.doc[rows], x, len(self.ids))
+
     # ---- words
     def words(self) -> Tally:
         return Tally(self.key, self.at)
 
     def learn_words(self, n_buckets: int, replies: dict, n: int, v: int) -> None:
-        (self.c,) = self.words().totals(0, n_buckets, replies, 1)
-        self.p = [(self.c + 0.5) / (n + 0.5 * (v + 1))]
-        before = np.roll(self.c, 1)
-        before[self.first] = self.c[self.token == END][:1]
-        self.countable = self.c >= max(SYMBOL, SYMBOL_SHARE * n)
-        self.often = [max(k, CONTEXT_SHARE * n) for k in CONTEXT]
-        # the context of each depth: its key, and whether it occurs often enough to be tested
-        self.context, self.tested = [self.previous], [before >= self.often[0]]
-
-    # ---- pairs of context and word, at depth 1 and 2
-    def pair_rows(self, depth: int) -> np.ndarray:
-        return np.flatnonzero(self.tested[depth - 1] & self.countable)
-
-    def pairs(self, depth: int) -> tuple[Tally, np.ndarray]:
-        rows = self.pair_rows(depth)
-        return Tally(mix(self.context[depth - 1][rows] * np.uint64(0x9FB21C651E98DF25) + self.token[rows])), rows
-
-    def learn_pairs(self, depth: int, n_buckets: int, replies: dict) -> None:
-        tally, rows = self.pairs(depth)
-        self.seen = np.zeros(len(self.token))
-        (self.seen[rows],) = tally.totals(2 * depth - 1, n_buckets, replies, 1)
+        (c,) = self.words().totals(0, n_buckets, replies, 1)
+        p = (c + 0.5) / (n + 0.5 * (v + 1))
+        before = np.roll(c, 1)
+        before[self.first] = c[self.token == END][:1]
+        self.known, self.base = self.by_doc((c > 0).astype(float)), self.by_doc(np.log10(p))
+        self.settled = np.zeros(len(self.ids))
+        self._to(1, np.arange(len(p)), p, c >= SYMBOL, before >= CONTEXT)
+
+    def _to(self, depth: int, rows: np.ndarray, p: np.ndarray, countable: np.ndarray, tested: np.ndarray) -> None:
+        """To contexts of depth words; all but countable and p are of tokens, these of rows."""
+        go = tested[rows]
+        self.settled = self.settled + self.by_doc(np.log10(p[~go]), rows[~go])
+        self.depth, self.rows, self.p, self.countable = depth, rows[go], p[go], countable[go]
+        self.context = self.previous
+        for _ in range(depth - 1):
+            self.context = mix(np.roll(self.context, 1) * np.uint64(0xD1342543DE82EF95) + self.previous)
+
+    # ---- what stays between depths
+    def packed(self) -> bytes:
+        value, at = np.unique(self.p, return_inverse=True)
+        tested = np.zeros(len(self.token), bool)
+        tested[self.rows] = True
+        parts = [np.array([len(self.rows), self.depth, len(value)], np.int64), self.known, self.base, self.settled, value, np.packbits(tested), np.packbits(self.countable)]
+        planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T  # bytes of one place together, which packs better
+        body = zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in [*parts, planes]))
+        return len(self.rows).to_bytes(8, "little") + body
+
+    def unpack(self, state: bytes) -> None:
+        raw = zstandard.ZstdDecompressor().decompress(state[8:])
+        rows, depth, values = np.frombuffer(raw, np.int64, 3).tolist()
+        n, size = len(self.ids), len(self.token)
+        self.known, self.base, self.settled = np.frombuffer(raw, float, 3 * n, 24).reshape(3, n)
+        at = 24 * (n + 1)
+        value = np.frombuffer(raw, float, values, at)
+        at += 8 * values
+        tested = np.unpackbits(np.frombuffer(raw, np.uint8, (size + 7) // 8, at), count=size).astype(bool)
+        at += (size + 7) // 8
+        countable = np.unpackbits(np.frombuffer(raw, np.uint8, (rows + 7) // 8, at), count=rows).astype(bool)
+        at += (rows + 7) // 8
+        place = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * rows, at).reshape(4, rows).T).view("<u4").ravel()
+        self._to(depth, np.flatnonzero(tested), value[place], countable, tested)
+
+    # ---- pairs of context and word
+    def pairs(self) -> tuple[Tally, np.ndarray]:
+        rows = self.rows[self.countable]
+        return Tally(mix(self.context[rows] * np.uint64(0x9FB21C651E98DF25) + self.token[rows])), rows
+
+    def learn_pairs(self, n_buckets: int, replies: dict) -> None:
+        tally, _ = self.pairs()
+        self.seen = np.zeros(len(self.rows))
+        (self.seen[self.countable],) = tally.totals(1, n_buckets, replies, 1)
 
     # ---- contexts
-    def contexts(self, depth: int) -> tuple[Tally, np.ndarray]:
-        rows = np.flatnonzero(self.tested[depth - 1])
-        if depth > 1:
-            return Tally(self.context[depth - 1][rows]), rows
+    def contexts(self) -> Tally:
+        if self.depth > 1:
+            return Tally(self.context[self.rows])
         there = np.zeros(len(self.key), bool)
-        there[self.before[rows]] = True
-        return Tally(self.key[there], (np.cumsum(there) - 1)[self.before[rows]]), rows
+        there[self.before[self.rows]] = True
+        return Tally(self.key[there], (np.cumsum(there) - 1)[self.before[self.rows]])
 
-    def evidence(self, depth: int) -> tuple[Tally, list[np.ndarray]]:
+    def evidence(self) -> tuple[Tally, list[np.ndarray]]:
         """For each context: followed how often, by how many different words (as sums of 1/count), and the log of what the test adds up."""
-        tally, rows = self.contexts(depth)
-        use = self.train[rows] & self.countable[rows]
-        seen, parent = np.maximum(self.seen[rows], 1), self.p[-1][rows]
-        gain = np.log((seen - 1 + PRIOR * parent) / parent)
+        tally = self.contexts()
+        use = self.train[self.rows] & self.countable
+        seen = np.maximum(self.seen, 1)
+        gain = np.log((seen - 1 + PRIOR * self.p) / self.p)
         return tally, [tally.sums(use.astype(float)), tally.sums(use / seen), tally.sums(np.where(use, gain, 0.0))]
 
-    def learn_contexts(self, depth: int, n_buckets: int, replies: dict) -> None:
-        tally, rows = self.contexts(depth)
-        total, kinds, gain = tally.totals(2 * depth, n_buckets, replies, 3)
+    def learn_contexts(self, n_buckets: int, replies: dict) -> None:
+        """What states of this depth say, and on to the next."""
+        total, kinds, gain = self.contexts().totals(2, n_buckets, replies, 3)
         kinds = np.round(kinds)
         state = (total > 0) & (gain - total * np.log(total + PRIOR) >= GAIN)
-        p = self.p[-1].copy()
-        own = rows[state]
-        p[own] = (self.seen[own] + kinds[state] * p[own]) / (total[state] + kinds[state])
-        self.p.append(p)
-        if depth == 1:
-            often = np.roll(self.seen, 1) >= self.often[1]  # the pair of the two words before
-            often[self.first] = False
-            self.context.append(mix(np.roll(self.context[0], 1) * np.uint64(0xD1342543DE82EF95) + self.previous))
-            self.tested.append(often & self.tested[0])
-
-
-def _tree(blob: bytes, replies: dict, n_buckets: int, n: int, v: int, steps: int) -> Tree:
+        p = self.p.copy()
+        p[state] = (self.seen[state] + kinds[state] * p[state]) / (total[state] + kinds[state])
+        seen = np.zeros(len(self.token))
+        seen[self.rows] = self.seen
+        often = np.roll(seen, 1) >= CONTEXT  # the word before with its own context
+        often[self.first] = False
+        self._to(self.depth + 1, self.rows, p, self.countable, often)
+
+
+def _tree(blob: bytes, replies: dict, n_buckets: int, n: int, v: int) -> Tree:
     t = Tree(blob)
-    t.learn_words(n_buckets, replies, n, v)
-    for depth in (1, 2):
-        if steps >= 2 * depth - 1:
-            t.learn_pairs(depth, n_buckets, replies)
-        if steps >= 2 * depth:
-            t.learn_contexts(depth, n_buckets, replies)
+    if STATE in replies:
+        t.unpack(replies[STATE])
+    else:
+        t.learn_words(n_buckets, replies, n, v)
     return t
 
 
+def _settled(replies: dict) -> bool:
+    """No context of the chunk is left to test."""
+    return STATE in replies and not int.from_bytes(replies[STATE][:8], "little")
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -243,46 +284,57 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         tally = t.words()
         yield from tally.messages(0, nb, [tally.sums(t.train.astype(float))])
 
-    replies = materialise(reduce_buckets(scatter(chunks, first), _answer(1, nb, stats=True)))
-    sums = [np.frombuffer(r["payload"], "<i8") for r in replies.where("chunk = -1").select("payload").collect()]  # one row per bucket
+    known = materialise(reduce_buckets(scatter(chunks, first), _answer(1, nb, stats=True)))
+    sums = [np.frombuffer(r["payload"], "<i8") for r in known.where("chunk = -1").select("payload").collect()]  # one row per bucket
     n, v = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
-    replies = replies.where("chunk >= 0")
-
-    def pairs(depth: int):
-        def ask(chunk: int, blob: bytes, got: dict):
-            t = _tree(blob, got, nb, n, v, 2 * depth - 2)
-            tally, rows = t.pairs(depth)
-            yield from tally.messages(2 * depth - 1, nb, [tally.sums(t.train[rows].astype(float))], short=True)
-
-        return ask
-
-    def contexts(depth: int):
-        def ask(chunk: int, blob: bytes, got: dict):
-            t = _tree(blob, got, nb, n, v, 2 * depth - 1)
-            tally, fields = t.evidence(depth)
-            yield from tally.messages(2 * depth, nb, fields)
-
-        return ask
-
-    for depth in (1, 2):
-        for ask, fields, short in ((pairs(depth), 1, True), (contexts(depth), 3, False)):
-            replies = replies.union(materialise(reduce_buckets(scatter(attach(chunks, replies), ask), _answer(fields, nb, short=short))))
+    known = known.where("chunk >= 0")
+
+    def pairs(chunk: int, blob: bytes, got: dict):
+        if not _settled(got):
+            t = _tree(blob, got, nb, n, v)
+            tally, rows = t.pairs()
+            yield from tally.messages(1, nb, [tally.sums(t.train[rows].astype(float))], short=True)
+
+    def contexts(chunk: int, blob: bytes, got: dict):
+        if not _settled(got):
+            t = _tree(blob, got, nb, n, v)
+            t.learn_pairs(nb, got)
+            tally, fields = t.evidence()
+            yield from tally.messages(2, nb, fields)
+
+    def deeper(chunk: int, blob: bytes, got: dict):
+        if _settled(got):
+            yield STATE, got[STATE]
+        else:
+            t = _tree(blob, got, nb, n, v)
+            t.learn_pairs(nb, got)
+            t.learn_contexts(nb, got)
+            yield STATE, t.packed()
+
+    for _ in range(DEPTH):
+        seen = materialise(reduce_buckets(scatter(attach(chunks, known), pairs), _answer(1, nb, short=True)))
+        if seen.isEmpty():  # no context of this depth occurs often enough
+            break
+        followed = materialise(reduce_buckets(scatter(attach(chunks, known.union(seen)), contexts), _answer(3, nb)))
+        state = materialise(scatter(attach(chunks, known.union(seen).union(followed)), deeper))
+        for used in (known, seen, followed):
+            discard(used)
+        known = state
 
     def score(chunk: int, blob: bytes, got: dict):
-        t = _tree(blob, got, nb, n, v, 4)
-        by = lambda x: np.bincount(t.doc, x, len(t.ids))
+        t = _tree(blob, got, nb, n, v)
         return {
             "id": pa.array(t.ids, pa.int64()),
             "held_out": pa.array([not in_training(i) for i in t.ids]),
             "n_tokens": pa.array(t.count),
-            "n_known": pa.array(by((t.c > 0).astype(float)).astype(np.int64)),
+            "n_known": pa.array(t.known.astype(np.int64)),
             "train_tokens": pa.array(np.full(len(t.ids), n, np.int64)),
-            "base_score": pa.array(by(np.log10(t.p[0]))),
-            "score": pa.array(by(np.log10(t.p[-1]))),
+            "base_score": pa.array(t.base),
+            "score": pa.array(t.settled + t.by_doc(np.log10(t.p), t.rows)),
         }
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return each_chunk(attach(chunks, replies), score, schema).withColumnRenamed("id", id_col)
+    return each_chunk(attach(chunks, known), score, schema).withColumnRenamed("id", id_col)
 
 
 def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
