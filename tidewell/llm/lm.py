@@ -31,8 +31,9 @@ CHUNK = 4 << 20
 #: Training occurrences that a context needs to be tested, and a word to be counted after
 #: contexts; the same for every corpus.
 CONTEXT, SYMBOL = 32, 4
-#: Words of the longest context.
-DEPTH = 2
+#: Words of the longest context: rounds end earlier where no context of a depth has CONTEXT
+#: occurrences, and here on passages that many texts share at any length.
+DEPTH = 8
 #: Weight of the parent in the divergence test, and the gain (natural log) that makes a state.
 PRIOR, GAIN = 4.0, 3.0
 STATE = -1  # stands for a bucket where a chunk's state is among its replies
