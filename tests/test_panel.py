@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import evaluate, joins, monitor, portfolio, risk
-from tidewell.plans import catalog
+from tidewell.plans import catalog, queries
 from tidewell.plans.expr import plan
 from tidewell.sources import files
 
@@ -389,3 +389,35 @@ def test_linear_weights_are_optimal():
             v[i] -= e
             v[j] += e
             assert e <= 1e-12 or not ok(v) or score @ v <= score @ w + 1e-12
+
+
+# ---------------------------------------------------------------- registered queries over whole tables
+
+
+def tables(spark, path, weeks):
+    """Line items of 75 suppliers in 25 nations, one a week each."""
+    rng = np.random.default_rng(3)
+    items = [(k, DAY + dt.timedelta(days=7 * w), float(rng.uniform(900, 1100)), float(rng.integers(1, 5)), 0.05, 0.02, "N") for w in range(weeks) for k in range(75)]
+    spark.createDataFrame(items, "l_suppkey long, l_shipdate date, l_extendedprice double, l_quantity double, l_discount double, l_tax double, l_returnflag string").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(k, k % 25) for k in range(75)], "s_suppkey long, s_nationkey long").write.parquet(f"{path}/supplier.parquet")
+    return str(path)
+
+
+def test_basis_and_pairs_of_all_products(spark, tmp_path):
+    sf = tables(spark, tmp_path, 3)
+    p = [r.asDict() for r in queries.base_panel(spark, sf).collect()]
+    basis = {}
+    for date in {r["date"] for r in p}:
+        for product in range(25):
+            rows = [r for r in p if r["date"] == date and r["industry"] == product]
+            index = np.mean([r["open"] for r in rows])
+            for tenor, days_ in enumerate(sorted(28 * (r["code"] % 3 + 1) for r in rows), 1):
+                price = next(r["close"] for r in rows if 28 * (r["code"] % 3 + 1) == days_)
+                basis[date, product, tenor] = (price - index) / index * 365 / days_
+    got = {(r["date"], r["product"], r["tenor"]): r["annualised"] for r in queries.QUERIES["monitor_basis"](spark, sf).collect()}
+    assert len(got) == 3 * 25 * 3 and got.keys() == basis.keys()
+    assert all(math.isclose(got[k], basis[k], abs_tol=1e-4) for k in got)
+    pairs = {(r["date"], r["tenor"], r["long_product"], r["short_product"]): r["spread"] for r in queries.QUERIES["monitor_pairs"](spark, sf).collect()}
+    want = {(d, t, a, b): None if t == 3 else basis[d, a, t] - basis[d, b, t] for d, a, t in basis for b in range(25) if a != b}
+    assert len(pairs) == 3 * 3 * 600 and pairs.keys() == want.keys()
+    assert all(v is None if want[k] is None else math.isclose(v, want[k], abs_tol=1e-4) for k, v in pairs.items())
