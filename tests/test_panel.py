@@ -421,3 +421,18 @@ def test_basis_and_pairs_of_all_products(spark, tmp_path):
     want = {(d, t, a, b): None if t == 3 else basis[d, a, t] - basis[d, b, t] for d, a, t in basis for b in range(25) if a != b}
     assert len(pairs) == 3 * 3 * 600 and pairs.keys() == want.keys()
     assert all(v is None if want[k] is None else math.isclose(v, want[k], abs_tol=1e-4) for k, v in pairs.items())
+
+
+def test_covariance_of_all_groups_windows_and_dates(spark, tmp_path):
+    sf = tables(spark, tmp_path, 130)
+    p = queries.base_panel(spark, sf).toPandas().groupby(["date", "industry"])["close"].mean().unstack()
+    p = p[sorted(p.columns, key=lambda k: f"g{k}")]
+    got = queries.QUERIES["risk_rolling_covariance"](spark, sf).toPandas()
+    ends = {w: list(p.index[max(20, w // 2) - 1 :]) for w in (60, 120, 252)}
+    assert {w: sorted(set(g.date)) for w, g in got.groupby("window")} == ends
+    assert (got.groupby(["date", "window"]).size() == 325).all()
+    for w in ends:
+        last = got[(got.window == w) & (got.date == p.index[-1])].set_index(["factor_i", "factor_j"]).covariance
+        want, _ = risk.ledoit_wolf(p.to_numpy()[-w:])
+        names = [f"g{k}" for k in p.columns]
+        assert np.allclose([last[a, b] for i, a in enumerate(names) for b in names[i:]], [want[i, j] for i in range(25) for j in range(i, 25)], rtol=1e-6, atol=1e-4)

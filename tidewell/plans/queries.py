@@ -303,8 +303,8 @@ def _constrained(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register("risk_rolling_covariance")
 def _covariance(spark: SparkSession, sf: str) -> DataFrame:
-    r = base_panel(spark, sf).where("industry < 6").groupBy("date", F.concat(F.lit("g"), "industry").alias("factor")).agg(F.avg("close").alias("ret"))
-    return risk.rolling_covariance(r, (60, 120), step="quarter")
+    r = base_panel(spark, sf).groupBy("date", F.concat(F.lit("g"), "industry").alias("factor")).agg(F.avg("close").alias("ret"))
+    return risk.rolling_covariance(r)
 
 
 @_register("portfolio_backtest")
