@@ -370,6 +370,14 @@ def test_tree_model(spark):
     assert out.stat.corr("prediction", "label") > 0.8
 
 
+def test_tree_model_has_300_trees_unless_told():
+    import inspect
+
+    from tidewell.operators import models
+
+    assert inspect.signature(models.train_and_predict).parameters["trees"].default == 300
+
+
 def test_linear_weights_are_optimal():
     import itertools
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.operators.evaluate import pct_rank
 
 
-def train_and_predict(panel: DataFrame, features: Sequence[str], label: str, train_end: str, date: str = "date", trees: int = 50, depth: int = 3, seed: int = 7) -> tuple[DataFrame, dict[str, float]]:
+def train_and_predict(panel: DataFrame, features: Sequence[str], label: str, train_end: str, date: str = "date", trees: int = 300, depth: int = 3, seed: int = 7) -> tuple[DataFrame, dict[str, float]]:
     """Predictions for all rows by gradient-boosted trees fit up to ``train_end``, their rank by date less one half, and feature importances.
 
     Missing features take the training median, then zero.
