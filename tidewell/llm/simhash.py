@@ -1,20 +1,21 @@
 """SimHash near-duplicates through Gray-order hierarchical indexes.
 
-Fingerprints at ``distance`` or fewer differing bits agree on at least two of six bit
-segments, so each of the 15 pairs of segments gives a table in which linked fingerprints
-share a key.  A key's fingerprints are sorted by Gray rank; runs of eight become leaves, and
-each node holds the bits its children share (mask and pattern), the bits already held by its
-parent factored out.  A search adds up differences on the way down and prunes a node once
-they exceed the distance.  Links leave a task as a spanning forest, never as all pairs.
-
-A key with more than ``block`` fingerprints is cut into blocks and searched by pairs of
-blocks, so no task holds more than two blocks and no pair is lost.
+Fingerprints at ``distance`` or fewer differing bits agree on all bits of one of
+``distance`` + 1 segments, so each fingerprint stands in that many tables, once for each
+segment, and is looked up among those of its segment value.  A task sorts its table rows by
+segment value and Gray rank and builds one index over them all: up to eight neighbours are a
+leaf, and each node holds the bits its children share (mask and pattern), the bits already
+held by its parent factored out.  Every fingerprint is searched from the root of its segment
+value: differences add up on the way down, and a node is pruned, with all below it, once they
+exceed the distance.  Links leave a task as a spanning forest, never as all pairs.
+
+A segment value with more than ``block`` fingerprints is cut into blocks and searched by
+pairs of blocks, so no task holds more than two blocks and no pair is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import components, forest, local_components, materialise, trimmed
+from tidewell.llm.common import components, forest, joined_once, local_components, materialise, trimmed
 
-SEGMENTS = (11, 11, 11, 11, 10, 10)
 BLOCK = 16384
 FAN = 8
+QUERIES_AT_ONCE = 1 << 14
+ROWS_AT_ONCE = 1 << 19
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -72,97 +74,97 @@ def gray_rank(code: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels of (pattern, mask) over codes in Gray order; level 0 has the codes themselves."""
+    """Trees of (pattern, mask) over codes in Gray order, one tree for each run; level 0 has the codes themselves.
 
-    def __init__(self, codes: np.ndarray):
-        full = np.full(len(codes), ~np.uint64(0))
-        self.levels = [(codes, full)]
-        while len(self.levels[-1][0]) > FAN:
+    ``begin[k][x]`` is the first of the children, one level below, of node x of level k + 1;
+    ``last[k][x]`` the last code below node x of level k.
+    """
+
+    def __init__(self, codes: np.ndarray, run: np.ndarray | None = None):
+        """run: rows of a tree stand together and share a number; without it all codes are one tree."""
+        n = len(codes)
+        run = np.zeros(n, np.int64) if run is None else run
+        self.run, self.levels, self.begin, self.last = run, [(codes, np.full(n, ~np.uint64(0)))], [], [np.arange(n)]
+        self.pruned = self.visited = 0
+        while True:
+            fresh = np.ones(len(run), bool)
+            fresh[1:] = run[1:] != run[:-1]
+            if fresh.all():
+                break
+            start = np.flatnonzero(fresh)
+            within = np.arange(len(run)) - np.repeat(start, np.diff(np.append(start, len(run))))
+            at = np.flatnonzero(within % FAN == 0)
+            size = np.diff(np.append(at, len(run)))
             p, m = self.levels[-1]
-            at = np.arange(0, len(p), FAN)
-            first = np.repeat(p[at], np.diff(np.append(at, len(p))))
-            shared = np.bitwise_and.reduceat(m & ~(p ^ first), at)
+            shared = np.bitwise_and.reduceat(m & ~(p ^ np.repeat(p[at], size)), at)
             self.levels.append((p[at] & shared, shared))
+            self.begin.append(at)
+            self.last.append(self.last[-1][at + size - 1])
+            run = run[at]
         # what a parent holds is factored out of its children
-        self.residual = [m & ~np.repeat(up[1], FAN)[: len(m)] for (_, m), up in zip(self.levels, self.levels[1:])]
+        self.residual = [m & ~np.repeat(up[1], self._size(k)) for k, ((_, m), up) in enumerate(zip(self.levels, self.levels[1:]))]
         self.residual.append(self.levels[-1][1])
+        self.root = np.searchsorted(run, self.run)  # a code's own tree; runs are numbered upwards
+
+    def _size(self, level: int) -> np.ndarray:
+        return np.diff(np.append(self.begin[level], len(self.levels[level][0])))
 
     def links(self, distance: int) -> tuple[np.ndarray, np.ndarray]:
-        """Links that connect whatever pairs at up to ``distance`` connect, each itself such a pair."""
+        """A forest of links (code, least place reachable) that connects what pairs at up to ``distance`` connect, and no more."""
         codes = self.levels[0][0]
         n, top = len(codes), len(self.levels) - 1
+        first = [np.arange(n)]
+        for at in self.begin:
+            first.append(first[-1][at])
         label, out_a, out_b = np.arange(n), [], []
-        for lo in range(0, n, 2048):
-            uniform = [label]
-            for _ in range(top):
+        for lo in range(0, n, QUERIES_AT_ONCE):
+            uniform = [label]  # the component that all codes below a node belong to, or -1
+            for at in self.begin:
                 u = uniform[-1]
-                at = np.arange(0, len(u), FAN)
-                same = np.minimum.reduceat(u, at) == np.maximum.reduceat(u, at)
-                uniform.append(np.where(same & (u[at] >= 0), u[at], -1))
-            q = np.arange(lo, min(n, lo + 2048))
-            width = len(self.levels[top][0])
-            ask, node = np.repeat(q, width), np.tile(np.arange(width), len(q))
-            acc, found_a, found_b = np.zeros(len(ask), np.int64), [], []
+                low, high = np.minimum.reduceat(u, at), np.maximum.reduceat(u, at)
+                uniform.append(np.where(low == high, low, -1))
+            ask = np.arange(lo, min(n, lo + QUERIES_AT_ONCE))
+            node, acc = self.root[ask], np.zeros(len(ask), np.int64)
             for level in range(top, -1, -1):
-                span = FAN**level
                 pattern, mask = self.levels[level]
-                keep = ((node + 1) * span > ask + 1) & (uniform[level][node] != label[ask])
+                # pairs are looked for forwards, and not within what is one component already
+                keep = (self.last[level][node] > ask) & (uniform[level][node] != label[ask])
                 ask, node, acc = ask[keep], node[keep], acc[keep]
                 acc = acc + np.bitwise_count((codes[ask] ^ pattern[node]) & self.residual[level][node])
                 keep = acc <= distance
+                self.visited, self.pruned = self.visited + len(keep), self.pruned + int((~keep).sum())
                 ask, node, acc = ask[keep], node[keep], acc[keep]
                 # with so few bits open, every code below is within the distance of the query and of each other
                 sure = acc + np.bitwise_count(~mask[node]) <= distance
-                first = node[sure] * span
-                found_a.append(ask[sure])
-                found_b.append(first)
-                if level:
-                    member = (np.unique(first)[:, None] + np.arange(span)).ravel()
-                    member = member[member < n]
-                    found_a.append(member // span * span)
-                    found_b.append(member)
-                ask, node, acc = ask[~sure], node[~sure], acc[~sure]
+                if sure.any():
+                    begin = first[level][node[sure]]
+                    out_a.append(ask[sure])
+                    out_b.append(begin)
+                    if level:
+                        whole = np.unique(node[sure])
+                        size = self.last[level][whole] - first[level][whole] + 1
+                        head = np.repeat(first[level][whole], size)
+                        out_a.append(head)
+                        out_b.append(head + np.arange(len(head)) - np.repeat(np.cumsum(size) - size, size))
+                    ask, node, acc = ask[~sure], node[~sure], acc[~sure]
                 if level:
-                    count = len(self.levels[level - 1][0])
-                    node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                    ask, acc = np.repeat(ask, FAN), np.repeat(acc, FAN)
-                    keep = node < count
-                    ask, node, acc = ask[keep], node[keep], acc[keep]
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            keep = a != b
-            a, b = a[keep], b[keep]
-            if len(a):
-                out_a.append(a)
-                out_b.append(b)
-                la, lb = label[a], label[b]
-                label = local_components(n, la, lb)[label]
+                    size = self._size(level - 1)[node]
+                    child = np.repeat(self.begin[level - 1][node] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                    ask, acc, node = np.repeat(ask, size), np.repeat(acc, size), child
+            if len(out_a):
+                a, b = forest(np.concatenate(out_a), np.concatenate(out_b))
+                out_a, out_b = [a], [b]
+                label = local_components(n, a, b)
         if not out_a:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def search_runs(run: np.ndarray, code: np.ndarray, rep: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of representatives within each run; rows of a run stand together."""
+    """Links of representatives within each run, which connect what pairs within runs connect."""
     order = np.lexsort((gray_rank(code), run))
-    run, code, rep = run[order], code[order], rep[order]
-    starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    sizes = np.diff(np.append(starts, len(run)))
-    a, b = [], []
-    small = np.repeat(sizes <= 4 * FAN, sizes)
-    for k in range(1, min(4 * FAN, int(sizes.max(initial=0)))):  # a run of a few leaves is one node: its codes are compared
-        at = np.flatnonzero((run[k:] == run[:-k]) & small[k:])
-        if not len(at):
-            break
-        at = at[np.bitwise_count(code[at] ^ code[at + k]) <= distance]
-        a.append(rep[at])
-        b.append(rep[at + k])
-    for s, n in zip(starts[sizes > 4 * FAN].tolist(), sizes[sizes > 4 * FAN].tolist()):
-        x, y = GrayIndex(code[s : s + n]).links(distance)
-        a.append(rep[s + x])
-        b.append(rep[s + y])
-    if not a:
-        return rep[:0], rep[:0]
-    return forest(np.concatenate(a), np.concatenate(b))
+    x, y = GrayIndex(code[order], run[order]).links(distance)
+    return rep[order[x]], rep[order[y]]
 
 
 def _search(distance: int):
@@ -171,34 +173,38 @@ def _search(distance: int):
         for b in batches:
             cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
-            t, key, lo, hi = held[:4]
-            change = (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            if change.any():
-                cut = int(np.flatnonzero(change)[-1]) + 1  # the last run may go on
-                yield _found([x[:cut] for x in held], change[: cut - 1], distance)
+            if len(held[0]) < ROWS_AT_ONCE:
+                continue
+            at = np.flatnonzero(_change(held))
+            if len(at):
+                cut = int(at[-1]) + 1  # the last run may go on
+                yield _found([x[:cut] for x in held], distance)
                 held = [x[cut:] for x in held]
         if held is not None and len(held[0]):
-            yield _found(held, (held[0][1:] != held[0][1:]), distance)
+            yield _found(held, distance)
 
     return run
 
 
-def _found(cols: list[np.ndarray], change: np.ndarray, distance: int) -> pa.RecordBatch:
-    run = np.concatenate([[0], np.cumsum(change)])
+def _change(cols: list[np.ndarray]) -> np.ndarray:
+    return np.any([x[1:] != x[:-1] for x in cols[:4]], axis=0)
+
+
+def _found(cols: list[np.ndarray], distance: int) -> pa.RecordBatch:
+    run = np.concatenate([[0], np.cumsum(_change(cols))])
     u, v = search_runs(run, cols[4].view(np.uint64), cols[5], distance)
     return pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
 
 
+def segments(distance: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of distance + 1 segments of nearly one size."""
+    cuts = [round(64 * k / (distance + 1)) for k in range(distance + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def link_fingerprints(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
-    """(u, v): links between representatives (rep long) of distinct fingerprints (fp long)."""
-    if not 0 <= distance <= 4:
-        raise ValueError("six segments find distances of 0 to 4")
-    at, shifts = 0, []
-    for w in SEGMENTS:
-        shifts.append(at)
-        at += w
-    part = [f"(shiftrightunsigned(fp, {s}) & {(1 << w) - 1})" for s, w in zip(shifts, SEGMENTS)]
-    keys = [f"struct({t} as t, {part[i]} * 2048 + {part[j]} as key)" for t, (i, j) in enumerate(combinations(range(6), 2))]
+    """(u, v): links between representatives (rep long) of distinct fingerprints (fp long), at any distance from 0 to 63."""
+    keys = [f"struct({t} as t, shiftrightunsigned(fp, {s}) & {(1 << w) - 1 if w < 64 else -1}L as key)" for t, (s, w) in enumerate(segments(distance))]
     rows = fps.select("fp", "rep", F.explode(F.expr(f"array({', '.join(keys)})")).alias("k")).select("k.t", "k.key", "fp", "rep")
     hot = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     hot = hot.select("t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -215,15 +221,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable by fingerprints ``distance`` or fewer bits apart, itself included.
 
     Null or empty text: fingerprint zero, which links like any other.  Null ids: the row
-    stays, takes part in linking only as its fingerprint does, and has the component of its
-    fingerprint, null if no document with an id is reachable.  Repeated rows each give a
-    row.  An empty table gives an empty one.  Other columns are not read.
+    stays and links like any other, but has no id to give, so its component's id is null if
+    no document with an id is reachable.  Repeated rows each give a row.  An empty table
+    gives an empty one.  Other columns are not read, so their names don't matter.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, width))
-    reps = materialise(fps.groupBy("fp").agg(F.min("id").alias("rep")))
-    found = components(link_fingerprints(reps.where("rep is not null"), distance))
-    reps = reps.join(found, F.col("rep") == F.col("vertex"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(reps, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    found = components(link_fingerprints(distinct.select("fp", F.col("fp").alias("rep")), distance))  # vertices are fingerprints
+    placed = materialise(distinct.join(found, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = materialise(joined_once(placed.select("fp", "root"), "root", least).select("fp", "component_id"))
+    return joined_once(fps, "fp", placed).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
