@@ -114,8 +114,14 @@ def test_gray_index_links(seed):
     want = union(len(codes), np.argwhere(np.triu(near, 1)).tolist())
     order = np.argsort(simhash.gray_rank(codes))
     x, y = simhash.GrayIndex(codes[order]).links(4)
-    assert near[order[x], order[y]].all()
     assert union(len(codes), zip(order[x].tolist(), order[y].tolist())) == want
+    index = simhash.GrayIndex(codes[order])
+    index.links(4)
+    assert len(index.levels) > 2 and index.pruned > 0.3 * index.visited  # whole groups are left out
+    run = rng.integers(0, 9, len(codes))  # many trees at once
+    u, v = simhash.search_runs(run, codes, rep, 4)
+    assert (run[u] == run[v]).all()
+    assert union(len(codes), zip(u.tolist(), v.tolist())) == union(len(codes), [(a, b) for a, b in np.argwhere(np.triu(near, 1)).tolist() if run[a] == run[b]])
     u, v = simhash.search_runs(np.zeros(len(codes), np.int64), codes, rep, 4)
     assert union(len(codes), zip(u.tolist(), v.tolist())) == want
 
@@ -130,6 +136,30 @@ def test_simhash_blocks_lose_nothing(spark):
     assert union(len(codes), links) == want
 
 
+def test_simhash_links_through_rows_without_ids(spark, monkeypatch):
+    codes = {1: 0x0, None: 0xF, 2: 0xFF, 3: 0xFFF << 30}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: spark.createDataFrame([(i, f) for i, f in codes.items()], "id long, fp long"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame([(1, "")], "doc_id long, text string")).collect()}
+    assert got == {1: 1, None: 1, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("distance", [0, 1, 7])
+def test_simhash_at_other_distances(spark, distance):
+    rng = np.random.default_rng(distance)
+    base = rng.integers(0, 1 << 62, 20)
+    codes = sorted({int(base[k % 20]) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 10))) for k in range(300)})
+    df = spark.createDataFrame([(c if c < 1 << 63 else c - (1 << 64), k) for k, c in enumerate(codes)], "fp long, rep long")
+    links = [(r["u"], r["v"]) for r in simhash.link_fingerprints(df, distance).collect()]
+    assert union(len(codes), links) == union(len(codes), [(a, b) for a in range(len(codes)) for b in range(a) if (codes[a] ^ codes[b]).bit_count() <= distance])
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB", 5)
+    links = [(0, k) for k in range(1, 40)] + [(39, 100 + k) for k in range(20)] + [(500, 600 + k) for k in range(9)]
+    got = {r["vertex"]: r["component"] for r in common.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {v: 500 if v >= 500 else 0 for e in links for v in e}
+
+
 # ---------------------------------------------------------------- 2 and 7
 
 
@@ -343,7 +373,7 @@ def test_scoring_beats_base_on_held_out_text(spark):
 
 
 def brute_tree(rows, depth):
-    """Scores under the tree with contexts of up to depth words, counted in dictionaries; all states' contexts."""
+    """Scores under the tree with contexts of up to depth words, counted in dictionaries; every context is tested.  And its states."""
     texts = [[b"\n"] + (t or "").encode().lower().split() + [b"\n"] for _, t in rows]
     train = [lm.in_training(i) for i, _ in rows]
     c = Counter(w for x, ok in zip(texts, train) if ok for w in x[1:])
@@ -357,21 +387,17 @@ def brute_tree(rows, depth):
             return parent
         return (model[x][w] + len(model[x]) * parent) / (sum(model[x].values()) + len(model[x]))
 
-    often = {(w,) for w in c if c[w] >= 32}
     for d in range(1, depth + 1):
         follow, places = {}, {}
         for x, ok in zip(texts, train):
             for k in range(d, len(x)) if ok else ():
-                if (h := tuple(x[k - d : k])) in often and c[x[k]] >= 4:
-                    follow.setdefault(h, Counter())[x[k]] += 1
-                    places.setdefault(h, []).append((x[:k], x[k]))
-        won = {}
+                h = tuple(x[k - d : k])
+                follow.setdefault(h, Counter())[x[k]] += 1
+                places.setdefault(h, []).append((x[:k], x[k]))
         for h, f in follow.items():
             gain = sum(math.log((f[w] - 1 + 4 * q) / q) for past, w in places[h] for q in [p(past, w, d - 1)])
             if gain - sum(f.values()) * math.log(sum(f.values()) + 4) >= 3:
-                won[h] = f
-        model |= won
-        often = {(*h, w) for h, f in follow.items() for w in f if f[w] >= 32}
+                model[h] = f
     return [sum(math.log10(p(x[:k], x[k], depth)) for k in range(1, len(x))) for x in texts], set(model)
 
 
@@ -388,33 +414,29 @@ def phrases(seed=5, n=150):
     return rows + [(None, "p of u the pu"), (3, None), (n, "once twice")]
 
 
-def test_scores_are_the_trees(spark):
-    rows = phrases()
+@pytest.mark.parametrize("hot", [1 << 21, 60])
+def test_scores_are_the_trees(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT", hot)  # contexts with more occurrences are split over buckets
+    rows = phrases() + [(900 + k, " ".join(f"w{j}" for j in range(30))) for k in range(3)]
     want, states = brute_tree(rows, lm.DEPTH)
-    assert max(map(len, states)) > 1
+    assert max(map(len, states)) > 3
     got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    assert np.allclose(sorted(r["score"] for r in got.collect()), sorted(want), rtol=1e-9)
-
-
-def test_contexts_go_beyond_two_words(spark):
-    rows = phrases()
-    short, _ = brute_tree(rows, 2)
-    _, states = brute_tree(rows, lm.DEPTH)
-    assert any(len(x) > 3 for x in states)
-    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert sum(r["score"] for r in got) > 0.9 * sum(short)
-
-
-def test_contexts_and_words_need_the_same_counts_in_any_corpus():
-    text = " ".join(["one two"] * 40 + ["four"] * 4).encode()
-    t = lm.Tree(lm.tokens_packed([0], [text]))
-    tally = t.words()
-    replies = {}
-    for bucket, payload in tally.messages(0, 2, [tally.sums(t.train.astype(float))]):
-        (replies[bucket],) = lm._answer(1, 2)(bucket, [0], [payload])
-    t.learn_words(2, replies, 4_000_000_000, 1000)
-    word = t.token[t.rows - 1]
-    assert len(set(word.tolist())) == 2 and len(t.rows) == 80 and t.countable.all()
+    assert np.allclose(sorted(r["score"] for r in got.collect()), sorted(want), rtol=1e-5)
+
+
+def test_scores_of_the_corpus_are_the_trees(docs):
+    want, _ = brute_tree(corpus(), 3)
+    assert np.allclose(sorted(r["score"] for r in lm.score_texts(docs, depth=3).collect()), sorted(want), rtol=1e-5)
+
+
+def test_text_that_occurs_twice_scores_apart(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 3))) for _ in range(80))
+    rows = [(k, text()) for k in range(200)]
+    rows += [(1000 + k, rows[k][1]) for k in range(20)]
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice = [got[k] for k in range(20) if lm.in_training(k) and lm.in_training(1000 + k)]
+    assert min(twice) > 2 * max(got[k] for k in range(20, 200)) and len(twice) > 5
 
 
 # ---------------------------------------------------------------- 9 and 10

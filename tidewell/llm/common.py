@@ -50,7 +50,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(rows: DataFrame) -> DataFrame:
+    """Write rows to the shared folder as a table bucketed by chunk, so that joins by chunk don't move it."""
+    spark = rows.sparkSession
+    gc.collect()  # shuffle files of earlier steps go once the driver has collected their plans
+    spark.sparkContext._jvm.System.gc()
+    name = f"tidewell_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(n, "chunk").saveAsTable(name)
+    _written.append((spark, path))
+    return spark.table(name)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    name = path.rsplit("/", 1)[-1]
+    if name.startswith("tidewell_"):  # a table, see bucketed()
+        spark.sql(f"drop table if exists `{name}`")
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -117,7 +133,6 @@ def snapshot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     replies move the replies only.  A file holds one task's chunks of one bucket; on large
     inputs choose chunk_bytes so that these files have a good size.
     """
-    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -139,12 +154,7 @@ def snapshot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
             yield out()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "chunk long, blob binary")
-    name = f"tidewell_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(n, "chunk").saveAsTable(name)
-    _written.append((spark, path))
-    return spark.table(name)
+    return bucketed(rows)
 
 
 # ---------------------------------------------------------------- questions to hash buckets
@@ -163,7 +173,7 @@ def scatter(chunks: DataFrame, ask: Callable) -> DataFrame:
                 got = list(ask(chunk, b.column(1)[k].as_py(), _replies(b.column(2)[k]) if has else {}))
                 yield pa.record_batch([pa.array([chunk] * len(got), pa.int64()), pa.array([x for x, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["chunk", "bucket", "payload"])
 
-    return chunks.select("chunk", "blob", *(["replies"] if has else [])).mapInArrow(run, MESSAGE)
+    return chunks.select("chunk", "blob", *(["replies"] if has else [])).mapInArrow(trimmed(run), MESSAGE)
 
 
 def _replies(value: pa.Scalar) -> dict[int, bytes]:
@@ -202,7 +212,7 @@ def each_chunk(chunks: DataFrame, work: Callable, schema: str) -> DataFrame:
                 if got is not None:
                     yield pa.RecordBatch.from_pydict(got)
 
-    return chunks.select("chunk", "blob", *(["replies"] if has else [])).mapInArrow(run, schema)
+    return chunks.select("chunk", "blob", *(["replies"] if has else [])).mapInArrow(trimmed(run), schema)
 
 
 def split_sorted(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -286,22 +296,49 @@ def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.record_batch([pa.array(a), pa.array(b)], ["u", "v"])
 
 
+HUB = 512  # rows with one key from which joined_once() looks after the key by itself
+HUBS = 200_000  # such keys that are broadcast (16 bytes each)
+
+
+def joined_once(rows: DataFrame, key: str, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has each key once: (key, one more column), key long.
+
+    Rows of a key that has HUB of them or more don't move: their entries of the table are
+    broadcast.  There are at most count(rows) / HUB such keys; if there are more than HUBS,
+    they are joined like the others, and adaptive execution splits large partitions.
+    """
+    value = next(c for c in table.columns if c != key)
+    hubs = materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HUB).select(key))
+    n = hubs.count()
+    if not n or n > HUBS:
+        return rows.join(table, key, how)
+    hubs = hubs.withColumn("hub", F.lit(True))
+    own = hubs.join(table, key, "left").select(key, "hub", F.col(value).alias("hub_value"))
+    marked = rows.join(F.broadcast(own), key, "left")
+    rest = marked.where("hub is null").drop("hub", "hub_value").join(table, key, how)
+    mine = marked.where("hub" if how == "left" else "hub and hub_value is not null").withColumnRenamed("hub_value", value).drop("hub")
+    return mine.select(*rest.columns).unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(vertex, component) of all vertices in links (u, v: long): the smallest vertex reachable.
 
     Each task first shrinks its links to a forest; then large-star and small-star rounds
-    alternate until nothing changes.  Minima are partial aggregates and joins are left to
-    adaptive skew handling, so one huge component doesn't land in one task.
+    alternate until nothing changes.  Minima are partial aggregates, and a star's centre
+    isn't a key that its rows move by (joined_once), so a huge component stays spread.
     """
     e = materialise(links.where("u <> v").mapInArrow(_forest_batches, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # large-star: what is larger than a vertex goes to its least neighbour, or to itself if it has none below
+        low = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        large = materialise(joined_once(e, "v", low, "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        discard(e)
+        # small-star: a vertex and what is smaller go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), "m").where("u <> m").select("u", F.col("m").alias("v")).distinct()
+        small = joined_once(large, "u", low).select(F.explode(F.array("u", "v")).alias("u"), "m").where("u <> m").select("u", F.col("m").alias("v")).distinct()
         e = materialise(small)
+        discard(large)
         n = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.expr("cast(pmod(xxhash64(u, v), 1000000007) as long)")), F.lit(0))).first()
         if tuple(n) == before:
             break

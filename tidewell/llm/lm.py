@@ -1,43 +1,52 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-The tree's states are contexts of up to ``DEPTH`` words, among those with ``CONTEXT`` training
-occurrences or more.  A context is a state if a divergence test favours it: over its training
-occurrences, its own next-word counts, each with the occurrence itself left out, must predict
-better than its parent's distribution.
+The tree's states are contexts of up to ``DEPTH`` words.  A context is a state if a divergence
+test favours it: over its training occurrences, its own next-word counts, each with the
+occurrence itself left out, must predict better than its parent's distribution.  Nothing else
+decides, in any corpus: contexts seen once can't pass the test, so they are left out unasked,
+and a context with the same occurrences as its parent has the parent's counts and can't pass
+either, so it isn't asked for either.
 Next-word distributions are smoothed towards the parent's by the number of different next
 words (Witten-Bell), and a word is scored in the longest suffix state of its history.
 
-Words and contexts are known by 64-bit hashes, pairs of context and word by 40 bits within
-their bucket.  Counts live in hash buckets: chunks send their distinct keys with local sums
-and get the corpus totals back, so a word, context or pair that fills a third of the corpus
-sends one entry per chunk.  After each depth a chunk keeps the probabilities of the tokens
-that have a longer context to test, and the replies so far are deleted.
+Counts live in hash buckets.  At each depth a chunk sends its distinct pairs of context and
+next word, with local sums, to the buckets of the contexts, which count, test and reply.  So a
+context or pair that fills a third of the corpus sends one entry per chunk and next word, and
+a context with ``HOT`` occurrences or more is split over buckets by its next words; the parts'
+sums, at most two for every HOT training tokens, come back through the driver.
+
+Words are known by 64-bit hashes, contexts by 48 bits within their bucket, next words by 32
+bits within their context.  Between depths a chunk keeps, for tokens with a longer context to
+test, their probability (single precision) and counts.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm.common import attach, buckets, discard, each_chunk, materialise, mix, reduce_buckets, scatter, snapshot, split_sorted
+from tidewell.llm.common import attach, bucketed, buckets, discard, each_chunk, materialise, mix, reduce_buckets, scatter, snapshot, split_sorted
 
 CHUNK = 4 << 20
-#: Training occurrences that a context needs to be tested, and a word to be counted after
-#: contexts; the same for every corpus.
-CONTEXT, SYMBOL = 32, 4
-#: Words of the longest context: rounds end earlier where no context of a depth has CONTEXT
-#: occurrences, and here on passages that many texts share at any length.
+#: Words of the longest context; rounds end earlier where longer contexts tell nothing new.
 DEPTH = 8
 #: Weight of the parent in the divergence test, and the gain (natural log) that makes a state.
 PRIOR, GAIN = 4.0, 3.0
+#: Occurrences from which a context is split over buckets.
+HOT = 1 << 21
+#: Steps of a natural log of a probability in messages.
+LOG_STEP = 2048
+WORDS = (1 << 63).to_bytes(8, "little")  # begins a state before any contexts; others begin with how many tokens ask
 STATE = -1  # stands for a bucket where a chunk's state is among its replies
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # not a word
+_PART = np.uint64(0xA24BAED4963EE407)
 
 
 def in_training(doc_id: int | None) -> bool:
@@ -45,297 +54,403 @@ def in_training(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 != 1
 
 
-class Tally:
-    """Distinct keys of some positions, and the corpus totals once they are known."""
+# ---------------------------------------------------------------- words
 
-    def __init__(self, key: np.ndarray, at: np.ndarray | None = None):
-        """key: of each position; or sorted distinct keys, and each position's place among them."""
-        self.key, self.at = np.unique(key, return_inverse=True) if at is None else (key, at)
 
-    def sums(self, weight: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, weight, len(self.key))
+def _word_messages(key: np.ndarray, count: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Sorted distinct words and their training occurrences, by bucket."""
+    bounds = [0, *split_sorted(key, n_buckets).tolist(), len(key)]
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        if b > a:
+            yield k, (b - a).to_bytes(8, "little") + key[a:b].tobytes() + _press(count[a:b].astype(np.uint32).tobytes())
 
-    def messages(self, tag: int, n_buckets: int, fields: list[np.ndarray], short: bool = False):
-        """short: five bytes of each key are sent, besides the bucket, instead of eight; two of a
-        bucket's keys then share a message key with a chance of its size by 2**-40."""
-        bounds = [0, *split_sorted(self.key, n_buckets).tolist(), len(self.key)]
-        press = zstandard.ZstdCompressor(level=1)
-        for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            if b > a:
-                key = self.key[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 5 if short else 8]
-                yield k + tag * n_buckets, (b - a).to_bytes(8, "little") + key.tobytes() + press.compress(b"".join(_slim(x[a:b]) for x in fields))
-
-    def totals(self, tag: int, n_buckets: int, replies: dict, fields: int) -> list[np.ndarray]:
-        bounds = np.concatenate([[0], split_sorted(self.key, n_buckets), [len(self.key)]])
-        out = [np.zeros(len(self.key)) for _ in range(fields)]
-        open_ = zstandard.ZstdDecompressor()
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            raw, at, a, b = open_.decompress(replies[k + tag * n_buckets]), 0, bounds[k], bounds[k + 1]
-            for x in out:
-                x[a:b], at = _wide(raw, at, int(b - a))
-        return [x[self.at] for x in out]
-
-
-def _slim(x: np.ndarray) -> bytes:
-    """Whole numbers in four bytes where they fit, else doubles."""
-    small = len(x) == 0 or ((x == np.floor(x)).all() and x.min() >= 0 and x.max() < 1 << 32)
-    return (b"\0" + x.astype(np.uint32).tobytes()) if small else (b"\1" + x.astype(np.float64).tobytes())
-
-
-def _wide(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
-    kind, size = (np.uint32, 4) if raw[at] == 0 else (np.float64, 8)
-    return np.frombuffer(raw, kind, n, at + 1).astype(float), at + 1 + size * n
-
-
-def _answer(fields: int, n_buckets: int, stats: bool = False, short: bool = False) -> Callable:
-    """Totals of each key; with stats one more row: (chunk -1, sum of the first field, keys where it isn't zero)."""
-
-    def answer(bucket: int, chunks: list, payloads: list):
-        order = np.argsort(np.array(chunks), kind="stable")  # sums of doubles don't depend on arrival
-        keys, values = [], [[] for _ in range(fields)]
-        open_ = zstandard.ZstdDecompressor()
-        for k in order.tolist():
-            n = int.from_bytes(payloads[k][:8], "little")
-            size = 5 if short else 8
-            key = np.zeros((n, 8), np.uint8)
-            key[:, :size] = np.frombuffer(payloads[k], np.uint8, size * n, 8).reshape(n, size)
-            keys.append(key.view("<u8").ravel())
-            raw, at = open_.decompress(payloads[k][8 + size * n :]), 0
-            for v in values:
-                x, at = _wide(raw, at, n)
-                v.append(x)
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = [np.bincount(at, np.concatenate(v), len(key)) for v in values]
-        cut = np.cumsum([len(x) for x in keys])[:-1]
-        parts = [np.split(x[at], cut) for x in total]
-        press = zstandard.ZstdCompressor(level=1)
-        replies: list[bytes] = [b""] * len(payloads)
-        for j, k in enumerate(order.tolist()):
-            replies[k] = press.compress(b"".join(_slim(p[j]) for p in parts))
-        if not stats:
-            return replies
-        extra = np.array([total[0].sum(), (total[0] > 0).sum()]).astype("<i8").tobytes()
-        return pa.table({"chunk": pa.array([*chunks, -1], pa.int64()), "bucket": pa.array([bucket] * (len(chunks) + 1), pa.int32()), "payload": pa.array([*replies, extra], pa.binary())})
-
-    return answer
+
+def _word_totals(key: np.ndarray, n_buckets: int, replies: dict[int, bytes]) -> np.ndarray:
+    bounds = np.concatenate([[0], split_sorted(key, n_buckets), [len(key)]])
+    out = np.zeros(len(key), np.int64)
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        out[bounds[k] : bounds[k + 1]] = np.frombuffer(_open(replies[k]), np.int64)
+    return out
+
+
+def _count_words(bucket: int, chunks: list, payloads: list) -> pa.Table:
+    """Totals of each word; and a row for chunk -1: their sum, and how many occur in training."""
+    keys, counts = [], []
+    for x in payloads:
+        n = int.from_bytes(x[:8], "little")
+        keys.append(np.frombuffer(x, np.uint64, n, 8))
+        counts.append(np.frombuffer(_open(x[8 + 8 * n :]), np.uint32))
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+    parts = np.split(total[at], np.cumsum([len(x) for x in keys])[:-1])
+    out = [_press(x.tobytes()) for x in parts] + [np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()]
+    return _rows(bucket, [*chunks, -1], out)
+
+
+def _rows(bucket: int, chunks: list, payloads: list) -> pa.Table:
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "payload": pa.array(payloads, pa.binary())})
+
+
+def _press(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _open(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of one place together, which packs better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+class Reader:
+    """Arrays one after the other in a buffer."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at = raw, 0
+
+    def take(self, kind: type, n: int) -> np.ndarray:
+        out = np.frombuffer(self.raw, kind, n, self.at)
+        self.at += out.nbytes
+        return out
+
+    def planes(self, kind: type, n: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.ascontiguousarray(self.take(np.uint8, n * size).reshape(size, n).T).view(kind).ravel()
+
+    def bits(self, n: int) -> np.ndarray:
+        return np.unpackbits(self.take(np.uint8, (n + 7) // 8), count=n).astype(bool)
+
+
+class Numbered(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def tokens_packed(ids: list, texts: list) -> bytes:
     """A chunk's tokens: distinct hashes in order, and each token's place among them."""
-    f = xxhash.xxh3_64_intdigest
     words = [(t or b"").lower().split() for t in texts]
     count = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    token = np.empty(int(count.sum()), np.uint64)
+    number = Numbered()
+    token = np.full(int(count.sum()), number[b"\n"])  # not a word; hashed below, it is END
     body = np.ones(len(token), bool)
     body[np.cumsum(count) - 1] = False
-    token[~body] = END
-    token[body] = np.fromiter((f(w) for x in words for w in x), np.uint64, int(body.sum()))
-    key, at = np.unique(token, return_inverse=True)
+    token[body] = np.fromiter((n for x in words for n in map(number.__getitem__, x)), np.int64, int(body.sum()))
+    key = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+    key, place = np.unique(key, return_inverse=True)
+    at = place[token]
     null = np.array([i is None for i in ids], bool)
-    head = np.array([len(ids), len(key)], np.int64)
-    parts = [head, np.array([0 if i is None else i for i in ids], np.int64), null, count, key, at.astype(np.uint32)]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts))
+    head = np.array([len(ids), len(key), len(at)], np.int64)
+    parts = [head, np.array([0 if i is None else i for i in ids], np.int64), null, count, key]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in [*parts, at.astype("<u2"), (at >> 16).astype("<u2")]))
+
+
+# ---------------------------------------------------------------- pairs of context and next word
+
+
+class Pairs:
+    """Distinct pairs of context and next word of some tokens, sorted by context.
+
+    Order and equality go by 40 bits of the context first, so a context or pair may, very
+    rarely, stand more than once; buckets merge all of them.
+    """
+
+    def __init__(self, context: np.ndarray, token: np.ndarray, total: np.ndarray):
+        pair = mix(context * np.uint64(0x9FB21C651E98DF25) + token)
+        self.parts = total // HOT + 1
+        hot = np.flatnonzero(self.parts > 1)
+        self.whole = context
+        if len(hot):
+            context = context.copy()
+            context[hot] = part_of(context[hot], pair[hot] % self.parts[hot].astype(np.uint64))
+        low = np.uint64((1 << 24) - 1)
+        key = (context & ~low) | (pair & low)
+        order = np.argsort(key)
+        c, p = context[order], pair[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+        self.at = np.empty(len(order), np.int64)
+        self.at[order] = np.cumsum(fresh) - 1
+        self.row = order[fresh]  # a token of each pair
+        self.context, self.pair = context[self.row], pair[self.row]
+        begins = np.ones(len(self.row), bool)
+        begins[1:] = self.context[1:] != self.context[:-1]
+        self.begin = np.flatnonzero(begins)
+        self.of = np.cumsum(begins) - 1
+
+    def bounds(self, n_buckets: int) -> list[int]:
+        """Where each bucket's pairs begin: a context's bucket is its range of the hash space."""
+        return [0, *np.searchsorted(self.context >> np.uint64(24), np.arange(1, n_buckets, dtype=np.uint64) * _width(n_buckets)).tolist(), len(self.row)]
+
+    def messages(self, count: np.ndarray, p: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+        """count: training occurrences of each pair; p: its probability under shorter contexts."""
+        log = np.minimum(np.round(-np.log(p) * LOG_STEP), 65535).astype("<u2")
+        bounds = self.bounds(n_buckets)
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            if b > a:
+                first, last = self.of[a], self.of[b - 1] + 1
+                begin = self.begin[first:last]
+                size = np.diff(np.append(begin, b)).astype("<u4")
+                split = np.flatnonzero(self.parts[self.row[begin]] > 1).astype("<u4")
+                head = np.array([last - first, b - a, len(split)], "<u4").tobytes()
+                key = np.ascontiguousarray(self.context[begin].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                rest = _press(size.tobytes() + count[a:b].astype("<u4").tobytes() + split.tobytes() + _planes(log[a:b]))
+                yield k, head + key + self.pair[a:b].astype("<u4").tobytes() + rest
+
+    def learn(self, n_buckets: int, replies: dict[int, bytes], hot: dict[tuple[int, int], tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair: occurrences, and the different next words of its context, 0 if that is no state."""
+        kinds, count = np.zeros(len(self.begin), np.int64), np.zeros(len(self.row), np.int64)
+        bounds = self.bounds(n_buckets)
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            if b > a:
+                first, last = self.of[a], self.of[b - 1] + 1
+                raw = Reader(_open(replies[k]))
+                kinds[first:last], count[a:b] = raw.take(np.uint32, last - first), raw.take(np.uint32, b - a)
+        known: dict[int, int] = {}
+        for j in np.flatnonzero(self.parts[self.row[self.begin]] > 1).tolist():
+            row = self.row[self.begin[j]]
+            whole, parts = self.whole[row], int(self.parts[row])
+            if int(whole) not in known:
+                keys = part_of(np.full(parts, whole), np.arange(parts, dtype=np.uint64))
+                got = [hot.get((int(x >> np.uint64(24)) // int(_width(n_buckets)), int(x) & ((1 << 48) - 1)), (0.0, 0.0, 0.0)) for x in keys]
+                n, different, gain = (sum(x) for x in zip(*got))
+                known[int(whole)] = int(different) if is_state(n, gain) else 0
+            kinds[j] = known[int(whole)]
+        return count, kinds[self.of]
+
+
+def part_of(context: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The key of a part of a context with many occurrences."""
+    return mix(context + (part + np.uint64(1)) * _PART)
+
+
+def _width(n_buckets: int) -> np.uint64:
+    return np.uint64(((1 << 40) + n_buckets - 1) // n_buckets)
+
+
+def is_state(n, gain):  # noqa: ANN001, ANN201  of one context or of arrays
+    """The divergence test: n occurrences, and the sum over them of log of (count - 1 + PRIOR p) / p."""
+    return (n > 0) & (gain - n * np.log(n + PRIOR) >= GAIN)
+
+
+def _count_pairs(bucket: int, chunks: list, payloads: list) -> pa.Table:
+    """Replies, and a row for chunk -1 with what split contexts add up to here."""
+    key, size, pair, count, log, split, width = [], [], [], [], [], [], []
+    for x in payloads:
+        contexts, pairs, n_split = np.frombuffer(x, "<u4", 3).tolist()
+        own = np.zeros((contexts, 8), np.uint8)
+        own[:, :6] = np.frombuffer(x, np.uint8, 6 * contexts, 12).reshape(contexts, 6)
+        key.append(own.view("<u8").ravel())
+        pair.append(np.frombuffer(x, "<u4", pairs, 12 + 6 * contexts))
+        raw = Reader(_open(x[12 + 6 * contexts + 4 * pairs :]))
+        size.append(raw.take(np.uint32, contexts))
+        count.append(raw.take(np.uint32, pairs))
+        split.append(key[-1][raw.take(np.uint32, n_split)])
+        log.append(raw.planes(np.uint16, pairs))
+        width.append((contexts, pairs))
+    context = np.repeat(np.concatenate(key), np.concatenate(size))
+    which, row, at = np.unique(mix(context) + np.concatenate(pair).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
+    c = np.bincount(at, np.concatenate(count), len(which))
+    logs = np.concatenate(log)[row] / LOG_STEP
+    own, of = np.unique(context[row], return_inverse=True)
+    with np.errstate(divide="ignore"):
+        gain = np.where(c > 0, c * (np.log(np.maximum(c - 1, 0) + PRIOR * np.exp(-logs)) + logs), 0.0)
+    n, kinds, gain = np.bincount(of, c, len(own)), np.bincount(of, c > 0, len(own)), np.bincount(of, gain, len(own))
+    verdict = np.where(is_state(n, gain), kinds, 0).astype("<u4")
+    place = np.searchsorted(own, np.concatenate(key))
+    cuts = np.cumsum(width, axis=0)[:-1].T
+    out = [_press(a.tobytes() + b.tobytes()) for a, b in zip(np.split(verdict[place], cuts[0]), np.split(c[at].astype("<u4"), cuts[1]))]
+    some = np.unique(np.concatenate(split))
+    if len(some):
+        k = np.searchsorted(own, some)
+        return _rows(bucket, [*chunks, -1], [*out, np.stack([some.astype(float), n[k], kinds[k], gain[k]]).tobytes()])
+    return _rows(bucket, chunks, out)
 
 
 class Tree:
-    """A chunk's tokens and what is known of them at one depth.
+    """A chunk's tokens and what is known of them before contexts of ``depth`` words are asked for.
 
-    ``rows`` are the tokens whose context of ``depth`` words occurs often enough to be tested;
-    ``p`` are their probabilities under shorter contexts.  The others are settled: only the
-    sum of their logs by document is kept.
+    ``rows`` are the tokens whose context of that many words has two training occurrences or
+    more (``total``), ``p`` their probabilities under shorter contexts.  ``same``: the context
+    occurs where its parent does, so the pair's count (``count``) is known.  Other tokens are
+    settled: only the sum of their logs by document is kept.
     """
 
     def __init__(self, blob: bytes):
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        n, k = np.frombuffer(raw, np.int64, 2)
-        ids, null = np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, bool, n, 16 + 8 * n)
+        raw = Reader(_open(blob))
+        n, k, size = raw.take(np.int64, 3).tolist()
+        ids, null = raw.take(np.int64, n), raw.take(bool, n)
         self.ids = [None if x else i for i, x in zip(ids.tolist(), null.tolist())]
-        self.count = np.frombuffer(raw, np.int64, n, 16 + 9 * n)
-        self.key = np.frombuffer(raw, np.uint64, k, 16 + 17 * n)
-        self.at = np.frombuffer(raw, np.uint32, -1, 16 + 17 * n + 8 * k)
-        stop = np.cumsum(self.count) - 1
-        self.token = self.key[self.at]
-        self.doc = np.repeat(np.arange(n), self.count)
-        self.train = np.repeat(np.array([in_training(i) for i in self.ids], bool), self.count)
-        self.first = np.zeros(len(self.at), bool)
-        self.first[stop[:-1] + 1] = True
-        self.first[:1] = True
-        self.before = np.roll(self.at, 1)  # before a first word stands the end of the text before
-        self.before[self.first] = np.searchsorted(self.key, END)
-        self.previous = self.key[self.before]
+        self.count_of = raw.take(np.int64, n)
+        self.key = raw.take(np.uint64, k)
+        low, high = raw.take(np.uint16, size), raw.take(np.uint16, size)
+        self.at = low | (high.astype(np.uint32) << np.uint32(16))
+        self.doc = np.repeat(np.arange(n), self.count_of)
+        self.first = np.zeros(size, bool)
+        self.first[(np.cumsum(self.count_of) - self.count_of)] = True
+        self.train_doc = np.array([in_training(i) for i in self.ids], bool)
 
     def by_doc(self, x: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
         return np.bincount(self.doc[rows], x, len(self.ids))
 
-    # ---- words
-    def words(self) -> Tally:
-        return Tally(self.key, self.at)
+    def train_counts(self) -> np.ndarray:
+        return np.bincount(self.at, self.train_doc[self.doc], len(self.key))
 
-    def learn_words(self, n_buckets: int, replies: dict, n: int, v: int) -> None:
-        (c,) = self.words().totals(0, n_buckets, replies, 1)
+    def learn_words(self, total: np.ndarray, n: int, v: int) -> None:
+        c = total[self.at]
         p = (c + 0.5) / (n + 0.5 * (v + 1))
-        before = np.roll(c, 1)
-        before[self.first] = c[self.token == END][:1]
         self.known, self.base = self.by_doc((c > 0).astype(float)), self.by_doc(np.log10(p))
-        self.settled = np.zeros(len(self.ids))
-        self._to(1, np.arange(len(p)), p, c >= SYMBOL, before >= CONTEXT)
-
-    def _to(self, depth: int, rows: np.ndarray, p: np.ndarray, countable: np.ndarray, tested: np.ndarray) -> None:
-        """To contexts of depth words; all but countable and p are of tokens, these of rows."""
-        go = tested[rows]
-        self.settled = self.settled + self.by_doc(np.log10(p[~go]), rows[~go])
-        self.depth, self.rows, self.p, self.countable = depth, rows[go], p[go], countable[go]
-        self.context = self.previous
-        for _ in range(depth - 1):
-            self.context = mix(np.roll(self.context, 1) * np.uint64(0xD1342543DE82EF95) + self.previous)
-
-    # ---- what stays between depths
+        self.settled, self.depth, self.rows, self.total = np.zeros(len(self.ids)), 0, np.arange(len(p)), np.full(len(p), n)
+        before = np.roll(c, 1)
+        before[self.first] = total[np.searchsorted(self.key, END)]  # before a first word stands the end of the text before
+        self._to(p.astype(np.float32), c, before)
+
+    def _to(self, p: np.ndarray, count: np.ndarray, before: np.ndarray) -> None:
+        """To longer contexts, which occur ``before`` times."""
+        go = before >= 2
+        self.settled = self.settled + self.by_doc(np.log10(p[~go].astype(float)), self.rows[~go])
+        self.same, self.depth = (before == self.total)[go], self.depth + 1
+        self.rows, self.p, self.total, self.count = self.rows[go], p[go], before[go], count[go][self.same]
+
     def packed(self) -> bytes:
-        value, at = np.unique(self.p, return_inverse=True)
-        tested = np.zeros(len(self.token), bool)
-        tested[self.rows] = True
-        parts = [np.array([len(self.rows), self.depth, len(value)], np.int64), self.known, self.base, self.settled, value, np.packbits(tested), np.packbits(self.countable)]
-        planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T  # bytes of one place together, which packs better
-        body = zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in [*parts, planes]))
-        return len(self.rows).to_bytes(8, "little") + body
-
-    def unpack(self, state: bytes) -> None:
-        raw = zstandard.ZstdDecompressor().decompress(state[8:])
-        rows, depth, values = np.frombuffer(raw, np.int64, 3).tolist()
-        n, size = len(self.ids), len(self.token)
-        self.known, self.base, self.settled = np.frombuffer(raw, float, 3 * n, 24).reshape(3, n)
-        at = 24 * (n + 1)
-        value = np.frombuffer(raw, float, values, at)
-        at += 8 * values
-        tested = np.unpackbits(np.frombuffer(raw, np.uint8, (size + 7) // 8, at), count=size).astype(bool)
-        at += (size + 7) // 8
-        countable = np.unpackbits(np.frombuffer(raw, np.uint8, (rows + 7) // 8, at), count=rows).astype(bool)
-        at += (rows + 7) // 8
-        place = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * rows, at).reshape(4, rows).T).view("<u4").ravel()
-        self._to(depth, np.flatnonzero(tested), value[place], countable, tested)
-
-    # ---- pairs of context and word
-    def pairs(self) -> tuple[Tally, np.ndarray]:
-        rows = self.rows[self.countable]
-        return Tally(mix(self.context[rows] * np.uint64(0x9FB21C651E98DF25) + self.token[rows])), rows
-
-    def learn_pairs(self, n_buckets: int, replies: dict) -> None:
-        tally, _ = self.pairs()
-        self.seen = np.zeros(len(self.rows))
-        (self.seen[self.countable],) = tally.totals(1, n_buckets, replies, 1)
-
-    # ---- contexts
-    def contexts(self) -> Tally:
-        if self.depth > 1:
-            return Tally(self.context[self.rows])
-        there = np.zeros(len(self.key), bool)
-        there[self.before[self.rows]] = True
-        return Tally(self.key[there], (np.cumsum(there) - 1)[self.before[self.rows]])
-
-    def evidence(self) -> tuple[Tally, list[np.ndarray]]:
-        """For each context: followed how often, by how many different words (as sums of 1/count), and the log of what the test adds up."""
-        tally = self.contexts()
-        use = self.train[self.rows] & self.countable
-        seen = np.maximum(self.seen, 1)
-        gain = np.log((seen - 1 + PRIOR * self.p) / self.p)
-        return tally, [tally.sums(use.astype(float)), tally.sums(use / seen), tally.sums(np.where(use, gain, 0.0))]
-
-    def learn_contexts(self, n_buckets: int, replies: dict) -> None:
+        active = np.zeros(len(self.at), bool)
+        active[self.rows] = True
+        parts = [np.array([len(self.rows), self.depth, len(self.count)], np.int64), self.known, self.base, self.settled, np.packbits(active), np.packbits(self.same)]
+        body = b"".join(x.tobytes() for x in parts) + _planes(self.p.astype("<f4")) + _planes(self.total.astype("<u4")) + _planes(self.count.astype("<u4"))
+        return int((~self.same).sum()).to_bytes(8, "little") + _press(body)
+
+    def unpack(self, state: bytes, n: int, v: int) -> None:
+        if state[:8] == WORDS:  # no contexts yet: totals of the chunk's words say all
+            return self.learn_words(np.frombuffer(_open(state[8:]), np.int64), n, v)
+        raw, n = Reader(_open(state[8:])), len(self.ids)
+        rows, self.depth, same = raw.take(np.int64, 3).tolist()
+        self.known, self.base, self.settled = raw.take(float, 3 * n).reshape(3, n)
+        self.rows, self.same = np.flatnonzero(raw.bits(len(self.at))), raw.bits(rows)
+        self.p, self.total, self.count = raw.planes(np.float32, rows), raw.planes(np.uint32, rows).astype(np.int64), raw.planes(np.uint32, same).astype(np.int64)
+
+    def pairs(self) -> Pairs:
+        rows = self.rows[~self.same]
+        word = lambda back: self.key[self.at[rows - back]]  # noqa: E731  before a chunk's first word stands its last end
+        context = word(1)
+        for back in range(2, self.depth + 1):
+            context = mix(context * np.uint64(0xD1342543DE82EF95) + word(back))
+        return Pairs(context, word(0), self.total[~self.same])
+
+    def ask(self, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+        pairs = self.pairs()
+        asked = ~self.same
+        count = np.bincount(pairs.at, self.train_doc[self.doc[self.rows[asked]]], len(pairs.row))
+        yield from pairs.messages(count, self.p[asked][pairs.row].astype(float), n_buckets)
+
+    def learn_pairs(self, n_buckets: int, replies: dict[int, bytes], hot: dict) -> None:
         """What states of this depth say, and on to the next."""
-        total, kinds, gain = self.contexts().totals(2, n_buckets, replies, 3)
-        kinds = np.round(kinds)
-        state = (total > 0) & (gain - total * np.log(total + PRIOR) >= GAIN)
-        p = self.p.copy()
-        p[state] = (self.seen[state] + kinds[state] * p[state]) / (total[state] + kinds[state])
-        seen = np.zeros(len(self.token))
-        seen[self.rows] = self.seen
-        often = np.roll(seen, 1) >= CONTEXT  # the word before with its own context
-        often[self.first] = False
-        self._to(self.depth + 1, self.rows, p, self.countable, often)
-
-
-def _tree(blob: bytes, replies: dict, n_buckets: int, n: int, v: int) -> Tree:
+        pairs, asked = self.pairs(), np.flatnonzero(~self.same)
+        seen, kinds = pairs.learn(n_buckets, replies, hot)
+        count, p = np.zeros(len(self.rows), np.int64), self.p.astype(float)
+        count[self.same], count[asked] = self.count, seen[pairs.at]
+        kinds = kinds[pairs.at]
+        state = kinds > 0
+        k, at = kinds[state], asked[state]
+        p[at] = (count[at] + k * p[at]) / (self.total[at] + k)
+        whole = np.zeros(len(self.at), np.int64)
+        whole[self.rows] = count
+        before = np.where(self.first[self.rows], 0, whole[self.rows - 1])  # the word before with its own context
+        self._to(p.astype(np.float32), count, before)
+
+
+def _unpacked(blob: bytes, state: bytes, n: int, v: int) -> Tree:
     t = Tree(blob)
-    if STATE in replies:
-        t.unpack(replies[STATE])
-    else:
-        t.learn_words(n_buckets, replies, n, v)
+    t.unpack(state, n, v)
     return t
 
 
-def _settled(replies: dict) -> bool:
-    """No context of the chunk is left to test."""
-    return STATE in replies and not int.from_bytes(replies[STATE][:8], "little")
+def _with_state(chunks: DataFrame, state: DataFrame) -> DataFrame:
+    """Chunks with their replies, if any, and their state among them."""
+    own = F.array(F.struct(F.lit(STATE).alias("bucket"), F.col("state").alias("payload")))
+    got = F.concat(F.col("replies"), own) if "replies" in chunks.columns else own
+    return chunks.join(state, "chunk").withColumn("replies", F.coalesce(got, own)).drop("state")
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per row of docs: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Texts are lower-cased (A-Z) and cut at ASCII white space; one end follows each.  Learns
     from the rows for which ``in_training`` holds and scores all.  base_score: log10 of the
     smoothed word frequencies; score: log10 under the tree.  Null or empty text: the end
     alone.  Null and repeated ids are kept.  With nothing to learn from, N is 0 and every
-    token has the probability of an unknown one.
+    token has the probability of an unknown one.  Columns besides the two aren't read, so
+    their names don't matter.
     """
     nb = buckets(docs.sparkSession)
     chunks = snapshot(docs, id_col, text_col, CHUNK, tokens_packed)
 
-    def first(chunk: int, blob: bytes, replies: dict):
+    def words(chunk: int, blob: bytes, replies: dict):
         t = Tree(blob)
-        tally = t.words()
-        yield from tally.messages(0, nb, [tally.sums(t.train.astype(float))])
+        yield from _word_messages(t.key, t.train_counts(), nb)
 
-    known = materialise(reduce_buckets(scatter(chunks, first), _answer(1, nb, stats=True)))
+    known = materialise(reduce_buckets(scatter(chunks, words), _count_words))
     sums = [np.frombuffer(r["payload"], "<i8") for r in known.where("chunk = -1").select("payload").collect()]  # one row per bucket
     n, v = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
-    known = known.where("chunk >= 0")
-
-    def pairs(chunk: int, blob: bytes, got: dict):
-        if not _settled(got):
-            t = _tree(blob, got, nb, n, v)
-            tally, rows = t.pairs()
-            yield from tally.messages(1, nb, [tally.sums(t.train[rows].astype(float))], short=True)
-
-    def contexts(chunk: int, blob: bytes, got: dict):
-        if not _settled(got):
-            t = _tree(blob, got, nb, n, v)
-            t.learn_pairs(nb, got)
-            tally, fields = t.evidence()
-            yield from tally.messages(2, nb, fields)
-
-    def deeper(chunk: int, blob: bytes, got: dict):
-        if _settled(got):
-            yield STATE, got[STATE]
-        else:
-            t = _tree(blob, got, nb, n, v)
-            t.learn_pairs(nb, got)
-            t.learn_contexts(nb, got)
-            yield STATE, t.packed()
-
-    for _ in range(DEPTH):
-        seen = materialise(reduce_buckets(scatter(attach(chunks, known), pairs), _answer(1, nb, short=True)))
-        if seen.isEmpty():  # no context of this depth occurs often enough
+
+    def begin(chunk: int, blob: bytes, got: dict) -> dict:
+        return _state(chunk, WORDS + _press(_word_totals(Tree(blob).key, nb, got).tobytes()))
+
+    state = bucketed(each_chunk(attach(chunks, known.where("chunk >= 0")), begin, "chunk long, state binary"))
+    discard(known)
+
+    def ask(chunk: int, blob: bytes, got: dict):
+        if int.from_bytes(got[STATE][:8], "little"):
+            yield from _unpacked(blob, got[STATE], n, v).ask(nb)
+
+    for _ in range(depth):
+        replies = materialise(reduce_buckets(scatter(_with_state(chunks, state), ask), _count_pairs))
+        if replies.isEmpty():  # longer contexts occur where their parents do, or once
             break
-        followed = materialise(reduce_buckets(scatter(attach(chunks, known.union(seen)), contexts), _answer(3, nb)))
-        state = materialise(scatter(attach(chunks, known.union(seen).union(followed)), deeper))
-        for used in (known, seen, followed):
-            discard(used)
-        known = state
-
-    def score(chunk: int, blob: bytes, got: dict):
-        t = _tree(blob, got, nb, n, v)
+        hot = _split_sums(replies)
+
+        def learn(chunk: int, blob: bytes, got: dict, hot: dict = hot) -> dict:
+            if not int.from_bytes(got[STATE][:8], "little"):  # nor will it ask at greater depths
+                return _state(chunk, got[STATE])
+            t = _unpacked(blob, got[STATE], n, v)
+            t.learn_pairs(nb, got, hot)
+            return _state(chunk, t.packed())
+
+        longer = bucketed(each_chunk(_with_state(attach(chunks, replies.where("chunk >= 0")), state), learn, "chunk long, state binary"))
+        discard(replies)
+        discard(state)
+        state = longer
+
+    def score(chunk: int, blob: bytes, got: dict) -> dict:
+        t = _unpacked(blob, got[STATE], n, v)
         return {
             "id": pa.array(t.ids, pa.int64()),
-            "held_out": pa.array([not in_training(i) for i in t.ids]),
-            "n_tokens": pa.array(t.count),
+            "held_out": pa.array(~t.train_doc),
+            "n_tokens": pa.array(t.count_of),
             "n_known": pa.array(t.known.astype(np.int64)),
             "train_tokens": pa.array(np.full(len(t.ids), n, np.int64)),
             "base_score": pa.array(t.base),
-            "score": pa.array(t.settled + t.by_doc(np.log10(t.p), t.rows)),
+            "score": pa.array(t.settled + t.by_doc(np.log10(t.p.astype(float)), t.rows)),
         }
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return each_chunk(attach(chunks, known), score, schema).withColumnRenamed("id", id_col)
+    return each_chunk(_with_state(chunks, state), score, schema).withColumnRenamed("id", id_col)
+
+
+def _state(chunk: int, state: bytes) -> dict:
+    return {"chunk": pa.array([chunk], pa.int64()), "state": pa.array([state], pa.binary())}
+
+
+def _split_sums(replies: DataFrame) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(occurrences, different next words, gain) of each part of a split context: at most two parts for every HOT training tokens."""
+    out = {}
+    for r in replies.where("chunk = -1").select("bucket", "payload").collect():
+        for key, *sums in np.frombuffer(r["payload"]).reshape(4, -1).T.tolist():
+            out[r["bucket"], int(key)] = tuple(sums)
+    return out
 
 
 def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
