@@ -444,3 +444,74 @@ def test_covariance_of_all_groups_windows_and_dates(spark, tmp_path):
         want, _ = risk.ledoit_wolf(p.to_numpy()[-w:])
         names = [f"g{k}" for k in p.columns]
         assert np.allclose([last[a, b] for i, a in enumerate(names) for b in names[i:]], [want[i, j] for i in range(25) for j in range(i, 25)], rtol=1e-6, atol=1e-4)
+
+
+# ---------------------------------------------------------------- numbers that were wrong before
+
+
+def test_ewm_weights_fall_over_gaps(spark):
+    from tidewell.plans.expr import plan
+
+    rows = [("a", f"2024-01-{k + 1:02d}", v) for k, v in enumerate([None, 1.0, None, 3.0, None, None, 5.0])] + [("b", "2024-01-01", None)]
+    df = spark.createDataFrame(rows, "code string, date string, x double").selectExpr("code", "cast(date as date) as date", "x", "1 as industry")
+    p = plan({"y": "ewm(x, 3)"})
+    got = {(r["code"], r["date"].day): r["y"] for r in p.spark(df).collect()}
+    want = pd.Series([np.nan, 1.0, np.nan, 3.0, np.nan, np.nan, 5.0]).ewm(span=3, adjust=False).mean()
+    assert got[("a", 4)] == pytest.approx(2.33333333)
+    for k in range(1, 7):
+        assert got[("a", k + 1)] == pytest.approx(want[k])
+    con = duckdb.connect()
+    panel = df.toPandas()  # noqa: F841  read by the SQL
+    sql = p.duckdb("select * from panel", ("code", "date"))
+    assert {r[0]: r[2] for r in con.sql(f"select code, day(date), y from ({sql}) where code = 'a' and day(date) = 7").fetchall()}["a"] == pytest.approx(want[6])
+
+
+def test_ranks_of_small_values(spark):
+    from tidewell.plans.expr import plan
+
+    df = spark.createDataFrame([(str(k), k * 1e-11) for k in range(1, 7)], "code string, x double").selectExpr("code", "date'2024-01-01' as date", "x", "1 as industry")
+    assert sorted(r["y"] for r in plan({"y": "cs_rank(x)"}).spark(df).collect()) == pytest.approx([k / 6 for k in range(1, 7)])
+
+
+def test_evidence_grades(spark):
+    rows = [(True, True, True, 1.0, True, True, "C"), (True, True, False, 0.95, True, True, "A"), (True, True, False, 0.9, True, True, "B"), (True, False, False, 0.99, False, False, "B"), (True, False, False, None, True, True, "D"), (False, True, False, 1.0, True, True, "D"), (False, False, True, None, False, False, "C")]
+    df = spark.createDataFrame(rows, "n boolean, p boolean, x boolean, c double, o boolean, k boolean, want string")
+    from pyspark.sql import functions as F
+
+    out = df.withColumn("got", monitor.evidence_grade(*[F.col(c) for c in ("n", "p", "x", "c", "o", "k")]))
+    assert [r["got"] for r in out.collect()] == [r[-1] for r in rows]
+
+
+def test_pair_without_a_grade_has_no_spread(spark):
+    df = spark.createDataFrame([(1, "d", 1, "2024-02-01", 0.1, "B"), (2, "d", 1, "2024-02-02", 0.2, None)], "product int, date string, tenor int, expiry string, annualised double, quality string").selectExpr("product", "date'2024-01-01' as date", "tenor", "cast(expiry as date) as expiry", "annualised", "quality")
+    assert {(r["quality"], r["spread"]) for r in joins.pair_legs(df).collect()} == {("D", None)}
+
+
+def test_newey_west_and_eigenfactor_by_hand():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((80, 3)).cumsum(axis=0)
+    w = 0.5 ** (np.arange(80)[::-1] / 20)
+    w = w / w.sum()
+    c = x - (x * w[:, None]).sum(axis=0)
+    want = sum(w[t] * np.outer(c[t], c[t]) for t in range(80))
+    for lag, part in ((1, 2 / 3), (2, 1 / 3)):
+        g = sum(w[t] * np.outer(c[t], c[t - lag]) for t in range(lag, 80)) / w[lag:].sum()
+        want = want + part * (g + g.T)
+    assert np.allclose(risk.ewma_newey_west(x, 20, 2), risk.psd(want))
+    base = np.diag([4.0, 1.0, 0.25])
+    before, after = np.linalg.eigvalsh(base), np.linalg.eigvalsh(risk.eigenfactor_adjust(base, 60, 20))
+    assert (after / before >= 0.5 - 1e-12).all() and (after / before <= 2 + 1e-12).all() and not np.allclose(after, before)
+
+
+def test_optimiser_keeps_to_the_largest_weight(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"c{k}", pd.Timestamp("2024-01-01").date(), float(rng.standard_normal()), 0.019 if k < 5 else 0.9 / 95, str(k % 4)) for k in range(100)]
+    df = spark.createDataFrame(rows, "code string, date date, alpha double, b double, g string")
+    w = portfolio.optimise(df, "alpha", "b", "g", []).toPandas()
+    assert abs(w["w"].sum() - 1) < 1e-9 and w["w"].max() <= 0.02 * 1.01 and w["w"].min() >= 0
+
+
+def test_percentiles_so_far():
+    x = np.round(np.random.default_rng(2).standard_normal(1500), 1)
+    want = [pd.Series(x[: k + 1]).rank().iloc[-1] / (k + 1) * 100 for k in range(len(x))]
+    assert np.allclose(monitor._percentiles_so_far(x, 64), want)

@@ -1,4 +1,4 @@
-"""Evaluation of factors: information coefficients, groups, turnover, correlation, selection."""
+"""Evaluation of signals: information coefficients, groups, turnover, correlation, selection."""
 
 from __future__ import annotations
 
@@ -20,9 +20,9 @@ def correlation(x: Column, y: Column) -> Column:
     return F.when(sd > 1e-14, F.covar_samp(x, y) / sd)
 
 
-def daily_ic(panel: DataFrame, factors: list[str], label: str = "label", date: str = "date", least: int = 3) -> DataFrame:
-    """(date, factor, n, ic, rank_ic) of all factors in one job: unpivoted, ranked over each factor's own pairs."""
-    long = panel.where(F.col(label).isNotNull()).unpivot([date, label], factors, "factor", "x").where("x is not null")
+def daily_ic(panel: DataFrame, signals: list[str], label: str = "label", date: str = "date", least: int = 3) -> DataFrame:
+    """(date, factor, n, ic, rank_ic) of all signals in one job: unpivoted, ranked over each factor's own pairs."""
+    long = panel.where(F.col(label).isNotNull()).unpivot([date, label], signals, "factor", "x").where("x is not null")
     ranked = long.select(date, "factor", "x", F.col(label).alias("y"), pct_rank(F.col("x"), date, "factor").alias("rx"), pct_rank(F.col(label), date, "factor").alias("ry"))
     out = ranked.groupBy(date, "factor").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("x"), F.col("y")).alias("ic"), correlation(F.col("rx"), F.col("ry")).alias("rank_ic"))
     return out.where(F.col("n") >= least)
@@ -64,13 +64,13 @@ def turnover(weights: DataFrame, code: str = "code", date: str = "date", weight:
     return both.where("_n > 1").join(days, "_n").select(date, "turnover")
 
 
-def factor_correlation(panel: DataFrame, factors: list[str], date: str = "date", code: str = "code", least: int = 20) -> DataFrame:
+def factor_correlation(panel: DataFrame, signals: list[str], date: str = "date", code: str = "code", least: int = 20) -> DataFrame:
     """(left, right, mean_abs): mean over dates of the absolute Spearman correlation of each pair.
 
-    Pairs are columns of one pass: factors are few, rows are not multiplied by pairs.
+    Pairs are columns of one pass: signals are few, rows are not multiplied by pairs.
     """
-    p = panel.select(date, *[pct_rank(F.col(f), date).alias(f) for f in factors])
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
+    p = panel.select(date, *[pct_rank(F.col(f), date).alias(f) for f in signals])
+    pairs = [(a, b) for i, a in enumerate(signals) for b in signals[i + 1 :]]
     both = lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
     daily = p.groupBy(date).agg(*[F.when(both(a, b) >= least, correlation(F.col(a), F.col(b))).alias(f"{a}|{b}") for a, b in pairs])
     mean = daily.agg(*[F.avg(F.abs(F.col(f"`{a}|{b}`"))).alias(f"{a}|{b}") for a, b in pairs])
@@ -96,21 +96,21 @@ def validate(ic: DataFrame, splits: dict[str, tuple[str, str]], least: float = 0
     return out.withColumn("min_adjusted", low).withColumn("passed", F.coalesce(low > least, F.lit(False)))
 
 
-def composite_score(panel: DataFrame, factors: list[str], date: str = "date", name: str = "score") -> DataFrame:
-    """Mean of the factors' ranks less one half, over those that a row has."""
-    ranks = panel.select("*", *[(pct_rank(F.col(f), date) - 0.5).alias(f"_r{i}") for i, f in enumerate(factors)])
-    cols = [F.col(f"_r{i}") for i in range(len(factors))]
+def composite_score(panel: DataFrame, signals: list[str], date: str = "date", name: str = "score") -> DataFrame:
+    """Mean of the signals' ranks less one half, over those that a row has."""
+    ranks = panel.select("*", *[(pct_rank(F.col(f), date) - 0.5).alias(f"_r{i}") for i, f in enumerate(signals)])
+    cols = [F.col(f"_r{i}") for i in range(len(signals))]
     total = sum((F.coalesce(c, F.lit(0.0)) for c in cols[1:]), F.coalesce(cols[0], F.lit(0.0)))
     n = sum((c.isNotNull().cast("int") for c in cols[1:]), cols[0].isNotNull().cast("int"))
-    return ranks.withColumn(name, F.when(n > 0, total / n)).drop(*[f"_r{i}" for i in range(len(factors))])
+    return ranks.withColumn(name, F.when(n > 0, total / n)).drop(*[f"_r{i}" for i in range(len(signals))])
 
 
 def performance(returns: DataFrame, value: str, by: list[str], per_year: int = 252) -> DataFrame:
-    """Total and annual return, deviation, information ratio, win rate, skew and quantiles by group."""
+    """Total and annual return, deviation, information ratio, win rate, skew (of samples, from three values on) and quantiles by group."""
     n, mean, std = F.count(value), F.avg(value), F.stddev_samp(value)
     growth = F.exp(F.sum(F.log1p(value)))
     q = lambda p: F.expr(f"percentile({value}, {p})")
-    return returns.where(F.col(value).isNotNull()).groupBy(*by).agg(n.alias("n"), (growth - 1).alias("total"), (F.pow(growth, per_year / n) - 1).alias("annual"), (std * per_year**0.5).alias("deviation"), F.when(std > 1e-12, mean / std * per_year**0.5).alias("ratio"), F.avg((F.col(value) > 0).cast("double")).alias("win_rate"), q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+    return returns.where(F.col(value).isNotNull()).groupBy(*by).agg(n.alias("n"), (growth - 1).alias("total"), (F.pow(growth, per_year / n) - 1).alias("annual"), (std * per_year**0.5).alias("deviation"), F.when(std > 1e-12, mean / std * per_year**0.5).alias("ratio"), F.when((n >= 3) & (std > 1e-12), F.skewness(value) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.avg((F.col(value) > 0).cast("double")).alias("win_rate"), q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"))
 
 
 def drawdown(returns: DataFrame, value: str, date: str, by: list[str]) -> DataFrame:

@@ -19,7 +19,7 @@ def weighted_extreme(pairs: str, n: int, largest: bool) -> str:
 
 
 def co_momentum(panel: DataFrame, window: int = 20, momentum: int = 5, reversal: int = 15, code: str = "code", date: str = "date") -> DataFrame:
-    """Seven factors of (ret, turnover_key, group_ret, market_ret) over full windows of rows.
+    """Seven signals of (ret, turnover_key, group_ret, market_ret) over full windows of rows.
 
     Group and market returns on the days of the stock's extreme returns or turnover.
     """

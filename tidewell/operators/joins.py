@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.monitor import worse_grade
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, strict: bool = False) -> DataFrame:
     """Each left row with the last right row of its key at or before its date (before it, if strict).
@@ -62,21 +64,24 @@ def gap_aware_returns(panel: DataFrame, code: str, date: str, price: str) -> Dat
 
 
 def keep_last(frame: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, the last in ``order``."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last())
+    """One row per key, the last in ``order``; of ties the one with the largest other columns, from left to right."""
+    others = [c for c in frame.columns if c not in (*keys, order)]
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), *[F.col(f"`{c}`").desc_nulls_last() for c in others])
     return frame.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
 def pair_legs(basis: DataFrame, max_gap: int = 7) -> DataFrame:
     """All ordered pairs of products on one (date, tenor); the spread is null unless expiries are near and no leg has grade D.
 
+    A leg without a known grade has grade D.
+
     Products are few, so the self-join on (date, tenor) stays linear in the dates.
     """
     cols = ["product", "expiry", "annualised", "quality"]
     a, b = (basis.select("date", "tenor", *[F.col(c).alias(f"{side}_{c}") for c in cols]) for side in ("long", "short"))
     out = a.join(b, ["date", "tenor"]).where("long_product <> short_product")
     gap = F.abs(F.datediff("long_expiry", "short_expiry"))
-    worse = F.greatest("long_quality", "short_quality")
+    worse = worse_grade(F.col("long_quality"), F.col("short_quality"))
     return out.select("date", "tenor", "long_product", "short_product", gap.alias("expiry_gap"), worse.alias("quality"), F.when((gap <= max_gap) & (worse != "D"), F.col("long_annualised") - F.col("short_annualised")).alias("spread"))
 
 

@@ -46,54 +46,65 @@ def score_tilt(panel: DataFrame, score: str, base: str, strength: float = 0.5, c
 
 @dataclass(frozen=True)
 class Limits:
-    max_active: float = 0.01
+    max_weight: float = 0.02
+    max_active: float = 0.008
     active_share: float = 0.2
-    group_active: float = 0.02
-    style_active: float = 0.3
-    scale: float = 0.01
+    group_active: float = 0.015
+    style_active: float = 0.2
 
 
 def project(active: np.ndarray, lower: np.ndarray, upper: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """The nearest point, up to the rounds, with sum zero inside the box."""
+    """A point with sum zero inside the box: what is over or missing is spread in proportion to the room of each."""
     x = np.clip(active, lower, upper)
     for _ in range(rounds):
-        gap = x.sum()
-        if abs(gap) < 1e-12:
+        over = x.sum()
+        room = np.maximum(x - lower if over > 0 else upper - x, 0.0)
+        if abs(over) < 1e-12 or room.sum() <= 1e-12:
             break
-        free = (x > lower) if gap > 0 else (x < upper)
-        if not free.any():
-            break
-        x = np.clip(x - np.where(free, gap / free.sum(), 0), lower, upper)
+        x = np.clip(x - np.sign(over) * min(abs(over), room.sum()) * room / room.sum(), lower, upper)
     return x
 
 
+def standard(x: np.ndarray) -> np.ndarray:
+    """Mean zero and deviation one (only the mean where all are equal); what isn't finite counts as the median."""
+    x = np.where(np.isfinite(x), x, np.nan)
+    x = np.where(np.isnan(x), np.nanmedian(x) if not np.isnan(x).all() else 0.0, x)
+    deviation = x.std()
+    return (x - x.mean()) / (deviation if deviation > 1e-12 else 1.0)
+
+
 def optimise(panel: DataFrame, alpha: str, bench: str, group: str, styles: Sequence[str], limits: Limits = Limits(), date: str = "date", code: str = "code") -> DataFrame:
     """(code, date, w): benchmark plus an active tilt to alpha, per date.
 
-    alpha is standardised and freed of groups and styles, scaled, projected on sum zero inside
-    each code's bounds, then shrunk as a whole until active share, groups and styles are in
-    their limits; projection and shrinking run twice.
+    alpha is standardised and freed of groups and styles, scaled to the active share, projected
+    on sum zero inside each code's bounds, then shrunk as a whole until active share, groups
+    and styles are in their limits; projection and shrinking run twice.  Weights are cut to
+    0 and the largest weight allowed, and sum to one.  A null alpha counts as zero, a null
+    group as a group.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf.sort_values(code)
         b = np.clip(np.nan_to_num(d[bench].to_numpy(float)), 0, None)
         b = b / b.sum() if b.sum() > 0 else np.full(len(d), 1 / len(d))
-        a = d[alpha].astype(float)
-        sd = a.std(ddof=0)
-        a = ((a - a.mean()) / sd if sd and sd > 1e-12 else a * 0).fillna(0).to_numpy(float)
-        g = (d[group].to_numpy()[:, None] == np.array(sorted(d[group].dropna().unique()))[None, :]).astype(float)
-        s = np.nan_to_num(d[list(styles)].to_numpy(float)) if styles else np.empty((len(d), 0))
-        x = np.hstack([g, s]) if len(d) else np.empty((0, 0))
-        a = a - x @ np.linalg.lstsq(x, a, rcond=None)[0] if x.size else a
-        lower, upper = np.maximum(-b, -limits.max_active), np.full(len(d), limits.max_active)
-        x0 = a * limits.scale / max(np.abs(a).max(initial=0), 1e-12)
+        a = d[alpha].to_numpy(float, na_value=np.nan)
+        a = standard(np.where(np.isfinite(a), a, 0.0))
+        names = d[group].astype(object).where(d[group].notna(), "unknown").astype(str).to_numpy()
+        g = (names[:, None] == np.unique(names)[None, :]).astype(float)
+        raw = d[list(styles)].to_numpy(float, na_value=np.nan) if styles else np.empty((len(d), 0))
+        x = np.hstack([np.ones((len(d), 1)), g[:, 1:], *(standard(c)[:, None] for c in raw.T)])
+        a = standard(a - x @ np.linalg.lstsq(x, a, rcond=None)[0])
+        s = np.where(np.isfinite(raw), raw, 0.0)
+        lower = np.maximum(-b, -limits.max_active)
+        upper = np.maximum(np.minimum(limits.max_active, limits.max_weight - b), lower)
+        x0 = a * 2 * limits.active_share / np.abs(a).sum() if a.std() > 1e-12 else np.zeros(len(a))
         for _ in range(2):
             x0 = project(x0, lower, upper)
             use = [(np.abs(x0).sum() / 2, limits.active_share), *((abs(v), limits.group_active) for v in x0 @ g), *((abs(v), limits.style_active) for v in x0 @ s)]
             k = min([1.0, *(0.995 * m / v for v, m in use if v > m)])
             x0 = x0 * k
-        return pd.DataFrame({"code": d[code], "date": d["date"], "w": b + x0})
+        w = np.clip(b + x0, 0.0, limits.max_weight)
+        return pd.DataFrame({"code": d[code], "date": d["date"], "w": w / w.sum()})
 
     kind = panel.schema[code].dataType.simpleString()
     cols = dict.fromkeys([code, alpha, bench, group, *styles])

@@ -73,13 +73,16 @@ def _huber(y: np.ndarray, x: np.ndarray, w: np.ndarray, k: float = 1.345, rounds
     return beta, 1 - float((w * e**2).sum()) / total if total > 0 else np.nan, cond
 
 
-def factor_regression(panel: DataFrame, y: str, styles: Sequence[str], group: str, weight: str, code: str = "code", date: str = "date", least: int = 30, method: str = "wls", constrained: bool = False) -> DataFrame:
+def factor_regression(panel: DataFrame, y: str, styles: Sequence[str], group: str, weight: str, code: str = "code", date: str = "date", least: int = 30, method: str = "wls", constrained: bool = False, root: bool = True) -> DataFrame:
     """Per date: y on a country term, styles and groups; long rows (date, kind, name, value).
 
     kind: factor (returns), residual (by code), stat (r2, condition, n, status by name).
     Plain: groups as dummies, the first left out.  Constrained: all groups, with their
     weighted returns summing to zero, solved in the null space of that constraint.  Styles are
-    standardised by date and dropped below half coverage, missing values count as zero.
+    standardised by date and dropped where less than half of all the date's rows have them,
+    missing values count as zero.  Rows are weighted by the square root of ``weight`` (root),
+    by 1 where that is missing or not positive; in the constraint groups weigh by the sum of
+    ``weight`` itself, over rows where it is positive.
     Dates with too few rows give a status only.
     """
     if method not in ("wls", "huber"):
@@ -88,21 +91,23 @@ def factor_regression(panel: DataFrame, y: str, styles: Sequence[str], group: st
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         day, out = key[0], []
         put = lambda kind, name, value: out.append((day, kind, str(name), float(value)))
-        d = pdf.dropna(subset=[y, weight, group])
-        d = d[(d[weight] > 0) & np.isfinite(d[y])].sort_values(code)
-        used = [s for s in styles if len(d) and d[s].notna().mean() >= 0.5]
+        d = pdf.dropna(subset=[y, group])
+        d = d[np.isfinite(d[y]) & ((d[weight] > 0) if constrained else True)].sort_values(code)
+        used = [s for s in styles if len(d) and pdf[s].notna().mean() >= 0.5]
         groups = sorted(d[group].unique())
         if len(d) < max(least, len(used) + len(groups) + 5):
             put("stat", "failed_too_few_rows", len(d))
             return pd.DataFrame(out, columns=["date", "kind", "name", "value"])
         z = np.column_stack([((s := d[c].astype(float)) - s.mean()).fillna(0) / (s.std() if s.std() > 1e-12 else 1.0) for c in used]) if used else np.empty((len(d), 0))
         dummies = (d[group].to_numpy()[:, None] == np.array(groups)[None, :]).astype(float)
-        w, target = d[weight].to_numpy(float), d[y].to_numpy(float)
+        size, target = np.nan_to_num(d[weight].to_numpy(float, na_value=np.nan)), d[y].to_numpy(float)
+        w = np.sqrt(np.maximum(size, 0.0)) if root else size
+        w = np.where(np.isfinite(w) & (w > 0), w, 1.0)
         solve = _huber if method == "huber" else _solve
         ones = np.ones((len(d), 1))
         if constrained:
             x = np.hstack([ones, z, dummies])
-            rule = np.concatenate([np.zeros(1 + z.shape[1]), w @ dummies / w.sum()])
+            rule = np.concatenate([np.zeros(1 + z.shape[1]), size @ dummies / size.sum()])
             basis = np.linalg.svd(rule[None, :])[2][1:].T
             gamma, r2, cond = solve(target, x @ basis, w)
             beta, names = basis @ gamma, ["country", *used, *(f"{group}_{g}" for g in groups)]
@@ -170,36 +175,37 @@ def ewma_newey_west(x: np.ndarray, half_life: float = 90, lags: int = 2) -> np.n
     c = x - w @ x
     out = (c * w[:, None]).T @ c
     for k in range(1, lags + 1):
-        g = (c[k:] * w[k:, None]).T @ c[:-k]
+        g = (c[k:] * (w[k:] / w[k:].sum())[:, None]).T @ c[:-k]
         out += (1 - k / (lags + 1)) * (g + g.T)
     return psd(out)
 
 
 def eigenfactor_adjust(base: np.ndarray, history: int, simulations: int = 500, half_life: float = 90, lags: int = 2, seed: int = 729) -> np.ndarray:
-    """Scales eigenvalues by their simulated bias, clipped to [0.5, 2]."""
-    v, u = np.linalg.eigh(psd(base, 1e-16))
-    v = np.maximum(v, 1e-16)
+    """Scales eigenvalues by the mean, clipped to [0.5, 2], of what simulated eigenportfolios really vary over what they seem to."""
+    base = psd(base)
+    v, u = (x[..., ::-1] for x in np.linalg.eigh(base))  # largest first
+    mix = u * np.sqrt(np.maximum(v, 0.0))
     rng, bias = np.random.default_rng(seed), np.zeros(len(v))
     for _ in range(simulations):
-        sample = rng.standard_normal((history, len(v))) * np.sqrt(v)
-        sv, su = np.linalg.eigh(ewma_newey_west(sample, half_life, lags))
-        bias += np.sqrt(np.maximum(((su**2).T @ v), 0) / np.maximum(sv, 1e-16))
-    gamma = np.clip(bias / max(simulations, 1), 0.5, 2.0)
-    return psd((u * (gamma**2 * v)) @ u.T)
+        seen, axes = (x[..., ::-1] for x in np.linalg.eigh(ewma_newey_west(rng.standard_normal((history, len(v))) @ mix.T, half_life, lags)))
+        real = np.einsum("ij,ik,kj->j", axes, base, axes)
+        bias += np.divide(real, seen, out=np.ones(len(v)), where=seen > 1e-20)
+    scale = np.clip(bias / max(simulations, 1), 0.5, 2.0)
+    return psd((u * np.maximum(v * scale, 0.0)) @ u.T)
 
 
 COVARIANCE = "date date, window int, factor_i string, factor_j string, covariance double, shrinkage double"
 
 
-def rolling_covariance(returns: DataFrame, windows: Sequence[int] = (60, 120, 252), method: str = "ledoit_wolf", factors: Sequence[str] | None = None, step: str | None = None) -> DataFrame:
+def rolling_covariance(returns: DataFrame, windows: Sequence[int] = (60, 120, 252), method: str = "ledoit_wolf", signals: Sequence[str] | None = None, step: str | None = None) -> DataFrame:
     """Upper triangles of covariances over trailing windows of (date, factor, ret).
 
     ``step`` keeps the last date of each period ("month") only.  Each (date, window) is a
     group of its own: a date's vector is copied to the windows that hold it.
     """
-    if factors is None:
-        factors = [r[0] for r in returns.select("factor").distinct().orderBy("factor").collect()]  # columns of the model
-    names = list(factors)
+    if signals is None:
+        signals = [r[0] for r in returns.select("factor").distinct().orderBy("factor").collect()]  # columns of the model
+    names = list(signals)
     wide = returns.groupBy("date").pivot("factor", names).agg(F.first("ret"))
     n = F.row_number().over(Window.orderBy("date"))  # one row per date
     wide = wide.select("date", F.array(*[F.col(f"`{f}`").cast("double") for f in names]).alias("v"), n.alias("n"))

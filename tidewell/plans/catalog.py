@@ -198,7 +198,7 @@ _TVSD20 = "ts_std(cs_regression_resid(close, volume), 20, 10)"
 _VROC12 = "ts_pct(positive(volume), 12)"
 _BETA = "cs_zscore(0.5 * ts_std(ret1, 20, 10) + 0.5 * ts_std(ret1, 60, 30))"
 
-#: Published factors 1 to 65.
+#: Published signals 1 to 65.
 PUBLIC = {
     "rl_01_tail_risk_reversal": "-cs_zscore(signed_log1p(ts_kurt(close, 5)) + ts_max(ts_skew(volume, 5), 3) - ts_min(ts_skew(volume, 20), 3) + rolling_sum_max(ret1, 20, 5))",
     "rl_02_projection_support_proxy": "-(cs_regression_resid(cs_rank(ret5), cs_rank(ts_mean(volume, 15))) * ts_mean(ret1, 20) + ts_sum(main_flow_20 / total_mv, 10, 5) * cs_rank(ts_mean(low_shadow, 5)))",

@@ -177,9 +177,14 @@ def _cs(call: str) -> Callable:
     return sql
 
 
+def _tied(x: str) -> str:
+    """x to 40 of its 53 bits (by splitting): equal sums tie, whatever order they were added in, at any size."""
+    return f"(({x}) * 8193e0 - (({x}) * 8193e0 - ({x})))"
+
+
 def _rank(part: str, mask: str = "") -> Callable:
     def sql(r: Callable, d: str, x: Node) -> str:
-        a = f"round({r(x)}, 10)"  # equal sums tie, whatever order they were added in
+        a = _tied(r(x))
         order = f"partition by {part} order by {a} asc nulls last"  # one sort serves the rank and the count of ties
         return f"case when ({a}) is not null {mask} then (rank() over ({order}) + 5e-1 * (count(1) over ({order} range between current row and current row) - 1)) / count({a}) over (partition by {part}) end"
 
@@ -206,16 +211,18 @@ def ewm_rows(span: float) -> int:
 
 
 def _ewm(r: Callable, d: str, x: Node, span: Node) -> str:
-    """Recursive mean y = y + a (x - y) from the first value on; a null row carries y."""
+    """Recursive mean from the first value on; a null row carries it, and its weight falls by 1 - a with each."""
     a, alpha = r(x), 2 / (float(span[1]) + 1)
     if d == "spark":
         w = f"{LATEST} rows between {ewm_rows(span[1]) - 1} preceding and current row"
-        return f"aggregate(collect_list({a}) over ({w}), cast(null as double), (y, v) -> coalesce(y + {number(alpha)} * (v - y), v))"
+        k, keep = number(alpha), number(1 - alpha)
+        step = f"named_struct('y', case when e.v is null then s.y when s.y is null then e.v else (s.w * {keep} * s.y + {k} * e.v) / (s.w * {keep} + {k}) end, 'w', case when e.v is null then s.w * {keep} else 1e0 end)"
+        return f"aggregate(collect_list(named_struct('v', {a})) over ({w}), named_struct('y', cast(null as double), 'w', 1e0), (s, e) -> {step}, s -> s.y)"
     w = f"{LATEST} rows between unbounded preceding and current row"
-    k = f"(row_number() over ({LATEST}) - 1)"
-    first = f"first_value({a}) over ({w})"
-    past = f"list({a}) over ({w})"
-    return f"list_reduce({past}, lambda y, v: y + {number(alpha)} * (v - y))" if k and first else ""
+    past = f"list_transform(list({a}) over ({w}), lambda v: {{'y': v, 'w': 1e0}})"
+    keep = f"s.w * {number(1 - alpha)}"
+    step = f"case when e.y is null then {{'y': s.y, 'w': {keep}}} when s.y is null then {{'y': e.y, 'w': 1e0}} else {{'y': ({keep} * s.y + {number(alpha)} * e.y) / ({keep} + {number(alpha)}), 'w': 1e0}} end"
+    return f"list_reduce({past}, lambda s, e: {step}).y"
 
 
 def _corr(r: Callable, d: str, x: Node, y: Node, n: Node, mp: Node | None = None) -> str:
@@ -309,8 +316,8 @@ SCALARS: dict[str, Callable] = {
         "(list_sum(list_transform({0}, lambda v, i: v * i)) / (5e-1 * len({0}) * (len({0}) + 1)))",
     ),
     "list_rank": _hof(
-        "(case when ({1}) is not null then size(filter({0}, v -> round(v, 10) <= round({1}, 10))) / cast(size({0}) as double) end)",
-        "(case when ({1}) is not null then len(list_filter({0}, lambda v: round(v, 10) <= round({1}, 10))) / cast(len({0}) as double) end)",
+        "(case when ({1}) is not null then size(filter({0}, v -> (v * 8193e0 - (v * 8193e0 - v)) <= (({1}) * 8193e0 - (({1}) * 8193e0 - ({1}))))) / cast(size({0}) as double) end)",
+        "(case when ({1}) is not null then len(list_filter({0}, lambda v: (v * 8193e0 - (v * 8193e0 - v)) <= (({1}) * 8193e0 - (({1}) * 8193e0 - ({1}))))) / cast(len({0}) as double) end)",
     ),
     "list_argmax": _hof("(array_position({0}, array_max({0})) / cast(size({0}) as double))", "(list_position({0}, list_max({0})) / cast(len({0}) as double))"),
     "list_argmin": _hof("(array_position({0}, array_min({0})) / cast(size({0}) as double))", "(list_position({0}, list_min({0})) / cast(len({0}) as double))"),

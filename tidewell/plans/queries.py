@@ -134,8 +134,8 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("n_orgs", F.col("n_orgs").cast("long"))
 
 
-_FUT = "select industry as product, date, cast(date + 28 * cast(code % 3 + 1 as int) as date) as expiry, avg(close) as price from panel where industry < 5 group by 1, 2, 3"
-_IDX = "select industry as product, date, avg(open) as index_close from panel where industry < 5 group by 1, 2"
+_FUT = "select industry as product, date, cast(date + 28 * cast(code % 3 + 1 as int) as date) as expiry, avg(close) as price from panel group by 1, 2, 3"
+_IDX = "select industry as product, date, avg(open) as index_close from panel group by 1, 2"
 _BASIS = f"select f.product, f.date, f.expiry, f.price, i.index_close, date_diff('day', f.date, f.expiry) as days_to_expiry, f.price - i.index_close as basis, (f.price - i.index_close) / i.index_close * 365 / date_diff('day', f.date, f.expiry) as annualised, row_number() over (partition by f.product, f.date order by f.expiry) as tenor from ({_FUT}) f left join ({_IDX}) i using (product, date)"
 
 
@@ -293,7 +293,7 @@ def _drift(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register("risk_factor_regression")
 def _regression(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.factor_regression(_factors(spark, sf), "label", ["f_mom", "f_vol"], "industry", "amount", least=40).orderBy("date", "kind", "name")
+    return risk.factor_regression(_factors(spark, sf), "label", ["f_mom", "f_vol"], "industry", "amount", least=40)
 
 
 @_register("risk_constrained_regression")
