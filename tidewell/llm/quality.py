@@ -2,13 +2,13 @@
 
 Each rule votes for good, votes for bad, or abstains.  Expectation-maximisation over the
 counts of vote patterns (at most three to the power of the rules, whatever the corpus)
-estimates how each rule votes on good and on bad documents, and a document is kept if its
+estimates each rule's accuracy on good and on bad documents, and a document is kept if its
 posterior probability of being good is at least one half.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +20,21 @@ from tidewell.llm.common import materialise, mix, rolling, trimmed
 
 WINDOW = 8
 GOOD, BAD, ABSTAIN = 0, 1, 2
-#: name: figure, bad from, good up to (None: never votes good).  Between them a rule abstains.
-RULES = {
-    "repeats": ("n_repeat_words / n_words", 0.20, None),
-    "symbols": ("n_symbols / word_chars", 0.04, None),
-    "capitals": ("n_upper / letters", 0.50, None),
-    "exclaims": ("n_exclaims / n_words", 0.25, None),
-    "lines": ("n_dup_lines / n_lines", 0.30, None),
-    "variety": ("-n_distinct / sqrt(n_words)", -0.80, None),
-    "word_size": ("abs(word_chars / n_words - 6)", 8.0, None),
-    "prose": ("-n_stops / n_words", -0.005, None),
-    "plain": ("n_odd / word_chars", 0.05, 0.01),
+Figures = dict[str, np.ndarray]
+#: name: figure, good up to, bad from.  Between them a rule abstains.
+RULES: dict[str, tuple[Callable[[Figures], np.ndarray], float, float]] = {
+    "repeats": (lambda x: x["n_repeat_words"] / x["n_words"], 0.02, 0.20),
+    "symbols": (lambda x: x["n_symbols"] / x["word_chars"], 0.004, 0.04),
+    "capitals": (lambda x: x["n_upper"] / x["letters"], 0.12, 0.50),
+    "exclaims": (lambda x: x["n_exclaims"] / x["n_words"], 0.02, 0.25),
+    "lines": (lambda x: x["n_dup_lines"] / x["n_lines"], 0.02, 0.30),
+    "variety": (lambda x: -x["n_distinct"] / np.sqrt(x["n_words"]), -4.0, -0.80),
+    "word_size": (lambda x: np.abs(x["word_chars"] / x["n_words"] - 6), 2.0, 8.0),
+    "prose": (lambda x: -x["n_stops"] / x["n_words"], -0.04, -0.005),
+    "plain": (lambda x: x["n_odd"] / x["word_chars"], 0.01, 0.05),
 }
-#: What is believed of a rule's accuracy beforehand, and the weight of that belief, as a share of the rule's votes.
-BELIEF, WEIGHT = 0.95, 0.25
+#: What is believed of a rule's accuracies beforehand, and the weight of that belief in votes, the same for every corpus.
+BELIEF, WEIGHT = 0.9, 20.0
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "letters", "n_exclaims", "n_lines", "n_distinct", "n_stops", "n_odd")
 
 _KIND = np.zeros(256, np.uint8)  # bits: 1 code point outside white space, 2 symbol, 4 upper case, 8 letter, 16 exclamation mark, 32 sign that prose lacks
@@ -78,44 +79,41 @@ def figures(texts: list[bytes]) -> dict[str, np.ndarray]:
     return out
 
 
-def votes(x: dict[str, np.ndarray]) -> np.ndarray:
+def votes(x: Figures) -> np.ndarray:
     """The votes of all rules on each text as one number in base three; a rule without words to judge abstains."""
-    names = {k: v.astype(float) for k, v in x.items()} | {"sqrt": np.sqrt, "abs": np.abs}
     out = np.zeros(len(x["n_words"]), np.int64)
     with np.errstate(divide="ignore", invalid="ignore"):
-        for j, (figure, bad, good) in enumerate(RULES.values()):
-            v = eval(figure, {"__builtins__": {}}, names)  # noqa: S307  a constant of this module
-            vote = np.where(v >= bad, BAD, np.where(v <= (-np.inf if good is None else good), GOOD, ABSTAIN))
+        for j, (figure, good, bad) in enumerate(RULES.values()):
+            v = figure(x)
+            vote = np.where(v >= bad, BAD, np.where(v <= good, GOOD, ABSTAIN))
             out += np.where(np.isfinite(v), vote, ABSTAIN) * 3**j
     return out
 
 
-def em(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """Share of good documents, and each rule's accuracy: how often a vote of its is right.
+def em(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int = 500) -> tuple[float, np.ndarray, np.ndarray]:
+    """Share of good documents, and each rule's accuracies: how often its vote is right on good and on bad ones.
 
-    Starts from "bad if any rule says bad".  Accuracies are smoothed toward BELIEF, which ties
-    the two classes to the words good and bad.
+    Starts from "bad if any rule says bad".  BELIEF counts as WEIGHT votes of each rule on
+    either kind, which ties the two classes to the words good and bad.
     """
     vote = (patterns[:, None] // 3 ** np.arange(rules)) % 3
-    voted = counts @ (vote != ABSTAIN)
     good = np.where((vote == BAD).any(axis=1), 0.1, 0.95)
-    prior, accuracy = 0.5, np.full(rules, BELIEF)
+    prior, on_good, on_bad = 0.5, np.full(rules, BELIEF), np.full(rules, BELIEF)
     for _ in range(rounds):
         prior = float((counts @ good + 1) / (counts.sum() + 2))
-        right = (counts * good) @ (vote == GOOD) + (counts * (1 - good)) @ (vote == BAD)
-        accuracy = (right + BELIEF * (WEIGHT * voted + 1)) / (voted + WEIGHT * voted + 1)
-        new = posterior(patterns, prior, accuracy)
+        on_good = ((counts * good) @ (vote == GOOD) + BELIEF * WEIGHT) / ((counts * good) @ (vote != ABSTAIN) + WEIGHT)
+        on_bad = ((counts * (1 - good)) @ (vote == BAD) + BELIEF * WEIGHT) / ((counts * (1 - good)) @ (vote != ABSTAIN) + WEIGHT)
+        new = posterior(patterns, prior, on_good, on_bad)
         if np.abs(new - good).max(initial=0) < 1e-9:
             break
         good = new
-    return prior, accuracy
+    return prior, on_good, on_bad
 
 
-def posterior(patterns: np.ndarray, prior: float, accuracy: np.ndarray) -> np.ndarray:
+def posterior(patterns: np.ndarray, prior: float, on_good: np.ndarray, on_bad: np.ndarray) -> np.ndarray:
     """The probability of good for each vote pattern."""
-    vote = (patterns[:, None] // 3 ** np.arange(len(accuracy))) % 3
-    weight = np.log(accuracy / (1 - accuracy))
-    odds = np.log(prior / (1 - prior)) + (vote == GOOD) @ weight - (vote == BAD) @ weight
+    vote = (patterns[:, None] // 3 ** np.arange(len(on_good))) % 3
+    odds = np.log(prior / (1 - prior)) + (vote == GOOD) @ np.log(on_good / (1 - on_bad)) + (vote == BAD) @ np.log((1 - on_good) / on_bad)
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
@@ -171,16 +169,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per row of docs: (id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior).
 
     Null or empty text: no words, so it fails the base rules.  Null and repeated ids are
-    kept.  Texts are measured whole.  An empty table gives an empty one.
+    kept.  Texts are measured whole.  An empty table gives an empty one.  Other columns
+    aren't read, so their names don't matter.
     """
     rows = materialise(measured(docs, id_col, text_col).drop("held"))
     return _judged(rows, learn(rows)).select(F.col("id").alias(id_col), *FIGURES[:5], "base_failed", "kept", "posterior")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns."""
-    good = learn(measured(docs, id_col, text_col).drop("held"))
-    rows = _judged(measured(docs, id_col, text_col, tuple(docs.columns)), good).where("kept")
+    """The rows of docs that judge() keeps, with their columns, whatever their names.
+
+    Texts are measured once, and their figures kept with them.
+    """
+    rows = materialise(measured(docs, id_col, text_col, tuple(docs.columns)))
+    rows = _judged(rows, learn(rows)).where("kept")
     held = F.col("held")
     kind = docs.schema[text_col].dataType
     return rows.select(*[held["text"].cast(kind).alias(c) if c == text_col else held["rest"].getField(c).alias(c) for c in docs.columns])
