@@ -1,9 +1,8 @@
 """Best-fit packing of token sequences by swap-based local search.
 
 Only lengths matter, and there are at most ``capacity`` of them, so the search works on the
-histogram of lengths: bins of one content are one pattern with a count.  The number of
-patterns depends on the capacity, not on the corpus; whatever the driver holds is bounded
-by it.  Best fit, longest first, gives the first packing; then underfull bins exchange one
+histogram of lengths: bins of one content are one pattern with a count.  What the driver gets is at most one count
+for each length, whatever the corpus.  Best fit, longest first, gives the first packing; then underfull bins exchange one
 document for one, two for one, or move a document, whenever that increases the sum of
 squared fills, until bins empty or the lower bound is met.
 
@@ -13,6 +12,7 @@ counts, so no length, however common, is gathered in one task.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +26,6 @@ from tidewell.llm.bpe import MEMO, SLICE, codec, slices, tokenizer_path
 from tidewell.llm.common import materialise, trimmed
 
 CAPACITY = 2048
-SEARCH_STEPS = 20_000
 
 
 # ---------------------------------------------------------------- the plan, on a histogram
@@ -68,79 +67,98 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
     return sum((x for x in free if x), Counter())
 
 
-def improve(bins: Counter, capacity: int, steps: int = SEARCH_STEPS) -> Counter:
+class Rooms:
+    """Open patterns by the room they have, and which lengths each holds."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.by = capacity, [set() for _ in range(capacity + 1)]
+        self.some = np.zeros(capacity + 1, bool)
+
+    def add(self, pattern: tuple) -> None:
+        room = self.capacity - sum(pattern)
+        if room:
+            self.by[room].add(pattern)
+            self.some[room] = True
+
+    def drop(self, pattern: tuple) -> None:
+        room = self.capacity - sum(pattern)
+        self.by[room].discard(pattern)
+        self.some[room] = bool(self.by[room])
+
+    def fullest_first(self, most: int) -> Iterator[tuple]:
+        """Patterns with ``most`` room or less, those with the least room first."""
+        for room in np.flatnonzero(self.some[: most + 1]).tolist():
+            yield from sorted(self.by[room])
+
+
+def improve(bins: Counter, capacity: int) -> Counter:
     """Local search over underfull bins: moves, one-for-one and two-for-one exchanges.
 
-    Each step raises the sum of squared fills by taking from the emptiest bins; it acts on as
-    many bins of the two patterns as there are.  It ends at the lower bound, when no step
-    helps, or after ``steps`` steps.
+    Each step takes from an underfull bin, the emptiest first, and raises the sum of squared
+    fills; it acts on as many bins of the two patterns as there are.  A pass tries every open
+    pattern and every pattern that comes up on the way.  The search ends at the lower bound, or
+    once a pass finds no step; squared fill grows with each, so it does end.
     """
     bins = Counter(bins)
     total = sum(sum(p) * n for p, n in bins.items())
-    least = -(-total // capacity)
-    open_ = {p for p in bins if sum(p) < capacity}
-    stuck: set[tuple] = set()
-
-    def change(old: list[tuple], new: list[tuple], n: int) -> None:
-        for p in old:
-            bins[p] -= n
-            if bins[p] <= 0:
-                del bins[p]
-                open_.discard(p)
-        for p in new:
-            if p:
-                bins[p] += n
-                if sum(p) < capacity:
-                    open_.add(p)
-
-    count = sum(bins.values())
-    for _ in range(steps):
-        if count <= least or len(open_) < 1:
-            break
-        pool = open_ - stuck
-        if not pool:
-            break
-        source = min(pool, key=lambda p: (sum(p), p))
-        step = _step(source, open_, bins, capacity)
-        if step is None:
-            stuck.add(source)
-            continue
-        target, out, back = step
-        rest = Counter(source) - Counter(out) + Counter(back)
-        to = Counter(target) - Counter(back) + Counter(out)
-        n = bins[source] // 2 if target == source else min(bins[source], bins[target])
-        new = [tuple(sorted(x.elements(), reverse=True)) for x in (rest, to)]
-        change([source, target], new, n)
-        if not new[0]:
-            count -= n
-        stuck.clear() if len(stuck) < 64 else None
+    least, count = -(-total // capacity), sum(bins.values())
+    rooms = Rooms(capacity)
+    for p in bins:
+        rooms.add(p)
+    found = True
+    while count > least and found:
+        found = False
+        waiting = [(sum(p), p) for p in bins if sum(p) < capacity]
+        heapq.heapify(waiting)
+        while count > least and waiting:
+            _, source = heapq.heappop(waiting)
+            step = _step(source, rooms, bins, capacity) if source in bins else None
+            if step is None:
+                continue
+            found = True
+            target, out, back = step
+            n = bins[source] // 2 if target == source else min(bins[source], bins[target])
+            new = [tuple(sorted(x.elements(), reverse=True)) for x in (Counter(source) - Counter(out) + Counter(back), Counter(target) - Counter(back) + Counter(out))]
+            for p in (source, target):
+                bins[p] -= n
+                if bins[p] <= 0:
+                    del bins[p]
+                    rooms.drop(p)
+            for p in new:
+                if p:
+                    bins[p] += n
+                    rooms.add(p)
+                else:
+                    count -= n
+            for p in {source, target, *new}:
+                if p in bins and sum(p) < capacity:
+                    heapq.heappush(waiting, (sum(p), p))
     return bins
 
 
-def _step(source: tuple, open_: set, bins: Counter, capacity: int) -> tuple | None:
-    """The exchange with the fullest result: (target, lengths that leave source, lengths that come back)."""
-    best, gain = None, 0
+def _step(source: tuple, rooms: Rooms, bins: Counter, capacity: int) -> tuple | None:
+    """An exchange that raises the sum of squared fills, into the fullest bin that has one: (target, lengths that leave source, lengths that come back).
+
+    A target with some room can grow by 1 to that room; the largest growth is taken.  Sizes
+    that can leave are bits of one number, so a target is tried with a few shifts.
+    """
     fill = sum(source)
-    ones = sorted(set(source), reverse=True)
-    twos = sorted({(a, b) for k, a in enumerate(source) for b in source[k + 1 :]}, key=sum, reverse=True)
-    for target in sorted(open_, key=lambda p: (-sum(p), p)):
+    twos = {a + b: (a, b) for k, a in enumerate(source) for b in source[k + 1 :]}
+    one = sum(1 << x for x in set(source))
+    any_ = one | sum(1 << x for x in twos if not one >> x & 1)
+    for target in rooms.fullest_first(capacity - fill):
         if target == source and bins[source] < 2:
             continue
-        have = sum(target)
-        if have < fill:
-            break
-        room = capacity - have
-        for out in [*((a,) for a in ones), *twos]:
-            size = sum(out)
-            for back in [(), *((y,) for y in sorted(set(target)))]:
-                grow = size - sum(back)
-                if 0 < grow <= room and not (len(out) == 2 and not back):
-                    g = (have + grow) ** 2 + (fill - grow) ** 2 - have**2 - fill**2
-                    if g > gain:
-                        best, gain = (target, out, back), g
-        if best is not None:
-            return best
-    return best
+        open_ = (1 << (capacity - sum(target))) - 1
+        grow, back = 0, 0
+        for x in {0, *target}:
+            g = (((any_ if x else one) >> (x + 1)) & open_).bit_length()
+            if (g, x) > (grow, back):
+                grow, back = g, x
+        if grow:
+            size = grow + back
+            return target, (size,) if one >> size & 1 else twos[size], (back,) if back else ()
+    return None
 
 
 class Places:
