@@ -30,9 +30,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one if it is unset and the session is local too."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "tidewell-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

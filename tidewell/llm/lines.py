@@ -95,7 +95,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are kept with ``keep_text`` and not read otherwise.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    id_, text_ = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    # rows without an id are known by their text, so that they don't meet under one key
+    base = docs.select(id_.alias("id"), text_.alias("text"), F.when(id_.isNull(), F.xxhash64(text_)).alias("nameless"))
     segments = twice_seen(base, least, filter_bytes)
     shared = spark.sparkContext.broadcast(segments)
     size = filter_bytes // SEGMENTS * 8
@@ -103,11 +105,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = {s: np.frombuffer(x, np.uint8) for s, x in shared.value.items()}
         for b in batches:
-            ids, keys = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids, nameless, keys = [], [], []
+            for i, t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 own = {k for x in (t or "").split("\n") if len(x) >= least and (k := line_key(x, least))}
                 keys += own
                 ids += [i] * len(own)
+                nameless += [h] * len(own)
             h = np.array(list(map(_hash, keys)), np.uint64)
             hit, short = np.zeros(len(h), bool), _short(h).astype(np.uint64)
             at = _segment(h, SEGMENTS)
@@ -116,17 +119,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 place = _bits(short[mine], size)
                 hit[mine] = ((bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).all(axis=0)
             pick = np.flatnonzero(hit).tolist()
-            yield pa.record_batch([pa.array([ids[k] for k in pick], pa.int64()), pa.array([xxhash.xxh3_128_digest(keys[k]) for k in pick], pa.binary())], ["id", "key"])
+            yield pa.record_batch([pa.array([ids[k] for k in pick], pa.int64()), pa.array([nameless[k] for k in pick], pa.int64()), pa.array([xxhash.xxh3_128_digest(keys[k]) for k in pick], pa.binary())], ["id", "nameless", "key"])
 
-    found = materialise(base.mapInArrow(trimmed(suspects), "id long, key binary"))
+    found = materialise(base.mapInArrow(trimmed(suspects), "id long, nameless long, key binary"))
     # a row for each document and key; without repeated ids the count of rows is that of documents
     counted = materialise(found.where("id is not null").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= documents).drop("n"))
     # with both sides straight from a table, a very common key's partition of the join is split at run time
-    drop = found.join(counted, "key").where("id is null or id < last").select("id", "key")
-    drop = drop.groupBy("id").agg(F.collect_list("key").alias("drop"))
+    drop = found.join(counted, "key").where("id is null or id < last").select("id", "nameless", "key")
+    drop = drop.groupBy("id", "nameless").agg(F.collect_list("key").alias("drop"))
     extra = [c for c in docs.columns if c not in (id_col, text_col)] if keep_text else []
-    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in extra]).alias("extra") if extra else F.lit(None).cast("int").alias("extra"))
-    joined = whole.join(drop.withColumnRenamed("id", "drop_id"), F.col("id").eqNullSafe(F.col("drop_id")), "left").select("id", "text", "extra", "drop")
+    whole = docs.select(id_.alias("id"), text_.alias("text"), F.when(id_.isNull(), F.xxhash64(text_)).alias("nameless"), F.struct(*[F.col(f"`{c}`") for c in extra]).alias("extra") if extra else F.lit(None).cast("int").alias("extra"))
+    drop = drop.select(F.col("id").alias("drop_id"), F.col("nameless").alias("drop_nameless"), "drop")
+    joined = whole.join(drop, F.col("id").eqNullSafe(F.col("drop_id")) & F.col("nameless").eqNullSafe(F.col("drop_nameless")), "left").select("id", "text", "extra", "drop")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
