@@ -467,6 +467,38 @@ def test_quality_keeps_prose(spark):
     assert kept == {k for k, _ in good}
 
 
+def test_quality_verdicts_are_those_of_em_by_document():
+    rng = np.random.default_rng(5)
+    n, rules = 400, len(quality.RULES)
+    truth = rng.random(n) < 0.7
+    vote = np.where(rng.random((n, rules)) < 0.25, quality.ABSTAIN, np.where((rng.random((n, rules)) < 0.85) == truth[:, None], quality.GOOD, quality.BAD))
+    pattern = (vote * 3 ** np.arange(rules)).sum(axis=1)
+    p, c = np.unique(pattern, return_counts=True)
+    got = dict(zip(p.tolist(), quality.posterior(p, *quality.em(p, c.astype(float), rules)).tolist()))
+    good = [0.1 if quality.BAD in v else 0.95 for v in vote.tolist()]
+    for _ in range(500):  # document by document
+        prior = (sum(good) + 1) / (n + 2)
+        right = {}
+        for j in range(rules):
+            a = [(g, v[j]) for g, v in zip(good, vote.tolist()) if v[j] != quality.ABSTAIN]
+            right[j] = ((sum(g for g, v in a if v == quality.GOOD) + 18) / (sum(g for g, _ in a) + 20), (sum(1 - g for g, v in a if v == quality.BAD) + 18) / (sum(1 - g for g, _ in a) + 20))
+        new = []
+        for v in vote.tolist():
+            yes, no = prior, 1 - prior
+            for j in range(rules):
+                if v[j] == quality.GOOD:
+                    yes, no = yes * right[j][0], no * (1 - right[j][1])
+                elif v[j] == quality.BAD:
+                    yes, no = yes * (1 - right[j][0]), no * right[j][1]
+            new.append(yes / (yes + no))
+        done = max(abs(a - b) for a, b in zip(good, new)) < 1e-9
+        good = new
+        if done:
+            break
+    assert np.allclose([got[k] for k in pattern.tolist()], good, atol=1e-6)
+    assert np.mean((np.array(good) >= 0.5) == truth) > 0.95
+
+
 def brute_spans(t):
     import re
 
@@ -565,3 +597,49 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids == [*range(60), 202]
     assert "password" not in {r["doc_id"]: r["text"] for r in d.collect()}[202]
     assert {r["doc_id"] for r in p.run(spark, str(tmp_path)).collect()} == set(ids)
+
+
+def test_pipeline_on_odd_rows(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8)))
+    prose = lambda n=12: ". ".join(" ".join(word() for _ in range(9)).capitalize() for _ in range(n)) + "."
+    same, long = prose(), prose(12_000)
+    rows = [(k, prose()) for k in range(30)] + [(40, same), (40, same), (41, same), (None, same), (42, None), (43, ""), (44, long), (45, long), (None, None), (46, "z " + same.upper()), (46, prose())]
+    schema = "doc_id long, text string, kept_id int, id string, key map<string,int>, all int, _place0 int"
+    docs = spark.createDataFrame([(i, t, 1, "x", {"a": 1}, 2, 3) for i, t in rows], schema).repartition(3)
+    for name, f in p.STAGES[:-1]:
+        out = f(spark, docs, "")
+        got = out.collect()
+        assert out.schema == docs.schema and all(tuple(r)[2:] == (1, "x", {"a": 1}, 2, 3) for r in got), name
+        assert f(spark, docs.limit(0), "").collect() == [], name
+        if name == "simhash_dedup":
+            kept = sorted((r["doc_id"] for r in got if r["doc_id"] is not None))
+            assert kept == [*range(30), 40, 42, 44, 46] and sum(r["doc_id"] is None for r in got) == 2
+            assert [r["text"] for r in got if r["doc_id"] == 46] == [min(t for i, t in rows if i == 46)]
+    pieces = p.best_fit_packing(spark, docs, "")
+    assert len(pieces.columns) == 7 and {r["doc_id"] for r in pieces.collect()} == {i for i, _ in rows}
+    assert p.best_fit_packing(spark, docs.limit(0), "").collect() == []
+
+
+def test_packing_counts_by_brute_force():
+    def fewest(items, capacity):  # by subsets: (bins, room taken in the last one)
+        best = {0: (0, capacity)}
+        for mask in range(1, 1 << len(items)):
+            out = (99, 99)
+            for k, x in enumerate(items):
+                if mask >> k & 1:
+                    n, fill = best[mask ^ (1 << k)]
+                    out = min(out, (n, fill + x) if fill + x <= capacity else (n + 1, x))
+            best[mask] = out
+        return best[(1 << len(items)) - 1][0]
+
+    rng, optimal = random.Random(3), 0
+    for _ in range(60):
+        items = [rng.randint(2, 14) for _ in range(rng.randint(3, 10))]
+        got = sum(packing.improve(packing.best_fit(Counter(items), 20), 20).values())
+        want = fewest(items, 20)
+        assert want <= got <= want + 1
+        optimal += got == want
+    assert optimal >= 54
