@@ -2,12 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept.
 All but the last return the columns of ``documents``; ``n_chars`` follows changed texts.
+Null texts count as empty and stay null where a stage keeps them, rows without an id are kept
+like others, rows with one id are one document where documents are compared, an empty table
+stays empty, and further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from tidewell.llm import lines, packing, quality, secrets, simhash
 from tidewell.llm.common import materialise
@@ -40,10 +44,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group.  Rows with one id are one document, and one of them stays; a null id names no document to prefer, so its row stays."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null")
-    once = named.join(first, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group.
+
+    Rows with one id are one document, and the first of them stays, in the order of their text
+    (null last) and then of their other columns.  A null id names no document to prefer, so
+    its row stays.
+    """
+    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    place = next(f"_place{k}" for k in range(len(docs.columns) + 1) if f"_place{k}" not in docs.columns)
+    others = [F.col(f"`{f.name}`").asc_nulls_last() for f in docs.schema if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (MapType, VariantType))]
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *others)
+    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns)
+    once = named.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
     return once.unionByName(docs.where("doc_id is null"))
 
 
