@@ -515,3 +515,14 @@ def test_percentiles_so_far():
     x = np.round(np.random.default_rng(2).standard_normal(1500), 1)
     want = [pd.Series(x[: k + 1]).rank().iloc[-1] / (k + 1) * 100 for k in range(len(x))]
     assert np.allclose(monitor._percentiles_so_far(x, 64), want)
+
+
+def test_rsi_without_losses_is_100(spark):
+    p = spark.createDataFrame([(c, d, "a", float(k if c == "up" else 1)) for c in ("up", "flat") for k, d in enumerate(days(6), 1)], "code string, date date, industry string, x double")
+    got = plan({"v": "rsi(x, 3)"}).spark(p).where(F.col("date") == days(6)[-1]).collect()
+    assert {r.code: r.v for r in got} == {"up": 100.0, "flat": None}
+
+
+def test_panel_oracles_do_not_come_from_the_planner():
+    for k, e in catalog.OPERATORS.items():
+        assert queries.ORACLES[f"panel_{k}"] != plan({"value": e}).duckdb(queries.BASE, decimals=queries.DECIMALS)

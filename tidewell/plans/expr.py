@@ -73,7 +73,7 @@ MACROS: dict[str, tuple[list[tuple[str, float | None]], str]] = {
     "ts_max_drawdown": ([("x", None), ("n", None), ("mp", 0)], "list_drawdown(ts_list(x, n, mp))"),
     "ts_ir": ([("x", None), ("n", None), ("mp", 0)], "ts_mean(x, n, mp) / ts_std(x, n, mp)"),
     "rolling_sum_max": ([("x", None), ("outer", None), ("inner", None)], "ts_max(ts_sum(x, inner), outer)"),
-    "rsi": ([("x", None), ("n", 14)], "100 - 100 / (1 + ts_mean(max0(ts_delta(x, 1)), n) / ts_mean(max0(-ts_delta(x, 1)), n))"),
+    "rsi": ([("x", None), ("n", 14)], "100 * ts_mean(max0(ts_delta(x, 1)), n) / (ts_mean(max0(ts_delta(x, 1)), n) + ts_mean(max0(-ts_delta(x, 1)), n))"),
     "macd": ([("x", None), ("fast", 12), ("slow", 26)], "ewm(x, fast) - ewm(x, slow)"),
     "mfi": ([("n", 21)], "100 - 100 / (1 + ts_sum(max0(mf_flow(0)), n) / ts_sum(max0(-mf_flow(0)), n))"),
     "mf_flow": ([("z", 0)], "(high + low + close) / 3 * volume * coalesce(sign((high + low + close) / 3 - ts_delay((high + low + close) / 3, 1)), 0)"),

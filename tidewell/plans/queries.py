@@ -14,6 +14,7 @@ from tidewell.functions import rules
 from tidewell.operators import evaluate, extremes, joins, monitor, portfolio, risk
 from tidewell.plans import catalog
 from tidewell.plans.expr import plan
+from tidewell.plans.panel_sql import PANEL
 from tidewell.sources.panel import BASE, base_panel, full_panel, full_sql
 
 DECIMALS = 4
@@ -29,6 +30,8 @@ def _expressions(name: str, expressions: dict[str, str], full: bool) -> None:
 
 for _k, _e in catalog.OPERATORS.items():
     _expressions(f"panel_{_k}", {"value": _e}, False)
+    # this SQL doesn't come from the planner
+    ORACLES[f"panel_{_k}"] = f"with panel as ({BASE}), {PANEL[_k]} select code, date, cast(round(value + 1.2345e-8, {DECIMALS}) as double) as value from answer"
 _expressions("catalog_daily", catalog.daily(), False)
 _expressions("catalog_statement", catalog.statement(), True)
 _expressions("catalog_atoms", catalog.atoms(), True)
