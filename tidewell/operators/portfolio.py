@@ -173,14 +173,16 @@ def backtest(weights: DataFrame, returns: DataFrame, cost: float = 0.0005, date:
     its weight times its growth since the rebalance; a date's return is the change of the
     sum.  Turnover at a rebalance compares with the drifted weights of the one before.
     """
-    book = weights.select(date).distinct().withColumn("until", F.lead(date).over(Window.orderBy(date)))
-    w = weights.join(book, date).select(F.col(date).alias("set"), "until", code, "w")
-    r = returns.select(code, date, F.coalesce("ret", F.lit(0.0)).alias("ret"))
-    held = w.join(r, code).where((F.col(date) >= F.col("set")) & (F.col("until").isNull() | (F.col(date) < F.col("until"))))
+    book = weights.select(F.col(date).alias("set")).distinct().withColumn("until", F.lead("set").over(Window.orderBy("set")))
+    # each date's rebalance comes from the calendar, one row per date, so positions meet their own dates only
+    days = returns.select(date, F.lit(None).cast("date").alias("set")).distinct().unionByName(weights.select(date, F.col(date).cast("date").alias("set")).distinct())
+    days = days.groupBy(date).agg(F.max("set").alias("set")).withColumn("set", F.last("set", ignorenulls=True).over(Window.orderBy(date))).where("set is not null")
+    r = returns.join(days, date).select("set", code, date, F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    held = weights.select(F.col(date).cast("date").alias("set"), code, "w").join(r, ["set", code])
     path = Window.partitionBy("set", code).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("v", F.col("w") * F.exp(F.coalesce(F.sum(F.log1p("ret")).over(path), F.lit(0.0))))
     daily = held.groupBy(date, "set").agg((F.sum(F.col("v") * F.col("ret")) / F.sum("v")).alias("gross"))
-    last = held.groupBy("set", "until", code).agg((F.first("w") * F.exp(F.sum(F.log1p("ret")))).alias("v"))
+    last = held.groupBy("set", code).agg((F.first("w") * F.exp(F.sum(F.log1p("ret")))).alias("v")).join(book, "set")
     drifted = last.withColumn("d", F.col("v") / F.sum("v").over(Window.partitionBy("set"))).where("until is not null").select(F.col("until").alias(date), code, "d")
     change = weights.select(date, code, "w").join(drifted, [date, code], "full").groupBy(date).agg((F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)))) / 2).alias("turnover"))
     out = daily.join(change, date, "left").withColumn("turnover", F.when(F.col("set") == F.col(date), F.col("turnover")).otherwise(0.0))
