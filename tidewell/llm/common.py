@@ -40,16 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, so that no later failure recomputes it."""
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back, so that no later failure recomputes it; ``by``: a column of strings that folders part it by."""
     spark = df.sparkSession
     gc.collect()  # shuffle files of earlier steps go once the driver has collected their plans
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    if by is not None:  # a folder can't be named '' (it would be read as null)
+        df = df.withColumn(by, F.concat(F.lit("="), by))
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    return back if by is None else back.withColumn(by, F.expr(f"substring({by}, 2)"))
 
 
 def bucketed(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, embeddings, lines, lm, packing, quality, secrets, simhash, substrings, suffixes
+from tidewell.llm import bpe, divergence, embeddings, lines, lm, packing, quality, secrets, simhash, substrings, suffixes, urls
 
-MODULES = (simhash, bpe, substrings, suffixes, lines, embeddings, packing, lm, quality, secrets)
+MODULES = (simhash, bpe, substrings, suffixes, lines, embeddings, packing, lm, quality, secrets, divergence, urls)
 
 
 def queries() -> dict:
