@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, divergence, embeddings, lines, lm, packing, quality, secrets, simhash, substrings, suffixes, urls
+from tidewell.llm import bpe, divergence, embeddings, lines, lm, packing, quality, secrets, simhash, substrings, suffixes, urls, whitening
 
-MODULES = (simhash, bpe, substrings, suffixes, lines, embeddings, packing, lm, quality, secrets, divergence, urls)
+MODULES = (simhash, bpe, substrings, suffixes, lines, embeddings, packing, lm, quality, secrets, whitening, divergence, urls)
 
 
 def queries() -> dict:
