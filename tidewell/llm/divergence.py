@@ -33,16 +33,27 @@ CELLS = 1 << 22  # sums that a task holds for one language and part of its sourc
 ALL_TERMS = 2**31 - 1
 
 
+#: Bytes of a text in UTF-8: A-Z lower-cased, what separates terms a space, all of other characters as they are.
+FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their terms joined by one space."""
+    for b in batches:
+        texts = [b" ".join(t.translate(FOLD).split()) for t in b.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.binary()).cast(pa.string())], ["lang", "source", "terms"])
+
+
 def counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str, min_df: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(groups, cells, terms): all (lang, source), occurrences of kept terms (lang, source, idx, count), and (lang, idx, term)."""
     spark = docs.sparkSession
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    found = F.regexp_extract_all(F.translate(text(text_col), UPPER, LOWER), F.lit(TERM), F.lit(0))
-    rows = materialise(docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), found.alias("terms")), by="lang")
+    rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
+    rows = materialise(rows.mapInArrow(_folded, "lang string, source string, terms string"), by="lang")
     groups = materialise(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs")))
     cells, terms = None, []
     for (lang,) in sorted(groups.select("lang").distinct().collect()):
-        own = rows.where(F.col("lang") == lang).where("size(terms) > 0")
+        own = rows.where(F.col("lang") == lang).where("terms <> ''").select("source", F.split("terms", " ").alias("terms"))
         if own.isEmpty():
             continue
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL_TERMS).fit(own)
@@ -50,8 +61,9 @@ def counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str, min_d
             continue
         terms.append(pa.table({"lang": [lang] * len(model.vocabulary), "idx": pa.array(range(len(model.vocabulary)), pa.int32()), "term": model.vocabulary}))
         v = F.unwrap_udt(F.col("vector"))
-        part = model.transform(own).select("lang", "source", F.explode(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("n"))).alias("x"))
-        part = part.groupBy("lang", "source", F.col("x.i").alias("idx")).agg(F.sum(F.col("x.n").cast("long")).alias("count"))
+        part = model.transform(own).select("source", F.explode(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("n"))).alias("x"))
+        part = part.groupBy("source", F.col("x.i").alias("idx")).agg(F.sum(F.col("x.n").cast("long")).alias("count"))
+        part = part.select(F.lit(lang).alias("lang"), "source", "idx", "count")
         cells = part if cells is None else cells.unionByName(part)
     if cells is None:
         return groups, spark.createDataFrame([], "lang string, source string, idx int, count long"), spark.createDataFrame([], "lang string, idx int, term string")
