@@ -77,8 +77,22 @@ MACROS: dict[str, tuple[list[tuple[str, float | None]], str]] = {
     "macd": ([("x", None), ("fast", 12), ("slow", 26)], "ewm(x, fast) - ewm(x, slow)"),
     "mfi": ([("n", 21)], "100 - 100 / (1 + ts_sum(max0(mf_flow(0)), n) / ts_sum(max0(-mf_flow(0)), n))"),
     "mf_flow": ([("z", 0)], "(high + low + close) / 3 * volume * coalesce(sign((high + low + close) / 3 - ts_delay((high + low + close) / 3, 1)), 0)"),
-    "age_weight": ([("hl", None)], "pow(2, ts_row(0) / hl)"),
-    "fewm_mean": ([("x", None), ("n", None), ("hl", None), ("mp", None)], "ts_sum(x * age_weight(hl), n, mp) / ts_sum(same_null(x, age_weight(hl)), n, mp)"),
+    # sums over the last n rows, in blocks of n rows: the row's block up to it and the rest of the block before
+    "block": ([("n", None)], "floor((ts_row(0) - 1) / n)"),
+    "age": ([("n", None)], "ts_row(0) - 1 - n * block(n)"),
+    "age_weight": ([("n", None), ("hl", None)], "pow(2, age(n) / hl)"),
+    "moving": ([("x", None), ("n", None)], "block_run(coalesce(x, 0), block(n)) + coalesce(ts_delay(block_sum(coalesce(x, 0), block(n)) - block_run(coalesce(x, 0), block(n)), n), 0)"),
+    "decayed": ([("x", None), ("n", None), ("hl", None)], "block_run(coalesce(x, 0) * age_weight(n, hl), block(n)) / age_weight(n, hl) + coalesce(ts_delay(block_sum(coalesce(x, 0) * age_weight(n, hl), block(n)) - block_run(coalesce(x, 0) * age_weight(n, hl), block(n)), n), 0) / (age_weight(n, hl) * pow(2, n / hl))"),
+    "fewm_mean": ([("x", None), ("n", None), ("hl", None), ("mp", None)], "when(moving(same_null(x, 1), n) >= mp, decayed(x, n, hl) / decayed(same_null(x, 1), n, hl))"),
+    # recursive mean: each value's share depends on the rows since the last one; shares of older values are products, kept as sums of logarithms and cut into blocks before they underflow
+    "ewm_old": ([("x", None), ("a", None)], "pow(1 - a, ts_row(0) - ts_before(same_null(x, ts_row(0))))"),
+    "ewm_log": ([("x", None), ("a", None)], "coalesce(ts_run(same_null(x, ln(ewm_old(x, a) / (ewm_old(x, a) + a)))), 0)"),
+    "ewm_block": ([("x", None), ("a", None)], "floor(-ewm_log(x, a) / 300)"),
+    "ewm_scale": ([("x", None), ("a", None)], "ewm_log(x, a) + 300 * ewm_block(x, a)"),
+    "ewm_own": ([("x", None), ("a", None)], "block_run(x * coalesce(a / (ewm_old(x, a) + a), 1) * exp(-ewm_scale(x, a)), ewm_block(x, a)) * exp(ewm_scale(x, a))"),
+    "ewm_carry": ([("x", None), ("a", None)], "coalesce(block_first(ts_delay(ewm_own(x, a), 1), ewm_block(x, a)) * exp(ewm_log(x, a) - block_first(ts_delay(ewm_log(x, a), 1), ewm_block(x, a))), 0)"),
+    "ewm_mean": ([("x", None), ("a", None)], "coalesce(ewm_own(x, a), 0) + ewm_carry(x, a)"),
+    "ewm": ([("x", None), ("span", None)], "when(ts_run(same_null(x, 1)) > 0, ewm_mean(x, 2 / (span + 1)))"),
     "fewm_var": ([("x", None), ("n", None), ("hl", None), ("mp", None)], "max0(fewm_mean(x * x, n, hl, mp) - pow(fewm_mean(x, n, hl, mp), 2))"),
     "fewm_std": ([("x", None), ("n", None), ("hl", None), ("mp", None)], "sqrt(fewm_var(x, n, hl, mp))"),
     "fewm_beta": ([("y", None), ("x", None), ("n", None), ("hl", None), ("mp", None)], "(fewm_mean(x * y, n, hl, mp) - fewm_mean(same_null(y, x), n, hl, mp) * fewm_mean(same_null(x, y), n, hl, mp)) / fewm_var(same_null(y, x), n, hl, mp)"),
@@ -203,28 +217,6 @@ def _list(nulls: bool) -> Callable:
     return sql
 
 
-def ewm_rows(span: float) -> int:
-    """Rows after which a weight is below the precision of a double."""
-    import math
-
-    return math.ceil(40 / -math.log1p(-2 / (span + 1)))
-
-
-def _ewm(r: Callable, d: str, x: Node, span: Node) -> str:
-    """Recursive mean from the first value on; a null row carries it, and its weight falls by 1 - a with each."""
-    a, alpha = r(x), 2 / (float(span[1]) + 1)
-    if d == "spark":
-        w = f"{LATEST} rows between {ewm_rows(span[1]) - 1} preceding and current row"
-        k, keep = number(alpha), number(1 - alpha)
-        step = f"named_struct('y', case when e.v is null then s.y when s.y is null then e.v else (s.w * {keep} * s.y + {k} * e.v) / (s.w * {keep} + {k}) end, 'w', case when e.v is null then s.w * {keep} else 1e0 end)"
-        return f"aggregate(collect_list(named_struct('v', {a})) over ({w}), named_struct('y', cast(null as double), 'w', 1e0), (s, e) -> {step}, s -> s.y)"
-    w = f"{LATEST} rows between unbounded preceding and current row"
-    past = f"list_transform(list({a}) over ({w}), lambda v: {{'y': v, 'w': 1e0}})"
-    keep = f"s.w * {number(1 - alpha)}"
-    step = f"case when e.y is null then {{'y': s.y, 'w': {keep}}} when s.y is null then {{'y': e.y, 'w': 1e0}} else {{'y': ({keep} * s.y + {number(alpha)} * e.y) / ({keep} + {number(alpha)}), 'w': 1e0}} end"
-    return f"list_reduce({past}, lambda s, e: {step}).y"
-
-
 def _corr(r: Callable, d: str, x: Node, y: Node, n: Node, mp: Node | None = None) -> str:
     """Pearson over pairs, null where a side is constant (corr() divides by zero there)."""
     w, a, b = _frame(n), r(x), r(y)
@@ -250,9 +242,13 @@ WINDOWS: dict[str, Callable] = {
     "ts_delay": lambda r, d, x, p=("num", 1): f"lag({r(x)}, {int(p[1])}) over ({LATEST})",
     "ts_lead": lambda r, d, x, p=("num", 1): f"lead({r(x)}, {int(p[1])}) over ({LATEST})",
     "ts_row": lambda r, d, x: f"cast(row_number() over ({LATEST}) as double)",
+    "ts_run": lambda r, d, x: f"sum({r(x)}) over ({LATEST} rows unbounded preceding)",
+    "ts_before": lambda r, d, x: (f"last_value({r(x)}) ignore nulls" if d == "spark" else f"last_value({r(x)} ignore nulls)") + f" over ({LATEST} rows between unbounded preceding and 1 preceding)",
+    "block_run": lambda r, d, x, b: f"sum({r(x)}) over (partition by {CODE}, {r(b)} order by {DATE} rows unbounded preceding)",
+    "block_sum": lambda r, d, x, b: f"sum({r(x)}) over (partition by {CODE}, {r(b)} order by {DATE} rows between unbounded preceding and unbounded following)",
+    "block_first": lambda r, d, x, b: f"first_value({r(x)}) over (partition by {CODE}, {r(b)} order by {DATE} rows unbounded preceding)",
     "ts_list": _list(False),
     "ts_rows": _list(True),
-    "ewm": _ewm,
     "cs_avg": _cs("avg({0}) over (partition by date)"),
     "cs_std": _cs("stddev_samp({0}) over (partition by date)"),
     "cs_sum": _cs("sum({0}) over (partition by date)"),
@@ -292,6 +288,9 @@ SCALARS: dict[str, Callable] = {
     "sign": _op("cast(sign({0}) as double)"),
     "sqrt": _op("(case when {0} >= 0 then sqrt({0}) end)"),
     "sin": _op("sin({0})"),
+    "floor": _op("cast(floor({0}) as double)"),
+    "exp": _op("exp({0})"),
+    "ln": _op("ln({0})"),
     "pow": _op("pow({0}, {1})"),
     "log": _op("(case when {0} > 0 then ln({0}) end)"),
     "log1p": _op("(case when {0} > -1 then ln(1e0 + {0}) end)"),
