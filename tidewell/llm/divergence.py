@@ -3,7 +3,7 @@
 ``CountVectorizer`` is fitted for each language with a least document frequency and the
 largest integer as vocabulary size, so its sparse vectors count every kept term exactly.
 Non-zero entries are summed by (lang, source, term) as Summarizer does by group, but
-without a dense buffer for each group.  Chances are whole billionths, smoothed by two
+without a dense buffer for each group: a batch of vectors becomes one row a (source, term).  Chances are whole billionths, smoothed by two
 occurrences of every kept term, and divergences are whole numbers, too.
 
 Pairs of sources are evaluated sparsely: each term lists the sources that have it, a task
@@ -44,26 +44,33 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.binary()).cast(pa.string())], ["lang", "source", "terms"])
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, idx, count) of each batch of sparse vectors (source, indices, values): each pair once."""
+    for b in batches:
+        source, indices = b.column(0).dictionary_encode(), b.column(1)
+        key = np.repeat(source.indices.to_numpy().astype(np.int64), np.diff(indices.offsets.to_numpy())) << 32 | indices.flatten().to_numpy()
+        key, at = np.unique(key, return_inverse=True)
+        total = np.bincount(at, b.column(2).flatten().to_numpy(), len(key)).astype(np.int64)  # whole numbers, exact up to 2^53
+        yield pa.record_batch([source.dictionary.take(pa.array(key >> 32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(total)], ["source", "idx", "count"])
+
+
 def counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str, min_df: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(groups, cells, terms): all (lang, source), occurrences of kept terms (lang, source, idx, count), and (lang, idx, term)."""
     spark = docs.sparkSession
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
     rows = materialise(rows.mapInArrow(_folded, "lang string, source string, terms string"), by="lang")
-    groups = materialise(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs")))
+    groups = materialise(rows.groupBy("lang", "source").agg(F.count(F.when(F.col("terms") != "", 1)).alias("docs")))
     cells, terms = None, []
-    for (lang,) in sorted(groups.select("lang").distinct().collect()):
+    for (lang,) in sorted(groups.groupBy("lang").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= max(1, min_df)).select("lang").collect()):
         own = rows.where(F.col("lang") == lang).where("terms <> ''").select("source", F.split("terms", " ").alias("terms"))
-        if own.isEmpty():
-            continue
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL_TERMS).fit(own)
         if not model.vocabulary:
             continue
         terms.append(pa.table({"lang": [lang] * len(model.vocabulary), "idx": pa.array(range(len(model.vocabulary)), pa.int32()), "term": model.vocabulary}))
         v = F.unwrap_udt(F.col("vector"))
-        part = model.transform(own).select("source", F.explode(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("n"))).alias("x"))
-        part = part.groupBy("source", F.col("x.i").alias("idx")).agg(F.sum(F.col("x.n").cast("long")).alias("count"))
-        part = part.select(F.lit(lang).alias("lang"), "source", "idx", "count")
+        part = model.transform(own).select("source", v["indices"].alias("indices"), v["values"].alias("values")).mapInArrow(_summed, "source string, idx int, count long")
+        part = part.groupBy("source", "idx").agg(F.sum("count").alias("count")).select(F.lit(lang).alias("lang"), "source", "idx", "count")
         cells = part if cells is None else cells.unionByName(part)
     if cells is None:
         return groups, spark.createDataFrame([], "lang string, source string, idx int, count long"), spark.createDataFrame([], "lang string, idx int, term string")
