@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import moments, specific
+from tidewell.operators import exposures, moments, specific
+from tidewell.plans import model
 
 DAY = dt.date(2020, 1, 1)
 
@@ -135,3 +136,81 @@ def test_specific_risk_refuses_repeated_rows(spark):
     with pytest.raises(Exception, match="two (rows|exposures) of one"):
         _specific(spark, rows + rows[:1]).collect()
     assert _specific(spark, []).collect() == []
+
+
+# ---------------------------------------------------------------- exposures of the second model
+
+
+def _z(x, w):
+    """One cross-section by definition."""
+    ok = x.notna() & (w > 0)
+    s = x[ok]
+    out = pd.Series(np.nan, x.index)
+    if ok.sum() < 2:
+        return out
+    mad = (s - s.median()).abs().median()
+    c = s.clip(s.median() - 5 * mad, s.median() + 5 * mad) if mad > 0 else s.clip(*s.quantile([0.01, 0.99]))
+    out[ok] = 0.0 if c.std() <= 1e-12 else (c - np.average(c, weights=w[ok])) / c.std()
+    return out
+
+
+def _resid(d, y, xs, w):
+    ok = d[[y, *xs]].notna().all(axis=1) & (d[w] > 0)
+    out = pd.Series(np.nan, d.index)
+    if ok.sum() >= len(xs) + 2:
+        x = np.column_stack([np.ones(ok.sum()), d.loc[ok, xs]])
+        r = np.sqrt(d.loc[ok, w].to_numpy())
+        beta = np.linalg.lstsq(x * r[:, None], d.loc[ok, y].to_numpy() * r, rcond=None)[0]
+        out[ok] = d.loc[ok, y] - x @ beta
+    return out
+
+
+def cross_sections(seed=4, dates=6):
+    g = np.random.default_rng(seed)
+    rows = []
+    for t in range(dates):
+        for c in range(25 if t else 1):
+            x = g.normal(0, 1) * (50 if g.random() < 0.05 else 1)
+            rows.append((c, DAY + dt.timedelta(days=t), None if g.random() < 0.15 else x, g.normal(2, 1), 3.0, float(g.integers(0, 2)), None if g.random() < 0.1 else float(g.integers(0, 9))))
+    return pd.DataFrame(rows, columns=["code", "date", "a", "b", "flat", "two", "w"])
+
+
+def _frame(spark, pdf, kind="code long, date date, a double, b double, flat double, two double, w double"):
+    return spark.createDataFrame([tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in pdf.itertuples(index=False)], kind).repartition(3)
+
+
+def test_standardised_and_orthogonal_cross_sections(spark):
+    pdf = cross_sections()
+    got = exposures.standardise(_frame(spark, pdf), ["a", "b", "flat", "two"], "w").toPandas().sort_values(["date", "code"]).reset_index(drop=True)
+    for c in ("a", "b", "flat", "two"):
+        want = pd.concat([_z(d[c], d.w) for _, d in pdf.groupby("date")])
+        assert np.allclose(got[c].astype(float), want, rtol=1e-9, atol=1e-12, equal_nan=True), c
+    for xs in (["a"], ["a", "b"], ["flat", "b"], ["b", "flat", "two"]):
+        d = pdf.rename(columns={"w": "weight"}).assign(y=pdf.a.fillna(1) ** 2 + pdf.b)
+        df = _frame(spark, d, "code long, date date, a double, b double, flat double, two double, weight double, y double")
+        got = exposures.residualise(df, "y", xs, "weight").toPandas().sort_values(["date", "code"]).reset_index(drop=True)
+        want = pd.concat([_resid(x, "y", xs, "weight") for _, x in d.groupby("date")])
+        assert np.allclose(got.y.astype(float), want, rtol=1e-9, atol=1e-9, equal_nan=True), xs
+
+
+def test_admission_looks_back_only(spark):
+    g = np.random.default_rng(9)
+    rows = [(c, DAY + dt.timedelta(days=t), 1.0 if g.random() < 0.4 + 0.01 * t else None, 1.0 if t % 2 else None) for t in range(60) for c in range(12)]
+    df = lambda r: spark.createDataFrame(r, "code long, date date, a double, b double")
+    got = exposures.admission(df(rows), ["a", "b"], 20, 10).toPandas().sort_values("date").reset_index(drop=True)
+    daily = pd.DataFrame(rows, columns=["code", "date", "a", "b"]).groupby("date")[["a", "b"]].agg(lambda s: s.notna().mean())
+    want = daily.shift(1).rolling(20, min_periods=10).mean() >= 0.7
+    assert (got[["a", "b"]].to_numpy() == want.to_numpy()).all() and got.a.any() and not got.b.any()
+    more = exposures.admission(df(rows + [(c, DAY + dt.timedelta(days=60), 1.0, 1.0) for c in range(12)]), ["a", "b"], 20, 10).toPandas().sort_values("date")
+    assert (more[["a", "b"]].to_numpy()[:-1] == want.to_numpy()).all()
+
+
+def test_styles_need_their_weight(spark):
+    d = [exposures.Descriptor("large", "demo", 0.6), exposures.Descriptor("small", "demo", 0.4)]
+    df = spark.createDataFrame([(1.0, None), (None, 2.0), (1.0, 2.0)], "large double, small double")
+    rows = df.select(*[v.alias(k) for k, v in exposures.combine(df, d).items()]).collect()
+    assert [tuple(r) for r in rows] == [(1.0, 0.6, 1), (None, 0.4, 1), (pytest.approx(1.4), pytest.approx(1.0), 2)]
+    totals = {}
+    for x in model.DESCRIPTORS:
+        totals[x.style] = totals.get(x.style, 0) + x.weight
+    assert len(model.DESCRIPTORS) == 49 and len(totals) == 15 and all(abs(v - 1) < 1e-12 for v in totals.values())

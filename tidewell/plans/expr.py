@@ -376,13 +376,7 @@ def plan(expressions: dict[str, str]) -> Plan:
     """One plan for all expressions; equal window calls are planned once."""
     out, known = Plan(list(expressions)), {}
 
-    def lower(n: Node) -> tuple[Node, int]:
-        if n[0] != "call":
-            return n, 0
-        low = [lower(x) for x in n[2]]
-        node, level = ("call", n[1], tuple(x for x, _ in low)), max((k for _, k in low), default=0)
-        if n[1] not in WINDOWS:
-            return node, level
+    def column(node: Node, level: int) -> tuple[Node, int]:
         if node not in known:
             while len(out.stages) <= level:
                 out.stages.append({})
@@ -391,5 +385,20 @@ def plan(expressions: dict[str, str]) -> Plan:
         name, level = known[node]
         return ("col", name), level
 
+    def lower(n: Node) -> tuple[Node, int]:
+        if n[0] != "call":
+            return n, 0
+        low = [column(*x) if _size(x[0]) > LARGE else x for x in map(lower, n[2])]
+        node, level = ("call", n[1], tuple(x for x, _ in low)), max((k for _, k in low), default=0)
+        return (node, level) if n[1] not in WINDOWS else column(node, level)
+
     out.final = {k: lower(parse(v))[0] for k, v in expressions.items()}
     return out
+
+
+#: A scalar part of more nodes than this becomes a column of its own, so that text repeated in macros doesn't multiply.
+LARGE = 12
+
+
+def _size(n: Node) -> int:
+    return 1 + sum(map(_size, n[2])) if n[0] == "call" else 1

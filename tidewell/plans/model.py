@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import specific
-from tidewell.sources.panel import BASE, base_panel
+from tidewell.operators import exposures, specific
+from tidewell.plans import catalog
+from tidewell.plans.expr import plan
+from tidewell.sources.panel import BASE, base_panel, full_panel, full_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +92,78 @@ answer as (select code, date, day, observations, month, quarter, blended, case w
 @_register("risk_specific", _SPECIFIC, "day month quarter blended day_weight month_weight quarter_weight prior reliability variance_daily risk_annual")
 def _specific(spark: SparkSession, sf: str) -> DataFrame:
     return specific.specific_risk(_use(spark, sf, RESIDUALS), spark.sql(EXPOSURES), "ret", "grp", "size")
+
+
+# ---------------------------------------------------------------- exposures of the second model
+
+DESCRIPTORS = [exposures.Descriptor(k, style, weight) for k, (style, weight, _, _) in catalog.DESCRIPTORS_V2.items()]
+_NAMES = [d.name for d in DESCRIPTORS]
+_STYLES = list(dict.fromkeys(d.style for d in DESCRIPTORS))
+_RAW = plan({k: f"{sign} * ({f})" for k, (_, _, sign, f) in catalog.DESCRIPTORS_V2.items()})
+_RAW_COLUMNS = ("code", "date", "total_mv")
+
+
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    return _RAW.spark(full_panel(spark, sf), _RAW_COLUMNS).withColumn("member", F.expr("case when code % 10 = 3 then null else code % 10 <> 7 end"))
+
+
+def _standardised(source: str, out: str) -> str:
+    """CTEs from ``source`` (code, date, w, name, x) without nulls to ``out`` with z in place of x."""
+    return f"""{out}_1 as (select date, name, median(x) as med, quantile_cont(x, 0.01) as q1, quantile_cont(x, 0.99) as q9 from {source} where w > 0 group by 1, 2),
+{out}_2 as (select s.date, s.name, median(abs(x - med)) as mad from {source} s join {out}_1 using (date, name) where w > 0 group by 1, 2),
+{out}_3 as (select s.code, s.date, s.w, s.name, case when mad > 0 then greatest(med - 5 * mad, least(med + 5 * mad, x)) else greatest(q1, least(q9, x)) end as c from {source} s join {out}_1 using (date, name) join {out}_2 using (date, name) where w > 0),
+{out}_4 as (select date, name, sum(w * c) / sum(w) as mean, stddev_samp(c) as sd from {out}_3 group by 1, 2 having count(*) >= 2),
+{out} as (select s.code, s.date, s.w, s.name, case when sd > 1e-12 then (c - mean) / sd else 0 end as x from {out}_3 s join {out}_4 using (date, name))"""
+
+
+def _less(source: str, target: str, controls: list[str], out: str) -> str:
+    """CTEs that give ``source`` with target replaced by its standardised weighted residual, by normal equations of centred values."""
+    u, n = ["y", *(f"x{k}" for k in range(len(controls)))], len(controls)
+    joins = " ".join(f"join {source} t{k} on t{k}.code = t.code and t{k}.date = t.date and t{k}.name = '{c}'" for k, c in enumerate(controls))
+    means = ", ".join(f"sum(w * {c}) / sum(w) as m_{c}" for c in u)
+    dot = lambda a, b: f"sum(w * ({a} - m_{a}) * ({b} - m_{b}))"
+    if n == 1:
+        beta = f"{dot('y', 'x0')} / nullif({dot('x0', 'x0')}, 0) as b0"
+    else:
+        det = f"nullif({dot('x0', 'x0')} * {dot('x1', 'x1')} - {dot('x0', 'x1')} * {dot('x0', 'x1')}, 0)"
+        beta = f"({dot('y', 'x0')} * {dot('x1', 'x1')} - {dot('y', 'x1')} * {dot('x0', 'x1')}) / {det} as b0, ({dot('y', 'x1')} * {dot('x0', 'x0')} - {dot('y', 'x0')} * {dot('x0', 'x1')}) / {det} as b1"
+    fit = " - ".join(["y - m_y", *(f"coalesce(b{k}, 0) * (x{k} - m_x{k})" for k in range(n))])
+    return f"""{out}_a as (select t.code, t.date, t.w, t.x as y, {", ".join(f"t{k}.x as x{k}" for k in range(n))} from {source} t {joins} where t.name = '{target}'),
+{out}_b as (select date, {means} from {out}_a group by date having count(*) >= {n + 2}),
+{out}_c as (select date, {beta} from {out}_a join {out}_b using (date) group by date),
+{out}_d as (select a.code, a.date, a.w, '{target}' as name, {fit} as x from {out}_a a join {out}_b using (date) join {out}_c using (date)),
+{_standardised(f"{out}_d", f"{out}_e")},
+{out} as (select * from {source} where name <> '{target}' union all select * from {out}_e)"""
+
+
+_EXPOSURES = f"""
+raw0 as ({_RAW.duckdb(full_sql(), _RAW_COLUMNS)}),
+rows0 as (select *, case when total_mv > 0 then sqrt(total_mv) end as w from raw0 where code % 10 not in (3, 7)),
+l0 as (select code, date, w, name, x from rows0 unpivot (x for name in ({", ".join(_NAMES)}))),
+{_standardised("l0", "z0")},
+{_less("z0", "nonlinear_size_residual", ["log_total_mv"], "z1")},
+days as (select date, count(*) as n from rows0 group by date),
+cover as (select d.date, k.name, (select count(*) from z1 where z1.date = d.date and z1.name = k.name) / d.n as c from days d cross join (select unnest([{", ".join(f"'{n}'" for n in _NAMES)}]) as name) k),
+allowed as (select date, name as descriptor, coalesce(count(c) over w >= 126 and avg(c) over w >= 0.7 - 1e-12, false) as admitted from cover window w as (partition by name order by date rows between 252 preceding and 1 preceding))
+"""
+_STYLE_SQL = f"""{_EXPOSURES},
+spec as (select unnest([{", ".join(f"'{d.name}'" for d in DESCRIPTORS)}]) as name, unnest([{", ".join(f"'{d.style}'" for d in DESCRIPTORS)}]) as style, unnest([{", ".join(repr(d.weight) for d in DESCRIPTORS)}])::double as weight),
+parts as (select code, date, w, style, sum(weight) as have, count(*) as n, sum(weight * x) / sum(weight) as x from z1 join allowed a using (date) join spec on spec.name = z1.name and a.descriptor = z1.name where admitted group by 1, 2, 3, 4),
+s0 as (select code, date, w, 'style_' || style as name, x from parts where have >= 0.6 - 1e-12),
+{_standardised("s0", "s1")},
+{_less("s1", "style_nonlinear_size", ["style_size"], "s2")},
+{_less("s2", "style_residual_volatility", ["style_size", "style_beta"], "s3")},
+{_less("s3", "style_liquidity", ["style_size"], "s4")},
+answer as (select r.code, r.date, {", ".join(f"max(x) filter (name = 'style_{s}') as style_{s}, coalesce(max(have) filter (style = '{s}'), 0) as style_{s}_weight, coalesce(max(n) filter (style = '{s}'), 0) as style_{s}_n" for s in _STYLES)}
+  from (select code, date from rows0) r left join (select code, date, name, x, null as style, null::double as have, null::bigint as n from s4 union all select code, date, null, null, style, have, n from parts) using (code, date) group by 1, 2)
+"""
+
+
+@_register("risk_exposures_v2", _STYLE_SQL, " ".join(f"style_{s} style_{s}_weight" for s in _STYLES))
+def _exposures(spark: SparkSession, sf: str) -> DataFrame:
+    return exposures.exposures_v2(_raw(spark, sf), DESCRIPTORS, "total_mv", member="member")[1]
+
+
+@_register("risk_admission", f"{_EXPOSURES}, answer as (select * from allowed)")
+def _admission(spark: SparkSession, sf: str) -> DataFrame:
+    return exposures.exposures_v2(_raw(spark, sf), DESCRIPTORS, "total_mv", member="member")[2]
