@@ -38,10 +38,11 @@ FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as their terms joined by one space."""
+    """Texts as their terms, and as each of these once, joined by one space."""
+    text = lambda lists: pa.array(map(b" ".join, lists), pa.binary()).cast(pa.string())
     for b in batches:
-        texts = [b" ".join(t.translate(FOLD).split()) for t in b.column(2).cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.binary()).cast(pa.string())], ["lang", "source", "terms"])
+        terms = [t.translate(FOLD).split() for t in b.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.record_batch([b.column(0), b.column(1), text(terms), text(map(dict.fromkeys, terms))], ["lang", "source", "terms", "once"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,12 +60,14 @@ def counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str, min_d
     spark = docs.sparkSession
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    rows = materialise(rows.mapInArrow(_folded, "lang string, source string, terms string"), by="lang")
+    rows = materialise(rows.mapInArrow(_folded, "lang string, source string, terms string, once string"), by="lang")
     groups = materialise(rows.groupBy("lang", "source").agg(F.count(F.when(F.col("terms") != "", 1)).alias("docs")))
     cells, terms = None, []
     for (lang,) in sorted(groups.groupBy("lang").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= max(1, min_df)).select("lang").collect()):
-        own = rows.where(F.col("lang") == lang).where("terms <> ''").select("source", F.split("terms", " ").alias("terms"))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL_TERMS).fit(own)
+        own = rows.where(F.col("lang") == lang).where("terms <> ''")
+        # the vocabulary depends on how many documents have a term, not how often, so the fit reads each of a document's terms once
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL_TERMS).fit(own.select(F.split("once", " ").alias("terms")))
+        own = own.select("source", F.split("terms", " ").alias("terms"))
         if not model.vocabulary:
             continue
         terms.append(pa.table({"lang": [lang] * len(model.vocabulary), "idx": pa.array(range(len(model.vocabulary)), pa.int32()), "term": model.vocabulary}))
@@ -74,7 +77,7 @@ def counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str, min_d
         cells = part if cells is None else cells.unionByName(part)
     if cells is None:
         return groups, spark.createDataFrame([], "lang string, source string, idx int, count long"), spark.createDataFrame([], "lang string, idx int, term string")
-    return groups, materialise(cells), materialise(spark.createDataFrame(pa.concat_tables(terms)))
+    return groups, materialise(cells), spark.createDataFrame(pa.concat_tables(terms))
 
 
 def chance(count: str, total: str, size: str) -> F.Column:
@@ -162,7 +165,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     many = F.coalesce(*[F.when(F.col("lang") == k, F.lit(n)) for k, n in parts.items() if n > 1], F.lit(1))
     dealt = by_term.select("lang", "have", F.explode(F.sequence(F.lit(0), many - 1)).alias("part"))
     sums = dealt.mapInArrow(_shared(known), "lang string, a long, b long, value long, value_both long, n long, n_both long")
-    sums = materialise(sums.groupBy("lang", "a", "b").agg(*[F.sum(c).alias(c) for c in ("value", "value_both", "n", "n_both")]))
+    sums = sums.groupBy("lang", "a", "b").agg(*[F.sum(c).alias(c) for c in ("value", "value_both", "n", "n_both")])
     return _pairs(sized, sums).unionByName(_terms(p, terms, top))
 
 
@@ -170,11 +173,11 @@ def _pairs(sized: DataFrame, sums: DataFrame) -> DataFrame:
     """All pairs of sources of a lang, as the result lists them, with values from what each side's terms add up to."""
     a = sized.select("lang", "source", F.col("sid").alias("a"), F.col("absent").alias("pa"), "size")
     b = sized.select("lang", F.col("source").alias("item"), F.col("sid").alias("b"), F.col("absent").alias("pb"))
-    both = a.join(b, (a["lang"] == b["lang"]) & (a["a"] != b["b"])).drop(b["lang"])
-    back = sums.select("lang", F.col("a").alias("b"), F.col("b").alias("a"), F.col("value").alias("value_back"), F.col("n").alias("n_back"))
-    rows = both.join(sums, ["lang", "a", "b"], "left").join(back, ["lang", "a", "b"], "left").na.fill(0, ["value", "value_both", "n", "n_both", "value_back", "n_back"])
-    neither = F.expr("size - (n + n_back - n_both)") * F.coalesce(divergence("pa", "pb"), F.lit(0))
-    rows = rows.select("lang", "source", F.lit("pair").alias("part"), "item", (F.col("value") + F.col("value_back") - F.col("value_both") + neither).alias("value"))
+    both = a.join(b, (a["lang"] == b["lang"]) & (a["a"] != b["b"])).drop(b["lang"]).withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
+    either = sums.groupBy("lang", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.sum("value").alias("value"), F.sum("n").alias("n"), F.max("value_both").alias("value_both"), F.max("n_both").alias("n_both"))
+    rows = both.join(either, ["lang", "lo", "hi"], "left").na.fill(0, ["value", "value_both", "n", "n_both"])
+    neither = F.expr("size - (n - n_both)") * F.coalesce(divergence("pa", "pb"), F.lit(0))
+    rows = rows.select("lang", "source", F.lit("pair").alias("part"), "item", (F.col("value") - F.col("value_both") + neither).alias("value"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
 
 
