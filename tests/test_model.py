@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import exposures, moments, specific
+from tidewell.operators import exposures, moments, specific, weightings
 from tidewell.plans import model
 
 DAY = dt.date(2020, 1, 1)
@@ -214,3 +214,71 @@ def test_styles_need_their_weight(spark):
     for x in model.DESCRIPTORS:
         totals[x.style] = totals.get(x.style, 0) + x.weight
     assert len(model.DESCRIPTORS) == 49 and len(totals) == 15 and all(abs(v - 1) < 1e-12 for v in totals.values())
+
+
+# ---------------------------------------------------------------- many weightings
+
+
+def _fit(d, name, rule, risk, styles):
+    """One date and strategy by definition: weights, dummies, least squares; (statistics by evaluation) or the status."""
+    d = d[d.y.notna() & d.grp.notna()].copy()
+    if d.empty:
+        return "failed_empty"
+    mv = np.sqrt(d["size"]).where(d["size"] > 0, 1.0)
+    s = d[risk].where(d[risk] > 0) if risk else None
+    w = {"size": lambda: mv, "equal": lambda: mv * 0 + 1, "inverse_variance": lambda: 1 / s**2, "inverse": lambda: 1 / s, "size_by_risk": lambda: mv / s, "size_by_rank": lambda: mv * (0.75 + 0.5 * s.rank(pct=True, ascending=False))}[rule]()
+    if rule in ("inverse_variance", "inverse", "size_by_risk") and w.notna().sum() >= 20:
+        w = w.clip(w.quantile(0.01), w.quantile(0.99))
+    d, mv, w = d[w.notna()], mv[w.notna()], w[w.notna()]
+    if d.empty:
+        return "failed_no_fit_weight"
+    z = [((d[c] - d[c].mean()) / (d[c].std() if d[c].std() > 1e-12 else np.inf)).fillna(0) for c in styles if d[c].notna().mean() >= 0.5]
+    x = np.column_stack([np.ones(len(d)), *z, pd.get_dummies(d.grp, dtype=float).to_numpy()[:, 1:]])
+    n, p = x.shape
+    if n < max(30, p + 5) or d.grp.nunique() < 2:
+        return "failed_insufficient_sample"
+    r = np.sqrt(w / w.mean()).to_numpy()
+    beta = np.linalg.lstsq(x * r[:, None], d.y * r, rcond=None)[0]
+    e = d.y - x @ beta
+    out = {}
+    for k, v in (("own", w), ("sqrt_mv", mv), ("equal", mv * 0 + 1)):
+        r2 = 1 - (v * e**2).sum() / (v * (d.y - np.average(d.y, weights=v)) ** 2).sum()
+        out[k] = (n, p, r2, 1 - (1 - r2) * (n - 1) / (n - p), np.sqrt(np.average(e**2, weights=v)), np.linalg.cond(x * r[:, None]), w.sum() ** 2 / (w**2).sum(), w.max() / w.sum(), np.percentile(w, 99) / np.percentile(w, 50), w.std(ddof=0) / w.mean())
+    return out
+
+
+def test_all_weightings_against_least_squares(spark):
+    g = np.random.default_rng(12)
+    rows = []
+    for t in range(5):
+        for c in range((90, 90, 25, 60, 40)[t]):
+            y = None if t == 4 or g.random() < 0.05 else g.normal(0, 0.02)
+            risk = [None if g.random() < 0.1 or t == 3 else abs(g.normal(0.02, 0.01)) for _ in range(3)]
+            rows.append((c, DAY + dt.timedelta(days=t), y, None if g.random() < 0.05 else f"g{g.integers(0, 5)}", None if g.random() < 0.1 else g.lognormal(3, 1) - 2, 100 + g.normal(0, 1), None if g.random() < 0.2 else g.normal(0, 3), None if g.random() < 0.7 else 1.0, *risk))
+    pdf = pd.DataFrame(rows, columns=["code", "date", "y", "grp", "size", "a", "b", "rare", "r60", "r120", "r252"])
+    risks = {60: "r60", 120: "r120", 252: "r252"}
+    df = spark.createDataFrame(rows, "code long, date date, y double, grp string, size double, a double, b double, rare double, r60 double, r120 double, r252 double").repartition(3)
+    out = weightings.weighted_regressions(df, "y", ["a", "b", "rare"], "grp", "size", risks)
+    got = {(r.date, r.strategy, r.evaluation): r for r in out.collect()}
+    seen = set()
+    for day, d in pdf.groupby("date"):
+        for name, rule, w in weightings.STRATEGIES:
+            want = _fit(d, name, rule, risks.get(w), ["a", "b", "rare"])
+            if isinstance(want, str):
+                assert got.pop((day, name, "own")).status == want
+                seen.add(want)
+                continue
+            for e, figures in want.items():
+                r = got.pop((day, name, e))
+                have = (r.n_obs, r.n_factors, r.r2, r.adj_r2, r.resid_std, r.condition, r.effective_size, r.max_share, r.p99_p50, r.weight_cv)
+                assert np.allclose(have, figures, rtol=1e-8), (day, name, e)
+    assert not got and seen == {"failed_empty", "failed_no_fit_weight", "failed_insufficient_sample"}
+    total = weightings.summarise(out, comparable=10).toPandas()
+    assert (total.dates == 2).all() and len(total) == 30  # two dates that all strategies could fit
+    assert weightings.weighted_regressions(df.limit(0), "y", ["a"], "grp", "size", risks).collect() == []
+
+
+def test_many_weightings_share_one_exchange_by_date(spark):
+    df = spark.range(0, 1000, 1, 3).selectExpr("id as code", "date_add(date'2020-01-01', cast(id % 5 as int)) as date", "1D as y", "'a' as grp", "1D as size", "1D as a", "1D as r60", "1D as r120", "1D as r252")
+    plan = weightings.weighted_regressions(df, "y", ["a"], "grp", "size", {60: "r60", 120: "r120", 252: "r252"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

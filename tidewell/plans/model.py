@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import exposures, specific
+from tidewell.operators import exposures, specific, weightings
 from tidewell.plans import catalog
 from tidewell.plans.expr import plan
 from tidewell.sources.panel import BASE, base_panel, full_panel, full_sql
@@ -167,3 +167,61 @@ def _exposures(spark: SparkSession, sf: str) -> DataFrame:
 @_register("risk_admission", f"{_EXPOSURES}, answer as (select * from allowed)")
 def _admission(spark: SparkSession, sf: str) -> DataFrame:
     return exposures.exposures_v2(_raw(spark, sf), DESCRIPTORS, "total_mv", member="member")[2]
+
+
+# ---------------------------------------------------------------- many weightings of one regression
+
+#: Forward returns, two signals with gaps, groups and sizes that miss rows, and specific risk three rows back.
+WEIGHTED = """select code, date, case when code % 17 <> 0 then industry % 8 end as grp, case when tax > 0.012 then amount when code % 5 = 0 then -1e0 end as size, f_mom, case when disc > 0.01 then f_gap end as f_gap, case when code % 19 <> 0 or year(date) > 1995 then label end as label,
+  lag(s1, 3) over w as risk_60, case when code % 7 <> 0 then lag(s2, 3) over w end as risk_120, lag(s3, 3) over w as risk_252
+  from (select *, close / lag(close, 4) over w - 1 as f_mom, open / close - 1 as f_gap, lead(close, 2) over w / lead(close, 1) over w - 1 as label, stddev_samp(open / close) over (partition by code order by date rows between 59 preceding and current row) as s1, stddev_samp(open / close) over (partition by code order by date rows between 119 preceding and current row) as s2, stddev_samp(open / close) over (partition by code order by date rows between 251 preceding and current row) as s3 from panel window w as (partition by code order by date)) window w as (partition by code order by date)"""
+RISKS = {60: "risk_60", 120: "risk_120", 252: "risk_252"}
+_MV = "case when size > 0 then sqrt(size) else 1 end"
+_ROW_RANK = lambda c: f"(rank() over (partition by date order by {c} desc nulls last) + (count(*) over (partition by date, {c}) - 1) / 2.0) / count({c}) over (partition by date)"
+_WEIGHTS = " union all ".join(
+    [f"select *, 'sqrt_mv' as strategy, {_MV} as raw, false as clip from base", "select *, 'equal', 1, false from base"]
+    + [f"select *, 'inv_specific_{k}', case when risk_{k} > 0 then 1 / (risk_{k} * risk_{k}) end, true from base" for k in RISKS]
+    + ["select *, 'inv_specific_vol_252', case when risk_252 > 0 then 1 / risk_252 end, true from base", f"select *, 'sqrt_mv_div_specific_vol_252', case when risk_252 > 0 then {_MV} / risk_252 end, true from base"]
+    + [f"select * exclude (s), 'sqrt_mv_x_low_specific_rank_{k}', case when s is not null then {_MV} * (0.75 + 0.5 * {_ROW_RANK('s')}) end, false from (select *, case when risk_{k} > 0 then risk_{k} end as s from base)" for k in RISKS]
+)
+_FITS = f"""
+x as ({WEIGHTED}), base as (select * from x where label is not null and grp is not null), raws as ({_WEIGHTS}),
+q as (select date, strategy, quantile_cont(raw, 0.01) as lo, quantile_cont(raw, 0.99) as hi, count(raw) as n from raws group by 1, 2),
+v as (select code, date, grp, strategy, label as y, f_mom, f_gap, {_MV} as mv, case when clip and n >= 20 then greatest(lo, least(hi, raw)) else raw end as w from raws join q using (date, strategy) where raw is not null),
+st as (select date, strategy, count(*) as n, count(distinct grp) as n_groups, avg(f_mom) as m1, avg(f_gap) as m2, stddev_samp(f_mom) as s1, stddev_samp(f_gap) as s2, count(f_mom) / count(*) >= 0.5 as u1, count(f_gap) / count(*) >= 0.5 as u2 from v group by 1, 2),
+z as (select v.*, case when u1 and s1 > 1e-12 then coalesce((f_mom - m1) / s1, 0) else 0 end as z1, case when u2 and s2 > 1e-12 then coalesce((f_gap - m2) / s2, 0) else 0 end as z2 from v join st using (date, strategy)),
+g as (select date, strategy, grp, sum(w * y) / sum(w) as gy, sum(w * z1) / sum(w) as g1, sum(w * z2) / sum(w) as g2 from z group by 1, 2, 3),
+d as (select z.*, y - gy as ry, z1 - g1 as a1, z2 - g2 as a2 from z join g using (date, strategy, grp)),
+c1 as (select date, strategy, coalesce(sum(w * a1 * a2) / nullif(sum(w * a1 * a1), 0), 0) as c12, coalesce(sum(w * a1 * ry) / nullif(sum(w * a1 * a1), 0), 0) as b1 from d group by 1, 2),
+d2 as (select *, a2 - c12 * a1 as a3 from d join c1 using (date, strategy)),
+c2 as (select date, strategy, coalesce(sum(w * a3 * ry) / nullif(sum(w * a3 * a3), 0), 0) as b2 from d2 group by 1, 2),
+r as (select *, ry - b1 * a1 - b2 * a3 as e from d2 join c2 using (date, strategy)),
+wd as (select date, strategy, pow(sum(w), 2) / sum(w * w) as ess, max(w) / sum(w) as top, quantile_cont(w, 0.99) / quantile_cont(w, 0.5) as ratio, stddev_pop(w) / avg(w) as cv from v group by 1, 2),
+ev as (select date, strategy, e_name, sum(ew * e * e) as rest, sum(ew * y * y) - pow(sum(ew * y), 2) / sum(ew) as total, sum(ew) as sw from (select *, unnest(['own', 'sqrt_mv', 'equal']) as e_name, unnest([w, mv, 1]) as ew from r) group by 1, 2, 3),
+fine as (select *, n_groups + u1::int + u2::int as p from st),
+keys as (select date, strategy from (select distinct date from x), (select distinct unnest([{", ".join(f"'{s[0]}'" for s in weightings.STRATEGIES)}]) as strategy)),
+answer as (
+  select f.date, f.strategy, e_name as evaluation, 'ok' as status, n::bigint as n_obs, p::bigint as n_factors, n_groups::bigint as n_groups, (u1::int + u2::int)::bigint as n_styles, 1 - rest / total as r2, 1 - rest / total * (n - 1) / greatest(n - p, 1) as adj_r2, sqrt(rest / sw) as resid_std, ess as effective_size, ess / n as effective_share, top as max_share, ratio as p99_p50, cv as weight_cv
+  from fine f join ev using (date, strategy) join wd using (date, strategy) where n >= greatest(30, p + 5) and n_groups >= 2
+  union all
+  select k.date, k.strategy, 'own', case when not exists (select 1 from base b where b.date = k.date) then 'failed_empty' when f.n is null then 'failed_no_fit_weight' else 'failed_insufficient_sample' end, coalesce(n, 0), null, null, null, null, null, null, null, null, null, null, null
+  from keys k left join fine f using (date, strategy) where f.n is null or n < greatest(30, p + 5) or n_groups < 2)
+"""
+_FIT_DOUBLES = "r2 adj_r2 resid_std effective_size effective_share max_share p99_p50 weight_cv"
+
+
+def _weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return weightings.weighted_regressions(_use(spark, sf, WEIGHTED), "label", ["f_mom", "f_gap"], "grp", "size", RISKS)
+
+
+@_register("risk_weightings", _FITS, _FIT_DOUBLES)
+def _weightings(spark: SparkSession, sf: str) -> DataFrame:
+    return _weighted(spark, sf).drop("condition")
+
+
+_MEAN_SQL = ", ".join(f"avg({c}) as {k}" for k, c in weightings.MEANS.items() if c != "condition")
+
+
+@_register("risk_weighting_summary", _FITS.replace("answer as (", "fits as (") + f", common as (select evaluation, date from fits where status = 'ok' group by 1, 2 having count(distinct strategy) = {len(weightings.STRATEGIES)}), answer as (select strategy, evaluation, year(date)::int as year, min(date) as first, max(date) as last, count(r2) as dates, median(r2) as median_r2, avg(case when r2 >= 0.5 then 1 else 0 end) as share_r2_half, {_MEAN_SQL} from fits join common using (evaluation, date) where status = 'ok' group by 1, 2, 3)", " ".join(["median_r2", "share_r2_half", *(k for k, c in weightings.MEANS.items() if c != "condition")]))
+def _weighting_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return weightings.summarise(_weighted(spark, sf), year=True, comparable=len(weightings.STRATEGIES)).drop("mean_condition")
