@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import exposures, moments, specific, weightings
+from tidewell.operators import covariance, exposures, moments, risk, specific, weightings
 from tidewell.plans import model
 
 DAY = dt.date(2020, 1, 1)
@@ -282,3 +282,97 @@ def test_many_weightings_share_one_exchange_by_date(spark):
     df = spark.range(0, 1000, 1, 3).selectExpr("id as code", "date_add(date'2020-01-01', cast(id % 5 as int)) as date", "1D as y", "'a' as grp", "1D as size", "1D as a", "1D as r60", "1D as r120", "1D as r252")
     plan = weightings.weighted_regressions(df, "y", ["a"], "grp", "size", {60: "r60", 120: "r120", 252: "r252"})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+# ---------------------------------------------------------------- covariances
+
+
+def _returns(n, names, seed=3, missing=0.1):
+    g = np.random.default_rng(seed)
+    mix = g.normal(0, 1, (len(names), len(names)))
+    x = g.normal(0, 0.01, (n, len(names))) @ mix + 0.05
+    x[g.random(x.shape) < missing] = np.nan
+    days = [d.date() for d in pd.bdate_range("2022-01-03", periods=n)]
+    return days, x, [(days[t], f, float(x[t, k])) for t in range(n) for k, f in enumerate(names) if np.isfinite(x[t, k])]
+
+
+def _matrix(rows, names):
+    m = np.zeros((len(names), len(names)))
+    for r in rows:
+        m[names.index(r.factor_i), names.index(r.factor_j)] = m[names.index(r.factor_j), names.index(r.factor_i)] = r.covariance
+    return m
+
+
+@pytest.mark.parametrize("method", ["ledoit_wolf", "sample", "ewma"])
+def test_windows_from_co_moments_equal_windows_by_themselves(spark, method):
+    names = list("pqrs")
+    days, x, rows = _returns(150, names)
+    df = spark.createDataFrame(rows, "date date, factor string, ret double").repartition(3)
+    out = covariance.rolling(df, names, (25, 40), method, block=40)
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.date, r.window), []).append(r)
+    assert len(got) == (150 - 19) + (150 - 19)
+    for t in range(19, 150, 7):
+        for w in (25, 40):
+            own = x[max(0, t + 1 - w) : t + 1]
+            if method == "ledoit_wolf":
+                want, k = risk.ledoit_wolf(own)
+            elif method == "sample":
+                want, k = np.cov(np.nan_to_num(own), rowvar=False), 0.0
+            else:
+                want, k = risk.ewma_newey_west(own[~np.isnan(own).any(axis=1)]), 0.0
+            mine = got[days[t], w]
+            assert np.allclose(_matrix(mine, names), want, rtol=1e-9, atol=1e-15) and mine[0].shrinkage == pytest.approx(k, rel=1e-9)
+    month = covariance.rolling(df, names, (25, 40), method, step="month").select("date").distinct().collect()
+    ends = {max(d for d in days if (d.year, d.month) == m) for m in {(d.year, d.month) for d in days}}
+    assert {r.date for r in month} == {d for d in ends if days.index(d) >= 19}
+
+
+def test_a_date_goes_to_two_blocks_at_most(spark):
+    names = list("pq")
+    _, _, rows = _returns(300, names, missing=0.0)
+    df = spark.createDataFrame(rows, "date date, factor string, ret double")
+    seen = covariance._vectors(df, names).withColumn("own", F.floor((F.col("n") - 1) / 60)).withColumn("reach", F.floor((F.col("n") + 58) / 60))
+    assert seen.agg(F.max(F.col("reach") - F.col("own"))).first()[0] == 1
+
+
+def test_basis_round_trip():
+    names = ["country", "style_size", "industry_B", "industry_A", "industry_C"]
+    b = covariance.independent_basis(names, {"industry_A": 2.0, "industry_B": 1.0, "industry_C": 1.0})
+    assert b.reference == "industry_C" and b.independent == ("country_reference", "style_size", "contrast_A", "contrast_B")
+    assert np.allclose(b.forward @ b.restore, np.eye(4))
+    x = np.array([[0.01, 0.003, -0.002, 0.004, -0.006]])  # 2 * 0.004 - 0.002 - 0.006 = 0
+    assert np.allclose(x @ b.forward.T @ b.restore.T, x, atol=1e-15)
+    for bad in ({"industry_A": -1.0}, {"industry_A": 0.0}, {"industry_A": float("nan")}):
+        with pytest.raises(ValueError, match="weights"):
+            covariance.independent_basis(names, bad)
+    with pytest.raises(ValueError, match="two groups"):
+        covariance.independent_basis(["country", "industry_A"])
+    with pytest.raises(ValueError, match="country"):
+        covariance.independent_basis(names[1:])
+
+
+def test_estimates_say_why_they_fall_back(spark):
+    names = ["country", "s", "industry_A", "industry_B", "industry_C"]
+    days, x, rows = _returns(140, names, 7, 0.01)
+    df = spark.createDataFrame(rows, "date date, factor string, ret double").repartition(3)
+    got = {}
+    for r in covariance.estimates(df, names, 60, 50, 20.0, 2).collect():
+        got.setdefault(r.date, []).append(r)
+    b = covariance.independent_basis(names)
+    seen = set()
+    for t in range(139):
+        if days[t].month == days[t + 1].month:
+            assert days[t + 1] not in got
+            continue
+        whole = (x[max(0, t - 59) : t + 1] @ b.forward.T)[~np.isnan(x[max(0, t - 59) : t + 1]).any(axis=1)]
+        mine = got.pop(days[t + 1])
+        seen.add(mine[0].method)
+        independent = risk.ewma_newey_west(whole, 20.0, 2) if len(whole) >= 50 else risk.ledoit_wolf(whole)[0]
+        assert mine[0].observations == len(whole) and ("insufficient" in mine[0].reason) == (len(whole) < 50)
+        m = _matrix(mine, names)
+        assert np.allclose(m, b.restore @ independent @ b.restore.T, rtol=1e-9, atol=1e-15) and np.linalg.eigvalsh(m).min() > -1e-15
+        assert np.abs(m[2:, :].sum(axis=0)).max() < 1e-14  # groups of equal weight sum to zero
+    assert not got and seen == {"ewma_newey_west", "ledoit_wolf_fallback"}
+    assert covariance.estimates(df.limit(0), names).collect() == [] == covariance.rolling(df.limit(0), names).collect()

@@ -9,8 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import evaluate, joins, monitor, portfolio, risk
-from tidewell.plans import catalog, queries
+from tidewell.operators import covariance, evaluate, joins, monitor, portfolio, risk
+from tidewell.plans import catalog, model, queries
 from tidewell.plans.expr import plan
 from tidewell.sources import files
 
@@ -219,7 +219,7 @@ def test_covariances():
 def test_rolling_covariance(spark):
     rng = np.random.default_rng(2)
     r = pd.DataFrame([(d, f, float(rng.normal())) for d in days(70) for f in "pq"], columns=["date", "factor", "ret"])
-    out = risk.rolling_covariance(spark.createDataFrame(r), (60,), "sample").toPandas()
+    out = covariance.rolling(spark.createDataFrame(r), ["p", "q"], (60,), "sample").toPandas()
     last = out[out.date == days(70)[-1]].set_index(["factor_i", "factor_j"]).covariance
     want = np.cov(r.pivot(index="date", columns="factor", values="ret").tail(60).to_numpy(), rowvar=False)
     assert np.allclose([last["p", "p"], last["p", "q"], last["q", "q"]], [want[0, 0], want[0, 1], want[1, 1]])
@@ -435,7 +435,7 @@ def test_covariance_of_all_groups_windows_and_dates(spark, tmp_path):
     sf = tables(spark, tmp_path, 130)
     p = queries.base_panel(spark, sf).toPandas().groupby(["date", "industry"])["close"].mean().unstack()
     p = p[sorted(p.columns, key=lambda k: f"g{k}")]
-    got = queries.QUERIES["risk_rolling_covariance"](spark, sf).toPandas()
+    got = model.QUERIES["risk_rolling_covariance"](spark, sf).toPandas()
     ends = {w: list(p.index[max(20, w // 2) - 1 :]) for w in (60, 120, 252)}
     assert {w: sorted(set(g.date)) for w, g in got.groupby("window")} == ends
     assert (got.groupby(["date", "window"]).size() == 325).all()

@@ -44,6 +44,16 @@ def test_distribution_and_stability_against_pandas(spark):
     assert np.allclose(roll.win_rate_20d, pdf.active.rolling(20, min_periods=10).apply(lambda s: (s > 0).mean()), equal_nan=True)
 
 
+def test_stability_with_missing_days_against_pandas(spark):
+    pdf = _days(60)
+    pdf.loc[::3, "active"] = np.nan
+    rows = [(d, None if np.isnan(a) else float(a)) for d, a in zip(pdf.date, pdf.active)]
+    roll = reports.rolling_stability(spark.createDataFrame(rows, "date date, active double"), (20,)).toPandas().sort_values("date").reset_index(drop=True)
+    r = pdf.active.rolling(20, min_periods=10)
+    assert np.allclose(roll.win_rate_20d, r.apply(lambda s: (s > 0).mean()), equal_nan=True)
+    assert np.allclose(roll.mean_20d, r.mean(), equal_nan=True) and np.allclose(roll.sum_20d, r.sum(), equal_nan=True)
+
+
 def test_deciles_are_pandas_qcut_of_ranks(spark):
     g = np.random.default_rng(3)
     pdf = pd.DataFrame({"date": [DAY] * 137, "code": range(137), "f": g.integers(0, 40, 137) / 4, "label": g.normal(0, 1, 137)})

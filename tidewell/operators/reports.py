@@ -149,6 +149,7 @@ def distribution(returns: DataFrame, windows: dict[str, str | None], date: str =
 def rolling_stability(returns: DataFrame, windows: tuple[int, ...] = (20, 60, 120), date: str = "date", value: str = "active") -> DataFrame:
     """Win rate, mean, tracking error, ratio and sum over rolling days (half of them, at least five, must have values), and drawdown.
 
+    A day without a value is no win, but counts among the days.
     One row per date: a single ordered window over the dates.
     """
     order, v = Window.orderBy(date), F.col("v")
@@ -158,7 +159,7 @@ def rolling_stability(returns: DataFrame, windows: tuple[int, ...] = (20, 60, 12
         w = order.rowsBetween(1 - k, 0)
         ok = lambda x: F.when(F.count("v").over(w) >= max(5, k // 2), x)  # noqa: E731, B023
         te = F.stddev_samp("v").over(w) * YEAR**0.5
-        cols += [ok(F.avg(F.when(v.isNotNull(), (v > 0).cast("double"))).over(w)).alias(f"win_rate_{k}d"), ok(F.avg("v").over(w)).alias(f"mean_{k}d"), ok(te).alias(f"te_{k}d")]
+        cols += [ok(F.count(F.when(v > 0, 1)).over(w) / F.count(F.lit(1)).over(w)).alias(f"win_rate_{k}d"), ok(F.avg("v").over(w)).alias(f"mean_{k}d"), ok(te).alias(f"te_{k}d")]
         cols += [ok(F.avg("v").over(w) * YEAR / (te + EPS)).alias(f"ir_{k}d"), ok(F.sum("v").over(w)).alias(f"sum_{k}d")]
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     out = out.select(*cols, F.when(v.isNotNull(), F.exp(F.sum(F.log1p("v")).over(run))).alias("nav"))

@@ -194,46 +194,6 @@ def eigenfactor_adjust(base: np.ndarray, history: int, simulations: int = 500, h
     return psd((u * np.maximum(v * scale, 0.0)) @ u.T)
 
 
-COVARIANCE = "date date, window int, factor_i string, factor_j string, covariance double, shrinkage double"
-
-
-def rolling_covariance(returns: DataFrame, windows: Sequence[int] = (60, 120, 252), method: str = "ledoit_wolf", signals: Sequence[str] | None = None, step: str | None = None) -> DataFrame:
-    """Upper triangles of covariances over trailing windows of (date, factor, ret).
-
-    ``step`` keeps the last date of each period ("month") only.  Each (date, window) is a
-    group of its own: a date's vector is copied to the windows that hold it.
-    """
-    if signals is None:
-        signals = [r[0] for r in returns.select("factor").distinct().orderBy("factor").collect()]  # columns of the model
-    names = list(signals)
-    wide = returns.groupBy("date").pivot("factor", names).agg(F.first("ret"))
-    n = F.row_number().over(Window.orderBy("date"))  # one row per date
-    wide = wide.select("date", F.array(*[F.col(f"`{f}`").cast("double") for f in names]).alias("v"), n.alias("n"))
-    ends = wide
-    if step:
-        ends = wide.withColumn("_p", F.date_trunc(step, "date")).withColumn("_l", F.max("n").over(Window.partitionBy("_p"))).where("n = _l")
-    ends = ends.select(F.col("date").alias("end"), F.col("n").alias("last"), F.explode(F.array(*[F.lit(int(w)) for w in windows])).alias("window"))
-    rows = ends.withColumn("n", F.explode(F.expr("sequence(greatest(last - window + 1, 1), last)"))).join(wide.select("n", "v"), "n")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf.sort_values("n")["v"].tolist(), float)
-        window, out = int(key[1]), []
-        if len(x) < max(20, window // 2):
-            return pd.DataFrame(columns=["date", "window", "factor_i", "factor_j", "covariance", "shrinkage"])
-        if method == "ledoit_wolf":
-            c, k = ledoit_wolf(x)
-        elif method == "ewma":
-            c, k = ewma_newey_west(x[~np.isnan(x).any(axis=1)]), 0.0
-        else:
-            c, k = np.cov(np.nan_to_num(x), rowvar=False), 0.0
-        for i in range(len(names)):
-            for j in range(i, len(names)):
-                out.append((key[0], window, names[i], names[j], c[i, j], k))
-        return pd.DataFrame(out, columns=["date", "window", "factor_i", "factor_j", "covariance", "shrinkage"])
-
-    return rows.groupBy("end", "window").applyInPandas(run, COVARIANCE)
-
-
 def variance_of(exposures: DataFrame, covariance: DataFrame) -> DataFrame:
     """(date, variance): the quadratic form of (date, factor, x) with an upper triangle of one window."""
     a, b = (exposures.select("date", F.col("factor").alias(f"factor_{k}"), F.col("x").alias(f"x_{k}")) for k in "ij")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import exposures, specific, weightings
+from tidewell.operators import covariance, exposures, specific, weightings
 from tidewell.plans import catalog
 from tidewell.plans.expr import plan
 from tidewell.sources.panel import BASE, base_panel, full_panel, full_sql
@@ -225,3 +225,68 @@ _MEAN_SQL = ", ".join(f"avg({c}) as {k}" for k, c in weightings.MEANS.items() if
 @_register("risk_weighting_summary", _FITS.replace("answer as (", "fits as (") + f", common as (select evaluation, date from fits where status = 'ok' group by 1, 2 having count(distinct strategy) = {len(weightings.STRATEGIES)}), answer as (select strategy, evaluation, year(date)::int as year, min(date) as first, max(date) as last, count(r2) as dates, median(r2) as median_r2, avg(case when r2 >= 0.5 then 1 else 0 end) as share_r2_half, {_MEAN_SQL} from fits join common using (evaluation, date) where status = 'ok' group by 1, 2, 3)", " ".join(["median_r2", "share_r2_half", *(k for k, c in weightings.MEANS.items() if c != "condition")]))
 def _weighting_summary(spark: SparkSession, sf: str) -> DataFrame:
     return weightings.summarise(_weighted(spark, sf), year=True, comparable=len(weightings.STRATEGIES)).drop("mean_condition")
+
+
+# ---------------------------------------------------------------- covariances
+
+#: Group returns in long rows; not every group has every date.
+GROUP_RETURNS = "select date, concat('g', cast(industry as string)) as factor, round(avg(close), 9) as ret from panel group by date, industry"
+_WINDOWS = (60, 120, 252)
+_ROLLING = f"""
+r as ({GROUP_RETURNS}), days as (select date, row_number() over (order by date) as n from (select distinct date from r)),
+l as (select n, factor, coalesce(ret, 0) as x from days cross join (select distinct factor from r) left join r using (date, factor)),
+spans as (select n as last, w, greatest(n - w + 1, 1) as first_n from days, (select unnest({list(_WINDOWS)}) as w)), ok as (select * from spans where last - first_n + 1 >= greatest(20, w // 2)),
+z as (select last, w, n, factor, x - avg(x) over (partition by last, w, factor) as z from ok join l on n between first_n and last),
+s as (select a.last, a.w, a.factor as i, b.factor as j, avg(a.z * b.z) as s, avg(a.z * a.z * b.z * b.z) as q, count(*) as n from z a join z b on a.last = b.last and a.w = b.w and a.n = b.n and a.factor <= b.factor group by 1, 2, 3, 4),
+t as (select last, w, max(n) as n, count(*) filter (i = j) as p, sum(s) filter (i = j) / count(*) filter (i = j) as mu, sum(case when i = j then 1 else 2 end * s * s) as ss, sum(case when i = j then 1 else 2 end * (q - s * s)) as b from s group by 1, 2),
+k as (select *, (ss - p * mu * mu) / p as delta, b / (n * p) as beta from t), h as (select last, w, mu, case when delta <= 0 then 0 else greatest(0, least(delta, beta)) / delta end as k from k),
+answer as (select date, s.w::int as "window", i as factor_i, j as factor_j, (1 - k) * s.s + case when i = j then k * mu else 0 end as covariance, k::double as shrinkage from s join h using (last, w) join days on days.n = last)
+"""
+
+
+@_register("risk_rolling_covariance", _ROLLING, "covariance shrinkage")
+def _rolling_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    r = _use(spark, sf, GROUP_RETURNS)
+    names = [x[0] for x in r.select("factor").distinct().orderBy("factor").collect()]  # columns of the model
+    return covariance.rolling(r, names, _WINDOWS)
+
+
+#: Country, two styles and five groups in long rows; some dates miss a factor.
+FACTOR_RETURNS = """select date, factor, ret from (select date, 'country' as factor, avg(r) as ret from f group by date union all select date, 'style_a', avg(r * disc) from f group by date union all select date, 'style_b', avg(r * tax) from f where day(date) <> 13 group by date
+  union all select date, concat('industry_', cast(industry % 5 as string)), avg(r) from f where code % 3 <> 0 group by date, industry % 5)"""
+_F = "select code, date, industry, disc, tax, round(close / open - 1, 9) as r from panel"
+_FACTOR_NAMES = ["country", "style_a", "style_b", *(f"industry_{k}" for k in range(5))]
+_SHARES = {f"industry_{k}": float(k + 1) for k in range(5)}
+_PUBLISHED = f"""
+f as ({_F}), r as ({FACTOR_RETURNS.replace("string", "varchar")}), wide as (select date, {", ".join(f"max(ret) filter (factor = '{c}') as {c}" for c in _FACTOR_NAMES)} from r group by date),
+days as (select *, row_number() over (order by date) as n, lead(date) over (order by date) as following, row_number() over (partition by date_trunc('month', date) order by date desc) = 1 as ends from wide),
+ends as (select n as last, following from days where ends and following is not null),
+c as (select e.last, e.following, d.* exclude (ends, following), row_number() over (partition by e.last order by d.n desc) as back from ends e join days d on d.n between e.last - 119 and e.last where {" and ".join(f"{c} is not null" for c in _FACTOR_NAMES)}),
+o as (select last, following, count(*) as seen from c group by 1, 2),
+methods as (select following as date, case when seen >= 60 then 'ewma_newey_west' else 'ledoit_wolf_fallback' end as method, case when seen >= 60 then '' else 'insufficient complete history: ' || seen || ' < 60' end as reason, seen::int as observations from o where seen >= 2)
+"""
+_CENTRE = " + ".join(f"{w / sum(_SHARES.values())} * {k}" for k, w in _SHARES.items())
+_ESTIMATES = f"""{_PUBLISHED},
+u as (select last, following, back, country + ({_CENTRE}) as country, style_a, style_b, {", ".join(f"industry_{k} - ({_CENTRE}) as industry_{k}" for k in range(5))} from c join o using (last, following) where seen >= 60),
+l as (select last, following, back, factor, x, pow(0.5::double, (back - 1) / 30.0) as w from u unpivot (x for factor in ({", ".join(_FACTOR_NAMES)}))),
+z as (select l.*, x - m as z from l join (select last, factor, sum(w * x) / sum(w) as m from l group by 1, 2) using (last, factor)),
+g0 as (select a.last, a.following, a.factor as i, b.factor as j, sum(a.w * a.z * b.z) / sum(a.w) as g from z a join z b on a.last = b.last and a.back = b.back group by 1, 2, 3, 4),
+g1 as (select a.last, a.factor as i, b.factor as j, k, (1 - k / 3.0) * sum(a.w * a.z * b.z) / sum(a.w) as g from z a, (select unnest([1, 2]) as k), z b where a.last = b.last and b.back = a.back + k group by 1, 2, 3, k),
+g as (select g0.following, g0.i, g0.j, g0.g + coalesce(sum(p.g), 0) + coalesce(sum(q.g), 0) as v from g0 left join g1 p on p.last = g0.last and p.i = g0.i and p.j = g0.j left join g1 q on q.last = g0.last and q.i = g0.j and q.j = g0.i and q.k = p.k group by g0.following, g0.i, g0.j, g0.g),
+answer as (select following as date, i as factor_i, j as factor_j, v as covariance from g where list_position({_FACTOR_NAMES}, i) <= list_position({_FACTOR_NAMES}, j))
+"""
+
+
+def _published(spark: SparkSession, sf: str) -> DataFrame:
+    _use(spark, sf, _F).createOrReplaceTempView("f")
+    return covariance.estimates(spark.sql(FACTOR_RETURNS), _FACTOR_NAMES, 120, 60, 30.0, 2, _SHARES)
+
+
+@_register("risk_covariance_estimates", _ESTIMATES, "covariance")
+def _covariance_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    return _published(spark, sf).where("method = 'ewma_newey_west'").select("date", "factor_i", "factor_j", "covariance")
+
+
+@_register("risk_covariance_methods", f"{_PUBLISHED}, answer as (select * from methods)")
+def _covariance_methods(spark: SparkSession, sf: str) -> DataFrame:
+    return _published(spark, sf).select("date", "method", "reason", "observations").distinct()

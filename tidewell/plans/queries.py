@@ -304,12 +304,6 @@ def _constrained(spark: SparkSession, sf: str) -> DataFrame:
     return risk.factor_regression(_factors(spark, sf), "label", ["f_mom", "f_vol"], "industry", "amount", least=40, constrained=True)
 
 
-@_register("risk_rolling_covariance")
-def _covariance(spark: SparkSession, sf: str) -> DataFrame:
-    r = base_panel(spark, sf).groupBy("date", F.concat(F.lit("g"), "industry").alias("factor")).agg(F.avg("close").alias("ret"))
-    return risk.rolling_covariance(r)
-
-
 @_register("portfolio_backtest")
 def _backtest(spark: SparkSession, sf: str) -> DataFrame:
     f = _factors(spark, sf)

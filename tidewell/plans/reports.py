@@ -102,7 +102,7 @@ def _distribution(spark: SparkSession, sf: str) -> DataFrame:
     return reports.distribution(_use(spark, sf, DAYS), _WINDOWS)
 
 
-_ROLL = lambda k: ", ".join(f"case when count(active) over w{k} >= {max(5, k // 2)} then {e} end as {n}_{k}d" for n, e in (("win_rate", f"avg(cast(active > 0 as int)) over w{k}"), ("mean", f"avg(active) over w{k}"), ("te", f"stddev_samp(active) over w{k} * sqrt(252)"), ("ir", f"avg(active) over w{k} * 252 / (stddev_samp(active) over w{k} * sqrt(252) + 1e-12)"), ("sum", f"sum(active) over w{k}")))
+_ROLL = lambda k: ", ".join(f"case when count(active) over w{k} >= {max(5, k // 2)} then {e} end as {n}_{k}d" for n, e in (("win_rate", f"count(case when active > 0 then 1 end) over w{k} / count(*) over w{k}"), ("mean", f"avg(active) over w{k}"), ("te", f"stddev_samp(active) over w{k} * sqrt(252)"), ("ir", f"avg(active) over w{k} * 252 / (stddev_samp(active) over w{k} * sqrt(252) + 1e-12)"), ("sum", f"sum(active) over w{k}")))
 
 
 @_register("report_rolling_stability", f"""d as ({DAYS}),
