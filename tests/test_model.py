@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import covariance, exposures, moments, risk, specific, weightings
+from tidewell.operators import covariance, dividends, exposures, joins, moments, risk, specific, weightings
 from tidewell.plans import model
 
 DAY = dt.date(2020, 1, 1)
@@ -376,3 +376,90 @@ def test_estimates_say_why_they_fall_back(spark):
         assert np.abs(m[2:, :].sum(axis=0)).max() < 1e-14  # groups of equal weight sum to zero
     assert not got and seen == {"ewma_newey_west", "ledoit_wolf_fallback"}
     assert covariance.estimates(df.limit(0), names).collect() == [] == covariance.rolling(df.limit(0), names).collect()
+
+
+# ---------------------------------------------------------------- intervals and sums of what was known
+
+
+def _d(n):
+    return DAY + dt.timedelta(days=n)
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_sweep_finds_what_is_valid(spark, closed):
+    g = np.random.default_rng(21)
+    spans, rows = [], [("none", _d(3), 1), (None, _d(3), 2), ("k0", None, 3)]
+    for k in range(8):
+        at = 0
+        for i in range(6):
+            start = at + int(g.integers(1, 6))
+            end = start + int(g.integers(1, 9))
+            spans.append((f"k{k}", None if i == 0 and k == 3 else _d(start), None if i == 5 and k % 2 else _d(end), f"{k}-{i}"))
+            at = end + closed
+        rows += [(f"k{k}", _d(int(n)), 10) for n in g.integers(0, 60, 40)]
+    spans += [("k1", _d(500), _d(499), "empty"), (None, _d(1), _d(90), "no key")]
+    left = spark.createDataFrame(rows, "code string, date date, v int").repartition(3)
+    right = spark.createDataFrame(spans, "code string, since date, until date, cls string").repartition(2)
+    got = joins.interval_join(left, right, "code", "date", "since", "until", closed=closed)
+    assert got.columns == ["code", "date", "v", "since", "until", "cls"]
+
+    def valid(c, d):
+        return [s[3] for s in spans if c and d and s[0] == c and (s[1] is None or s[1] <= d) and (s[2] is None or (d <= s[2] if closed else d < s[2]))]
+
+    want = [(c, d, v, (valid(c, d) or [None])[0]) for c, d, v in rows]
+    assert sorted(map(str, ((r.code, r.date, r.v, r.cls) for r in got.collect()))) == sorted(map(str, want))
+    inner = joins.interval_join(left, right, "code", "date", "since", "until", closed=closed, how="inner")
+    assert inner.count() == sum(w[3] is not None for w in want)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("spans,closed", [([(0, 5), (4, 9)], False), ([(0, None), (4, 9)], False), ([(0, 5), (5, 9)], True), ([(None, 5), (None, 3)], False), ([(2, 5), (2, 5)], False)])
+def test_overlaps_are_refused(spark, spans, closed):
+    at = lambda n: None if n is None else _d(n)
+    right = spark.createDataFrame([("a", at(s), at(e)) for s, e in spans] + [("b", _d(0), _d(5)), ("b", _d(6), None)], "code string, since date, until date")
+    left = spark.createDataFrame([("a", _d(1)), ("b", _d(1))], "code string, date date")
+    with pytest.raises(Exception, match="intervals of code a overlap"):
+        joins.interval_join(left, right, "code", "date", "since", "until", closed=closed).collect()
+    assert joins.interval_join(left.where("code = 'b'"), right, "code", "date", "since", "until", closed=closed).collect()[0].until == _d(5)
+
+
+def test_groups_need_their_coverage(spark):
+    left = spark.createDataFrame([("a", _d(1)), ("z", _d(1))], "code string, date date")
+    members = spark.createDataFrame([("a", "g", _d(0), None)], "code string, grp string, in_date date, out_date date")
+    got = {r.code: (r.grp, r.grp_source) for r in joins.attach_groups(left, members, "own", coverage=0.5).collect()}
+    assert got == {"a": ("g", "own"), "z": (None, None)}
+    with pytest.raises(ValueError, match="1 of 2"):
+        joins.attach_groups(left, members, "own", coverage=0.6)
+
+
+def test_classes_by_day(spark):
+    left = spark.createDataFrame([(c, _d(n)) for c in "abz" for n in (0, 5, 9)], "code string, date date")
+    rated = spark.createDataFrame([("a", None, _d(5), "cash", "low_risk", True), ("a", _d(6), None, "x", None, True), ("b", None, None, "y", "risk", None)], "code string, since date, until date, category string, risk_bucket string, reviewed boolean")
+    assert {(r.code, r.date) for r in joins.apply_classes(left, rated).collect()} == {("a", _d(0)), ("a", _d(5))}
+    got = {(r.code, r.date): (r.risk_bucket, r.reviewed) for r in joins.apply_classes(left, rated, unreviewed=True).collect()}
+    assert len(got) == 9 and got["a", _d(9)] == ("unclassified", True) and got["b", _d(0)] == ("risk", False) and got["z", _d(0)] == ("unclassified", False)
+
+
+def test_known_sums_against_brute_force(spark):
+    g = np.random.default_rng(31)
+    events = [(f"k{g.integers(0, 3)}", None if g.random() < 0.1 else _d(int(g.integers(0, 90))), None if g.random() < 0.1 else _d(int(g.integers(0, 120))), None if g.random() < 0.1 else float(g.normal())) for _ in range(300)]
+    asked = [(f"k{g.integers(0, 4)}", _d(int(a := g.integers(0, 90))), _d(int(a + g.integers(-3, 3))), _d(int(a + g.integers(-5, 40)))) for _ in range(200)] + [("k0", None, _d(1), _d(2)), ("k0", _d(50), _d(10), _d(90))] * 2
+    q = spark.createDataFrame(asked, "k string, w date, a date, u date").repartition(3)
+    e = spark.createDataFrame(events, "k string, known date, at date, v double").repartition(3)
+    out = joins.known_sums(q, e, "k", "known", "at", "v", "w", "a", "u", "total")
+    want = lambda k, w, a, u: None if None in (w, a, u) else sum(v for kk, t, x, v in events if kk == k and None not in (t, x, v) and t <= w and a < x <= u)
+    got = sorted(((r.k, r.w, r.a, r.u, r.total) for r in out.collect()), key=str)
+    assert len(got) == len(asked) and sorted([g_[:4] for g_ in got], key=str) == sorted(asked, key=str)
+    assert all(t is None and want(*x) is None or t == pytest.approx(want(*x), abs=1e-12) for *x, t in got)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_dividend_points_take_what_was_known(spark):
+    contracts = spark.createDataFrame([("p", _d(10), _d(40), 1000.0), ("p", _d(30), _d(40), 2000.0), ("none", _d(10), _d(40), 1.0)], "product string, date date, expiry date, index_close double")
+    events = spark.createDataFrame([("a", _d(5), _d(20), 1.0), ("a", _d(15), _d(35), 2.0), ("b", _d(1), _d(41), 9.0), ("b", _d(1), _d(40), 0.5), ("c", _d(1), _d(20), 5.0), ("a", _d(1), None, 7.0), ("a", _d(1), _d(12), -3.0)], "code string, announced date, ex_date date, cash double")
+    weights = spark.createDataFrame([("p", _d(0), "a", 50.0), ("p", _d(0), "b", 10.0), ("p", _d(0), "c", 40.0), ("p", _d(20), "a", 20.0), ("p", _d(20), "b", 0.0)], "product string, date date, code string, weight double")
+    prices = spark.createDataFrame([("a", _d(0), 10.0), ("a", _d(9), 20.0), ("a", _d(25), None), ("b", _d(0), 5.0), ("c", _d(11), 1.0)], "code string, date date, close double")
+    got = {(r["product"], r.date): (r.points, r.n_codes) for r in dividends.contract_dividend_points(contracts, events, weights, prices).collect()}
+    assert got["p", _d(10)] == (pytest.approx((1.0 / 20 * 0.5 + 0.5 / 5 * 0.1) * 1000), 2)  # c has no price yet
+    assert got["p", _d(30)] == (pytest.approx(2.0 / 20 * 0.2 * 2000), 1) and got["none", _d(10)] == (0.0, 0)

@@ -34,10 +34,84 @@ def snapshot_join(keys: DataFrame, snapshots: DataFrame, code: str, date: str, v
 
 
 def interval_join(left: DataFrame, right: DataFrame, by: str, on: str, start: str, end: str, closed: bool = False, how: str = "left") -> DataFrame:
-    """Rows whose validity holds the date: [start, end), or [start, end] if closed; a null end is open."""
-    r = right.withColumnRenamed(by, "_by")
-    inside = (F.col(on) >= F.col(start)) & (F.col(end).isNull() | ((F.col(on) <= F.col(end)) if closed else (F.col(on) < F.col(end))))
-    return left.join(r, (F.col(by) == F.col("_by")) & inside, how).drop("_by")
+    """Rows with what is valid at their date: [start, end), or [start, end] if closed; a null start or end is open.
+
+    A sweep: interval starts and rows of a key are put in one order and the interval that
+    began last is carried forward, so work grows with rows plus intervals.  That needs
+    intervals of a key that don't overlap: a row of a key where two do is refused.  Intervals
+    that hold no date are left out; a null key or date has none.
+    """
+    payload = [c for c in right.columns if c != by]
+    kept = left.columns
+    some = F.col(start).isNull() | F.col(end).isNull() | ((F.col(start) <= F.col(end)) if closed else (F.col(start) < F.col(end)))
+    r = right.where(F.col(by).isNotNull() & some).select(F.col(by).alias("_by"), F.col(start).alias("_at"), F.lit(0).alias("_side"), F.struct(*payload).alias("_r"))
+    kind = r.schema["_r"].dataType
+    l = left.select(F.col(by).alias("_by"), F.col(on).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_r"), F.struct(*kept).alias("_l"))
+    order = Window.partitionBy("_by").orderBy(F.col("_at").asc_nulls_first(), "_side")
+    out = r.unionByName(l, allowMissingColumns=True).withColumns({"_m": F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_before": F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    past = F.col("_before")[end]
+    clash = F.col("_r").isNotNull() & F.col("_before").isNotNull() & (past.isNull() | F.col("_at").isNull() | ((past >= F.col("_at")) if closed else (past > F.col("_at"))))
+    out = out.withColumn("_clash", F.max(clash).over(Window.partitionBy("_by").orderBy(F.col("_at").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    inside = F.col("_m").isNotNull() & F.col("_by").isNotNull() & F.col("_at").isNotNull() & (F.col("_m")[end].isNull() | ((F.col("_at") <= F.col("_m")[end]) if closed else (F.col("_at") < F.col("_m")[end])))
+    valid = F.when(F.col("_clash"), F.raise_error(F.concat(F.lit(f"intervals of {by} "), F.col("_by").cast("string"), F.lit(" overlap"))).cast(kind)).when(inside, F.col("_m"))
+    out = out.where("_l is not null").select("_l", valid.alias("_m"))
+    out = out.where("_m is not null") if how == "inner" else out
+    return out.select(*[F.col("_l")[c].alias(c) for c in kept], *[F.col("_m")[c].alias(c) for c in payload])
+
+
+def attach_groups(panel: DataFrame, members: DataFrame, source: str, code: str = "code", date: str = "date", group: str = "grp", start: str = "in_date", end: str = "out_date", coverage: float | None = None) -> DataFrame:
+    """panel with the group that a code is in at its date ([in, out), half open), its interval, and ``source`` where it has one.
+
+    ``coverage``: fewer than that share of rows with a group are refused (this one runs a job).
+    """
+    out = interval_join(panel, members.select(code, group, start, end), code, date, start, end)
+    out = out.withColumn(f"{group}_source", F.when(F.col(group).isNotNull(), source))
+    if coverage is not None:
+        have, rows = out.agg(F.count(group), F.count(F.lit(1))).first()
+        if rows and have / rows < coverage:
+            raise ValueError(f"only {have} of {rows} rows have a group; {coverage:.0%} are needed")
+    return out
+
+
+def apply_classes(daily: DataFrame, classes: DataFrame, code: str = "code", date: str = "date", start: str = "since", end: str = "until", unreviewed: bool = False) -> DataFrame:
+    """daily rows with the class valid at their date ([since, until], closed): reviewed ones of low or some risk, or all.
+
+    A row whose code has no class at all, or none at its date, has none; it stays only with
+    ``unreviewed``, as unclassified, where its code has no class at all.
+    """
+    known = classes.select(code).distinct().withColumn("_known", F.lit(True))
+    out = interval_join(daily, classes, code, date, start, end, closed=True).join(known, code, "left")
+    out = out.withColumn("_in", F.col("risk_bucket").isNotNull() | F.col(start).isNotNull() | F.col(end).isNotNull() | F.col("reviewed").isNotNull() | F.col("_known").isNull())
+    out = out.where("_in").withColumns({"risk_bucket": F.coalesce("risk_bucket", F.lit("unclassified")), "reviewed": F.coalesce("reviewed", F.lit(False))}).drop("_in", "_known")
+    return out if unreviewed else out.where(F.col("reviewed") & F.col("risk_bucket").isin("low_risk", "risk"))
+
+
+LEVELS = 16  # days from FIRST_DAY on that are told apart: 2^16, 179 years
+FIRST_DAY = "1900-01-01"
+
+
+def known_sums(queries: DataFrame, events: DataFrame, by: str, known: str, at: str, value: str, when: str, after: str, until: str, name: str) -> DataFrame:
+    """queries with name: the sum of values over events of ``by`` that were known at ``when`` and happen in (after, until].
+
+    A two-dimensional sum without a range join: days up to ``when`` are at most LEVELS blocks
+    of a power of two, every event is in one block of each size, and within a block a running
+    sum in the order of ``at`` answers both ends.  Events and queries are stacked, so work is
+    LEVELS times rows plus events.  Nothing known: zero; a null in a query: null.
+    """
+    day = lambda c: F.greatest(F.lit(0), F.least(F.lit((1 << LEVELS) - 1), F.datediff(c, F.lit(FIRST_DAY).cast("date"))))
+    e = events.where(F.col(by).isNotNull() & F.col(known).isNotNull() & F.col(at).isNotNull() & F.col(value).isNotNull())
+    e = e.select(F.col(by).alias("_by"), day(known).alias("_t"), F.col(at).alias("_x"), F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_level"))
+    e = e.select("_by", "_level", F.expr("shiftright(_t, _level)").alias("_block"), "_x", F.lit(0).alias("_side"), "_v")
+    asked = queries.select(F.col(by).alias("_by"), F.col(when).alias("_when"), F.col(after).alias("_after"), F.col(until).alias("_until")).where("_by is not null and _when is not null and _after is not null and _until is not null").distinct()
+    q = asked.withColumn("_t", day("_when") + 1).withColumn("_level", F.explode(F.expr(f"filter(sequence(0, {LEVELS}), l -> getbit(_t, l) = 1)")))
+    q = q.withColumn("_end", F.explode(F.array(F.struct(F.col("_until").alias("x"), F.lit(1.0).alias("sign")), F.struct(F.col("_after").alias("x"), F.lit(-1.0).alias("sign")))))
+    q = q.select("_by", "_when", "_after", "_until", "_level", (F.expr("shiftright(_t, _level)") - 1).alias("_block"), F.col("_end.x").alias("_x"), F.col("_end.sign").alias("_sign"), F.lit(1).alias("_side"))
+    upto = Window.partitionBy("_by", "_level", "_block").orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = e.unionByName(q, allowMissingColumns=True).withColumn("_sum", F.sum("_v").over(upto)).where("_side = 1")
+    total = both.groupBy("_by", "_when", "_after", "_until").agg(F.sum(F.col("_sign") * F.coalesce("_sum", F.lit(0.0))).alias(name))
+    total = asked.join(total, ["_by", "_when", "_after", "_until"], "left").na.fill(0.0, [name])
+    on = (F.col(by) == F.col("_by")) & (F.col(when) == F.col("_when")) & (F.col(after) == F.col("_after")) & (F.col(until) == F.col("_until"))
+    return queries.join(total, on, "left").select(*queries.columns, F.when(F.col(until) > F.col(after), F.col(name)).when(F.col(name).isNotNull(), 0.0).alias(name))
 
 
 def calendar_lag(frame: DataFrame, date: str, days: int, name: str = "asof") -> DataFrame:

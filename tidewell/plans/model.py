@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import covariance, exposures, specific, weightings
+from tidewell.operators import covariance, dividends, exposures, joins, specific, weightings
 from tidewell.plans import catalog
 from tidewell.plans.expr import plan
 from tidewell.sources.panel import BASE, base_panel, full_panel, full_sql
@@ -290,3 +290,44 @@ def _covariance_estimates(spark: SparkSession, sf: str) -> DataFrame:
 @_register("risk_covariance_methods", f"{_PUBLISHED}, answer as (select * from methods)")
 def _covariance_methods(spark: SparkSession, sf: str) -> DataFrame:
     return _published(spark, sf).select("date", "method", "reason", "observations").distinct()
+
+
+# ---------------------------------------------------------------- intervals and dividends
+
+#: Contracts of eight products, monthly snapshots of weights, and dividends announced before they go ex.
+CONTRACTS = "select industry % 8 as product, date, cast(date + 7 * (1 + tenor * 9) as date) as expiry, round(avg(open) * 1000, 6) as index_close from panel, (select 0 as tenor union all select 1 union all select 2) t group by industry % 8, date, tenor"
+SNAPSHOTS = "select industry % 8 as product, date, code, case when code % 6 <> 0 then amount when code % 12 = 0 then 0e0 end as weight from panel where day(date) <= 7"
+PRICES = "select code, date, case when code % 10 <> 0 or month(date) > 3 then close else -close end as close from panel where code % 15 <> 0"
+DIVIDENDS = "select code, cast(date - cast(20 + code % 30 as int) as date) as announced, case when code % 21 <> 0 then date end as ex_date, round(tax - 0.01, 6) as cash from panel where month(date) in (2, 5, 8, 11) and day(date) between 8 and 21"
+_DAYS = lambda s: s.replace("date + 7 * (1 + tenor * 9)", "date + cast(7 * (1 + tenor * 9) as int)")
+_POINTS = f"""
+c as ({_DAYS(CONTRACTS)}), s as ({SNAPSHOTS}), e as ({DIVIDENDS}), pr as ({PRICES}),
+d as (select c.*, x.date as snapshot from c asof left join (select distinct product, date from s) x on c.product = x.product and c.date >= x.date),
+h as (select d.product, d.date, d.expiry, s.code, s.weight from d join s on s.product = d.product and s.date = d.snapshot where s.weight > 0),
+q as (select h.*, p.close from h asof join pr p on h.code = p.code and h.date >= p.date where p.close > 0),
+y as (select q.product, q.date, q.expiry, q.code, sum(e.cash) / any_value(close) * any_value(weight) / 100 as y from q join e on e.code = q.code and e.announced <= q.date and e.ex_date > q.date and e.ex_date <= q.expiry and e.cash > 0 group by 1, 2, 3, 4),
+answer as (select c.product, c.date, c.expiry, c.index_close, coalesce(sum(y), 0) * any_value(c.index_close) as points, count(y) as n_codes from c left join y using (product, date, expiry) group by 1, 2, 3, 4)
+"""
+
+
+@_register("monitor_dividend_points", _POINTS, "index_close points")
+def _dividend_points(spark: SparkSession, sf: str) -> DataFrame:
+    contracts = _use(spark, sf, _DAYS(CONTRACTS))
+    return dividends.contract_dividend_points(contracts, spark.sql(DIVIDENDS), spark.sql(SNAPSHOTS), spark.sql(PRICES))
+
+
+#: Which group a code is in from one half-year to the next, with gaps, and reviewed classes that hold their last day.
+MEMBERS = "select code, concat('g', cast(industry % 6 as string)) as grp, date as in_date, case when code % 3 = 0 then cast(date + 120 as date) else lead(date) over (partition by code order by date) end as out_date from panel where month(date) in (1, 7) and day(date) <= 7"
+RATED = "select code, cast(null as date) as since, date '1995-06-30' as until, 'cash' as category, 'low_risk' as risk_bucket, true as reviewed from panel where code % 4 = 1 group by code union all select code, date '1995-07-01', cast(null as date), 'equity', case code % 5 when 0 then 'other' when 1 then null else 'risk' end, case when code % 7 <> 0 then true end from panel where code % 4 <> 2 group by code"
+
+
+@_register("join_groups", f"m as ({MEMBERS.replace('string', 'varchar')}), answer as (select p.code, p.date, m.grp, m.in_date, m.out_date, case when m.grp is not null then 'members' end as grp_source from panel p left join m on p.code = m.code and p.date >= m.in_date and (m.out_date is null or p.date < m.out_date))")
+def _groups(spark: SparkSession, sf: str) -> DataFrame:
+    members = _use(spark, sf, MEMBERS)
+    return joins.attach_groups(base_panel(spark, sf).select("code", "date"), members, "members")
+
+
+@_register("join_classes", f"k as ({RATED}), answer as (select p.code, p.date, k.since, k.until, k.category, k.risk_bucket, k.reviewed from panel p join k on p.code = k.code and (k.since is null or p.date >= k.since) and (k.until is null or p.date <= k.until) where k.reviewed and k.risk_bucket in ('low_risk', 'risk'))")
+def _classes(spark: SparkSession, sf: str) -> DataFrame:
+    rated = _use(spark, sf, RATED)
+    return joins.apply_classes(base_panel(spark, sf).select("code", "date"), rated)
