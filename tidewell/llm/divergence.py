@@ -38,11 +38,10 @@ FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as their terms, and as each of these once, joined by one space."""
-    text = lambda lists: pa.array(map(b" ".join, lists), pa.binary()).cast(pa.string())
+    """Texts as their terms joined by one space."""
     for b in batches:
-        terms = [t.translate(FOLD).split() for t in b.column(2).cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([b.column(0), b.column(1), text(terms), text(map(dict.fromkeys, terms))], ["lang", "source", "terms", "once"])
+        texts = [b" ".join(t.translate(FOLD).split()) for t in b.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.binary()).cast(pa.string())], ["lang", "source", "terms"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,14 +59,12 @@ def counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str, min_d
     spark = docs.sparkSession
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    rows = materialise(rows.mapInArrow(_folded, "lang string, source string, terms string, once string"), by="lang")
+    rows = materialise(rows.mapInArrow(_folded, "lang string, source string, terms string"), by="lang")
     groups = materialise(rows.groupBy("lang", "source").agg(F.count(F.when(F.col("terms") != "", 1)).alias("docs")))
     cells, terms = None, []
     for (lang,) in sorted(groups.groupBy("lang").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= max(1, min_df)).select("lang").collect()):
-        own = rows.where(F.col("lang") == lang).where("terms <> ''")
-        # the vocabulary depends on how many documents have a term, not how often, so the fit reads each of a document's terms once
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL_TERMS).fit(own.select(F.split("once", " ").alias("terms")))
-        own = own.select("source", F.split("terms", " ").alias("terms"))
+        own = rows.where(F.col("lang") == lang).where("terms <> ''").select("source", F.split("terms", " ").alias("terms"))
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL_TERMS).fit(own)
         if not model.vocabulary:
             continue
         terms.append(pa.table({"lang": [lang] * len(model.vocabulary), "idx": pa.array(range(len(model.vocabulary)), pa.int32()), "term": model.vocabulary}))
@@ -81,9 +78,10 @@ def counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str, min_d
 
 
 def chance(count: str, total: str, size: str) -> F.Column:
-    """1 + floor(1e9 (count + 2) / (total + 2 size)), exact beyond the range of long."""
+    """1 + floor(1e9 (count + 2) / (total + 2 size)), exact beyond the range of long, where decimals take over."""
     wide = lambda x: f"cast({x} as decimal(20,0))"
-    return F.expr(f"1L + ((cast(1000000000 as decimal(10,0)) * ({wide(count)} + 2)) div ({wide(total)} + 2 * {wide(size)}))")
+    exact = f"(cast(1000000000 as decimal(10,0)) * ({wide(count)} + 2)) div ({wide(total)} + 2 * {wide(size)})"
+    return F.expr(f"1L + case when {count} <= 9000000000 and {total} <= {1 << 61} and {size} <= {1 << 60} then (1000000000L * ({count} + 2)) div ({total} + 2 * {size}) else {exact} end")
 
 
 def divergence(p: str, q: str) -> F.Column:
