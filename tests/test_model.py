@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import covariance, dividends, exposures, joins, moments, risk, specific, weightings
+from tidewell.operators import covariance, dividends, evaluate, exposures, extremes, joins, moments, risk, specific, weightings
 from tidewell.plans import model
 
 DAY = dt.date(2020, 1, 1)
@@ -270,7 +270,7 @@ def test_all_weightings_against_least_squares(spark):
                 continue
             for e, figures in want.items():
                 r = got.pop((day, name, e))
-                have = (r.n_obs, r.n_factors, r.r2, r.adj_r2, r.resid_std, r.condition, r.effective_size, r.max_share, r.p99_p50, r.weight_cv)
+                have = (r.n_obs, r.n_columns, r.r2, r.adj_r2, r.resid_std, r.condition, r.effective_size, r.max_share, r.p99_p50, r.weight_cv)
                 assert np.allclose(have, figures, rtol=1e-8), (day, name, e)
     assert not got and seen == {"failed_empty", "failed_no_fit_weight", "failed_insufficient_sample"}
     total = weightings.summarise(out, comparable=10).toPandas()
@@ -463,3 +463,71 @@ def test_dividend_points_take_what_was_known(spark):
     got = {(r["product"], r.date): (r.points, r.n_codes) for r in dividends.contract_dividend_points(contracts, events, weights, prices).collect()}
     assert got["p", _d(10)] == (pytest.approx((1.0 / 20 * 0.5 + 0.5 / 5 * 0.1) * 1000), 2)  # c has no price yet
     assert got["p", _d(30)] == (pytest.approx(2.0 / 20 * 0.2 * 2000), 1) and got["none", _d(10)] == (0.0, 0)
+
+
+# ---------------------------------------------------------------- correlation of many signals
+
+
+def _signals(n_dates=9, n_codes=40, k=23, seed=8):
+    g = np.random.default_rng(seed)
+    base = g.normal(0, 1, (n_dates * n_codes, k)) + g.normal(0, 1, (n_dates * n_codes, 1))
+    base[:, 1] = np.round(base[:, 0])
+    base[:, 2] = 1.0
+    base[g.random(base.shape) < 0.2] = np.nan
+    base[: n_codes, 3] = np.nan
+    names = [f"s{i}" for i in range(k)]
+    pdf = pd.DataFrame(base, columns=names)
+    pdf.insert(0, "date", [_d(t) for t in range(n_dates) for _ in range(n_codes)])
+    pdf.insert(0, "code", list(range(n_codes)) * n_dates)
+    return pdf, names
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_rank_correlations_of_all_pairs(spark, block):
+    pdf, names = _signals()
+    kind = "code long, date date, " + ", ".join(f"{n} double" for n in names)
+    df = _frame(spark, pdf, kind)
+    ranks = pdf.groupby("date")[names].rank(pct=True)
+    got = {(r.left, r.right): r.mean_abs for r in evaluate.rank_correlation(df, names, block=block).collect()}
+    assert len(got) == 23 * 22 // 2
+    daily = [ranks[pdf.date == d].corr(min_periods=20).abs() for d in pdf.date.unique()]
+    for (a, b), v in got.items():
+        want = np.nanmean([c.loc[a, b] for c in daily]) if "s2" not in (a, b) else None
+        assert v is None if want is None else v == pytest.approx(want, rel=1e-9), (a, b)
+    pooled = {(r.left, r.right): r.correlation for r in evaluate.rank_correlation(df, names, pooled=True, block=block).collect()}
+    want = ranks.corr(min_periods=20)
+    assert all(v == pytest.approx(want.loc[a, b], rel=1e-8) for (a, b), v in pooled.items() if "s2" not in (a, b))
+
+
+def test_selection_drops_what_is_redundant(spark):
+    pdf, names = _signals()
+    df = _frame(spark, pdf, "code long, date date, " + ", ".join(f"{n} double" for n in names))
+    g = np.random.default_rng(1)
+    scores = [(n, bool(g.random() < 0.8), float(np.round(g.random(), 1)), float(g.random())) for n in names] + [("absent", True, 2.0, 2.0)]
+    got = evaluate.select_signals(spark.createDataFrame(scores, "factor string, passed boolean, test double, valid double"), df, 0.5)
+    corr = pdf.groupby("date")[names].rank(pct=True).corr(min_periods=20)
+    kept = []
+    for n, ok, *_ in sorted(scores[:-1], key=lambda s: (-s[2], -s[3], s[0])):
+        if ok and all(not abs(corr.loc[n, k]) > 0.5 for k in kept):
+            kept.append(n)
+    assert got == kept and 1 < len(kept) < 18
+
+
+def test_polynomial_residuals_against_least_squares(spark):
+    g = np.random.default_rng(14)
+    n = 90
+    x, y = np.cumsum(g.normal(0, 1, n)) + 1000, g.normal(0, 1, n)
+    x[g.random(n) < 0.15] = np.nan
+    y[g.random(n) < 0.1] = np.nan
+    x[60:75] = 7.0  # windows without any spread
+    df = _frame(spark, pd.DataFrame({"code": [1] * n, "date": [_d(i) for i in range(n)], "x": x, "y": y}), "code long, date date, x double, y double")
+    got = extremes.rolling_poly_resid(df, "y", "x", 12, 2, 6).toPandas().sort_values("date").resid.to_numpy(float)
+    for i in range(n):
+        m = slice(max(0, i - 11), i + 1)
+        ok = np.isfinite(x[m]) & np.isfinite(y[m])
+        if not (ok[-1] and ok.sum() >= 6):
+            assert np.isnan(got[i])
+            continue
+        u, v = x[m][ok], y[m][ok]
+        b = np.vander((u - u.mean()) / (u.std() or 1.0), 3)
+        assert got[i] == pytest.approx(float((v - b @ np.linalg.lstsq(b, v, rcond=None)[0])[-1]), rel=1e-7, abs=1e-9), i

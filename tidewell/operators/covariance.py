@@ -132,8 +132,8 @@ class Basis:
 def independent_basis(columns: Sequence[str], weights: dict[str, float] | None = None, country: str = "country", prefix: str = "industry_") -> Basis:
     """The basis of factor columns; the last group in order of names is the reference.
 
-    ``forward`` takes shown factors to independent ones, ``restore`` brings them back so that
-    the groups' weighted sum is zero: restore @ forward is the identity on such factors, and
+    ``forward`` takes shown returns to independent ones, ``restore`` brings them back so that
+    the groups' weighted sum is zero: restore @ forward is the identity on such returns, and
     forward @ restore always is.
     """
     if country not in columns:
@@ -165,7 +165,7 @@ def independent_basis(columns: Sequence[str], weights: dict[str, float] | None =
 
 
 def restored(independent: np.ndarray, basis: Basis) -> np.ndarray:
-    """A covariance of independent factors as one of the shown ones, without negative eigenvalues."""
+    """A covariance of independent returns as one of the shown ones, without negative eigenvalues."""
     return psd(basis.restore @ independent @ basis.restore.T)
 
 
@@ -173,7 +173,7 @@ ESTIMATE = "date date, factor_i string, factor_j string, covariance double, meth
 
 
 def estimates(returns: DataFrame, names: Sequence[str], window: int = 504, least: int = 252, half_life: float = 90, lags: int = 2, weights: dict[str, float] | None = None, step: str = "month", effective: bool = True) -> DataFrame:
-    """Upper triangles of covariances of shown factors at the last date of each ``step``, by way of the independent basis.
+    """Upper triangles of covariances of shown returns at the last date of each ``step``, by way of the independent basis.
 
     Exponentially weighted with lags over the window's complete rows; with fewer than
     ``least`` of them, or where that fails, shrunk by Ledoit and Wolf with the reason said; a

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,22 +68,121 @@ def turnover(weights: DataFrame, code: str = "code", date: str = "date", weight:
     return both.where("_n > 1").join(days, "_n").select(date, "turnover")
 
 
-def factor_correlation(panel: DataFrame, signals: list[str], date: str = "date", code: str = "code", least: int = 20) -> DataFrame:
-    """(left, right, mean_abs): mean over dates of the absolute Spearman correlation of each pair.
+PAIRS = "i int, j int, total double, n long, sums array<double>"
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks over each column's values, from 0 to 1, less one half; zero where there is none.
+
+    Values that agree in 40 of their 53 bits tie, as in panel expressions: equal sums, whatever order they were added in.
+    """
+    out = np.zeros(x.shape)
+    x = x * 8193.0 - (x * 8193.0 - x)
+    for k in range(x.shape[1]):
+        at = np.flatnonzero(~np.isnan(x[:, k]))
+        if len(at):
+            _, place, count = np.unique(x[at, k], return_inverse=True, return_counts=True)
+            out[at, k] = (np.cumsum(count) - (count - 1) / 2)[place] / len(at) - 0.5
+    return out
+
+
+def _gram(r: np.ndarray, m: np.ndarray, left: slice, right: slice) -> np.ndarray:
+    """Over rows where both columns have values, for each pair: their number, both sums, both sums of squares, the sum of products."""
+    a, b, ma, mb = r[:, left], r[:, right], m[:, left], m[:, right]
+    return np.stack([ma.T @ mb, a.T @ mb, ma.T @ b, (a * a).T @ mb, ma.T @ (b * b), a.T @ b])
+
 
-    Pairs are columns of one pass: signals are few, rows are not multiplied by pairs.
+def _pearson(g: np.ndarray, least: int) -> np.ndarray:
+    """Correlations from sums, nan with fewer than ``least`` rows or without spread."""
+    n = np.where(g[0] > 0, g[0], np.nan)
+    va, vb, c = g[3] - g[1] ** 2 / n, g[4] - g[2] ** 2 / n, g[5] - g[1] * g[2] / n
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((g[0] >= least) & (va > 1e-12) & (vb > 1e-12), c / np.sqrt(va * vb), np.nan)
+
+
+def rank_correlation(panel: DataFrame, signals: list[str], date: str = "date", code: str = "code", least: int = 20, pooled: bool = False, block: int = 512) -> DataFrame:
+    """(left, right, mean_abs or correlation): Spearman correlations of all pairs of signals.
+
+    Each date's signals are ranked over its values.  By date: the mean over dates of the
+    absolute correlation over rows that have both, where those are ``least`` or more.
+    ``pooled``: one Pearson correlation of the ranks of all dates.
+
+    A row's signals are one array.  A task takes whole dates, ranks a date once and adds up Gram
+    matrices of blocks of signals, so what it sends on has one row a pair, whatever the rows;
+    beyond ``block`` signals, pairs of blocks are dealt to tasks of their own.
     """
-    p = panel.select(date, *[pct_rank(F.col(f), date).alias(f) for f in signals])
-    pairs = [(a, b) for i, a in enumerate(signals) for b in signals[i + 1 :]]
-    both = lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
-    daily = p.groupBy(date).agg(*[F.when(both(a, b) >= least, correlation(F.col(a), F.col(b))).alias(f"{a}|{b}") for a, b in pairs])
-    mean = daily.agg(*[F.avg(F.abs(F.col(f"`{a}|{b}`"))).alias(f"{a}|{b}") for a, b in pairs])
-    long = mean.unpivot([], [f"`{a}|{b}`" for a, b in pairs], "pair", "mean_abs")
-    return long.select(F.split("pair", "[|]")[0].alias("left"), F.split("pair", "[|]")[1].alias("right"), "mean_abs")
+    k = len(signals)
+    cuts = [slice(lo, min(lo + block, k)) for lo in range(0, k, block)]
+    todo = [(p, q) for p in range(len(cuts)) for q in range(p, len(cuts))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        day, part, rows = None, None, []
+
+        def close() -> None:
+            if not rows:
+                return
+            p, q = todo[part]
+            x = np.array(rows, float)
+            g = _gram(_ranks(x), (~np.isnan(x)).astype(float), slice(0, cuts[p].stop - cuts[p].start), slice(0 if p == q else cuts[p].stop - cuts[p].start, x.shape[1]))
+            if pooled:
+                held[part] = [held[part][0] + g] if part in held else [g]
+            else:
+                c = np.abs(_pearson(g, least))
+                sums = held.setdefault(part, [np.zeros(c.shape), np.zeros(c.shape, np.int64)])
+                sums[0] += np.nan_to_num(c)
+                sums[1] += ~np.isnan(c)
+            rows.clear()
+
+        for b in batches:
+            for d, t, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if (d, t) != (day, part):
+                    close()
+                    day, part = d, t
+                rows.append(v)
+        close()
+        for t, sums in held.items():
+            p, q = todo[t]
+            i, j = np.indices(sums[0].shape[-2:]).reshape(2, -1)
+            up = (p < q) | (i < j)
+            i, j = i[up], j[up]
+            total, n, g = (np.zeros(len(i)), np.zeros(len(i), np.int64), sums[0][:, i, j].T) if pooled else (sums[0][i, j], sums[1][i, j], np.zeros((len(i), 0)))
+            yield pa.record_batch([pa.array((i + cuts[p].start).astype(np.int32)), pa.array((j + cuts[q].start).astype(np.int32)), pa.array(total), pa.array(n), pa.array(list(g), pa.list_(pa.float64()))], ["i", "j", "total", "n", "sums"])
+
+    block_of = lambda c: F.array(*[F.col(f).cast("double") for f in signals[c]])
+    parts = F.array(*[F.struct(F.lit(t).alias("part"), (block_of(cuts[p]) if p == q else F.concat(block_of(cuts[p]), block_of(cuts[q]))).alias("v")) for t, (p, q) in enumerate(todo)])
+    rows = panel.select(F.col(date).alias("date"), F.explode(parts).alias("x")).select("date", "x.part", "x.v")
+    sums = rows.repartition("date", "part").sortWithinPartitions("part", "date").mapInArrow(run, PAIRS)
+    name = F.create_map(*[x for i, s in enumerate(signals) for x in (F.lit(i), F.lit(s))])
+    left, right = name[F.col("i")].alias("left"), name[F.col("j")].alias("right")
+    if not pooled:
+        by = sums.groupBy("i", "j").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        return by.select(left, right, F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean_abs"))
+    by = sums.groupBy("i", "j").agg(*[F.sum(F.col("sums")[m]).alias(c) for m, c in enumerate(("n", "a", "b", "aa", "bb", "ab"))])
+    va, vb = F.col("aa") - F.col("a") * F.col("a") / F.col("n"), F.col("bb") - F.col("b") * F.col("b") / F.col("n")
+    c = F.when((F.col("n") >= least) & (va > 1e-12) & (vb > 1e-12), (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / F.sqrt(va * vb))
+    return by.select(left, right, c.alias("correlation"))
+
+
+def select_signals(scores: DataFrame, panel: DataFrame, limit: float = 0.9, least: int = 20, date: str = "date") -> list[str]:
+    """Names of scores (factor, passed, and what to sort by, falling), each kept if no kept one's pooled rank correlation is beyond ``limit``.
+
+    An unknown correlation is none.  Only names and correlations reach the driver.
+    """
+    order = [c for c in scores.columns if c not in ("factor", "passed")]
+    names = [r["factor"] for r in scores.where("passed").orderBy(*[F.desc_nulls_last(c) for c in order], "factor").collect() if r["factor"] in panel.columns]
+    if len(names) < 2:
+        return names
+    known = {frozenset((r["left"], r["right"])): r["correlation"] for r in rank_correlation(panel, names, date, least=least, pooled=True).collect()}
+    kept: list[str] = []
+    for name in names:
+        if all(abs(known[frozenset((name, k))] or 0.0) <= limit for k in kept):
+            kept.append(name)
+    return kept
 
 
 def greedy_select(scores: dict[str, float], correlation_of: dict[tuple[str, str], float], limit: float = 0.85) -> list[str]:
-    """Factors by score, each kept if it correlates below ``limit`` with all kept; a few hundred names, on the driver."""
+    """Names by score, each kept if it correlates below ``limit`` with all kept; a few hundred names, on the driver."""
     kept: list[str] = []
     for name in sorted(scores, key=lambda k: (-scores[k], k)):
         if all(abs(correlation_of.get((name, k), correlation_of.get((k, name), 0.0))) < limit for k in kept):

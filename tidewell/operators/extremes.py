@@ -1,4 +1,4 @@
-"""Factors from the extremes of a window, and rolling fits that have no native frame."""
+"""Signals from the extremes of a window, and rolling fits that have no native frame."""
 
 from __future__ import annotations
 
@@ -41,18 +41,22 @@ def rolling_poly_resid(panel: DataFrame, y: str, x: str, window: int, degree: in
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date)
-        a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
+        a, b = (np.concatenate([np.full(window - 1, np.nan), pdf[c].to_numpy(float, na_value=np.nan)]) for c in (x, y))
+        out = np.full(len(pdf), np.nan)
         ok = np.isfinite(a) & np.isfinite(b)
-        out: list[float | None] = [None] * len(pdf)
-        for k in range(len(pdf)):
-            m = slice(max(0, k - window + 1), k + 1)
-            if ok[k] and ok[m].sum() >= need:
-                u, v = a[m][ok[m]], b[m][ok[m]]
-                c, s = u.mean(), u.std() or 1.0  # centred for a well-posed fit
-                basis = np.vander((u - c) / s, degree + 1)
-                beta = np.linalg.lstsq(basis, v, rcond=None)[0]
-                out[k] = float(b[k] - np.vander([(a[k] - c) / s], degree + 1)[0] @ beta)
-        return pd.DataFrame({"code": pdf[code], "date": pdf[date], name: out})
+        there = np.lib.stride_tricks.sliding_window_view(ok, window)
+        at = np.flatnonzero(there[:, -1] & (there.sum(axis=1) >= need))
+        u, v = (np.lib.stride_tricks.sliding_window_view(np.where(ok, c, 0.0), window) for c in (a, b))
+        for part in np.array_split(at, max(1, len(at) * window // (1 << 20))):  # all windows of a part at once
+            m, n = there[part].astype(float), there[part].sum(axis=1)[:, None]
+            c = (u[part] * m).sum(axis=1, keepdims=True) / n
+            s = np.sqrt((m * (u[part] - c) ** 2).sum(axis=1, keepdims=True) / n)
+            basis = ((u[part] - c) / np.where(s > 0, s, 1.0))[:, :, None] ** np.arange(degree + 1) * m[:, :, None]  # centred for well-posed equations
+            mean = (v[part] * m).sum(axis=1, keepdims=True) / n
+            right = np.einsum("nwi,nw->ni", basis, (v[part] - mean) * m)
+            beta = np.einsum("nij,nj->ni", np.linalg.pinv(np.einsum("nwi,nwj->nij", basis, basis), rcond=1e-12, hermitian=True), right)
+            out[part] = v[part][:, -1] - mean[:, 0] - np.einsum("ni,ni->n", basis[:, -1], beta)
+        return pd.DataFrame({"code": pdf[code], "date": pdf[date], name: pd.Series(out, pdf.index).astype(object).where(~np.isnan(out), None)})
 
     kind = panel.schema[code].dataType.simpleString()
     return panel.select(code, date, x, y).groupBy(code).applyInPandas(run, f"code {kind}, date date, {name} double")

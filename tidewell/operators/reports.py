@@ -264,7 +264,7 @@ def comparable(daily: DataFrame, variant: str, variants: int, by: list[str], dat
 
 def covariance_audit(covariance: DataFrame, by: str = "window") -> DataFrame:
     """Per window: dates, names on either side, rows and negative variances of (date, factor_i, factor_j, covariance)."""
-    names = covariance.select(by, F.explode(F.array("factor_i", "factor_j")).alias("f")).groupBy(by).agg(F.countDistinct("f").alias("n_factors"))
+    names = covariance.select(by, F.explode(F.array("factor_i", "factor_j")).alias("f")).groupBy(by).agg(F.countDistinct("f").alias("n_names"))
     own = F.col("factor_i") == F.col("factor_j")
     rows = covariance.groupBy(by).agg(F.countDistinct("date").alias("dates"), F.count(F.lit(1)).alias("rows"), F.count(F.when(own & (F.col("covariance") < -EPS), 1)).alias("negative_variances"))
     return rows.join(names, by)

@@ -31,7 +31,7 @@ STRATEGIES = (
     ("sqrt_mv_x_low_specific_rank_252", "size_by_rank", 252),
 )
 EVALUATIONS = ("own", "sqrt_mv", "equal")
-RESULT = "date date, strategy string, evaluation string, status string, n_obs long, n_factors long, n_groups long, n_styles long, r2 double, adj_r2 double, condition double, resid_std double, effective_size double, effective_share double, max_share double, p99_p50 double, weight_cv double"
+RESULT = "date date, strategy string, evaluation string, status string, n_obs long, n_columns long, n_groups long, n_styles long, r2 double, adj_r2 double, condition double, resid_std double, effective_size double, effective_share double, max_share double, p99_p50 double, weight_cv double"
 
 
 def size_weight(size: str) -> Column:
@@ -148,7 +148,7 @@ def weighted_regressions(panel: DataFrame, y: str, styles: Sequence[str], group:
             g, b, yy, sy, sw = design(e)
             rest, all_ = max(0.0, yy - 2 * beta @ b + beta @ g @ beta), yy - sy**2 / sw
             r2 = 1 - rest / all_ if all_ > 1e-20 else None
-            out.append(plain | {"evaluation": e, "status": "ok", "n_factors": p, "n_groups": groups, "n_styles": len(used), "r2": r2, "adj_r2": None if r2 is None else 1 - (1 - r2) * (n - 1) / max(n - p, 1), "resid_std": np.sqrt(rest / sw)} | figures)
+            out.append(plain | {"evaluation": e, "status": "ok", "n_columns": p, "n_groups": groups, "n_styles": len(used), "r2": r2, "adj_r2": None if r2 is None else 1 - (1 - r2) * (n - 1) / max(n - p, 1), "resid_std": np.sqrt(rest / sw)} | figures)
         return out
 
     def run(table: pa.Table) -> pa.Table:
@@ -169,7 +169,7 @@ def weighted_regressions(panel: DataFrame, y: str, styles: Sequence[str], group:
 
 
 #: Means over fitted dates, by output name.
-MEANS = {"mean_obs": "n_obs", "mean_factors": "n_factors", "mean_groups": "n_groups", "mean_r2": "r2", "mean_adj_r2": "adj_r2", "mean_condition": "condition", "mean_resid_std": "resid_std", "mean_effective_size": "effective_size", "mean_effective_share": "effective_share", "mean_max_share": "max_share", "mean_p99_p50": "p99_p50"}
+MEANS = {"mean_obs": "n_obs", "mean_columns": "n_columns", "mean_groups": "n_groups", "mean_r2": "r2", "mean_adj_r2": "adj_r2", "mean_condition": "condition", "mean_resid_std": "resid_std", "mean_effective_size": "effective_size", "mean_effective_share": "effective_share", "mean_max_share": "max_share", "mean_p99_p50": "p99_p50"}
 
 
 def summarise(daily: DataFrame, by: Sequence[str] = ("strategy", "evaluation"), year: bool = False, comparable: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import covariance, dividends, exposures, joins, specific, weightings
+from tidewell.operators import covariance, dividends, evaluate, exposures, joins, specific, weightings
 from tidewell.plans import catalog
 from tidewell.plans.expr import plan
 from tidewell.sources.panel import BASE, base_panel, full_panel, full_sql
@@ -201,7 +201,7 @@ ev as (select date, strategy, e_name, sum(ew * e * e) as rest, sum(ew * y * y) -
 fine as (select *, n_groups + u1::int + u2::int as p from st),
 keys as (select date, strategy from (select distinct date from x), (select distinct unnest([{", ".join(f"'{s[0]}'" for s in weightings.STRATEGIES)}]) as strategy)),
 answer as (
-  select f.date, f.strategy, e_name as evaluation, 'ok' as status, n::bigint as n_obs, p::bigint as n_factors, n_groups::bigint as n_groups, (u1::int + u2::int)::bigint as n_styles, 1 - rest / total as r2, 1 - rest / total * (n - 1) / greatest(n - p, 1) as adj_r2, sqrt(rest / sw) as resid_std, ess as effective_size, ess / n as effective_share, top as max_share, ratio as p99_p50, cv as weight_cv
+  select f.date, f.strategy, e_name as evaluation, 'ok' as status, n::bigint as n_obs, p::bigint as n_columns, n_groups::bigint as n_groups, (u1::int + u2::int)::bigint as n_styles, 1 - rest / total as r2, 1 - rest / total * (n - 1) / greatest(n - p, 1) as adj_r2, sqrt(rest / sw) as resid_std, ess as effective_size, ess / n as effective_share, top as max_share, ratio as p99_p50, cv as weight_cv
   from fine f join ev using (date, strategy) join wd using (date, strategy) where n >= greatest(30, p + 5) and n_groups >= 2
   union all
   select k.date, k.strategy, 'own', case when not exists (select 1 from base b where b.date = k.date) then 'failed_empty' when f.n is null then 'failed_no_fit_weight' else 'failed_insufficient_sample' end, coalesce(n, 0), null, null, null, null, null, null, null, null, null, null, null
@@ -331,3 +331,14 @@ def _groups(spark: SparkSession, sf: str) -> DataFrame:
 def _classes(spark: SparkSession, sf: str) -> DataFrame:
     rated = _use(spark, sf, RATED)
     return joins.apply_classes(base_panel(spark, sf).select("code", "date"), rated)
+
+
+# ---------------------------------------------------------------- correlation of many signals
+
+_DAILY = plan(catalog.daily())
+_DAILY_NAMES = list(catalog.daily())
+
+
+@_register("evaluate_pooled_correlation", f"f as ({_DAILY.duckdb('select * from panel')}), l as (select code, date, factor, x * 8193 - (x * 8193 - x) as x from f unpivot (x for factor in ({', '.join(_DAILY_NAMES)}))), r as (select code, date, factor, (rank() over (partition by date, factor order by x) + (count(*) over (partition by date, factor, x) - 1) / 2.0) / count(*) over (partition by date, factor) as r from l), answer as (select a.factor as \"left\", b.factor as \"right\", case when count(*) >= 20 then corr(a.r, b.r) end as correlation from r a join r b on a.code = b.code and a.date = b.date and list_position({_DAILY_NAMES}, a.factor) < list_position({_DAILY_NAMES}, b.factor) group by 1, 2)", "correlation")
+def _pooled(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.rank_correlation(_DAILY.spark(base_panel(spark, sf)), _DAILY_NAMES, pooled=True)

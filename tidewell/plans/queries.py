@@ -167,20 +167,20 @@ def _percentile(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- evaluation
 
-_FACTORS = {"f_mom": "ts_pct(close, 4)", "f_vol": "-ts_std(ts_pct(close, 1), 8)", "f_turn": "cs_rank(turnover_rate)", "label": "ts_lead(close, 2) / ts_lead(close, 1) - 1"}
-_FPLAN = plan(_FACTORS)
+_SIGNAL_TEXT = {"f_mom": "ts_pct(close, 4)", "f_vol": "-ts_std(ts_pct(close, 1), 8)", "f_turn": "cs_rank(turnover_rate)", "label": "ts_lead(close, 2) / ts_lead(close, 1) - 1"}
+_FPLAN = plan(_SIGNAL_TEXT)
 _FSQL = _FPLAN.duckdb("select * from panel", ("code", "date", "industry", "amount"))
 _R = lambda x, by: f"(rank() over (partition by {by} order by {x}) + (count(*) over (partition by {by}, {x}) - 1) / 2.0) / count(*) over (partition by {by})"
 _IC = f"with f as ({_FSQL}), l as (select date, factor, x, label as y from f unpivot (x for factor in (f_mom, f_vol, f_turn)) where label is not null and x is not null), r as (select *, {_R('x', 'date, factor')} as rx, {_R('y', 'date, factor')} as ry from l) select date, factor, count(*) as n, corr(x, y) as ic, corr(rx, ry) as rank_ic from r group by 1, 2 having count(*) >= 3"
 
 
-def _factors(spark: SparkSession, sf: str) -> DataFrame:
+def _signal_panel(spark: SparkSession, sf: str) -> DataFrame:
     return _FPLAN.spark(base_panel(spark, sf), ("code", "date", "industry", "amount"))
 
 
 @_register("evaluate_daily_ic", _IC, ("ic", "rank_ic"))
 def _ic(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.daily_ic(_factors(spark, sf), ["f_mom", "f_vol", "f_turn"])
+    return evaluate.daily_ic(_signal_panel(spark, sf), ["f_mom", "f_vol", "f_turn"])
 
 
 @_register("evaluate_ic_summary", f"with i as ({_IC}) select factor, count(*) as days, avg(ic) as ic_mean, stddev_samp(ic) as ic_std, avg(ic) / (stddev_samp(ic) + 1e-9) as ic_ir, avg(case when round(ic, 12) > 0 then 1.0 else 0.0 end) as ic_positive, avg(rank_ic) as rank_ic_mean, stddev_samp(rank_ic) as rank_ic_std, avg(rank_ic) / (stddev_samp(rank_ic) + 1e-9) as rank_ic_ir, avg(case when round(rank_ic, 12) > 0 then 1.0 else 0.0 end) as rank_ic_positive from i group by factor", ("ic_mean", "ic_std", "ic_ir", "ic_positive", "rank_ic_mean", "rank_ic_std", "rank_ic_ir", "rank_ic_positive"))
@@ -195,7 +195,7 @@ def _monthly_ic(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register("evaluate_group_returns", f"with f as ({_FSQL}), p as (select date, label, least(cast(floor(row_number() over (partition by date order by f_mom, code) / count(*) over (partition by date) * 5) as int), 4) as g, count(*) over (partition by date) as n from f where f_mom is not null and label is not null) select date, {', '.join(f'avg(label) filter (g = {k}) as g{k}' for k in range(5))}, avg(label) filter (g = 4) - avg(label) filter (g = 0) as long_short from p where n >= 25 group by date", ("g0", "g1", "g2", "g3", "g4", "long_short"))
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.group_returns(_factors(spark, sf), "f_mom")
+    return evaluate.group_returns(_signal_panel(spark, sf), "f_mom")
 
 
 _W = "select code, date, amount / sum(amount) over (partition by date) as w from panel where amount > 1"
@@ -209,7 +209,7 @@ def _turnover(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register("evaluate_factor_correlation", f"with f as ({_FSQL}), r as (select date, {', '.join(f'case when {c} is not null then (rank() over (partition by date order by {c} nulls last) + (count(*) over (partition by date, {c}) - 1) / 2.0) / count({c}) over (partition by date) end as {c}' for c in ('f_mom', 'f_vol', 'f_turn'))} from f), d as (select date, {', '.join(f'case when count(*) filter ({a} is not null and {b} is not null) >= 20 then corr({a}, {b}) end as {a}_{b}' for a, b in (('f_mom', 'f_vol'), ('f_mom', 'f_turn'), ('f_vol', 'f_turn')))} from r group by date) select 'f_mom' as left, 'f_vol' as right, avg(abs(f_mom_f_vol)) as mean_abs from d union all select 'f_mom', 'f_turn', avg(abs(f_mom_f_turn)) from d union all select 'f_vol', 'f_turn', avg(abs(f_vol_f_turn)) from d".replace("as left,", 'as "left",').replace("as right,", 'as "right",'), ("mean_abs",))
 def _correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.factor_correlation(_factors(spark, sf), ["f_mom", "f_vol", "f_turn"])
+    return evaluate.rank_correlation(_signal_panel(spark, sf), ["f_mom", "f_vol", "f_turn"])
 
 
 @_register("evaluate_validation", f"with i as ({_IC}), s as (select factor, avg(rank_ic) filter (date >= date '1995-01-01' and date < date '1999-01-01') as train, avg(rank_ic) filter (date >= date '1999-01-01' and date < date '2002-01-01') as test from i group by factor) select *, cast(sign(train) as double) as direction, least(train * sign(train), test * sign(train)) as min_adjusted, least(train * sign(train), test * sign(train)) > 0 as passed from s", ("train", "test", "direction", "min_adjusted"))
@@ -222,7 +222,7 @@ def _validation(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register("risk_style_blend", f"with f as ({_FSQL}), x as (select code, date, (case when f_mom is not null then 0.6 else 0 end) + (case when f_vol is not null then 0.4 else 0 end) as have, coalesce(f_mom, 0) * 0.6 + coalesce(f_vol, 0) * 0.4 as t from f) select code, date, case when have >= 0.6 - 1e-12 then t / have end as style from x", ("style",))
 def _blend(spark: SparkSession, sf: str) -> DataFrame:
-    return _factors(spark, sf).select("code", "date", risk.blend({"f_mom": 0.6, "f_vol": 0.4}).alias("style"))
+    return _signal_panel(spark, sf).select("code", "date", risk.blend({"f_mom": 0.6, "f_vol": 0.4}).alias("style"))
 
 
 @_register("risk_calibration", "select industry, count(*) as n, sqrt(sum(disc) / greatest(sum(tax), 1e-12)) as bias, avg(abs(ln(greatest(disc, 1e-12) / greatest(tax, 1e-12)))) as abs_log_error, avg(greatest(disc, 1e-12) / greatest(tax, 1e-12) - ln(greatest(disc, 1e-12) / greatest(tax, 1e-12)) - 1) as qlike from panel where disc > 0 and tax > 0 group by industry", ("bias", "abs_log_error", "qlike"))
@@ -237,7 +237,7 @@ def _periods(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register("portfolio_style_exposure", f"with f as ({_FSQL}), w as (select *, amount / sum(amount) over (partition by date) as b, 1.0 / count(*) over (partition by date) as w from f) select date, sum((w - b) * coalesce(f_mom, 0)) as f_mom, sum((w - b) * coalesce(f_vol, 0)) as f_vol from w group by date", ("f_mom", "f_vol"))
 def _style_exposure(spark: SparkSession, sf: str) -> DataFrame:
-    f = _factors(spark, sf).withColumn("w", F.expr("1e0 / count(1) over (partition by date)"))
+    f = _signal_panel(spark, sf).withColumn("w", F.expr("1e0 / count(1) over (partition by date)"))
     return portfolio.active_exposure(f, "w", "amount", ["f_mom", "f_vol"])
 
 
@@ -296,26 +296,26 @@ def _drift(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register("risk_factor_regression")
 def _regression(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.factor_regression(_factors(spark, sf), "label", ["f_mom", "f_vol"], "industry", "amount", least=40)
+    return risk.factor_regression(_signal_panel(spark, sf), "label", ["f_mom", "f_vol"], "industry", "amount", least=40)
 
 
 @_register("risk_constrained_regression")
 def _constrained(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.factor_regression(_factors(spark, sf), "label", ["f_mom", "f_vol"], "industry", "amount", least=40, constrained=True)
+    return risk.factor_regression(_signal_panel(spark, sf), "label", ["f_mom", "f_vol"], "industry", "amount", least=40, constrained=True)
 
 
 @_register("portfolio_backtest")
 def _backtest(spark: SparkSession, sf: str) -> DataFrame:
-    f = _factors(spark, sf)
+    f = _signal_panel(spark, sf)
     w = portfolio.score_tilt(f.join(portfolio.rebalance_dates(f.select("date").distinct()), "date", "left_semi"), "f_mom", "amount")
     return portfolio.backtest(w, f.select("code", "date", (F.col("label") / 50).alias("ret")))
 
 
 @_register("portfolio_linear_program")
 def _linear(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.optimise_linear(_factors(spark, sf), "f_mom", "amount", "industry")
+    return portfolio.optimise_linear(_signal_panel(spark, sf), "f_mom", "amount", "industry")
 
 
 @_register("portfolio_optimise")
 def _optimise(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.optimise(_factors(spark, sf), "f_mom", "amount", "industry", ["f_vol"])
+    return portfolio.optimise(_signal_panel(spark, sf), "f_mom", "amount", "industry", ["f_vol"])

@@ -189,7 +189,7 @@ def _fits(spark: SparkSession, sf: str) -> DataFrame:
 _COV = "select 60 + 60 * (x.industry % 2) as \"window\", x.date, x.industry as factor_i, y.industry as factor_j, avg((x.close - 1.5) * (y.close - 1.5)) - 0.2 as covariance from panel x join panel y on x.date = y.date and x.industry = y.industry where x.code <= y.code group by 1, 2, 3, 4"
 
 
-@_register("report_covariance_audit", f"v as ({_COV}), answer as (select \"window\", count(distinct date) as dates, count(*) as rows, count(*) filter (factor_i = factor_j and covariance < -1e-12) as negative_variances, (select count(*) from (select factor_i from v w where w.\"window\" = v.\"window\" union select factor_j from v w where w.\"window\" = v.\"window\")) as n_factors from v group by 1)")
+@_register("report_covariance_audit", f"v as ({_COV}), answer as (select \"window\", count(distinct date) as dates, count(*) as rows, count(*) filter (factor_i = factor_j and covariance < -1e-12) as negative_variances, (select count(*) from (select factor_i from v w where w.\"window\" = v.\"window\" union select factor_j from v w where w.\"window\" = v.\"window\")) as n_names from v group by 1)")
 def _covariance(spark: SparkSession, sf: str) -> DataFrame:
     return reports.covariance_audit(_use(spark, sf, _COV.replace('"window"', "`window`")))
 
