@@ -643,3 +643,11 @@ def test_packing_counts_by_brute_force():
         assert want <= got <= want + 1
         optimal += got == want
     assert optimal >= 54
+
+
+def test_vectors_of_any_size_are_compared(spark):
+    """Squares that under- or overflow don't hide a cosine of one."""
+    rows = [(1, [1e-200, 0.0], 1), (2, [1e-200, 0.0], 1), (3, [1e200, 1e200], 2), (4, [1e200, 1e200], 2), (5, [5e-324, 0.0], 1), (6, [3.0, 0.1], 1), (7, [1e308, -1e308], 2), (8, [0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "'x' as uid", "1 as key", "2 as copies")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 5: (3, 1, False), 6: (3, 1, False), 3: (1, 3, True), 4: (1, 3, False), 7: (0, 7, True), 8: (0, 8, True)}

@@ -65,6 +65,7 @@ def _pairs(least: float, projections: int, width: float, recall: float):
         t = table.combine_chunks()
         uid, copies, own, lo, hi = (t.column(k).to_numpy() for k in ("uid", "copies", "own", "lo", "hi"))
         raw = np.array(t.column("embedding").combine_chunks().flatten(), float).reshape(len(uid), -1)
+        raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])  # by a power of two, so that squares neither under- nor overflow and no digit changes
         norm = np.sqrt((raw * raw).sum(axis=1))
         unit = raw / norm[:, None]
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
@@ -95,7 +96,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[bytes | None] = []
         for v in b.column(2):
             x = None if not v.is_valid or v.values.null_count else np.asarray(v.values, float) + 0.0
-            ok = x is not None and len(x) and np.isfinite(x).all() and x.any() and 0 < float((x * x).sum()) < math.inf
+            ok = x is not None and len(x) and np.isfinite(x).all() and x.any()
             keys.append(xxhash.xxh3_128_digest(x.tobytes()) if ok else None)
         yield pa.record_batch([*b.columns, pa.array(keys, pa.binary())], ["id", "label", "embedding", "key"])
 
@@ -108,7 +109,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     or has null or non-finite components, or has a null label, links with nothing, as do
     vectors of different lengths.  Equal vectors are links of each other.  Repeated ids are
     rows of their own; a row with a null id has the component of what it links with, null if
-    that has no id, and is not kept.
+    that has no id, and is not kept.  Vectors of any size are compared, as each is scaled first.
+    Other columns aren't read, so their names don't matter.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
     rows = materialise(rows.mapInArrow(_keyed, "id long, label string, embedding array<double>, key binary"))
