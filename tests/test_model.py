@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import covariance, dividends, evaluate, exposures, extremes, joins, moments, risk, specific, weightings
+from tidewell.operators import attribution, covariance, dividends, evaluate, exposures, extremes, joins, moments, risk, specific, weightings
 from tidewell.plans import model
 
 DAY = dt.date(2020, 1, 1)
@@ -531,3 +531,63 @@ def test_polynomial_residuals_against_least_squares(spark):
         u, v = x[m][ok], y[m][ok]
         b = np.vander((u - u.mean()) / (u.std() or 1.0), 3)
         assert got[i] == pytest.approx(float((v - b @ np.linalg.lstsq(b, v, rcond=None)[0])[-1]), rel=1e-7, abs=1e-9), i
+
+
+# ---------------------------------------------------------------- attribution
+
+
+def test_attribution_adds_up(spark):
+    g = np.random.default_rng(41)
+    names = ["style_a", "style_b", "industry_x", "industry_y", "industry_unknown"]
+    panel, weights, cov, spec = [], [], {}, []
+    for t in range(0, 30, 10):
+        m = g.normal(0, 0.01, (20, 5))
+        c = m.T @ m / 20
+        cov[_d(t)] = c
+        for k in range(30):
+            panel.append((k, _d(t), None if g.random() < 0.2 else float(g.lognormal()), float(g.normal()), None if g.random() < 0.2 else float(g.normal()), [None, "x", "y"][int(g.integers(0, 3))]))
+        weights += [(s, _d(t), k, float(g.normal(0.5, 1))) for s in ("p", "q") for k in range(0 if s == "p" else 10, 35)]
+        spec += [(_d(t - 3), k, float(g.random() / 1000)) for k in range(0, 30, 2)]
+    weights.append(("p", _d(77), 1, 1.0))  # no panel at that date
+    upper = [(d, names[i], names[j], float(c[i, j])) for d, c in cov.items() for i in range(4) for j in range(i, 4)]  # nothing known of the fifth
+    frames = (spark.createDataFrame(weights, "scenario string, date date, code int, weight double"), spark.createDataFrame(panel, "code int, date date, bench double, style_a double, style_b double, grp string"), spark.createDataFrame(upper, "date date, factor_i string, factor_j string, covariance double"), spark.createDataFrame(spec, "date date, code int, variance double"))
+    x, parts, risk = attribution.attribution(*frames, ["style_a", "style_b"], "grp", "bench")
+    x, parts, risk = x.toPandas(), parts.toPandas(), risk.toPandas()
+    assert len(risk) == 6
+    p, w, s = (pd.DataFrame(r, columns=c) for r, c in ((panel, ["code", "date", "bench", "style_a", "style_b", "grp"]), (weights, ["scenario", "date", "code", "weight"]), (spec, ["date", "code", "variance"])))
+    for r in risk.itertuples():
+        own = p[p.date == r.date].merge(w[(w.date == r.date) & (w.scenario == r.scenario)][["code", "weight"]], on="code", how="outer")
+        port, bench = (own[c].clip(lower=0).fillna(0) / own[c].clip(lower=0).sum() for c in ("weight", "bench"))
+        act, inside = port - bench, own.bench.notna()
+        want = {c: (act * own[c].fillna(0))[inside].sum() for c in ("style_a", "style_b")} | {f"industry_{k}": v for k, v in act[inside].groupby(own.grp.fillna("unknown")).sum().items()}
+        mine = x[(x.date == r.date) & (x.scenario == r.scenario)].set_index("factor").exposure
+        assert all(mine[k] == pytest.approx(v) for k, v in want.items()) and mine["outside_model_universe"] == pytest.approx(port[~inside].sum())
+        c = np.zeros((5, 5))
+        c[:4, :4] = cov[r.date][:4, :4]
+        v = np.array([want.get(n, 0.0) for n in names])
+        known = own.code.map(s[s.date == r.date - dt.timedelta(days=3)].set_index("code").variance)
+        specific = (act**2 * known.fillna(known.median())).sum()
+        assert r.factor_variance == pytest.approx(v @ c @ v) and r.specific_variance == pytest.approx(specific)
+        assert r.style_variance == pytest.approx(v[:2] @ c[:2, :2] @ v[:2]) and r.industry_variance == pytest.approx(v[2:] @ c[2:, 2:] @ v[2:])
+        assert r.active_share == pytest.approx(act.abs().sum() / 2) and r.n_names == (port > 1e-10).sum() and r.outside_weight == pytest.approx(port[~inside].sum())
+        assert parts[(parts.date == r.date) & (parts.scenario == r.scenario)].part.sum() == pytest.approx(r.factor_variance + r.specific_variance)
+    total = attribution.summarise(spark.createDataFrame(risk)).toPandas().set_index("scenario")
+    one = risk[risk.scenario == "p"]
+    assert total.dates["p"] == 3 and total.specific_share["p"] == pytest.approx(one.specific_variance.sum() / one.total_variance.sum()) and total.predicted_last["p"] == pytest.approx(one.sort_values("date").predicted_error.iloc[-1])
+
+
+def test_calibration_takes_what_was_available(spark):
+    g = np.random.default_rng(43)
+    n = 60
+    b = pd.DataFrame({"block": "s", "date": [_d(i) for i in range(n)], "asof": [_d(i - 3) for i in range(n)], "available": [_d(i + 1) for i in range(n)], "predicted": g.lognormal(0, 1, n), "realised": g.lognormal(0, 2, n), "n_items": 1})
+    b["ratio"] = b.realised / b.predicted
+    got = attribution.calibrated(spark.createDataFrame(b), (20,)).toPandas()
+    assert (got[got.window == 0].multiplier == 1).all() and (got.window == 0).sum() == n
+    real = b.predicted * b.ratio.clip(0.05, 20)
+    m = (real.rolling(20, min_periods=5).sum() / b.predicted.rolling(20, min_periods=5).sum()).clip(0.25, 4)
+    for r in got[got.window == 20].itertuples():
+        seen = m[pd.Series(b.available) <= r.asof].dropna()
+        assert r.multiplier == pytest.approx(seen.iloc[-1]) and r.corrected == pytest.approx(r.predicted * seen.iloc[-1])
+    assert (got.window == 20).sum() == n - 8  # five values, the last of them known a day later and three before
+    best = attribution.best_windows(spark.createDataFrame([("a", 0, 0.1), ("a", 20, 0.4), ("a", 40, 0.3), ("b", 20, 0.2), ("b", 40, 0.2)], "block string, window int, corrected_error double")).collect()
+    assert {(r.block, r.window) for r in best} == {("a", 40), ("b", 20)}

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import covariance, dividends, evaluate, exposures, joins, specific, weightings
+from tidewell.operators import attribution, covariance, dividends, evaluate, exposures, joins, specific, weightings
 from tidewell.plans import catalog
 from tidewell.plans.expr import plan
 from tidewell.sources.panel import BASE, base_panel, full_panel, full_sql
@@ -342,3 +342,80 @@ _DAILY_NAMES = list(catalog.daily())
 @_register("evaluate_pooled_correlation", f"f as ({_DAILY.duckdb('select * from panel')}), l as (select code, date, factor, x * 8193 - (x * 8193 - x) as x from f unpivot (x for factor in ({', '.join(_DAILY_NAMES)}))), r as (select code, date, factor, (rank() over (partition by date, factor order by x) + (count(*) over (partition by date, factor, x) - 1) / 2.0) / count(*) over (partition by date, factor) as r from l), answer as (select a.factor as \"left\", b.factor as \"right\", case when count(*) >= 20 then corr(a.r, b.r) end as correlation from r a join r b on a.code = b.code and a.date = b.date and list_position({_DAILY_NAMES}, a.factor) < list_position({_DAILY_NAMES}, b.factor) group by 1, 2)", "correlation")
 def _pooled(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.rank_correlation(_DAILY.spark(base_panel(spark, sf)), _DAILY_NAMES, pooled=True)
+
+
+# ---------------------------------------------------------------- attribution and blocks of forecasts
+
+#: Two portfolios, a benchmark that misses codes, quarterly covariances and weekly specific variances.
+HOLDINGS = "select 'size' as scenario, date, code, amount as weight from panel where day(date) <= 7 and code % 3 = 0 union all select 'flat', date, code, case when code % 13 = 0 then -1e0 else 1e0 end from panel where day(date) <= 7 and code % 5 <> 0 union all select 'flat', date, -1, 2e0 from panel where day(date) <= 3 group by date"
+BENCH = "select code, date, case when code % 8 <> 0 then amount end as bench, close / open - 1 as style_a, case when disc > 0.01 then tax end as style_b, case when code % 11 <> 0 then industry % 5 end as grp from panel where day(date) <= 7"
+QUARTERS = "select a.q as date, a.factor as factor_i, b.factor as factor_j, covar_pop(a.ret, b.ret) as covariance from (select *, cast(date_trunc('quarter', date) as date) as q from r) a join (select *, cast(date_trunc('quarter', date) as date) as q from r) b on a.date = b.date where a.factor <= b.factor and a.factor <> 'style_b' group by 1, 2, 3"
+SPECIFIC = "select date, code, case when code % 6 <> 0 then tax * tax end as variance from panel where day(date) between 8 and 14"
+ACTIVE = "select 'size' as scenario, date, avg(close / open) - avg(tax) as active from panel group by date union all select 'flat', date, avg(disc) - avg(tax) from panel where month(date) <> 7 group by date"
+_STYLED = ["style_a", "style_b"]
+_ATTRIBUTION = f"""
+f as ({_F}), r as ({FACTOR_RETURNS.replace("string", "varchar")}), h as ({HOLDINGS}), bp as ({BENCH}), cv as ({QUARTERS}), sv as ({SPECIFIC}), ar as ({ACTIVE}),
+g as (select distinct scenario, date from h where date in (select date from bp)),
+u as (select coalesce(a.scenario, h.scenario) as scenario, coalesce(a.date, h.date) as date, coalesce(a.code, h.code) as code, bench, weight, style_a, style_b, grp from (select g.scenario, bp.* from g join bp using (date)) a full join (select h.* from h join g using (scenario, date)) h on a.scenario = h.scenario and a.date = h.date and a.code = h.code),
+t as (select scenario, date, sum(greatest(coalesce(weight, 0), 0)) as tw, sum(greatest(coalesce(bench, 0), 0)) as tb from u group by 1, 2),
+a as (select u.*, case when tw > 0 then greatest(coalesce(weight, 0), 0) / tw else 0 end as port, case when tb > 0 then greatest(coalesce(bench, 0), 0) / tb else 0 end as ben, bench is not null as inside from u join t using (scenario, date)),
+x as (select scenario, date, 'style_a' as factor, 'style' as kind, sum((port - ben) * coalesce(style_a, 0)) as x from a where inside group by 1, 2 union all select scenario, date, 'style_b', 'style', sum((port - ben) * coalesce(style_b, 0)) from a where inside group by 1, 2
+  union all select scenario, date, 'industry_' || coalesce(grp::varchar, 'unknown'), 'industry', sum(port - ben) from a where inside group by 1, 2, 3),
+ct as (select d.date, q.date as q from (select distinct date from x) d asof join (select distinct date from cv) q on d.date >= q.date),
+c2 as (select date as q, factor_i as i, factor_j as j, covariance as c from cv union all select date, factor_j, factor_i, covariance from cv where factor_i <> factor_j),
+p as (select x.scenario, x.date, x.factor, x.kind, coalesce(sum(x.x * y.x * c), 0) as part, coalesce(sum(case when x.kind = y.kind then x.x * y.x * c end), 0) as within_kind from x left join ct using (date) left join c2 on c2.q = ct.q and c2.i = x.factor left join x y on y.scenario = x.scenario and y.date = x.date and y.factor = c2.j group by 1, 2, 3, 4),
+st as (select d.date, q.date as q from (select distinct date from a) d asof left join (select distinct date from sv) q on d.date >= q.date),
+s1 as (select a.scenario, a.date, port - ben as w, sv.variance as v from a join st using (date) left join sv on sv.date = st.q and sv.code = a.code),
+s2 as (select scenario, date, median(v) as m from s1 group by 1, 2), sp as (select scenario, date, sum(w * w * coalesce(v, m, 0)) as s from s1 join s2 using (scenario, date) group by 1, 2)
+"""
+_RISK_SQL = f"""{_ATTRIBUTION},
+te as (select scenario, date, case when count(*) over w >= 30 then stddev_samp(active) over w * sqrt(252) end as realised from ar window w as (partition by scenario order by date rows between 59 preceding and current row)),
+hd as (select scenario, date, sum(abs(port - ben)) / 2 as active_share, count(*) filter (port > 1e-10) as n_names, coalesce(sum(port) filter (inside), 0) as model_weight, coalesce(sum(port) filter (not inside), 0) as outside_weight, coalesce(sum(ben) filter (inside), 0) as benchmark_weight from a group by 1, 2),
+rk as (select scenario, date, sum(part) as factor_variance, coalesce(sum(within_kind) filter (kind = 'style'), 0) as style_variance, coalesce(sum(within_kind) filter (kind = 'industry'), 0) as industry_variance from p group by 1, 2),
+z as (select hd.*, coalesce(factor_variance, 0) as factor_variance, coalesce(style_variance, 0) as style_variance, coalesce(industry_variance, 0) as industry_variance, s as specific_variance, greatest(coalesce(factor_variance, 0) + s, 0) as total_variance from hd left join rk using (scenario, date) join sp using (scenario, date)),
+answer as (select z.*, sqrt(total_variance * 252) as predicted_error, te.realised from z asof left join te on z.scenario = te.scenario and z.date >= te.date)
+"""
+
+
+def _attribution(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    _use(spark, sf, _F).createOrReplaceTempView("f")
+    spark.sql(FACTOR_RETURNS).createOrReplaceTempView("r")
+    return attribution.attribution(spark.sql(HOLDINGS), spark.sql(BENCH), spark.sql(QUARTERS), spark.sql(SPECIFIC), _STYLED, "grp", "bench", spark.sql(ACTIVE))
+
+
+@_register("portfolio_risk", _RISK_SQL, "active_share model_weight outside_weight benchmark_weight factor_variance style_variance industry_variance specific_variance total_variance predicted_error realised")
+def _portfolio_risk(spark: SparkSession, sf: str) -> DataFrame:
+    return _attribution(spark, sf)[2]
+
+
+@_register("portfolio_risk_parts", f"{_ATTRIBUTION}, al as (select scenario, date, factor, kind, part from p union all select scenario, date, 'specific', 'specific', s from sp), answer as (select *, sum(part) over (partition by scenario, date) as total from al)", "part total")
+def _portfolio_parts(spark: SparkSession, sf: str) -> DataFrame:
+    _, parts, risk = _attribution(spark, sf)
+    return parts.join(risk.select("scenario", "date", (F.col("factor_variance") + F.col("specific_variance")).alias("total")), ["scenario", "date"])
+
+
+_BLOCKS = f"""
+f as ({_F}), r as ({FACTOR_RETURNS.replace("string", "varchar")}), cv as ({QUARTERS}), days as (select date, lag(date, 3) over (order by date) as back from (select distinct date from r)),
+dg as (select date as q, factor_i as factor, covariance as v from cv where factor_i = factor_j), k as (select d.date, d.back, q.q from (select * from days where back is not null) d asof join (select distinct q from dg) q on d.back >= q.q),
+fr as (select r.date, k.back, r.factor, r.ret * r.ret as realised, v as predicted from r join k using (date) join dg on dg.q = k.q and dg.factor = r.factor where r.ret is not null and v > 1e-12),
+fb as (select date, back, unnest([case when factor = 'country' then 'factor_country' when factor like 'style%' then 'factor_style' else 'factor_industry' end, 'factor_all']) as block, predicted, realised, factor from fr),
+sr as (select s.date, d.back, 'specific' as block, t.tax * t.tax as predicted, s.r * s.r as realised, s.code from f s join (select date, lag(date, 3) over (order by date) as back from (select distinct date from f)) d using (date) join panel t on t.code = s.code and t.date = d.back where t.tax * t.tax > 1e-12),
+bl as (select date, back, block, sum(predicted) as predicted, sum(realised) as realised, count(distinct factor) as n_items from fb group by 1, 2, 3 union all select date, back, block, sum(predicted), sum(realised), count(distinct code) from sr group by 1, 2, 3),
+b as (select *, realised / greatest(predicted, 1e-12) as ratio from bl),
+hist as (select b.block, b.date, w, count(*) over q as n, sum(predicted * greatest(0.05, least(20, ratio))) over q as sr, sum(predicted) over q as sp, row_number() over (partition by b.block, w order by b.date) as i from b, (select unnest([20, 60]) as w) g window q as (partition by b.block, w order by b.date rows between 19 preceding and current row)),
+h60 as (select block, date, 60 as w, count(*) over q as n, sum(predicted * greatest(0.05, least(20, ratio))) over q as sr, sum(predicted) over q as sp from b window q as (partition by block order by date rows between 59 preceding and current row)),
+m as (select block, date as seen, w, greatest(0.25, least(4, sr / greatest(sp, 1e-12))) as multiplier from (select block, date, w, n, sr, sp from hist where w = 20 and n >= 5 union all select * from h60 where n >= 15)),
+c as (select b.*, 0 as "window", 1 as multiplier from b union all select b.*, 20, m.multiplier from b asof join (select * from m where w = 20) m on b.block = m.block and b.back >= m.seen union all select b.*, 60, m.multiplier from b asof join (select * from m where w = 60) m on b.block = m.block and b.back >= m.seen),
+answer as (select block, "window"::int as "window", count(*) as n, avg(multiplier) as multiplier, avg(abs(ln(greatest(predicted, 1e-12) / greatest(realised, 1e-12)))) as raw_error, avg(abs(ln(greatest(predicted * multiplier, 1e-12) / greatest(realised, 1e-12)))) as corrected_error, sum(n_items)::bigint as n_items from c group by 1, 2)
+"""
+
+
+@_register("risk_block_calibration", _BLOCKS, "multiplier raw_error corrected_error")
+def _block_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    f = _use(spark, sf, _F)
+    f.createOrReplaceTempView("f")
+    r = spark.sql(FACTOR_RETURNS)
+    r.createOrReplaceTempView("r")
+    blocks = attribution.factor_blocks(r, spark.sql(QUARTERS)).unionByName(attribution.specific_blocks(f.select("code", "date", F.col("r").alias("ret")), spark.sql("select code, date, tax as risk from panel")))
+    out = attribution.calibrated(blocks.withColumn("available", F.col("date")), (20, 60))
+    return out.groupBy("block", "window").agg(F.count(F.lit(1)).alias("n"), F.avg("multiplier").alias("multiplier"), F.avg("raw_error").alias("raw_error"), F.avg("corrected_error").alias("corrected_error"), F.sum("n_items").alias("n_items"))
