@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import attribution, covariance, dividends, evaluate, exposures, extremes, joins, moments, risk, specific, weightings
+from tidewell.functions.ranks import share_ranks
 from tidewell.plans import model
+from tidewell.plans.expr import plan
 
 DAY = dt.date(2020, 1, 1)
 
@@ -591,3 +593,20 @@ def test_calibration_takes_what_was_available(spark):
     assert (got.window == 20).sum() == n - 8  # five values, the last of them known a day later and three before
     best = attribution.best_windows(spark.createDataFrame([("a", 0, 0.1), ("a", 20, 0.4), ("a", 40, 0.3), ("b", 20, 0.2), ("b", 40, 0.2)], "block string, window int, corrected_error double")).collect()
     assert {(r.block, r.window) for r in best} == {("a", 40), ("b", 20)}
+
+
+def test_ranks_of_many_columns_are_those_of_windows(spark):
+    g = np.random.default_rng(77)
+    x = g.integers(0, 9, (50, 6)).astype(float)
+    x[g.random(x.shape) < 0.3] = np.nan
+    x[:, 5] = np.nan
+    want = pd.DataFrame(x).rank(pct=True).to_numpy()
+    assert np.allclose(share_ranks(x), want, equal_nan=True) and share_ranks(np.empty((0, 2))).shape == (0, 2)
+    pdf = pd.DataFrame(x[:, :4], columns=["close", "open", "high", "low"]).assign(code=range(50), date=[_d(i % 2) for i in range(50)])
+    df = _frame(spark, pdf, "close double, open double, high double, low double, code long, date date")
+    few, many = {"a": "cs_rank(close)", "b": "cs_rank(open)"}, {"c": "cs_rank(high)", "d": "cs_rank(low)", "e": "cs_rank(close + open)"}
+    one = plan(few | many).spark(df).toPandas().sort_values("code")
+    two = plan(few).spark(df).toPandas().sort_values("code")
+    assert "FlatMapGroupsInArrow" in plan(few | many).spark(df)._jdf.queryExecution().toString()
+    assert np.allclose(one[["a", "b"]].astype(float), two[["a", "b"]].astype(float), equal_nan=True)
+    assert np.allclose(one["e"].astype(float), (pdf.close + pdf.open).groupby(pdf.date).rank(pct=True), equal_nan=True)

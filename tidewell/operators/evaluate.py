@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.ranks import share_ranks
+
 
 def pct_rank(x: Column, *by: str) -> Column:
     """Average rank by count of values, null where x is null."""
@@ -71,21 +73,6 @@ def turnover(weights: DataFrame, code: str = "code", date: str = "date", weight:
 PAIRS = "i int, j int, total double, n long, sums array<double>"
 
 
-def _ranks(x: np.ndarray) -> np.ndarray:
-    """Average ranks over each column's values, from 0 to 1, less one half; zero where there is none.
-
-    Values that agree in 40 of their 53 bits tie, as in panel expressions: equal sums, whatever order they were added in.
-    """
-    out = np.zeros(x.shape)
-    x = x * 8193.0 - (x * 8193.0 - x)
-    for k in range(x.shape[1]):
-        at = np.flatnonzero(~np.isnan(x[:, k]))
-        if len(at):
-            _, place, count = np.unique(x[at, k], return_inverse=True, return_counts=True)
-            out[at, k] = (np.cumsum(count) - (count - 1) / 2)[place] / len(at) - 0.5
-    return out
-
-
 def _gram(r: np.ndarray, m: np.ndarray, left: slice, right: slice) -> np.ndarray:
     """Over rows where both columns have values, for each pair: their number, both sums, both sums of squares, the sum of products."""
     a, b, ma, mb = r[:, left], r[:, right], m[:, left], m[:, right]
@@ -107,7 +94,7 @@ def rank_correlation(panel: DataFrame, signals: list[str], date: str = "date", c
     absolute correlation over rows that have both, where those are ``least`` or more.
     ``pooled``: one Pearson correlation of the ranks of all dates.
 
-    A row's signals are one array.  A task takes whole dates, ranks a date once and adds up Gram
+    Values that agree in 40 bits tie.  A row's signals are one array.  A task takes whole dates, ranks a date once and adds up Gram
     matrices of blocks of signals, so what it sends on has one row a pair, whatever the rows;
     beyond ``block`` signals, pairs of blocks are dealt to tasks of their own.
     """
@@ -124,7 +111,7 @@ def rank_correlation(panel: DataFrame, signals: list[str], date: str = "date", c
                 return
             p, q = todo[part]
             x = np.array(rows, float)
-            g = _gram(_ranks(x), (~np.isnan(x)).astype(float), slice(0, cuts[p].stop - cuts[p].start), slice(0 if p == q else cuts[p].stop - cuts[p].start, x.shape[1]))
+            g = _gram(np.nan_to_num(share_ranks(x) - 0.5), (~np.isnan(x)).astype(float), slice(0, cuts[p].stop - cuts[p].start), slice(0 if p == q else cuts[p].stop - cuts[p].start, x.shape[1]))
             if pooled:
                 held[part] = [held[part][0] + g] if part in held else [g]
             else:

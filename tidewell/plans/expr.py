@@ -15,9 +15,13 @@ import ast
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.ranks import share_ranks
+
 Node = tuple  # (kind, ...): ("col", name), ("num", value), ("call", name, args)
 
 BINARY = {ast.Add: "add", ast.Sub: "sub", ast.Mult: "mul", ast.Div: "div", ast.Gt: "gt", ast.Lt: "lt", ast.GtE: "ge", ast.LtE: "le"}
@@ -346,6 +350,22 @@ def _rounded(decimals: int | None) -> Callable[[str], str]:
     return (lambda s: s) if decimals is None else (lambda s: f"round({s} + 1.2345e-8, {decimals})")
 
 
+#: From so many ranks in a stage on, one kernel by date ranks all of them, as each window would sort all rows for itself.
+MANY_RANKS = 4
+
+
+def _ranked(panel: DataFrame, names: list[str]) -> DataFrame:
+    """panel with each of the columns replaced by its rank in its date."""
+
+    def run(table: pa.Table) -> pa.Table:
+        r = share_ranks(np.column_stack([table.column(c).to_numpy() for c in names]))
+        for k, c in enumerate(names):
+            table = table.set_column(table.schema.get_field_index(c), c, pa.array(r[:, k], pa.float64(), mask=np.isnan(r[:, k])))
+        return table
+
+    return panel.groupBy(DATE).applyInArrow(run, panel.schema)
+
+
 @dataclass
 class Plan:
     """Stages of (column, window call) and the final scalar expressions."""
@@ -356,7 +376,10 @@ class Plan:
 
     def spark(self, panel: DataFrame, keep: tuple[str, ...] = (CODE, DATE), decimals: int | None = None) -> DataFrame:
         for stage in self.stages:
-            panel = panel.select("*", *[F.expr(render(n, "spark")).alias(k) for k, n in stage.items()])
+            ranks = [k for k, n in stage.items() if n[1] == "cs_rank"]
+            ranks = ranks if len(ranks) >= MANY_RANKS else []
+            panel = panel.select("*", *[F.expr(f"cast({render(n[2][0], 'spark')} as double)" if k in ranks else render(n, "spark")).alias(k) for k, n in stage.items()])
+            panel = _ranked(panel, ranks) if ranks else panel
         cut = _rounded(decimals)
         return panel.select(*keep, *[F.expr(f"cast({cut(render(n, 'spark'))} as double)").alias(k) for k, n in self.final.items()])
 
