@@ -351,7 +351,8 @@ def _rounded(decimals: int | None) -> Callable[[str], str]:
 
 
 #: From so many ranks in a stage on, one kernel by date ranks all of them, as each window would sort all rows for itself.
-MANY_RANKS = 4
+#: Below, sorts cost less than moving wide rows (sf0.1: 49 ranks 84 to 60 s, a few in each of several stages 50 to 66 s).
+MANY_RANKS = 16
 
 
 def _ranked(panel: DataFrame, names: list[str]) -> DataFrame:
