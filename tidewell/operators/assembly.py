@@ -159,7 +159,7 @@ def decision_summary(basis: DataFrame, signals: DataFrame, basis_status: Column)
     out = out.withColumn("dividend_status", dividend_status(F.col("dividend_source"))).withColumn("volume_status", direction_status(v, q)).withColumn("turnover_status", direction_status(t, q)).withColumn("appetite_status", appetite_status(v, t, q))
     out = out.withColumn("overall_status", overall_status(F.col("basis_quality"), q, F.col("basis_status"), F.col("appetite_status")))
     part = lambda name, c: F.concat(F.lit(f"{name}="), F.coalesce(c, F.lit("D")))
-    reasons = F.concat_ws(";", part("basis", F.col("basis_status")), part("risk", F.col("appetite_status")), part("basis_quality", F.col("basis_quality")), part("signal_quality", q))
+    reasons = F.concat_ws(";", part("basis", F.col("basis_status")), part("risk", F.col("appetite_status")), part("basis_quality", F.col("basis_quality")), part("signal_quality", q), F.lit("relative_exposure=unavailable"))  # nothing here says how a product is held
     return out.select("date", "product", "contract", "percentile", "basis_status", "dividend_status", "volume_status", "turnover_status", "appetite_status", "last_consensus", "signal_age", "overall_status", reasons.alias("reasons"))
 
 

@@ -267,7 +267,7 @@ a as (select date, row_number() over (order by date) as n, volume_signal = turno
 c as (select *, max(case when agree then date end) over (order by date) as last_consensus, n - max(case when agree then n end) over (order by date) as signal_age from a),
 j as (select b.*, c.* exclude (date, n, agree), case when basis_quality = 'D' or percentile is null then 'insufficient' when percentile <= 20 then 'low' when percentile >= 80 then 'high' else 'neutral' end as basis_status from b left join c using (date) where is_main),
 k as (select *, case when signal_quality = 'D' or volume_signal is null or turnover_signal is null then 'insufficient' when volume_signal = -1 and turnover_signal = -1 then 'strong' when volume_signal = 1 and turnover_signal = 1 then 'weak' else 'mixed' end as appetite_status from j),
-answer as (select date, product, contract, percentile, basis_status, case when dividend_source = 'disclosed_events' then 'disclosed' when dividend_source in ('partial_disclosed_events', 'estimated_events', 'proxy') then 'partial' else 'unavailable' end as dividend_status, {_DIRECTION("volume_signal")} as volume_status, {_DIRECTION("turnover_signal")} as turnover_status, appetite_status, last_consensus, signal_age, case when coalesce(basis_quality, '') = 'D' or coalesce(signal_quality, '') = 'D' or basis_status = 'insufficient' or appetite_status = 'insufficient' then 'insufficient' when basis_status = 'neutral' or appetite_status = 'mixed' then 'mixed' else 'limited_support' end as overall_status, 'basis=' || basis_status || ';risk=' || appetite_status || ';basis_quality=' || coalesce(basis_quality, 'D') || ';signal_quality=' || coalesce(signal_quality, 'D') as reasons from k)""",
+answer as (select date, product, contract, percentile, basis_status, case when dividend_source = 'disclosed_events' then 'disclosed' when dividend_source in ('partial_disclosed_events', 'estimated_events', 'proxy') then 'partial' else 'unavailable' end as dividend_status, {_DIRECTION("volume_signal")} as volume_status, {_DIRECTION("turnover_signal")} as turnover_status, appetite_status, last_consensus, signal_age, case when coalesce(basis_quality, '') = 'D' or coalesce(signal_quality, '') = 'D' or basis_status = 'insufficient' or appetite_status = 'insufficient' then 'insufficient' when basis_status = 'neutral' or appetite_status = 'mixed' then 'mixed' else 'limited_support' end as overall_status, 'basis=' || basis_status || ';risk=' || appetite_status || ';basis_quality=' || coalesce(basis_quality, 'D') || ';signal_quality=' || coalesce(signal_quality, 'D') || ';relative_exposure=unavailable' as reasons from k)""",
 "percentile")
 def _decisions(spark: SparkSession, sf: str) -> DataFrame:
     from tidewell.operators.monitor import by_bounds
