@@ -88,6 +88,39 @@ def statement_ratios(merged: DataFrame, code: str = "code", period: str = "end_d
     return out.select("*", yoy("gross_margin_ttm"), yoy("asset_turnover_ttm"))
 
 
+def in_percent(frame: DataFrame, column: str) -> DataFrame:
+    """One row (percent): whether the median of the column's absolute values is over 2, as for figures in percent.
+
+    Counts and the two values around 2 decide it, so no values are gathered.  False without values.
+    """
+    x = F.abs(F.col(column))
+    a = frame.agg(F.count(x).alias("n"), F.count(F.when(x <= 2, 1)).alias("low"), F.max(F.when(x <= 2, x)).alias("under"), F.min(F.when(x > 2, x)).alias("over"))
+    return a.select(F.expr("case when n = 0 then false when 2 * low = n then (under + over) / 2 > 2 else 2 * low < n end").alias("percent"))
+
+
+def statement_growth(merged: DataFrame, code: str = "code", period: str = "end_date") -> DataFrame:
+    """Adds growth over four rows, leverage, coverage and stability to statements with ratios (``roe_ttm``).
+
+    Growth is a share of the value four rows before, that of return on equity a difference.
+    ``earnings_stability``: the negative deviation of the last eight reported returns on
+    assets, all of them known; they count in decimals, divided by 100 if ``in_percent``.
+    """
+    w = Window.partitionBy(code).orderBy(period)
+    last8 = w.rowsBetween(-7, 0)
+    x = merged.withColumn("working_capital", F.col("total_cur_assets") - F.col("total_cur_liab"))
+    growth = {"eps_growth": "eps", "asset_growth": "total_assets", "capex_growth": "capex_ttm", "inventory_growth": "inventories", "working_capital_growth": "working_capital"}
+    x = x.withColumns({k: _ratio(F.col(c), F.lag(c, 4).over(w)) - 1 for k, c in growth.items()})
+    x = x.join(F.broadcast(in_percent(merged, "roa")))  # one row
+    x = x.withColumn("_roa", F.when(F.col("percent"), F.col("roa") / 100).otherwise(F.col("roa")))
+    return x.withColumns({
+        "roe_growth": F.col("roe_ttm") - F.lag("roe_ttm", 4).over(w),
+        "operating_margin_ttm": _ratio(F.col("operate_profit_ttm"), F.col("revenue_ttm")),
+        "book_leverage": _ratio(F.col("total_assets"), F.col("equity")),
+        "inverse_interest_coverage": _ratio(F.col("fin_exp_ttm"), F.col("operate_profit_ttm")),
+        "earnings_stability": F.when(F.count("_roa").over(last8) >= 8, -F.stddev_samp("_roa").over(last8)),
+    }).drop("_roa", "percent", "working_capital")
+
+
 # ---------------------------------------------------------------- funds and decisions
 
 
