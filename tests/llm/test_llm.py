@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables with nulls, ties and copies."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -623,6 +624,39 @@ def test_pipeline_on_odd_rows(spark):
     assert p.best_fit_packing(spark, docs.limit(0), "").collect() == []
 
 
+def _step_left(bins, capacity):
+    """An exchange of up to two lengths for one, or of one for two, between underfull bins that raises squared fill, by brute force."""
+    ways = [(1, 0), (2, 0), (1, 1), (2, 1), (1, 2)]
+    some = [p for p in bins if sum(p) < capacity]
+    for a, b in itertools.product(some, some):
+        for i, j in ways if a != b or bins[a] > 1 else ():
+            for out, back in itertools.product(itertools.combinations(a, i), itertools.combinations(b, j)):
+                x, y = sum(a) - sum(out) + sum(back), sum(b) + sum(out) - sum(back)
+                if max(x, y) <= capacity and x * x + y * y > sum(a) ** 2 + sum(b) ** 2:
+                    return a, b, out, back
+    return None
+
+
+def test_packing_search_leaves_no_step():
+    g = np.random.default_rng(11)
+    above = 0
+    for _ in range(600):
+        h = Counter(g.integers(7, 34, g.integers(5, 41)).tolist())
+        bins = packing.improve(packing.best_fit(dict(h), 60), 60)
+        kept = Counter()
+        for p, n in bins.items():
+            kept.update({x: c * n for x, c in Counter(p).items()})
+        assert kept == h and max(map(sum, bins)) <= 60
+        if sum(bins.values()) > -(-sum(k * v for k, v in h.items()) // 60):
+            above += 1
+            assert _step_left(bins, 60) is None
+    assert above > 20
+    open_ = packing.Open(60)
+    for p in ((30, 24), (25, 16, 10, 7)):
+        open_.add(p)
+    assert open_.exchange((30, 24), (25, 16, 10, 7)) == ((24,), (16, 7)) or sum(open_.exchange((30, 24), (25, 16, 10, 7))[0]) > 24
+
+
 def test_packing_counts_by_brute_force():
     def fewest(items, capacity):  # by subsets: (bins, room taken in the last one)
         best = {0: (0, capacity)}

@@ -3,8 +3,8 @@
 Only lengths matter, and there are at most ``capacity`` of them, so the search works on the
 histogram of lengths: bins of one content are one pattern with a count.  What the driver gets is at most one count
 for each length, whatever the corpus.  Best fit, longest first, gives the first packing; then underfull bins exchange one
-document for one, two for one, or move a document, whenever that increases the sum of
-squared fills, until bins empty or the lower bound is met.
+document for one, two for one, or move documents, whenever that increases the sum of
+squared fills, until no pair of bins has such a step or the lower bound is met.
 
 Each document's rank among its length picks its place.  Ranks come from per-partition
 counts, so no length, however common, is gathered in one task.
@@ -67,97 +67,115 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
     return sum((x for x in free if x), Counter())
 
 
-class Rooms:
-    """Open patterns by the room they have, and which lengths each holds."""
+class Open:
+    """Underfull patterns by the room they have, with their sums of one and of two lengths as bits of a number."""
 
     def __init__(self, capacity: int):
         self.capacity, self.by = capacity, [set() for _ in range(capacity + 1)]
         self.some = np.zeros(capacity + 1, bool)
+        self.sums: dict[tuple, tuple[int, int, int]] = {}
 
     def add(self, pattern: tuple) -> None:
-        room = self.capacity - sum(pattern)
-        if room:
-            self.by[room].add(pattern)
-            self.some[room] = True
+        fill = sum(pattern)
+        if fill < self.capacity and pattern not in self.sums:
+            ones, twos = 0, 0
+            for x in pattern:
+                twos |= ones << x
+                ones |= 1 << x
+            self.sums[pattern] = fill, ones, twos
+            self.by[self.capacity - fill].add(pattern)
+            self.some[self.capacity - fill] = True
 
     def drop(self, pattern: tuple) -> None:
-        room = self.capacity - sum(pattern)
-        self.by[room].discard(pattern)
-        self.some[room] = bool(self.by[room])
+        if pattern in self.sums:
+            room = self.capacity - self.sums.pop(pattern)[0]
+            self.by[room].discard(pattern)
+            self.some[room] = bool(self.by[room])
 
-    def fullest_first(self, most: int) -> Iterator[tuple]:
-        """Patterns with ``most`` room or less, those with the least room first."""
-        for room in np.flatnonzero(self.some[: most + 1]).tolist():
+    def fullest_first(self) -> Iterator[tuple]:
+        for room in np.flatnonzero(self.some).tolist():
             yield from sorted(self.by[room])
 
+    def exchange(self, source: tuple, target: tuple) -> tuple | None:
+        """The exchange of up to two lengths for one, or of one for two, that raises squared fill and moves most: (lengths that leave, lengths that come back).
+
+        If ``target`` grows by d, the sum of squared fills grows by 2 d (d + its fill - the
+        source's fill), so d must be over the difference of fills and at most its room.
+        """
+        (a, ones, twos), (b, _, back_twos) = self.sums[source], self.sums[target]
+        low, high = max(1, a - b + 1), self.capacity - b
+        window, best, out, back = (1 << (high - low + 1)) - 1, 0, 0, 0
+        for x in {0, *target}:
+            found = ((ones | twos) >> (x + low)) & window
+            if found and low + found.bit_length() - 1 > best:
+                best = low + found.bit_length() - 1
+                out, back = best + x, x
+        for x in set(source) if back_twos else ():
+            least = max(0, x - high)
+            found = (back_twos >> least) & ((1 << max(0, x - low - least + 1)) - 1)
+            if found and x - least - (found & -found).bit_length() + 1 > best:
+                best = x - least - (found & -found).bit_length() + 1
+                out, back = x, x - best
+        return (_lengths(source, out), _lengths(target, back)) if best else None
+
+
+def _lengths(pattern: tuple, size: int) -> tuple:
+    """One or two of the pattern's lengths with that sum; none for 0."""
+    if not size or size in pattern:
+        return (size,) if size else ()
+    return next((x, size - x) for k, x in enumerate(pattern) if size - x in pattern[k + 1 :])
+
 
 def improve(bins: Counter, capacity: int) -> Counter:
     """Local search over underfull bins: moves, one-for-one and two-for-one exchanges.
 
-    Each step takes from an underfull bin, the emptiest first, and raises the sum of squared
-    fills; it acts on as many bins of the two patterns as there are.  A pass tries every open
-    pattern and every pattern that comes up on the way.  The search ends at the lower bound, or
-    once a pass finds no step; squared fill grows with each, so it does end.
+    Each step exchanges up to two lengths of a bin for one of another, or one for two, and raises
+    the sum of squared fills; it acts on as many bins of the two patterns as there are.  A
+    pattern that comes up, or whose count grows, waits to be tried against all open ones in both
+    directions, so once none waits no pair of bins has a step left.  The search ends there or
+    at the lower bound; squared fill grows with each step, so it does end.
     """
     bins = Counter(bins)
     total = sum(sum(p) * n for p, n in bins.items())
     least, count = -(-total // capacity), sum(bins.values())
-    rooms = Rooms(capacity)
+    open_ = Open(capacity)
     for p in bins:
-        rooms.add(p)
-    found = True
-    while count > least and found:
-        found = False
-        waiting = [(sum(p), p) for p in bins if sum(p) < capacity]
-        heapq.heapify(waiting)
-        while count > least and waiting:
-            _, source = heapq.heappop(waiting)
-            step = _step(source, rooms, bins, capacity) if source in bins else None
-            if step is None:
-                continue
-            found = True
-            target, out, back = step
-            n = bins[source] // 2 if target == source else min(bins[source], bins[target])
-            new = [tuple(sorted(x.elements(), reverse=True)) for x in (Counter(source) - Counter(out) + Counter(back), Counter(target) - Counter(back) + Counter(out))]
-            for p in (source, target):
-                bins[p] -= n
-                if bins[p] <= 0:
-                    del bins[p]
-                    rooms.drop(p)
-            for p in new:
-                if p:
-                    bins[p] += n
-                    rooms.add(p)
-                else:
-                    count -= n
-            for p in {source, target, *new}:
-                if p in bins and sum(p) < capacity:
-                    heapq.heappush(waiting, (sum(p), p))
+        open_.add(p)
+    waiting = [(fill, p) for p, (fill, _, _) in open_.sums.items()]
+    heapq.heapify(waiting)
+    while count > least and waiting:
+        _, pattern = heapq.heappop(waiting)
+        step = _step(pattern, open_, bins) if pattern in bins else None
+        if step is None:
+            continue
+        source, target, out, back = step
+        n = bins[source] // 2 if target == source else min(bins[source], bins[target])
+        new = [tuple(sorted(x.elements(), reverse=True)) for x in (Counter(source) - Counter(out) + Counter(back), Counter(target) - Counter(back) + Counter(out))]
+        for p in (source, target):
+            bins[p] -= n
+            if bins[p] <= 0:
+                del bins[p]
+                open_.drop(p)
+        for p in new:
+            if p:
+                bins[p] += n
+                open_.add(p)
+            else:
+                count -= n
+        for p in {pattern, *new}:
+            if p in bins and p in open_.sums:
+                heapq.heappush(waiting, (open_.sums[p][0], p))
     return bins
 
 
-def _step(source: tuple, rooms: Rooms, bins: Counter, capacity: int) -> tuple | None:
-    """An exchange that raises the sum of squared fills, into the fullest bin that has one: (target, lengths that leave source, lengths that come back).
-
-    A target with some room can grow by 1 to that room; the largest growth is taken.  Sizes
-    that can leave are bits of one number, so a target is tried with a few shifts.
-    """
-    fill = sum(source)
-    twos = {a + b: (a, b) for k, a in enumerate(source) for b in source[k + 1 :]}
-    one = sum(1 << x for x in set(source))
-    any_ = one | sum(1 << x for x in twos if not one >> x & 1)
-    for target in rooms.fullest_first(capacity - fill):
-        if target == source and bins[source] < 2:
+def _step(pattern: tuple, open_: Open, bins: Counter) -> tuple | None:
+    """A step of the pattern's bins and others, the fullest first: (source, target, lengths that leave source, lengths that come back)."""
+    for other in open_.fullest_first():
+        if other == pattern and bins[pattern] < 2:
             continue
-        open_ = (1 << (capacity - sum(target))) - 1
-        grow, back = 0, 0
-        for x in {0, *target}:
-            g = (((any_ if x else one) >> (x + 1)) & open_).bit_length()
-            if (g, x) > (grow, back):
-                grow, back = g, x
-        if grow:
-            size = grow + back
-            return target, (size,) if one >> size & 1 else twos[size], (back,) if back else ()
+        for source, target in ((pattern, other), (other, pattern)):
+            if found := open_.exchange(source, target):
+                return source, target, *found
     return None
 
 
