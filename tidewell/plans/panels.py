@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import assembly, panels
+from tidewell.operators import assembly, order, panels
 from tidewell.plans.model import _register, _use
 from tidewell.sources import ranges
 
@@ -138,3 +138,17 @@ from s a join st using (code, i) left join s b on b.code = a.code and b.i = a.i
 "total_assets equity eps capex_ttm inventories total_cur_assets total_cur_liab fin_exp_ttm operate_profit_ttm revenue_ttm roa roe_ttm eps_growth asset_growth capex_growth inventory_growth working_capital_growth roe_growth operating_margin_ttm book_leverage inverse_interest_coverage earnings_stability")
 def _statement_growth(spark: SparkSession, sf: str) -> DataFrame:
     return assembly.statement_growth(*_raw(spark, sf, "sheets"))
+
+
+# ---------------------------------------------------------------- order statistics over long windows
+
+_LONG = "select code, date, close, case when disc > 0.03 then volume end as volume from panel"
+
+
+@_register("panel_long_order", f"""x as ({_LONG}), r as (select *, row_number() over (partition by code order by date) as i from x),
+answer as (select a.code, a.date, case when count(b.close) >= 60 then median(b.close) end as median_252, case when count(b.close) >= 60 then quantile_cont(b.close, 0.1) end as low_252, case when count(b.close) >= 60 then count(*) filter (b.close <= a.close) / count(b.close) end as rank_252,
+case when any_value(a.volume) is not null and count(b.volume) filter (a.i - b.i < 120) >= 20 then count(*) filter (a.i - b.i < 120 and b.volume <= a.volume) / count(b.volume) filter (a.i - b.i < 120) end as volume_rank_120
+from r a join r b on a.code = b.code and b.i between a.i - 251 and a.i group by a.code, a.date)""", "median_252 low_252 rank_252 volume_rank_120")
+def _long_order(spark: SparkSession, sf: str) -> DataFrame:
+    stats = {"median_252": ("close", 252, 60, 0.5), "low_252": ("close", 252, 60, 0.1), "rank_252": ("close", 252, 60, None), "volume_rank_120": ("volume", 120, 20, None)}
+    return order.rolling_order(_use(spark, sf, _LONG), stats)
