@@ -654,7 +654,7 @@ def test_packing_search_leaves_no_step():
     open_ = packing.Open(60)
     for p in ((30, 24), (25, 16, 10, 7)):
         open_.add(p)
-    assert open_.exchange((30, 24), (25, 16, 10, 7)) == ((24,), (16, 7)) or sum(open_.exchange((30, 24), (25, 16, 10, 7))[0]) > 24
+    assert open_.exchange((30, 24), (25, 16, 10, 7)) == ((24,), (16, 7))
 
 
 def test_packing_counts_by_brute_force():
