@@ -134,8 +134,8 @@ def index_panel(
     if listing is not None:
         out = out.join(_present(listing, ["name", "industry", "market", "exchange", "list_date", "list_status"], ["code"]).dropDuplicates(["code"]), "code", "left")
     out = out.withColumn("industry", F.coalesce("industry", F.lit("unknown")) if "industry" in out.columns else F.lit("unknown"))
-    w = snapshot_join(out.select(*KEYS), weights.groupBy("code", "date").agg(F.max("weight").alias("index_weight")), "code", "date", "index_weight").select(*KEYS, "index_weight")
-    out = out.join(w, KEYS, "left").withColumn("index_weight", F.coalesce("index_weight", F.lit(0.0)))
+    out = snapshot_join(out, weights.groupBy("code", "date").agg(F.max("weight").alias("index_weight")), "code", "date", "index_weight")
+    out = out.drop("snapshot").withColumn("index_weight", F.coalesce("index_weight", F.lit(0.0)))
     out = out.withColumn("member", F.col("index_weight") > 0)
     if statements is not None:
         out = asof_join(out, statements, "code", "date", "available")
