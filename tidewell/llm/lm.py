@@ -17,7 +17,9 @@ sums, at most two for every HOT training tokens, come back through the driver.
 
 Words are known by 64-bit hashes, contexts by 48 bits within their bucket, next words by 32
 bits within their context.  Between depths a chunk keeps, for tokens with a longer context to
-test, their probability (single precision) and counts.
+test, their probability (single precision) and counts, and of its texts only the words of those
+contexts; so the texts' snapshot goes after the first round, and what is read gets less with
+each depth.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import attach, bucketed, buckets, discard, each_chunk, materialise, mix, reduce_buckets, scatter, snapshot, split_sorted
+from tidewell.llm.common import attach, bucketed, buckets, discard, each_chunk, materialise, mix, powers, reduce_buckets, scatter, snapshot, split_sorted
 
 CHUNK = 4 << 20
 #: Words of the longest context; rounds end earlier where longer contexts tell nothing new.
@@ -43,8 +45,8 @@ PRIOR, GAIN = 4.0, 3.0
 HOT = 1 << 21
 #: Steps of a natural log of a probability in messages.
 LOG_STEP = 2048
-WORDS = (1 << 63).to_bytes(8, "little")  # begins a state before any contexts; others begin with how many tokens ask
-STATE = -1  # stands for a bucket where a chunk's state is among its replies
+WORDS = (1 << 63).to_bytes(8, "little")  # begins a tree before any contexts; others begin with how many tokens ask
+TREE = -1  # stands for a bucket where a chunk's tree is among its messages
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # not a word
 _PART = np.uint64(0xA24BAED4963EE407)
 
@@ -54,6 +56,31 @@ def in_training(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 != 1
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value of an array of uint64, in ascending order; and where each element's value is among them."""
+    order = _ascending(key)
+    x = key[order]
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = x[1:] != x[:-1]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(fresh) - 1
+    return order[fresh], at
+
+
+def _ascending(key: np.ndarray) -> np.ndarray:
+    """argsort of uint64, not stable: numbers with their places as low bits sort faster than places by number; where leading bits don't tell, it is one."""
+    bits = np.uint64(len(key).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    place = np.arange(len(key), dtype=np.uint64)
+    small = len(key) > 0 and int(key.max()) < 1 << 64 - int(bits)
+    place |= key << bits if small else key & ~low
+    place.sort()
+    order = (place & low).astype(np.int64)
+    if not small and (x := key[order]).size and (x[1:] < x[:-1]).any():
+        return np.argsort(key)
+    return order
+
+
 # ---------------------------------------------------------------- words
 
 
@@ -80,8 +107,8 @@ def _count_words(bucket: int, chunks: list, payloads: list) -> pa.Table:
         n = int.from_bytes(x[:8], "little")
         keys.append(np.frombuffer(x, np.uint64, n, 8))
         counts.append(np.frombuffer(_open(x[8 + 8 * n :]), np.uint32))
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+    row, at = distinct(np.concatenate(keys))
+    total = np.bincount(at, np.concatenate(counts), len(row)).astype(np.int64)
     parts = np.split(total[at], np.cumsum([len(x) for x in keys])[:-1])
     out = [_press(x.tobytes()) for x in parts] + [np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()]
     return _rows(bucket, [*chunks, -1], out)
@@ -91,8 +118,8 @@ def _rows(bucket: int, chunks: list, payloads: list) -> pa.Table:
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
 
-def _press(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def _press(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def _open(raw: bytes) -> bytes:
@@ -123,30 +150,50 @@ class Reader:
         return np.unpackbits(self.take(np.uint8, (n + 7) // 8), count=n).astype(bool)
 
 
-class Numbered(dict):
-    """Words numbered as they come."""
+#: Bytes of words hashed at a time, and a random number for each byte, the same for A-Z as for a-z.
+BLOCK = 1 << 20
+LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+LETTER[65:91] = LETTER[97:123]
+GAP = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BASE = 0xD6E8FEB86659FD93
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+
+def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text begins, and its hash, A-Z lower-cased; the text's bytes begin and end with white space."""
+    gap = GAP[text]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    begin, end = edge[::2], edge[1::2]
+    out = np.empty(len(begin), np.uint64)
+    a = 0
+    while a < len(begin):
+        b = max(a + 1, int(np.searchsorted(end, begin[a] + BLOCK)))  # one word at least
+        at, n = begin[a], int(end[b - 1] - begin[a])
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(LETTER[text[at : at + n]] * powers(_BASE, n), out=sums[1:])
+        out[a:b] = (sums[end[a:b] - at] - sums[begin[a:b] - at]) * powers(_BASE, n, True)[begin[a:b] - at]
+        a = b
+    return begin, mix(out)
 
 
 def tokens_packed(ids: list, texts: list) -> bytes:
     """A chunk's tokens: distinct hashes in order, and each token's place among them."""
-    words = [(t or b"").lower().split() for t in texts]
-    count = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    number = Numbered()
-    token = np.full(int(count.sum()), number[b"\n"])  # not a word; hashed below, it is END
+    begin, word = word_hashes(np.frombuffer(b"\n".join([b"", *(t or b"" for t in texts), b""]), np.uint8))
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    count = np.diff(np.searchsorted(begin, ends, "right"), prepend=0) + 1
+    token = np.full(int(count.sum()), END)
     body = np.ones(len(token), bool)
     body[np.cumsum(count) - 1] = False
-    token[body] = np.fromiter((n for x in words for n in map(number.__getitem__, x)), np.int64, int(body.sum()))
-    key = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-    key, place = np.unique(key, return_inverse=True)
-    at = place[token]
-    null = np.array([i is None for i in ids], bool)
+    token[body] = word
+    row, at = distinct(token)
+    return _press(_tokens(ids, count, token[row], at, count), 3)
+
+
+def _tokens(ids: list, count: np.ndarray, key: np.ndarray, at: np.ndarray, kept: np.ndarray) -> bytes:
+    """kept: how many of each document's tokens stand in ``at``."""
     head = np.array([len(ids), len(key), len(at)], np.int64)
-    parts = [head, np.array([0 if i is None else i for i in ids], np.int64), null, count, key]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in [*parts, at.astype("<u2"), (at >> 16).astype("<u2")]))
+    null = np.array([i is None for i in ids], bool)
+    parts = [head, np.array([0 if i is None else i for i in ids], np.int64), null, count, kept, key]
+    return b"".join(x.tobytes() for x in [*parts, at.astype("<u2"), (at >> 16).astype("<u2")])
 
 
 # ---------------------------------------------------------------- pairs of context and next word
@@ -155,32 +202,33 @@ def tokens_packed(ids: list, texts: list) -> bytes:
 class Pairs:
     """Distinct pairs of context and next word of some tokens, sorted by context.
 
-    Order and equality go by 40 bits of the context first, so a context or pair may, very
-    rarely, stand more than once; buckets merge all of them.
+    Within a context, pairs stand in the order of the chunk's words.
     """
 
-    def __init__(self, context: np.ndarray, token: np.ndarray, total: np.ndarray):
-        pair = mix(context * np.uint64(0x9FB21C651E98DF25) + token)
+    def __init__(self, context: np.ndarray, key: np.ndarray, at: np.ndarray, total: np.ndarray):
+        """key[at]: the next words."""
+        pair = lambda rows: mix(self.whole[rows] * np.uint64(0x9FB21C651E98DF25) + key[at[rows]])
         self.parts = total // HOT + 1
         hot = np.flatnonzero(self.parts > 1)
         self.whole = context
         if len(hot):
             context = context.copy()
-            context[hot] = part_of(context[hot], pair[hot] % self.parts[hot].astype(np.uint64))
-        low = np.uint64((1 << 24) - 1)
-        key = (context & ~low) | (pair & low)
-        order = np.argsort(key)
-        c, p = context[order], pair[order]
+            context[hot] = part_of(context[hot], pair(hot) % self.parts[hot].astype(np.uint64))
+        order = _ascending(context)
+        c = context[order]
+        begins = np.ones(len(order), bool)
+        begins[1:] = c[1:] != c[:-1]
+        group = np.cumsum(begins) - 1
+        word = (group * len(key) + at[order]).astype(np.uint64)  # of a chunk's groups and words
+        inner = _ascending(word)
+        order, word, group = order[inner], word[inner], group[inner]
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+        fresh[1:] = word[1:] != word[:-1]
         self.at = np.empty(len(order), np.int64)
         self.at[order] = np.cumsum(fresh) - 1
         self.row = order[fresh]  # a token of each pair
-        self.context, self.pair = context[self.row], pair[self.row]
-        begins = np.ones(len(self.row), bool)
-        begins[1:] = self.context[1:] != self.context[:-1]
-        self.begin = np.flatnonzero(begins)
-        self.of = np.cumsum(begins) - 1
+        self.context, self.pair, self.of = context[self.row], pair(self.row), group[fresh]
+        self.begin = np.flatnonzero(np.diff(self.of, prepend=-1))
 
     def bounds(self, n_buckets: int) -> list[int]:
         """Where each bucket's pairs begin: a context's bucket is its range of the hash space."""
@@ -249,25 +297,25 @@ def _count_pairs(bucket: int, chunks: list, payloads: list) -> pa.Table:
         raw = Reader(_open(x[12 + 6 * contexts + 4 * pairs :]))
         size.append(raw.take(np.uint32, contexts))
         count.append(raw.take(np.uint32, pairs))
-        split.append(key[-1][raw.take(np.uint32, n_split)])
+        split.append(raw.take(np.uint32, n_split).astype(np.int64) + sum(c for c, _ in width))
         log.append(raw.planes(np.uint16, pairs))
         width.append((contexts, pairs))
-    context = np.repeat(np.concatenate(key), np.concatenate(size))
-    which, row, at = np.unique(mix(context) + np.concatenate(pair).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
-    c = np.bincount(at, np.concatenate(count), len(which))
+    contexts, sizes = np.concatenate(key), np.concatenate(size)
+    spread = mix(contexts)
+    row, at = distinct(np.repeat(spread, sizes) + np.concatenate(pair).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    first, place = distinct(spread)
+    own, of = contexts[first], np.repeat(place, sizes)[row]
+    c = np.bincount(at, np.concatenate(count), len(row))
     logs = np.concatenate(log)[row] / LOG_STEP
-    own, of = np.unique(context[row], return_inverse=True)
     with np.errstate(divide="ignore"):
         gain = np.where(c > 0, c * (np.log(np.maximum(c - 1, 0) + PRIOR * np.exp(-logs)) + logs), 0.0)
     n, kinds, gain = np.bincount(of, c, len(own)), np.bincount(of, c > 0, len(own)), np.bincount(of, gain, len(own))
     verdict = np.where(is_state(n, gain), kinds, 0).astype("<u4")
-    place = np.searchsorted(own, np.concatenate(key))
     cuts = np.cumsum(width, axis=0)[:-1].T
     out = [_press(a.tobytes() + b.tobytes()) for a, b in zip(np.split(verdict[place], cuts[0]), np.split(c[at].astype("<u4"), cuts[1]))]
-    some = np.unique(np.concatenate(split))
-    if len(some):
-        k = np.searchsorted(own, some)
-        return _rows(bucket, [*chunks, -1], [*out, np.stack([some.astype(float), n[k], kinds[k], gain[k]]).tobytes()])
+    k = np.unique(place[np.concatenate(split)])
+    if len(k):
+        return _rows(bucket, [*chunks, -1], [*out, np.stack([own[k].astype(float), n[k], kinds[k], gain[k]]).tobytes()])
     return _rows(bucket, chunks, out)
 
 
@@ -280,20 +328,40 @@ class Tree:
     settled: only the sum of their logs by document is kept.
     """
 
-    def __init__(self, blob: bytes):
-        raw = Reader(_open(blob))
+    def __init__(self, raw: Reader):
         n, k, size = raw.take(np.int64, 3).tolist()
         ids, null = raw.take(np.int64, n), raw.take(bool, n)
         self.ids = [None if x else i for i, x in zip(ids.tolist(), null.tolist())]
-        self.count_of = raw.take(np.int64, n)
+        self.count_of, kept = raw.take(np.int64, n), raw.take(np.int64, n)
         self.key = raw.take(np.uint64, k)
         low, high = raw.take(np.uint16, size), raw.take(np.uint16, size)
         self.at = low | (high.astype(np.uint32) << np.uint32(16))
-        self.doc = np.repeat(np.arange(n), self.count_of)
-        self.first = np.zeros(size, bool)
-        self.first[(np.cumsum(self.count_of) - self.count_of)] = True
+        self.doc = np.repeat(np.arange(n), kept)
         self.train_doc = np.array([in_training(i) for i in self.ids], bool)
 
+    @classmethod
+    def of_tokens(cls, blob: bytes) -> Tree:
+        t = cls(Reader(_open(blob)))
+        t.first = np.diff(t.doc, prepend=-1) > 0  # an end is in each document
+        return t
+
+    @classmethod
+    def of(cls, blob: bytes, n: int, v: int) -> Tree:
+        if blob[:8] == WORDS:  # no contexts yet: totals of the chunk's words say all
+            size = int.from_bytes(blob[8:16], "little")
+            t = cls.of_tokens(blob[16 : 16 + size])
+            t.learn_words(np.frombuffer(_open(blob[16 + size :]), np.int64), n, v)
+            return t
+        raw = Reader(_open(blob[8:]))
+        t = cls(raw)
+        n = len(t.ids)
+        rows, t.depth, same = raw.take(np.int64, 3).tolist()
+        t.known, t.base, t.settled = raw.take(float, 3 * n).reshape(3, n)
+        t.rows, t.same = np.flatnonzero(raw.bits(len(t.at))), raw.bits(rows)
+        t.p, t.total, t.count = raw.planes(np.float32, rows), raw.planes(np.uint32, rows).astype(np.int64), raw.planes(np.uint32, same).astype(np.int64)
+        t.first = np.zeros(len(t.at), bool)  # a first word has no context of two, and isn't among the rows
+        return t
+
     def by_doc(self, x: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
         return np.bincount(self.doc[rows], x, len(self.ids))
 
@@ -301,9 +369,9 @@ class Tree:
         return np.bincount(self.at, self.train_doc[self.doc], len(self.key))
 
     def learn_words(self, total: np.ndarray, n: int, v: int) -> None:
-        c = total[self.at]
-        p = (c + 0.5) / (n + 0.5 * (v + 1))
-        self.known, self.base = self.by_doc((c > 0).astype(float)), self.by_doc(np.log10(p))
+        c, p = total[self.at], (total + 0.5) / (n + 0.5 * (v + 1))
+        self.known, self.base = self.by_doc((c > 0).astype(float)), self.by_doc(np.log10(p)[self.at])
+        p = p[self.at]
         self.settled, self.depth, self.rows, self.total = np.zeros(len(self.ids)), 0, np.arange(len(p)), np.full(len(p), n)
         before = np.roll(c, 1)
         before[self.first] = total[np.searchsorted(self.key, END)]  # before a first word stands the end of the text before
@@ -317,28 +385,26 @@ class Tree:
         self.rows, self.p, self.total, self.count = self.rows[go], p[go], before[go], count[go][self.same]
 
     def packed(self) -> bytes:
-        active = np.zeros(len(self.at), bool)
+        """With the tokens of the rows and of their contexts; those of longer ones are among them, as the word before a row has a row itself until then."""
+        kept, active, used = np.zeros(len(self.at), bool), np.zeros(len(self.at), bool), np.zeros(len(self.key), bool)
         active[self.rows] = True
-        parts = [np.array([len(self.rows), self.depth, len(self.count)], np.int64), self.known, self.base, self.settled, np.packbits(active), np.packbits(self.same)]
+        for back in range(self.depth + 1):
+            kept[self.rows - back] = True  # before a chunk's first word stands its last end
+        at = self.at[kept]
+        used[at] = True
+        tokens = _tokens(self.ids, self.count_of, self.key[used], (np.cumsum(used) - 1)[at], np.bincount(self.doc[kept], minlength=len(self.ids)))
+        parts = [np.array([len(self.rows), self.depth, len(self.count)], np.int64), self.known, self.base, self.settled, np.packbits(active[kept]), np.packbits(self.same)]
         body = b"".join(x.tobytes() for x in parts) + _planes(self.p.astype("<f4")) + _planes(self.total.astype("<u4")) + _planes(self.count.astype("<u4"))
-        return int((~self.same).sum()).to_bytes(8, "little") + _press(body)
-
-    def unpack(self, state: bytes, n: int, v: int) -> None:
-        if state[:8] == WORDS:  # no contexts yet: totals of the chunk's words say all
-            return self.learn_words(np.frombuffer(_open(state[8:]), np.int64), n, v)
-        raw, n = Reader(_open(state[8:])), len(self.ids)
-        rows, self.depth, same = raw.take(np.int64, 3).tolist()
-        self.known, self.base, self.settled = raw.take(float, 3 * n).reshape(3, n)
-        self.rows, self.same = np.flatnonzero(raw.bits(len(self.at))), raw.bits(rows)
-        self.p, self.total, self.count = raw.planes(np.float32, rows), raw.planes(np.uint32, rows).astype(np.int64), raw.planes(np.uint32, same).astype(np.int64)
+        return int((~self.same).sum()).to_bytes(8, "little") + _press(tokens + body)
 
     def pairs(self) -> Pairs:
         rows = self.rows[~self.same]
-        word = lambda back: self.key[self.at[rows - back]]  # noqa: E731  before a chunk's first word stands its last end
+        hashes = self.key[self.at]
+        word = lambda back: hashes[rows - back]  # noqa: E731  before a chunk's first word stands its last end
         context = word(1)
         for back in range(2, self.depth + 1):
             context = mix(context * np.uint64(0xD1342543DE82EF95) + word(back))
-        return Pairs(context, word(0), self.total[~self.same])
+        return Pairs(context, self.key, self.at[rows].astype(np.int64), self.total[~self.same])
 
     def ask(self, n_buckets: int) -> Iterator[tuple[int, bytes]]:
         pairs = self.pairs()
@@ -362,19 +428,6 @@ class Tree:
         self._to(p.astype(np.float32), count, before)
 
 
-def _unpacked(blob: bytes, state: bytes, n: int, v: int) -> Tree:
-    t = Tree(blob)
-    t.unpack(state, n, v)
-    return t
-
-
-def _with_state(chunks: DataFrame, state: DataFrame) -> DataFrame:
-    """Chunks with their replies, if any, and their state among them."""
-    own = F.array(F.struct(F.lit(STATE).alias("bucket"), F.col("state").alias("payload")))
-    got = F.concat(F.col("replies"), own) if "replies" in chunks.columns else own
-    return chunks.join(state, "chunk").withColumn("replies", F.coalesce(got, own)).drop("state")
-
-
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per row of docs: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -389,7 +442,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunks = snapshot(docs, id_col, text_col, CHUNK, tokens_packed)
 
     def words(chunk: int, blob: bytes, replies: dict):
-        t = Tree(blob)
+        t = Tree.of_tokens(blob)
         yield from _word_messages(t.key, t.train_counts(), nb)
 
     known = materialise(reduce_buckets(scatter(chunks, words), _count_words))
@@ -397,35 +450,43 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n, v = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
 
     def begin(chunk: int, blob: bytes, got: dict) -> dict:
-        return _state(chunk, WORDS + _press(_word_totals(Tree(blob).key, nb, got).tobytes()))
+        total = _word_totals(Tree.of_tokens(blob).key, nb, got)
+        return _tree(chunk, WORDS + len(blob).to_bytes(8, "little") + blob + _press(total.tobytes()))
 
-    state = bucketed(each_chunk(attach(chunks, known.where("chunk >= 0")), begin, "chunk long, state binary"))
+    trees = bucketed(each_chunk(attach(chunks, known.where("chunk >= 0")), begin, "chunk long, blob binary"))
     discard(known)
+    discard(chunks)
 
     def ask(chunk: int, blob: bytes, got: dict):
-        if int.from_bytes(got[STATE][:8], "little"):
-            yield from _unpacked(blob, got[STATE], n, v).ask(nb)
+        if int.from_bytes(blob[:8], "little"):
+            yield from Tree.of(blob, n, v).ask(nb)
 
-    for _ in range(depth):
-        replies = materialise(reduce_buckets(scatter(_with_state(chunks, state), ask), _count_pairs))
+    messages = None
+    for k in range(depth):
+        replies = materialise(reduce_buckets(scatter(trees, ask) if messages is None else messages, _count_pairs))
         if replies.isEmpty():  # longer contexts occur where their parents do, or once
             break
-        hot = _split_sums(replies)
-
-        def learn(chunk: int, blob: bytes, got: dict, hot: dict = hot) -> dict:
-            if not int.from_bytes(got[STATE][:8], "little"):  # nor will it ask at greater depths
-                return _state(chunk, got[STATE])
-            t = _unpacked(blob, got[STATE], n, v)
+        hot, ahead = _split_sums(replies), 0 < k < depth - 1  # messages about two words are too many to be stored
+
+        def learn(chunk: int, blob: bytes, got: dict, hot: dict = hot, ahead: bool = ahead):
+            """A chunk's tree, and what it asks next if that is stored beside it."""
+            if not int.from_bytes(blob[:8], "little"):  # nor will it ask at greater depths
+                yield TREE, blob
+                return
+            t = Tree.of(blob, n, v)
             t.learn_pairs(nb, got, hot)
-            return _state(chunk, t.packed())
+            yield TREE, t.packed()
+            if ahead:
+                yield from t.ask(nb)
 
-        longer = bucketed(each_chunk(_with_state(attach(chunks, replies.where("chunk >= 0")), state), learn, "chunk long, state binary"))
+        longer = bucketed(scatter(attach(trees, replies.where("chunk >= 0")), learn))
         discard(replies)
-        discard(state)
-        state = longer
+        discard(trees)
+        trees = longer.where(f"bucket = {TREE}").select("chunk", F.col("payload").alias("blob"))
+        messages = longer.where("bucket >= 0") if ahead else None
 
     def score(chunk: int, blob: bytes, got: dict) -> dict:
-        t = _unpacked(blob, got[STATE], n, v)
+        t = Tree.of(blob, n, v)
         return {
             "id": pa.array(t.ids, pa.int64()),
             "held_out": pa.array(~t.train_doc),
@@ -437,11 +498,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         }
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return each_chunk(_with_state(chunks, state), score, schema).withColumnRenamed("id", id_col)
+    return each_chunk(trees, score, schema).withColumnRenamed("id", id_col)
 
 
-def _state(chunk: int, state: bytes) -> dict:
-    return {"chunk": pa.array([chunk], pa.int64()), "state": pa.array([state], pa.binary())}
+def _tree(chunk: int, blob: bytes) -> dict:
+    return {"chunk": pa.array([chunk], pa.int64()), "blob": pa.array([blob], pa.binary())}
 
 
 def _split_sums(replies: DataFrame) -> dict[tuple[int, int], tuple[float, float, float]]:
