@@ -440,6 +440,41 @@ def test_text_that_occurs_twice_scores_apart(spark):
     assert min(twice) > 2 * max(got[k] for k in range(20, 200)) and len(twice) > 5
 
 
+def test_later_rounds_read_less(spark, monkeypatch):
+    """Texts are read by the first round; later ones read what still asks, in fewer and not larger messages."""
+    read, made = [], []
+    attach, reduce = lm.attach, lm.reduce_buckets
+    monkeypatch.setattr(lm, "attach", lambda chunks, replies: (read.append(chunks.selectExpr("sum(length(blob))").first()[0]), attach(chunks, replies))[1])
+    monkeypatch.setattr(lm, "reduce_buckets", lambda messages, answer: (made.append(messages.selectExpr("count(1)").first()[0]), reduce(messages, answer))[1])
+    rng = random.Random(3)
+    rows = [(k, " ".join("".join(rng.choices("abcdefghij", k=3)) for _ in range(400))) for k in range(60)]
+    rows += [(k, " ".join(["xx yy zz uu vv"[: rng.choice([2, 5, 8, 11, 14])] for _ in range(30)])) for k in range(60, 64)]
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    want, _ = brute_tree(rows, lm.DEPTH)
+    assert np.allclose(sorted(r["score"] for r in got), sorted(want), rtol=1e-5)
+    assert len(read) > 5 and max(read[3:]) < 0.2 * read[0]
+    assert len(made) > 5 and max(made[4:]) < 0.5 * made[1]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 7])
+def test_word_hashes(monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK", block)  # words are hashed in blocks
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abAB\u00e9\u00c9 \t\n\x0b\x0c\r\x00\x1c\u00a0\u2003", k=rng.randint(0, 60))).encode() for _ in range(300)] + [b"", b" ", b"ab" * 40]
+    words = [w for t in texts for w in t.lower().split()]
+    begin, key = lm.word_hashes(np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8))
+    assert len(begin) == len(words) and len(set(zip(words, key.tolist()))) == len(set(words)) == len(set(key.tolist()))
+
+
+@pytest.mark.parametrize("top", [4, 1 << 20, 1 << 63])
+def test_distinct_numbers(top):
+    x = np.random.default_rng(2).integers(0, top, 5000, dtype=np.uint64)
+    x[:50] = np.arange(50, dtype=np.uint64) % 7 + np.uint64(top - 8 if top > 8 else 0)  # numbers that lower bits tell apart
+    row, at = lm.distinct(x)
+    assert (x[row] == np.unique(x)).all() and (x[row][at] == x).all()
+    assert not len(lm.distinct(x[:0])[0])
+
+
 # ---------------------------------------------------------------- 9 and 10
 
 

@@ -428,6 +428,11 @@ class Tree:
         self._to(p.astype(np.float32), count, before)
 
 
+def fewer(most: int, size: int, full: int) -> int:
+    """Buckets of the next round, no larger than the first round's: nothing asks at a depth without a neighbour that asked before, so this round's size is a bound."""
+    return max(-(-most // 16), min(most, -(-most * size // full)))
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per row of docs: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -438,7 +443,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     token has the probability of an unknown one.  Columns besides the two aren't read, so
     their names don't matter.
     """
-    nb = buckets(docs.sparkSession)
+    nb, most = buckets(docs.sparkSession, 1), buckets(docs.sparkSession, 2)  # of words, and of pairs in the first rounds
     chunks = snapshot(docs, id_col, text_col, CHUNK, tokens_packed)
 
     def words(chunk: int, blob: bytes, replies: dict):
@@ -459,31 +464,34 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def ask(chunk: int, blob: bytes, got: dict):
         if int.from_bytes(blob[:8], "little"):
-            yield from Tree.of(blob, n, v).ask(nb)
+            yield from Tree.of(blob, n, v).ask(most)
 
-    messages = None
+    messages, now, full = None, most, 0
     for k in range(depth):
         replies = materialise(reduce_buckets(scatter(trees, ask) if messages is None else messages, _count_pairs))
-        if replies.isEmpty():  # longer contexts occur where their parents do, or once
+        size = replies.agg(F.sum(F.length("payload"))).first()[0]
+        if not size:  # longer contexts occur where their parents do, or once
             break
         hot, ahead = _split_sums(replies), 0 < k < depth - 1  # messages about two words are too many to be stored
+        full = full or size
+        then = fewer(most, size, full) if ahead else most
 
-        def learn(chunk: int, blob: bytes, got: dict, hot: dict = hot, ahead: bool = ahead):
+        def learn(chunk: int, blob: bytes, got: dict, hot: dict = hot, ahead: bool = ahead, now: int = now, then: int = then):
             """A chunk's tree, and what it asks next if that is stored beside it."""
             if not int.from_bytes(blob[:8], "little"):  # nor will it ask at greater depths
                 yield TREE, blob
                 return
             t = Tree.of(blob, n, v)
-            t.learn_pairs(nb, got, hot)
+            t.learn_pairs(now, got, hot)
             yield TREE, t.packed()
             if ahead:
-                yield from t.ask(nb)
+                yield from t.ask(then)
 
         longer = bucketed(scatter(attach(trees, replies.where("chunk >= 0")), learn))
         discard(replies)
         discard(trees)
         trees = longer.where(f"bucket = {TREE}").select("chunk", F.col("payload").alias("blob"))
-        messages = longer.where("bucket >= 0") if ahead else None
+        messages, now = longer.where("bucket >= 0") if ahead else None, then
 
     def score(chunk: int, blob: bytes, got: dict) -> dict:
         t = Tree.of(blob, n, v)
