@@ -62,3 +62,10 @@ def test_kept_columns_of_inner_plans(spark):
     a = full_panel(spark, SF).select("code", "date", "total_mv", "pe_ttm").toPandas().sort_values(["code", "date"])
     b = plan({"y": "2 * pe_ttm"}).spark(base_panel(spark, SF), ("code", "date", "total_mv"), sources=FULL).toPandas().sort_values(["code", "date"])
     assert (a["total_mv"].to_numpy() == b["total_mv"].to_numpy()).all() and ((2 * a["pe_ttm"]).dropna().to_numpy() == b["y"].dropna().to_numpy()).all() and a["pe_ttm"].isna().sum() == b["y"].isna().sum()
+
+
+def test_few_columns_move_after_many_ranks(spark):
+    """What is made from ranks is made after the rows moved again, not before."""
+    parts = QUERIES["catalog_combinations"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    between = parts[: parts.index("FlatMapGroupsInArrow")].split("RepartitionByExpression")
+    assert len(between) == 2 and between[1].count("Project") <= 1
